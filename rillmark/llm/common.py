@@ -15,11 +15,9 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, kept in the folder of ``spark.checkpoint.dir`` so that a lost
-    executor loses none of them.  Where the session names no folder (as in tests) one of
-    this machine is used, which needs a local master."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``.  Where the session names none (as in tests)
+    one of this machine is used, which needs a local master."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -28,6 +26,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, kept in the shared folder so that a lost executor loses none."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -105,14 +105,14 @@ def with_word_counts(docs: DataFrame, text_col: str, size_col: str, columns: lis
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row.
+    """(doc_id, source, text_hash, size, source_size, target, copies, taken) of every row.
 
     ``copies`` is how often the mix takes the document (0 to ``most``) and ``taken`` its
     words.  The driver holds one row per source.  Draws come from hashes of source and
     chunk, so that reruns agree.  Null texts have size 0, a null source is a source of
     its own, repeated rows are taken one by one, an empty table gives no rows."""
     spark = docs.sparkSession
-    sized = durable(with_word_counts(docs.withColumnsRenamed({id_col: "doc_id", source_col: "source"}), text_col, "size", ["doc_id", "source"]))
+    sized = durable(with_word_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), "text", "size", ["doc_id", "source", "text_hash"]))
     totals = [(r["source"], r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()]
     goal = targets([(s, n) for s, n, _ in totals], weights, most)
     plan = []
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
 
     def settle(last: bool):
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("doc_id", "ascending"), ("size", "ascending")])
+            table = table.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("text_hash", "ascending")])
             p, size = table.column("_p").to_numpy(), table.column("size").to_numpy()
             stamp = [seed, int(table.column("_chunk")[0].as_py()), *(table.column("source")[0].as_py() or "\0").encode()]
             p = fly(p, size, np.random.default_rng(stamp))
@@ -152,4 +152,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
         chunks = -(-chunks // (CHUNK_ROWS // 4))
         state = flown.where(is_open).withColumn("_chunks", F.ceil(F.col("_chunks") / (CHUNK_ROWS // 4))).withColumn("_chunk", F.pmod("_chunk", "_chunks")).select(*columns)
     copies = (F.col("_whole") + F.round("_p")).cast("int")
-    return settled.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return settled.select("doc_id", "source", "text_hash", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as often as the mix takes it."""
+    mixed = mix(docs, id_col=id_col, text_col=text_col, **options)
+    # rows alike in id and text share what they are taken
+    share = mixed.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_hash": F.xxhash64(text_col)})
+    source = options.get("source_col", "source")
+    joined = keyed.join(share.where("_copies > 0"), ["_id", "_hash"]).where(F.col(source).eqNullSafe(F.col("_source")))
+    numbered = joined.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy("_id", "_hash", "_source")))
+    return numbered.where("_k = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -72,8 +72,8 @@ def minhashes(row: np.ndarray, prints: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def digests(docs: DataFrame, width: int, half: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, cls, first, second) of every row: ``cls`` names its set (null if
-    empty), ``first`` and ``second`` are the keys of the two collections."""
+    """(doc_id, text_hash, n_shingles, cls, first, second) of every row: ``cls`` names its set
+    (null if empty), ``first`` and ``second`` are the keys of the two collections."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +90,10 @@ def digests(docs: DataFrame, width: int, half: int, rows: int, id_col: str, text
                     keys[i + at, k] = kernel.combine([mins[:, k * rows + r] for r in range(rows)] + [np.full(len(at), k, _U)])
             flat = keys.view(np.int64)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).reshape(-1)), half).cast(pa.list_(pa.int64())) for x in (flat[:, :half], flat[:, half:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), *lists], names=["doc_id", "n_shingles", "cls", "first", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), *lists], names=["doc_id", "text_hash", "n_shingles", "cls", "first", "second"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_shingles long, cls long, first array<long>, second array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, cls long, first array<long>, second array<long>")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: int = HALF, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row.
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row.
 
     ``component_id`` is the smallest id reachable over links of similarity percent / 100 or
     more, ``kept`` whether it is the row's own.  Null, empty and white texts have no
@@ -208,6 +208,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
         label = components(links)
     classes = sets.select("cls", "least").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id")
-    out = digest.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    out = digest.select("doc_id", "text_hash", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document with the smallest id,
+    of rows alike in id and text one.  Rows with a null id all stay."""
+    found = near_duplicates(docs, **options)
+    stays = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    keyed = docs.withColumns({"_id": F.col(id_col), "_hash": F.xxhash64(text_col)})
+    # the join leaves rows dealt and sorted by its keys, so numbering them moves nothing
+    numbered = keyed.join(stays, ["_id", "_hash"]).withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id", "_hash")))
+    return numbered.where("_k = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -121,17 +121,17 @@ def _repeats(_: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, byte
             yield block, blocks.squeeze(np.packbits(bits).tobytes())
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, count_cols: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
     """Remove each word covered by a run of ``width`` words that also starts in a document
     with a smaller id; runs are judged on the input.
 
     With ``digest``: (doc_id, n_words, n_removed, kept_sha256).  Else: the columns of
     ``docs``, the text of touched documents being their kept words joined by one space
-    and that of others unchanged, and n_words, n_removed (a clash is resolved by
-    replacing).  Null texts have no words and stay null; a null id is larger than all
+    and that of others unchanged, and the counts as ``count_cols`` (which replace columns
+    of these names).  Null texts have no words and stay null; a null id is larger than all
     others; rows with one id are one document, which repeats nothing of itself."""
     if not digest:
-        docs = docs.drop("n_words", "n_removed")
+        docs = docs.drop(*count_cols)
     else:
         docs = docs.select(id_col, text_col)
     kinds = docs.schema
@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         mask = np.zeros(len(ends), dtype=bool)
         mask[touched] = True
         out = rows.set_column(rows.column_names.index(text_col), text_col, pc.replace_with_mask(old, pa.array(mask), new))
-        return out.append_column("n_words", n_words).append_column("n_removed", n_removed)
+        return out.append_column(count_cols[0], n_words).append_column(count_cols[1], n_removed)
 
     answers = blocks.resolve(blocks.each_block(packed, ask), _repeats)
     if digest:
@@ -207,5 +207,5 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     else:
         from pyspark.sql import types as T
 
-        schema = T.StructType([*kinds.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+        schema = T.StructType([*kinds.fields, *(T.StructField(c, T.LongType()) for c in count_cols)])
     return blocks.meet(packed, answers, cut, schema)

@@ -7,11 +7,14 @@ half * half tables cost 2 * half * rows minhashes.  Two sets of similarity s sha
 with probability (1 - (1 - s**rows)**half)**2, 0.9999 at 0.8 with the defaults.  A key of
 the first collection that nobody shares opens no tables.
 
-Links are confirmed on full sets.  Within a table's bucket every member is first held
-against the smallest one; links found so join components, and only members of different
-components are held against each other afterwards, bucket by bucket, until no bucket has
-an untried pair across components.  So a group of many copies costs a pair each, and no
-pair inside a component is tried in vain.
+Links are confirmed on full sets.  First the shingles that no other candidate has are
+counted: what a set shares with all others together bounds what it shares with any one,
+so sets that share too little have no links, nor have two sets of which either shares too
+little for the other's size.  These bounds are exact.  Within a table's bucket every
+member is first held against the one that shares most (an original among its copies
+shares nearly all); links found so join components, and only members of different
+components that the bounds allow are held against each other afterwards, in tiles of
+bounded size.  So a group of many copies costs little more than a pair each.
 """
 
 from __future__ import annotations
@@ -24,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import blocks, kernel
 from .common import durable
 
 _U = np.uint64
 HALF, ROWS = 14, 3
+#: Shingles of a part, while those that candidates share are counted.
+PART_SHINGLES = 1 << 20
+#: Sets that meet as many others at once.
+TILE_ROWS = 128
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -102,7 +109,7 @@ def buckets(sets: DataFrame) -> DataFrame:
     shared = own.groupBy("_a").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_a")
     opened = own.join(shared, "_a").join(sets.select("cls", "second"), "cls")
     tables = opened.select("cls", "_a", F.explode("second").alias("_b")).select("cls", F.xxhash64("_a", "_b").alias("bucket"))
-    full = tables.groupBy("bucket").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).where("_lo < _hi").select("bucket", F.col("_lo").alias("centre"))
+    full = tables.groupBy("bucket").agg(F.min("cls").alias("_lo"), F.max("cls").alias("_hi")).where("_lo < _hi").select("bucket")
     return tables.join(full, "bucket")
 
 
@@ -132,29 +139,151 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
 
 
-def packed_texts(docs: DataFrame, digest: DataFrame, needed: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(cls, packed): the compressed text of one document of each needed class."""
+def _zip(data: bytes) -> bytes:
+    return zlib.compress(data, 1)
+
+
+def _sets_of(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of a block's texts."""
+    row, prints = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for i, _, r, p in shingle_sets(rows.column("text"), width):
+        row.append(r + i)
+        prints.append(p)
+    return np.concatenate(row), np.concatenate(prints)
+
+
+def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(cls, n, shared, packed): the members that may have links, with their compressed
+    text, the size of their set and how much of it other members have."""
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(1))
             raw = data.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.compress(raw[offsets[k] : offsets[k + 1]], 1) for k in range(batch.num_rows)], pa.binary())], names=["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_zip(raw[offsets[k] : offsets[k + 1]]) for k in range(batch.num_rows)], pa.binary())], names=["doc_id", "packed"])
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unsqueeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls = np.zeros(batch.num_rows, _U)
-            for k, packed in enumerate(batch.column(1).to_pylist()):
-                for _, _, _, prints in shingle_sets(pa.array([zlib.decompress(packed).decode()]), width):
-                    with np.errstate(over="ignore"):
-                        cls[k] = kernel.mix64(np.array([np.add.reduce(kernel.mix64(prints)) + _U(len(prints))], _U))[0]
-            same = pa.array(cls.view(np.int64) == batch.column(0).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(same), batch.column(1).filter(same)], names=["cls", "packed"])
+            for k in range(0, batch.num_rows, 256):  # little text at once
+                part = batch.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.decompress(x).decode() for x in part.column(1).to_pylist()], pa.string())], names=["cls", "text"])
 
     kind = dict(docs.dtypes)[id_col]
-    held = digest.join(needed, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    held = digest.join(members, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    shingles = held.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-shingles // PART_SHINGLES))
     texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(squeeze, f"doc_id {kind}, packed binary")
-    return texts.join(held, "doc_id").select("cls", "packed").mapInArrow(name, "cls long, packed binary").groupBy("cls").agg(F.first("packed").alias("packed"))
+    found = texts.join(held.select("cls", "doc_id"), "doc_id").select("cls", "packed").mapInArrow(unsqueeze, "cls long, text string")
+    packed = blocks.pack(found, "text", None)
+
+    def by_part(rows: pa.Table):
+        row, prints = _sets_of(rows, width)
+        keys, count = np.unique(prints, return_counts=True)
+        cuts = np.searchsorted(((keys >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64), np.arange(parts + 1))
+        return row, prints, keys, count, cuts
+
+    def ask(block: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
+        _, _, keys, count, cuts = by_part(rows)
+        for part in range(parts):
+            own = slice(cuts[part], cuts[part + 1])
+            if own.start < own.stop:
+                yield part, blocks.join_parts([blocks.pack_sorted(keys[own]), np.packbits(count[own] > 1).tobytes()])
+
+    def meet(rows: pa.Table, told: dict[int, bytes]) -> pa.Table:
+        row, prints, keys, _, cuts = by_part(rows)
+        shared = np.zeros(len(keys), bool)
+        for part, bits in told.items():
+            shared[cuts[part] : cuts[part + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cuts[part + 1] - cuts[part])).astype(bool)
+        many = len(rows)
+        size = np.bincount(row, minlength=many)
+        some = np.bincount(row, shared[np.searchsorted(keys, prints)], many).astype(np.int64) if len(row) else size
+        cls = np.zeros(many, _U)
+        head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            cls[row[head]] = kernel.mix64(np.add.reduceat(kernel.mix64(prints), head) + size[row[head]].astype(_U)) if len(head) else 0
+        # ids may repeat with other texts: only the text that has the set counts
+        keep = np.flatnonzero((cls.view(np.int64) == rows.column("cls").to_numpy()) & (100 * some >= percent * size))
+        data, offsets = kernel.buffers(rows.column("text"))
+        raw = data.tobytes()
+        texts = pa.array([_zip(raw[offsets[k] : offsets[k + 1]]) for k in keep.tolist()], pa.binary())
+        return pa.table({"cls": rows.column("cls").take(pa.array(keep)), "n": pa.array(size[keep]), "shared": pa.array(some[keep]), "packed": texts})
+
+    answers = blocks.resolve(blocks.each_block(packed, ask), _seen_twice)
+    rows = blocks.meet(packed, answers, meet, "cls long, n long, shared long, packed binary")
+    return rows.dropDuplicates(["cls"])
+
+
+def _seen_twice(_: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """Which of its keys each block shares with another block, or repeats itself."""
+    keys, several = [], []
+    for _block, payload in asked:
+        own, bits = blocks.split_parts(payload)
+        keys.append(blocks.unpack_sorted(own))
+        several.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys[-1])).astype(np.int64) + 1)
+    key, count = np.concatenate(keys), np.concatenate(several)
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    head = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    total = np.add.reduceat(count[order], np.flatnonzero(head))
+    shared = np.empty(len(key), bool)
+    shared[order] = (total > 1)[np.cumsum(head) - 1]
+    for (block, _payload), bits in zip(asked, np.split(shared, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+        yield block, np.packbits(bits).tobytes()
+
+
+def across_components(around: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among the members ``around`` a centre.
+
+    Members of the centre's component needn't meet each other.  The rest meet all, a tile
+    of few by few at once, and only links come out."""
+    marked = around.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    own = label.select(F.col("cls").alias("centre"), F.col("label").alias("_own"))
+    marked = marked.join(own, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("_own", "centre"))
+    counts = marked.groupBy("centre").agg(F.ceil(F.count_if("rest") / TILE_ROWS).alias("_r"), F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_a")).where("_r > 0")
+    full = marked.join(counts, "centre").join(texts.select("cls", "packed"), "cls").select("centre", "cls", "n", "shared", "label", "rest", "packed", "_r", "_a")
+    chunk = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ["centre", "i", "j", "cls", "n", "shared", "label", "packed"]
+    left = full.where("rest").withColumn("i", chunk("_r")).withColumn("j", every("_a")).select(*columns)
+    right = full.withColumn("j", chunk("_a")).withColumn("i", every("_r")).select(*(F.col(c).alias(f"y_{c}") for c in columns))
+
+    def tile(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = x.select(columns), y.rename_columns([c.removeprefix("y_") for c in y.column_names]).select(columns)
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if x.num_rows and y.num_rows:
+            cls, n, shared, group = (np.concatenate((x.column(c).to_numpy(), y.column(c).to_numpy())) for c in ("cls", "n", "shared", "label"))
+            m = x.num_rows
+            may = (group[:m, None] != group[None, m:]) & ((100 + percent) * np.minimum(shared[:m, None], shared[None, m:]) >= percent * (n[:m, None] + n[None, m:]))
+            if may.any():
+                needed = np.flatnonzero(np.concatenate((may.any(axis=1), may.any(axis=0))))
+                packed = [*x.column("packed").to_pylist(), *y.column("packed").to_pylist()]
+                row, prints = _sets_of(pa.table({"text": pa.array([zlib.decompress(packed[k]).decode() for k in needed], pa.large_string())}), width)
+                both = _intersections(row, prints, len(needed))
+                at = np.full(len(cls), -1)
+                at[needed] = np.arange(len(needed))
+                p, q = np.nonzero(may)
+                hit = (100 + percent) * both[at[p], at[q + m]] >= percent * (n[p] + n[q + m])
+                a, b = cls[p[hit]], cls[q[hit] + m]
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    keys = ["centre", "i", "j"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*(f"y_{k}" for k in keys))).applyInArrow(tile, "a long, b long").distinct()
+
+
+def _intersections(row: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of the intersections of n sets, from their (row, shingle) pairs."""
+    keys, column, count = np.unique(prints, return_inverse=True, return_counts=True)
+    some = count[column] > 1
+    row, column = row[some], np.unique(column[some], return_inverse=True)[1]
+    both = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [start, start + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[row[lo:hi], column[lo:hi] - start] = 1
+        both += held @ held.T
+    return both.astype(np.int64)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,26 +315,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     digest = durable(digests(docs, width, half, rows, id_col, text_col))
     sets = durable(digest.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("first").alias("first"), F.first("second").alias("second")))
     table = durable(buckets(sets))
-    members = table.select("cls").distinct()
-    texts = durable(packed_texts(docs, digest.where("doc_id IS NOT NULL"), members, width, id_col, text_col))
-    tried = durable(table.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct())
+    texts = durable(candidates(docs, digest.where("doc_id IS NOT NULL"), table.select("cls").distinct(), width, percent, id_col, text_col))
+    sizes = texts.select("cls", "n", "shared")
+    table = table.join(sizes, "cls")
+    centres = table.groupBy("bucket").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "n", "cls", "shared")).alias("c"))
+    one, two = (lambda c: F.least(c, F.col("c.cls"))), (lambda c: F.greatest(c, F.col("c.cls")))
+    may = F.least("shared", "c.shared") * (100 + percent) >= percent * (F.col("n") + F.col("c.n"))
+    tried = durable(table.join(centres, "bucket").where((F.col("cls") != F.col("c.cls")) & may).select(one("cls").alias("a"), two("cls").alias("b")).distinct())
     links = durable(confirmed(tried, texts, width, percent))
     label = components(links)
-    while True:
-        marked = table.select("bucket", "cls").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        mixed = marked.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("bucket")
-        open_ = marked.join(mixed, "bucket")
-        x, y = (open_.select("bucket", F.col("cls").alias(c), F.col("label").alias(f"_{c}")) for c in "ab")
-        across = x.join(y, "bucket").where("_a <> _b AND a < b").select("a", "b").distinct()
-        untried = durable(across.join(tried, ["a", "b"], "left_anti"))
-        if untried.isEmpty():
-            break
-        more = durable(confirmed(untried, texts, width, percent))
-        tried = tried.unionByName(untried)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        label = components(links)
+    around = table.join(centres, "bucket").select(F.col("c.cls").alias("centre"), "cls", "n", "shared").distinct()
+    more = durable(across_components(around, label, texts, width, percent))
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
     classes = sets.select("cls", "least").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id")
     out = digest.select("doc_id", "text_hash", "n_shingles", "cls").join(named, "cls", "left")

@@ -1,7 +1,7 @@
 """SpotSigs fingerprints (operator 10), in DataFrame functions only.
 
-Common words are anchors.  The last anchor before a content word and the chain of content
-words from there on form a signature, so that signatures sit in running prose and not in
+Common words are anchors.  The first of a run of anchors and the chain of two content
+words after the run form a signature, so that signatures sit in running prose and not in
 lists or navigation; the start of a text is an anchor as well.  A fingerprint is the set
 of a text's signatures, written as their sorted 32-bit hashes in hexadecimal.
 
@@ -14,6 +14,7 @@ as a similar set can't avoid, and a comparison ends where the lengths rule it ou
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,24 +28,31 @@ ANCHORS = (
     "le la les du et est un une de que en des pour dans il "
     "el los las y es del por con una no se al lo su"
 ).split()
-CHAIN = 2
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS, chain: int = CHAIN) -> Column:
-    """The text's signatures as an ascending array of distinct 32-bit hashes."""
-    word = "(?:" + "|".join(sorted(set(anchors))) + ")"
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
-    plain = F.regexp_replace(plain, "^ +", " ")
-    marked = F.regexp_replace(plain, f" (?:{word} )*({word}) ", " $1^")
-    tokens = F.filter(F.split(marked, " "), lambda t: t != "")
-    content = lambda t: F.substring_index(t, "^", -1)
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, by first letter."""
+    by_first: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by_first.setdefault(w[0], []).append(w[1:])
+    return "(?:" + "|".join(f"{c}(?:{'|'.join(sorted(rest, key=len, reverse=True))})" for c, rest in by_first.items()) + ")"
 
-    def at(tokens: Column) -> Column:
-        bare = F.transform(tokens, content)
-        found = F.transform(tokens, lambda t, i: F.when((i == 0) | t.contains("^"), F.hash(F.when(t.contains("^"), F.substring_index(t, "^", 1)).otherwise(F.lit("")), F.array_join(F.slice(bare, i + 1, F.lit(chain)), " "))))
-        return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
-    return at(tokens)
+def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
+    """The text's signatures as an ascending array of distinct 32-bit hashes.
+
+    Words stand between single spaces; a run of anchors becomes a mark on the content word
+    after it; each marked word (and the first of the text) with the word that follows it
+    is a signature.  One expression reads the text a fixed number of times."""
+    word = _any_of(anchors)
+    plain = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
+    # possessive, so that the matcher loops over long runs and doesn't recurse
+    marked = F.regexp_replace(plain, f" ({word})(?: {word}(?= ))*+ (?=[^ ])", " $1^")
+    # a text that starts with no anchor starts with an empty one
+    marked = F.regexp_replace(marked, r"^ (?=[^ ^]+ )", " ^")
+    pairs = F.regexp_extract_all(marked, F.lit(r"(?<= )(?=([^ ^]*\^[^ ]+(?: [^ ]+)?))"), F.lit(1))
+    chain = F.transform(pairs, lambda s: F.hash(F.substring_index(s, " ", 1), F.substring_index(F.substring_index(s, " ", -1), "^", -1)))
+    return F.array_sort(F.array_distinct(chain))
 
 
 def fingerprint(signs: Column) -> Column:
@@ -83,29 +91,27 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return scored.where(F.col("likeness") >= threshold)
 
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str], prefix: str) -> DataFrame:
-    """``columns`` of the next row by descending ``id_col`` (nulls last, ties by text; after
-    the last the first) as columns with ``prefix``.
+def with_next(docs: DataFrame, id_col: str, derive: Callable[[DataFrame], DataFrame], columns: list[str], prefix: str) -> DataFrame:
+    """``derive(docs)``, and ``columns`` of the next row by descending ``id_col`` (nulls last,
+    ties by the columns; after the last the first) with ``prefix``.
 
     Rows are dealt by ranges of the id, each range finds its rows' successors in itself,
     and its last row gets the first row of the range below."""
-    spark = docs.sparkSession
-    parts = min(1024, 2 * shuffle_width(spark))
+    parts = min(1024, 2 * shuffle_width(docs.sparkSession))
     cuts = docs.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"]
     cuts = sorted(set(cuts or []))
     bucket = F.when(F.col(id_col).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else 0).cast("int")
-    order = [F.desc_nulls_last(id_col), *(F.desc(c) for c in columns)]
+    inside = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(id_col), *(F.desc(c) for c in columns))
     dealt = docs.withColumn("_bucket", bucket)
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    rows = dealt.select("*", F.lead(F.struct(*columns)).over(inside).alias("_next"))
+    rows = derive(dealt).withColumn("_next", F.lead(F.struct(*columns)).over(inside))
     # the first row of each range: at most ``parts`` + 1 rows
     top = dealt.groupBy("_bucket").agg(F.max(id_col).alias("_top"))
-    firsts = dealt.join(F.broadcast(top), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_top")))
-    firsts = firsts.withColumn("_k", F.row_number().over(inside)).where("_k = 1").select("_bucket", F.struct(*columns).alias("_first"))
+    firsts = dealt.join(F.broadcast(top), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_top"))).repartition(F.col("_bucket"))
+    firsts = derive(firsts).withColumn("_k", F.row_number().over(inside)).where("_k = 1").select("_bucket", F.struct(*columns).alias("_first"))
     down = Window.orderBy(F.desc("_bucket"))
     below = firsts.select("_bucket", F.coalesce(F.lead("_first").over(down), F.first("_first").over(down)).alias("_below"))
     found = rows.join(below, "_bucket").withColumn("_next", F.coalesce("_next", "_below"))
-    return found.select(*docs.columns, *(F.col(f"_next.{c}").alias(prefix + c) for c in columns))
+    return found.drop("_bucket", "_below").select("*", *(F.col(f"_next.{c}").alias(prefix + c) for c in columns)).drop("_next")
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,8 +121,8 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null texts are empty; null ids come last; rows alike in id and text may swap places;
     an empty table gives no rows; other columns are ignored."""
-    own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("signs", signatures(F.col("text")))
-    both = with_next(own, "doc_id", ["text", "signs"], "next_")
+    own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    both = with_next(own, "doc_id", lambda df: df.withColumn("signs", signatures(F.col("text"))), ["text", "signs"], "next_")
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))

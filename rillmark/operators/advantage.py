@@ -114,7 +114,7 @@ def whitened_outcome(tokens: DataFrame, scalars: DataFrame, out: str = "advantag
 @register("reinforce_plus_plus_baseline")
 def reinforce_pp_baseline(tokens: DataFrame, by: list[str]) -> DataFrame:
     """Centred scores, tiled and whitened."""
-    return whitened_outcome(tokens, grpo(trajectories(tokens), by, scale=False))
+    return whitened_outcome(tokens, grpo(trajectories(tokens, keep=tuple(c for c in by if c != "uid")), by, scale=False))
 
 
 @register("gdpo")

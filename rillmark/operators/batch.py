@@ -17,6 +17,11 @@ class BatchError(ValueError):
     pass
 
 
+def _field(rows: str, name: str) -> Column:
+    """One field of an array of structs, as an array."""
+    return F.transform(rows, lambda x: x[name])
+
+
 def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFrame:
     """Number rows from 0 in the order of ``order`` (which must be total).
 
@@ -199,7 +204,7 @@ def fold(df: DataFrame, k: int, columns: list[str], idx: str = IDX) -> DataFrame
     """k consecutive rows as one, its columns arrays in row order."""
     groups = df.withColumn("_group", F.floor(F.col(idx) / F.lit(k)))
     rows = groups.groupBy("_group").agg(F.array_sort(F.collect_list(F.struct(idx, *columns))).alias("_rows"))
-    return rows.select(F.col("_group").cast("bigint").alias(idx), *(F.transform("_rows", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return rows.select(F.col("_group").cast("bigint").alias(idx), *(_field("_rows", c).alias(c) for c in columns))
 
 
 def unfold(df: DataFrame, k: int, columns: list[str], idx: str = IDX) -> DataFrame:
@@ -279,7 +284,7 @@ def stride(df: DataFrame, rank: int, k: int, idx: str = IDX) -> DataFrame:
 def collate(df: DataFrame, batch: str, columns: list[str], idx: str = IDX) -> DataFrame:
     """Rows of a batch as arrays in row order, ragged arrays staying ragged."""
     rows = df.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(idx, *columns))).alias("_rows"))
-    return rows.select(batch, *(F.transform("_rows", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return rows.select(batch, *(_field("_rows", c).alias(c) for c in columns))
 
 
 def complete_groups(df: DataFrame, keys: list[str], member: str, members: int) -> DataFrame:

@@ -38,6 +38,15 @@ def s6(x: str) -> str:
     return f"(round({x}, 6) + 0.0)"
 
 
+def r8(x: Column | str) -> Column:
+    """Eight decimals, for values that end in a five at the seventh."""
+    return F.round(F.col(x) if isinstance(x, str) else x, 8) + F.lit(0.0)
+
+
+def s8(x: str) -> str:
+    return f"(round({x}, 8) + 0.0)"
+
+
 TOKENS_SQL = """tok AS (
   SELECT o_custkey AS uid, l_orderkey AS traj,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INT) AS pos,

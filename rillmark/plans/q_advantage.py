@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import advantage as A
 from ..operators import losses as L
 from ..operators import masked as M
-from .base import TOKENS_SQL, TRAJ_SQL, query, r6, s6, table, tokens, trajectories
+from .base import TOKENS_SQL, TRAJ_SQL, query, r6, r8, s6, s8, table, tokens, trajectories
 
 _T = f"WITH {TOKENS_SQL}"
 _S = f"{_T}, {TRAJ_SQL}"
@@ -99,11 +99,7 @@ def distributed_stats(spark, sf):
 
 @query(f"{_STATS}, ti AS (SELECT tok.traj, tok.pos, tok.mask, (score - m) * mask AS a FROM tok JOIN g USING (traj)), {_whiten_sql('ti', 'a')} SELECT traj, pos, {s6('(a - m) / sqrt(v + 1e-8) * mask')} AS advantage FROM ti, va")
 def reinforce_pp_baseline(spark, sf):
-    return A.reinforce_pp_baseline(tokens_with_prio(spark, sf), _BY).select("traj", "pos", r6("advantage").alias("advantage"))
-
-
-def tokens_with_prio(spark, sf):
-    return tokens(spark, sf)
+    return A.reinforce_pp_baseline(tokens(spark, sf), _BY).select("traj", "pos", r6("advantage").alias("advantage"))
 
 
 @query(f"""{_T}, sc AS (SELECT uid, traj, sum(reward) AS a, sum(value) AS b FROM tok GROUP BY ALL),
@@ -124,9 +120,9 @@ rec AS (
   FROM rec JOIN t ON t.traj = rec.traj AND t.pos = rec.pos - 1)"""
 
 
-@query(f"{_GAE_CTE} SELECT traj, pos, {s6('la')} AS raw_advantage, {s6('la + value')} AS returns FROM rec")
+@query(f"{_GAE_CTE} SELECT traj, pos, {s8('la')} AS raw_advantage, {s8('la + value')} AS returns FROM rec")
 def gae_returns(spark, sf):
-    return A.gae_raw(tokens(spark, sf), 0.99, 0.95).select("traj", "pos", r6("raw_advantage").alias("raw_advantage"), r6("returns").alias("returns"))
+    return A.gae_raw(tokens(spark, sf), 0.99, 0.95).select("traj", "pos", r8("raw_advantage").alias("raw_advantage"), r8("returns").alias("returns"))
 
 
 @query(f"{_GAE_CTE}, {_whiten_sql('rec', 'la')} SELECT traj, pos, {s6('(la - m) / sqrt(v + 1e-8)')} AS advantage FROM rec, va")
@@ -145,12 +141,12 @@ def reinforce_pp(spark, sf):
 
 
 @query(f"""{_T}, b AS (SELECT traj, sum(value) AS baseline FROM tok GROUP BY traj)
-SELECT traj, pos, {s6('sum(reward * mask) OVER (PARTITION BY traj ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS returns,
-{s6('sum(reward * mask) OVER (PARTITION BY traj ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - baseline * mask')} AS advantage FROM tok JOIN b USING (traj)""")
+SELECT traj, pos, {s8('sum(reward * mask) OVER (PARTITION BY traj ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)')} AS returns,
+{s8('sum(reward * mask) OVER (PARTITION BY traj ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - baseline * mask')} AS advantage FROM tok JOIN b USING (traj)""")
 def remax(spark, sf):
     t = tokens(spark, sf)
     with_base = t.join(t.groupBy("traj").agg(F.sum("value").alias("baseline")), "traj")
-    return A.remax(with_base).select("traj", "pos", r6("returns").alias("returns"), r6("advantage").alias("advantage"))
+    return A.remax(with_base).select("traj", "pos", r8("returns").alias("returns"), r8("advantage").alias("advantage"))
 
 
 @query(f"""{_T}, g AS (SELECT traj, any_value(uid) AS uid, sum(reward) AS s, min(traj) OVER (PARTITION BY any_value(uid)) AS lo FROM tok GROUP BY traj),
@@ -164,12 +160,12 @@ def remax_baseline_rollout(spark, sf):
 
 
 def _otb_sql(position: str, source: str) -> str:
-    return f"""{_T}, p AS (SELECT *, {position} AS at FROM tok{source}),
+    return f"""{_T}, p AS (SELECT *, {position} AS apos FROM tok{source}),
 w AS (SELECT *, sum(reward * mask) OVER (PARTITION BY traj ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS g,
   sum((1 - 2 * exp(old_lp) + sum_pi_squared) * mask) OVER (PARTITION BY traj ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw, sum(mask) OVER (PARTITION BY traj) AS len FROM p),
 sz AS (SELECT uid, traj, max(len) AS len FROM w GROUP BY ALL), tp AS (SELECT uid, count(*) AS n, max(len) AS l1, max(len) FILTER (WHERE k = 2) AS l2 FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY len DESC) AS k FROM sz) GROUP BY uid),
-b AS (SELECT uid, at, sum(g * cw * mask) / (sum(cw * mask) + 1e-8) AS b FROM w GROUP BY uid, at)
-SELECT w.traj, w.pos, round((g - CASE WHEN n < 2 OR (len = l1 AND l1 > l2 AND w.at >= l2) THEN 0 ELSE b END) * mask, 5) + 0.0 AS advantage FROM w JOIN b USING (uid, at) JOIN tp USING (uid)"""
+b AS (SELECT uid, apos, sum(g * cw * mask) / (sum(cw * mask) + 1e-8) AS b FROM w GROUP BY uid, apos)
+SELECT w.traj, w.pos, round((g - CASE WHEN n < 2 OR (len = l1 AND l1 > l2 AND w.apos >= l2) THEN 0 ELSE b END) * mask, 5) + 0.0 AS advantage FROM w JOIN b USING (uid, apos) JOIN tp USING (uid)"""
 
 
 @query(_otb_sql("pos", ""))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import kernel
-from .common import durable
+from .common import bounded_batches, durable
 
 #: Text bytes of a block.  With more data, larger blocks keep (blocks x parts) low.
 BLOCK_BYTES = 8 << 20
@@ -41,6 +41,7 @@ def pack(docs: DataFrame, text_col: str, order_col: str | None, survey: Callable
     """(block, n, data, survey): all columns of ``docs`` in blocks, rows of a block in
     ascending order of ``order_col`` (nulls last).  ``survey`` may note something small
     about each block while its text is at hand."""
+    docs = bounded_batches(docs)
     text_at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,8 +82,10 @@ def each_block(packed: DataFrame, run: Callable[[int, pa.Table], Iterator[tuple[
         for batch in batches:
             for k in range(batch.num_rows):
                 block = batch.column(0)[k].as_py()
-                for part, payload in run(block, from_bytes(batch.column(1)[k].as_py())):
+                rows = from_bytes(batch.column(1)[k].as_py())
+                for part, payload in run(block, rows):
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "payload"])
+                pa.default_memory_pool().release_unused()
 
     return packed.select("block", "data").mapInArrow(go, "part long, block long, payload binary")
 
@@ -104,7 +107,9 @@ def meet(packed: DataFrame, answers: DataFrame, run: Callable[[pa.Table, dict[in
 
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True))
-        return run(from_bytes(left.column("data")[0].as_py()), told)
+        out = run(from_bytes(left.column("data")[0].as_py()), told)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return packed.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(go, schema)
 

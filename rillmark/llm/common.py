@@ -35,6 +35,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session handing Arrow batches of at most 8 MB and 2000 rows to Python; an
+    executor holds a batch several times over.  Smaller limits of the session stay."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB", "64m"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

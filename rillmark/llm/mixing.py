@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import durable
+from .common import bounded_batches, durable
 
 #: Documents that fly together, on average.
 CHUNK_ROWS = 4096
@@ -95,13 +95,13 @@ def with_word_counts(docs: DataFrame, text_col: str, size_col: str, columns: lis
         for batch in batches:
             data, offsets = kernel.buffers(batch.column(batch.num_columns - 1))
             n = np.zeros(len(offsets) - 1, np.int64)
-            for i, j in kernel.slices(offsets, 8 * kernel.SLICE_BYTES):
+            for i, j in kernel.slices(offsets, 2 * kernel.SLICE_BYTES):
                 n[i:j] = kernel.word_spans(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[2]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n)], names=[*columns, size_col])
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{size_col}` long"])
-    return docs.select(*columns, F.col(text_col).alias("_text")).mapInArrow(count, schema)
+    return bounded_batches(docs).select(*columns, F.col(text_col).alias("_text")).mapInArrow(count, schema)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

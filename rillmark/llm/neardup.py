@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, kernel
-from .common import durable
+from .common import bounded_batches, durable
 
 _U = np.uint64
 HALF, ROWS = 14, 3
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     more, ``kept`` whether it is the row's own.  Null, empty and white texts have no
     shingles and no links.  Rows with a null id link nobody, have a null component and
     are kept; rows alike in id and text share all results."""
-    docs = docs.select(id_col, text_col)
+    docs = bounded_batches(docs.select(id_col, text_col))
     digest = durable(digests(docs, width, half, rows, id_col, text_col))
     sets = durable(digest.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("first").alias("first"), F.first("second").alias("second")))
     table = durable(buckets(sets))

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .common import bounded_batches
 
 COLUMNS = 1 << 18
 ORDERS = (1, 2, 3)
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0)
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The columns of ``docs`` with score and predicted (a clash is resolved by replacing).
     Null and empty texts have no features and score by the bias."""
-    docs = docs.drop("score", "predicted")
+    docs = bounded_batches(docs.drop("score", "predicted"))
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

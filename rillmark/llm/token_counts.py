@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel, tokens
+from .common import bounded_batches
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -34,4 +35,4 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
             )
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

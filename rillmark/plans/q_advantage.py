@@ -116,18 +116,18 @@ _GAE_CTE = f"""WITH RECURSIVE {TOKENS_SQL}, t AS (SELECT *, max(pos) OVER (PARTI
 rec AS (
   SELECT traj, pos, mask, value, CASE WHEN mask > 0 THEN value ELSE 0 END AS nv, CASE WHEN mask > 0 THEN reward - value ELSE 0 END AS la FROM t WHERE pos = top
   UNION ALL
-  SELECT t.traj, t.pos, t.mask, t.value, CASE WHEN t.mask > 0 THEN t.value ELSE rec.nv END, CASE WHEN t.mask > 0 THEN t.reward + 0.99 * rec.nv - t.value + 0.99 * 0.95 * rec.la ELSE rec.la END
+  SELECT t.traj, t.pos, t.mask, t.value, CASE WHEN t.mask > 0 THEN t.value ELSE rec.nv END, CASE WHEN t.mask > 0 THEN t.reward + 0.99123457 * rec.nv - t.value + 0.99123457 * 0.95123457 * rec.la ELSE rec.la END
   FROM rec JOIN t ON t.traj = rec.traj AND t.pos = rec.pos - 1)"""
 
 
 @query(f"{_GAE_CTE} SELECT traj, pos, {s8('la')} AS raw_advantage, {s8('la + value')} AS returns FROM rec")
 def gae_returns(spark, sf):
-    return A.gae_raw(tokens(spark, sf), 0.99, 0.95).select("traj", "pos", r8("raw_advantage").alias("raw_advantage"), r8("returns").alias("returns"))
+    return A.gae_raw(tokens(spark, sf), 0.99123457, 0.95123457).select("traj", "pos", r8("raw_advantage").alias("raw_advantage"), r8("returns").alias("returns"))
 
 
 @query(f"{_GAE_CTE}, {_whiten_sql('rec', 'la')} SELECT traj, pos, {s6('(la - m) / sqrt(v + 1e-8)')} AS advantage FROM rec, va")
 def gae(spark, sf):
-    return A.gae(tokens(spark, sf), 0.99, 0.95).select("traj", "pos", r6("advantage").alias("advantage"))
+    return A.gae(tokens(spark, sf), 0.99123457, 0.95123457).select("traj", "pos", r6("advantage").alias("advantage"))
 
 
 _RPP = f"""WITH RECURSIVE {TOKENS_SQL}, t AS (SELECT *, max(pos) OVER (PARTITION BY traj) AS top FROM tok),

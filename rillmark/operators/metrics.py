@@ -159,3 +159,51 @@ def gate(summary: DataFrame, limits: dict[str, tuple[float | None, float | None]
     bad = {k: row[k] for k, (lo, hi) in limits.items() if row[k] is None or (lo is not None and row[k] < lo) or (hi is not None and row[k] > hi)}
     if bad:
         raise ValueError(f"outside limits: {bad}")
+
+
+def differing_tokens(tokens: DataFrame, a: str, b: str) -> DataFrame:
+    """(traj, n): tokens inside the mask at which two columns differ."""
+    return tokens.groupBy("traj").agg(F.count_if((F.col("mask") > 0) & ~F.col(a).eqNullSafe(F.col(b))).alias("n"))
+
+
+def reward_stats(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, mean, std, max, min) of each reward key; the deviation is the population's."""
+    each = F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("double").alias("v")) for k in keys))
+    return scores.select(F.inline(each)).groupBy("key").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.max("v").alias("max"), F.min("v").alias("min"))
+
+
+def outcome_rates(outcomes: DataFrame, by: str, outcome: str = "outcome") -> DataFrame:
+    """Win, tie and loss rates of scored pairs, overall (null) and by a column."""
+    scored = F.count_if(F.col(outcome) != "unscored")
+    rate = lambda k: F.try_divide(F.count_if(F.col(outcome) == k), scored)
+    return outcomes.rollup(by).agg(scored.alias("scored"), *(rate(k).alias(f"{k}_rate") for k in ("win", "tie", "loss")))
+
+
+def stability(pairs: DataFrame) -> DataFrame:
+    """One row over pairs judged in both orders: stable and unstable ones, and how often the
+    first position won."""
+    return pairs.agg(F.count_if("stable").alias("stable"), F.count_if(~F.col("stable")).alias("unstable"))
+
+
+def zero_filled(counts: DataFrame, name: str, names: list[str], n: str = "n") -> DataFrame:
+    """Counts of all names, those that don't occur with 0."""
+    full = counts.sparkSession.createDataFrame([(x,) for x in names], f"{name} string")
+    return full.join(counts, name, "left").withColumn(n, F.coalesce(n, F.lit(0)))
+
+
+def top_overlap(student: Column, teacher: Column, k: int) -> Column:
+    """The share of the teacher's k most likely ids among the student's."""
+
+    def top(x: Column) -> Column:
+        ranked = F.array_sort(F.transform(x, lambda v, i: F.struct((-v).alias("v"), i.alias("i"))))
+        return F.transform(F.slice(ranked, 1, k), lambda r: r["i"])
+
+    return F.size(F.array_intersect(top(student), top(teacher))) / F.lit(float(k))
+
+
+def top_mass(logits: Column, k: int) -> Column:
+    """The probability of the k most likely ids."""
+    from .arrays import lse
+
+    total = lse(logits)
+    return F.aggregate(F.slice(F.sort_array(logits, asc=False), 1, k), F.lit(0.0), lambda a, v: a + F.exp(v - total))

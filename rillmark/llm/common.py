@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,9 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, kept in the shared folder so that a lost executor loses none."""
+    """The rows of ``df``, kept in the shared folder so that a lost executor loses none.
+
+    What was shuffled for them isn't needed any more; Spark deletes it once the driver has
+    collected its garbage, which is asked for here."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

@@ -117,23 +117,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, _U))
-
-        def set_of(packed: bytes) -> np.ndarray:
-            parts = [p for _, _, _, p in shingle_sets(pa.array([zlib.decompress(packed).decode()]), width)]
-            return parts[0] if parts else np.zeros(0, _U)
-
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for k in range(batch.num_rows):
-                if held[0] != a[k]:
-                    held = (a[k], set_of(batch.column(2)[k].as_py()))
-                other = set_of(batch.column(3)[k].as_py())
-                both = len(np.intersect1d(held[1], other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held[1]) + len(other) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+            for start in range(0, batch.num_rows, 64):  # the sets of few pairs at once
+                some = batch.slice(start, 64)
+                ids = np.stack([some.column(k).to_numpy() for k in (0, 1)])
+                cls, first, place = np.unique(ids, return_index=True, return_inverse=True)
+                texts = [some.column(2 + k // len(some))[k % len(some)].as_py() for k in first.tolist()]
+                row, prints = _sets_of(pa.table({"text": pa.array([zlib.decompress(t).decode() for t in texts], pa.large_string())}), width)
+                sets = np.split(prints, np.cumsum(np.bincount(row, minlength=len(cls)))[:-1])
+                x, y = place.reshape(2, -1)
+                both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(x, y, strict=True)])
+                size = np.array([len(v) for v in sets])
+                mask = pa.array((100 + percent) * both >= percent * (size[x] + size[y]))
+                yield pa.RecordBatch.from_arrays([some.column(0).filter(mask), some.column(1).filter(mask)], names=["a", "b"])
 
     one, two = (texts.select(F.col("cls").alias(c), F.col("packed").alias(f"_{c}")) for c in "ab")
     return pairs.join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
@@ -290,18 +286,16 @@ def components(links: DataFrame) -> DataFrame:
     """(cls, label): the smallest class reachable over links (a, b), by alternating stars:
     large ones tie larger neighbours to the smallest, small ones the smaller."""
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        # done when every edge leads to a smallest class: none that is led to leads on
+        if edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("label"))
-        mark = now
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: int = HALF, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,6 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  What each stage but the last kept lies as Parquet in a folder of
+    its own below the shared one, so that no stage runs twice; its owner may delete it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for name, stage in STAGES:

@@ -229,7 +229,7 @@ def geometry_score(text: Column, truth: Column, form: float = 0.1) -> Column:
     return (1 - form) * boxed_score(text, truth) + form * think_format(text)
 
 
-#: Which grader a source's answers go to; the first match counts.
+# Names of data sources.  Which grader a source's answers go to; the first match counts.
 GRADERS: list[tuple[str, str]] = [
     ("^openai/gsm8k$", "number"), ("^(lighteval/MATH|DigitalLearningGmbH/MATH-lighteval|HuggingFaceH4/MATH-500)$", "boxed"), ("^(math_dapo|math|math_dapo_reasoning|aime.*)$", "stated"),
     ("^(numina_.*)$", "boxed"), ("^hiyouga/geometry3k$", "geometry"), ("^searchR1_.*", "exact"),

@@ -284,7 +284,8 @@ def resample_weights(rows: DataFrame, score: str, mode: str = "pow", power: floa
 
 def resample(rows: DataFrame, n: int, seed: str, key: str, weight: str = "weight") -> DataFrame:
     """n draws with replacement in proportion to weights: draw i falls at a fixed
-    pseudo-random point of the summed weights."""
+    pseudo-random point of the summed weights.  For one training batch: draws and rows
+    are of its size."""
     order = Window.orderBy(key)
     spans = rows.withColumns({"_hi": F.sum(weight).over(order), "_total": F.sum(weight).over(Window.partitionBy())}).withColumn("_lo", F.col("_hi") - F.col(weight))
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)

@@ -25,8 +25,9 @@ def _field(rows: str, name: str) -> Column:
 def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFrame:
     """Number rows from 0 in the order of ``order`` (which must be total).
 
-    Range-partitions by the order, numbers inside each range, and moves each range on by
-    the counts before it, so no task holds all rows."""
+    Range-partitions by the first order column, numbers inside each range, and moves each
+    range on by the counts before it, so no task holds all rows.  That column must be
+    numeric for it; by another one all rows are one range."""
     first = order[0]
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.agg(F.percentile_approx(F.col(first).cast("double"), [k / width for k in range(1, width)], 1000)).first()[0] or [])) if width > 1 and dict(df.dtypes)[first] in ("int", "bigint", "double", "float") else []

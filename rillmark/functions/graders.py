@@ -3,6 +3,7 @@ must be matched.  No grader evaluates or runs what it reads."""
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -246,3 +247,55 @@ def dispatch(source: Column, text: Column, truth: Column) -> Column:
     for pattern, kind in GRADERS:
         out = F.when(source.rlike(pattern), build[kind]()) if out is None else out.when(source.rlike(pattern), build[kind]())
     return out.otherwise(F.raise_error(F.concat(F.lit("no grader for "), source)))
+
+
+def call_match(wanted: list[dict], given: list[dict], low: float = -3.0, high: float = 3.0) -> float:
+    """How well given tool calls match wanted ones, between ``low`` and ``high``: overlap of
+    their names, and for each wanted call the best unused one of its name, by overlap of
+    parameter names and equal values."""
+    if wanted == given:
+        return high
+
+    def overlap(a: list, b: list) -> float:
+        if a == b:
+            return 1.0
+        common = sum(min(a.count(x), b.count(x)) for x in set(a))
+        return common / (len(a) + len(b) - common) if a and b else 0.0
+
+    points, most = overlap([c["name"] for c in wanted], [c["name"] for c in given]), 1.0
+    free = list(range(len(given)))
+    for call in wanted:
+        need = call["parameters"]
+        most += 1 + len(need)
+        value = {
+            i: overlap(list(need), list(given[i]["parameters"])) + sum(k in given[i]["parameters"] and given[i]["parameters"][k] == v for k, v in need.items())
+            for i in free if given[i]["name"] == call["name"]
+        }
+        best = max(value, key=value.get, default=None)
+        if best is not None and value[best] > 0:
+            free.remove(best)
+            points += value[best]
+    return low + (high - low) * points / most
+
+
+def _calls(text: str) -> list[dict]:
+    body = text.split("<tool_call>")[1].split("</tool_call>")[0].strip()
+    calls = [json.loads(line) for line in body.split("\n")]
+    if any(not isinstance(c["parameters"], dict) for c in calls):
+        raise ValueError("parameters")
+    return [c | {"name": c["name"]} for c in calls]
+
+
+def _call_score(text: str, truth: str) -> float:
+    if "<tool_call>" not in truth:
+        return 0.0
+    wanted = _calls(truth)
+    try:
+        if "</tool_call>" not in text:
+            return -3.0
+        return call_match(wanted, _calls(text))
+    except (ValueError, KeyError, TypeError, IndexError):
+        return -3.0
+
+
+tool_call_score = _column(_call_score, "double")

@@ -207,3 +207,27 @@ def top_mass(logits: Column, k: int) -> Column:
 
     total = lse(logits)
     return F.aggregate(F.slice(F.sort_array(logits, asc=False), 1, k), F.lit(0.0), lambda a, v: a + F.exp(v - total))
+
+
+def variance_proxies(tokens: DataFrame, gradient_norm: float | None = None) -> DataFrame:
+    """One row: signal, power and noise of the gradient, from each trajectory's mean advantage
+    and its summed score norm 1 - 2 pi + sum(pi^2)."""
+    from .masked import inside, masked_mean
+
+    m = F.col("mask")
+    w = 1 - 2 * F.exp("old_lp") + F.col("sum_pi_squared")
+    seq = tokens.groupBy("traj").agg(masked_mean(F.col("advantage"), m).alias("a"), F.sum(inside(w, m)).alias("w"))
+    a2 = F.col("a") * F.col("a")
+    power = F.avg(a2 * F.greatest("w", F.lit(0.0)))
+    signal = F.lit(0.0 if gradient_norm is None else gradient_norm**2)
+    noise = F.lit(0.0) if gradient_norm is None else F.when(F.count(F.lit(1)) > 1, F.greatest((power - signal) / (F.count(F.lit(1)) - 1), F.lit(0.0))).otherwise(0.0)
+    return seq.agg(signal.alias("signal"), power.alias("power"), noise.alias("noise"), F.avg(a2).alias("expected_a_squared"), F.avg("w").alias("expected_w"))
+
+
+def async_rule(name: Column, explicit: dict[str, str] | None = None) -> Column:
+    """The rule of the asynchronous aggregator: told rules first, then by the name's parts."""
+    out = F.when(F.lit(False), "")
+    for key, rule in (explicit or {}).items():
+        out = out.when(name == key, rule)
+    out = out.when(name.contains("timing"), "sum").when(name.contains("mean") | name.contains("avg"), "avg").when(name.contains("max"), "max").when(name.contains("min"), "min")
+    return out.when(name.contains("sum"), "sum").otherwise("avg")

@@ -127,3 +127,18 @@ def group_balanced_partitions(spark, sf):
     o = B.with_row_index(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("size")), ["o_orderkey"])
     o = o.withColumn("batch", F.floor(F.col("row_idx") / 64))
     return P.partition(o.select("batch", "row_idx", "size"), "batch", "row_idx", "size", lambda s: P.by_groups(s, [i // 4 for i in range(len(s))], 4) if len(s) == 64 else [list(range(len(s)))])
+
+
+@query(f"""{_T}, s AS (SELECT traj, sum(advantage * mask) / (sum(mask) + 1e-8) AS a, sum((1 - 2 * exp(old_lp) + sum_pi_squared) * mask) AS w FROM tok GROUP BY traj)
+SELECT {s6('0.25')} AS signal, {s6('avg(a * a * greatest(w, 0))')} AS power, {s6('greatest((avg(a * a * greatest(w, 0)) - 0.25) / (count(*) - 1), 0)')} AS noise, {s6('avg(a * a)')} AS expected_a_squared, {s6('avg(w)')} AS expected_w FROM s""")
+def variance_proxies(spark, sf):
+    m = M.variance_proxies(tokens(spark, sf), 0.5)
+    return m.select(*(r6(c).alias(c) for c in m.columns))
+
+
+@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 3.0::DOUBLE WHEN user_id % 3 = 1 THEN round(-3 + 6 * (1 + 1) / 3.0, 6)::DOUBLE ELSE -3.0 END AS score FROM events")
+def tool_call_score(spark, sf):
+    call = lambda v: F.concat(F.lit('<tool_call>\n{"name": "'), "event_type", F.lit('", "parameters": {"u": '), v, F.lit("}}\n</tool_call>"))
+    k = F.col("user_id") % 3
+    text = F.when(k == 0, call(F.lit("1"))).when(k == 1, call(F.lit("2"))).otherwise("none")
+    return table(spark, sf, "events").select("event_id", r6(G.tool_call_score(text, call(F.lit("1")))).alias("score"))

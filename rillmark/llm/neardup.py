@@ -170,7 +170,7 @@ def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: in
     parts = max(1, -(-shingles // PART_SHINGLES))
     texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(squeeze, f"doc_id {kind}, packed binary")
     found = texts.join(held.select("cls", "doc_id"), "doc_id").select("cls", "packed").mapInArrow(unsqueeze, "cls long, text string")
-    packed = blocks.pack(found, "text", None)
+    packed = blocks.pack(found, "text", None, most=blocks.BLOCK_BYTES // 2)
 
     def by_part(rows: pa.Table):
         row, prints = _sets_of(rows, width)

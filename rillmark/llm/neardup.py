@@ -293,8 +293,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small)
-        # done when every edge leads to a smallest class: none that is led to leads on
-        if edges.join(edges.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").isEmpty():
+        # done when the edges are stars: every class leads to one, and none that is led to leads on
+        ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("_out"), F.lit(0).alias("_in")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("_out"), F.lit(1).alias("_in")))
+        if ends.groupBy("w").agg(F.sum("_out").alias("_out"), F.max("_in").alias("_in")).where("_out > 1 OR _out = 1 AND _in = 1").isEmpty():
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("label"))
 
 

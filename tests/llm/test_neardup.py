@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -70,6 +71,22 @@ def test_components(spark):
     assert all(got.get(k, 0) == 0 for k in range(41)) and got[101] == got[102] == 100
 
 
+def test_components_against_union_find(spark):
+    """Zigzags, where a class is led to two that lead no further, and random links."""
+    rng = random.Random(5)
+    cases = [[(10, 1), (10, 3), (11, 3), (11, 0)], [(20 + k // 2, (k + 1) // 2) for k in range(14)]]
+    for n in (6, 12, 24):
+        links = [(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(n)) if a != b]
+        cases.append(links)
+    for links in cases:
+        least = {k: k for pair in links for k in pair}
+        for _ in least:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        got = [(r["cls"], r["label"]) for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()]
+        assert len(got) == len(dict(got)) and {k: dict(got).get(k, k) for k in least} == least
+
+
 def test_tiles_find_links_across_components(spark, monkeypatch):
     """Copies around one original, of which some are alike only to each other."""
     monkeypatch.setattr(neardup, "TILE_ROWS", 4)

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import with_ranges
 from .masked import group_stats, whiten
 
 EPS = 1e-6
@@ -284,11 +285,25 @@ def resample_weights(rows: DataFrame, score: str, mode: str = "pow", power: floa
 
 def resample(rows: DataFrame, n: int, seed: str, key: str, weight: str = "weight") -> DataFrame:
     """n draws with replacement in proportion to weights: draw i falls at a fixed
-    pseudo-random point of the summed weights.  For one training batch: draws and rows
-    are of its size."""
-    order = Window.orderBy(key)
-    spans = rows.withColumns({"_hi": F.sum(weight).over(order), "_total": F.sum(weight).over(Window.partitionBy())}).withColumn("_lo", F.col("_hi") - F.col(weight))
+    pseudo-random point of the weights summed in the order of ``key``.
+
+    Weights are summed inside ranges of the key, then over ranges.  A draw finds its range,
+    then the last row there that begins at or before its point: every draw has one row, and
+    no task holds all rows.  (A key that isn't a number is one range.)  Rows without weight
+    are never drawn."""
+    dealt = with_ranges(rows.where(F.col(weight) > 0), key)
+    ordered = Window.orderBy("_range")
+    sums = dealt.groupBy("_range").agg(F.sum(weight).alias("_sum"))  # a row per range
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_total": F.sum("_sum").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    sums = sums.withColumn("_after", F.lead("_before", 1, float("inf")).over(ordered)).drop("_sum")
     unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("draw").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     draws = rows.sparkSession.range(n).select(F.col("id").alias("draw")).withColumn("_u", unit)
-    hit = (F.col("_u") * F.col("_total") >= F.col("_lo")) & (F.col("_u") * F.col("_total") < F.col("_hi"))
-    return draws.join(spans, hit).drop("_u", "_hi", "_lo", "_total")
+    point = F.col("_u") * F.col("_total")
+    draws = draws.join(F.broadcast(sums), (point >= F.col("_before")) & (point < F.col("_after")))
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    begins = dealt.select("_range", F.coalesce(F.sum(weight).over(inside), F.lit(0.0)).alias("_at"), F.lit(None).cast("bigint").alias("draw"), F.struct(*rows.columns).alias("_row"), F.col(key).alias("_key"))
+    points = draws.select("_range", (point - F.col("_before")).alias("_at"), "draw")
+    # at the same place rows come before draws
+    sweep = Window.partitionBy("_range").orderBy("_at", F.col("draw").asc_nulls_first(), "_key").rowsBetween(Window.unboundedPreceding, 0)
+    hit = begins.unionByName(points, allowMissingColumns=True).withColumn("_row", F.last("_row", ignorenulls=True).over(sweep))
+    return hit.where("draw IS NOT NULL").select("draw", "_row.*")

@@ -22,17 +22,21 @@ def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda x: x[name])
 
 
+def with_ranges(df: DataFrame, first: str) -> DataFrame:
+    """``_range`` numbers ranges of ``first`` of about equally many rows, in its order; nulls are -1."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(df.agg(F.percentile_approx(F.col(first).cast("double"), [k / width for k in range(1, width)], 1000)).first()[0] or [])) if width > 1 and dict(df.dtypes)[first] in ("int", "bigint", "double", "float") else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first).cast("double"))) if cuts else F.lit(0)
+    return df.withColumn("_range", F.coalesce(bucket, F.lit(-1)))
+
+
 def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFrame:
     """Number rows from 0 in the order of ``order`` (which must be total).
 
     Range-partitions by the first order column, numbers inside each range, and moves each
     range on by the counts before it, so no task holds all rows.  That column must be
     numeric for it; by another one all rows are one range."""
-    first = order[0]
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(first).cast("double"), [k / width for k in range(1, width)], 1000)).first()[0] or [])) if width > 1 and dict(df.dtypes)[first] in ("int", "bigint", "double", "float") else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first).cast("double"))) if cuts else F.lit(0)
-    dealt = df.withColumn("_range", F.coalesce(bucket, F.lit(-1)))
+    dealt = with_ranges(df, order[0])
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)

@@ -219,6 +219,14 @@ def preference_resample(spark, sf):
     return A.resample(weighted, 100, "7", "traj").select("draw", "traj")
 
 
+@query(f"""{_S}, sp AS (SELECT traj, sum(score * score + 1e-8) OVER (ORDER BY traj) AS hi, sum(score * score + 1e-8) OVER () AS total, score * score + 1e-8 AS w FROM traj),
+d AS (SELECT range AS draw, CAST(('0x' || substr(md5('7:' || range), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM range(100))
+SELECT draw, traj FROM d JOIN sp ON u * total >= hi - w AND u * total < hi""")
+def preference_resample_whole(spark, sf):
+    weighted = A.resample_weights(trajectories(spark, sf), "score")
+    return A.resample(weighted, 100, "7", "traj").select("draw", "traj")
+
+
 @query("""SELECT l.label, CAST(row_number() OVER (ORDER BY l.label) - 1 AS INT) AS dense, n FROM (SELECT label * 10 AS label, count(*) AS n FROM embeddings GROUP BY label) l""")
 def dense_group_labels(spark, sf):
     e = table(spark, sf, "embeddings").select((F.col("label") * 10).alias("label"))

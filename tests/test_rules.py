@@ -41,6 +41,24 @@ def test_lone_trajectory_of_pass_at_k_fails(spark):
         A.pass_at_k(spark.createDataFrame([("a", 1, 2.0)], "uid string, traj int, score double"), ["uid"]).collect()
 
 
+def test_resample_over_ranges(spark, sf_dir):
+    """Every draw has one row, found by brute force; the query draws from all trajectories."""
+    import bisect
+    import hashlib
+    import itertools
+
+    weights = [(k * 37 % 101) % 9 / 4 for k in range(300)]  # some have none
+    rows = spark.createDataFrame([(k, float(w)) for k, w in enumerate(weights)], "k int, weight double")
+    ends = list(itertools.accumulate(weights))
+    want = {d: bisect.bisect_right(ends, int(hashlib.md5(f"s:{d}".encode()).hexdigest()[:8], 16) / 2**32 * ends[-1]) for d in range(200)}
+    got = [(r["draw"], r["k"]) for r in A.resample(rows, 200, "s", "k").collect()]
+    assert len(got) == 200 and dict(got) == want
+    ties = A.resample(spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 1.0)], "k int, weight double"), 50, "s", "k")
+    assert sorted(r["draw"] for r in ties.collect()) == list(range(50))
+    drawn = [r["traj"] for r in catalog.queries()["preference_resample_whole"](spark, sf_dir).collect()]
+    assert len(drawn) == 100 and max(drawn) >= 200
+
+
 def test_masked_garbage_changes_nothing(spark):
     mask = [0, 0, 1, 1, 1, 0, 0, 1, 1, 0, 0]
     rows = [("u", t, k, m, 0.1 * k if m else 0.0, 0.2 * k if m else junk) for t, junk in ((1, 5.0), (2, -3.0)) for k, m in enumerate(mask)]

@@ -5,7 +5,8 @@ words after the run form a signature, so that signatures sit in running prose an
 lists or navigation; the start of a text is an anchor as well.  A fingerprint is the set
 of a text's signatures, written as their sorted 32-bit hashes in hexadecimal.
 
-Near texts are found without comparing all pairs: sets are partitioned by length (two
+``similar_pairs`` (not part of op10, whose query compares two fixed pairs of each document
+by a plain Jaccard) finds near texts without comparing all pairs: sets are partitioned by length (two
 sets of Jaccard t or more differ in length by a factor of at most 1/t, so they lie in the
 same or neighbouring partitions), a set is indexed by its rarest signatures only, as many
 as a similar set can't avoid, and a comparison ends where the lengths rule it out.

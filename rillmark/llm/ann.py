@@ -73,7 +73,9 @@ class MultiIndex:
 
     def probe(self, words: np.ndarray, at_least: int) -> np.ndarray:
         """Which rows each query retrieves: all within the radius, or, where these are
-        fewer than ``at_least``, all within the smallest radius that gives so many."""
+        fewer than ``at_least``, all within the smallest radius that gives so many.
+
+        Distances of distinct substrings are spread over all rows: a full scan by popcount."""
         reach = self.codes.radius // len(self.tables)
         apart = np.zeros((len(words), self.n), np.uint16)
         found = np.zeros((len(words), self.n), bool)

@@ -2,7 +2,8 @@
 
 Common words are anchors.  The first of a run of anchors and the chain of two content
 words after the run form a signature, so that signatures sit in running prose and not in
-lists or navigation; the start of a text is an anchor as well.  A fingerprint is the set
+lists or navigation; the start of a text is an anchor as well (the only one of a text without common words, whose
+fingerprint is thus its first two words).  A fingerprint is the set
 of a text's signatures, written as their sorted 32-bit hashes in hexadecimal.
 
 ``similar_pairs`` (not part of op10, whose query compares two fixed pairs of each document

@@ -69,6 +69,13 @@ def crop_ratio_report(spark, sf):
     return M.zero_filled(c, "severity", ["negligible", "small", "noticeable", "large", "severe"])
 
 
+@query("""WITH c AS (SELECT CASE WHEN p_size / 400.0 <= 0.005 THEN 'negligible' WHEN p_size / 400.0 <= 0.02 THEN 'small' WHEN p_size / 400.0 <= 0.05 THEN 'noticeable' WHEN p_size / 400.0 <= 0.10 THEN 'large' ELSE 'severe' END AS severity FROM part)
+SELECT severity, coalesce(n, 0) AS n FROM (SELECT unnest(['negligible', 'small', 'noticeable', 'large', 'severe']) AS severity) LEFT JOIN (SELECT severity, count(*) AS n FROM c GROUP BY 1) USING (severity)""")
+def crop_ratio_report_whole(spark, sf):
+    c = table(spark, sf, "part").groupBy(Q.severity(F.col("p_size") / 400.0).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return M.zero_filled(c, "severity", ["negligible", "small", "noticeable", "large", "severe"])
+
+
 @query("""WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), k AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS a, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, i) AS b FROM x)
 SELECT vec_id, count(*) FILTER (WHERE a <= 8 AND b <= 8) / 8.0::DOUBLE AS overlap FROM k GROUP BY vec_id""")
 def distillation_overlap(spark, sf):

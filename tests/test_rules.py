@@ -59,6 +59,14 @@ def test_resample_over_ranges(spark, sf_dir):
     assert len(drawn) == 100 and max(drawn) >= 200
 
 
+def test_crop_report_counts_every_part(spark, sf_dir, tmp_path):
+    whole = catalog.queries()["crop_ratio_report_whole"]
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    assert sum(r["n"] for r in whole(spark, sf_dir).collect()) == parts.count()
+    spark.createDataFrame([(1,), (2,), (41,)], "p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r["severity"]: r["n"] for r in whole(spark, str(tmp_path)).collect()} == {"negligible": 2, "small": 0, "noticeable": 0, "large": 0, "severe": 1}
+
+
 def test_masked_garbage_changes_nothing(spark):
     mask = [0, 0, 1, 1, 1, 0, 0, 1, 1, 0, 0]
     rows = [("u", t, k, m, 0.1 * k if m else 0.0, 0.2 * k if m else junk) for t, junk in ((1, 5.0), (2, -3.0)) for k, m in enumerate(mask)]

@@ -212,33 +212,40 @@ def token_baseline(tokens: DataFrame, by: list[str], compact: bool = False, rati
     variance of the policy: w = 1 - 2 pi + sum(pi^2), times the squared ratio if given.
 
     A lone trajectory has no baseline, nor has the single longest of a group from the
-    length of the second longest on.  ``compact`` counts positions over masked tokens."""
+    length of the second longest on.  ``compact`` counts positions over masked tokens:
+    the others, whatever they hold, have advantage and baseline 0 and belong to no position."""
     path = Window.partitionBy("uid", "traj").orderBy("pos")
-    t = tokens
-    if compact:
-        t = t.where("mask > 0").withColumn("at", F.row_number().over(path) - 1)
-    else:
-        t = t.withColumn("at", F.col("pos"))
+    m, inside = F.col("mask"), F.col("mask") > 0
+    own = (lambda x: F.when(inside, x).otherwise(0.0)) if compact else (lambda x: x)
+    at = F.when(inside, F.count_if(inside).over(path.rowsBetween(Window.unboundedPreceding, 0)) - 1) if compact else F.col("pos")
+    t = tokens.withColumn("at", at)
     weight = 1 - 2 * F.exp("old_lp") + F.col("sum_pi_squared")
     if ratio:
         weight = weight * F.col(ratio) ** 2
     t = t.withColumns({
-        "_g": F.sum(F.col("reward") * F.col("mask")).over(path.rowsBetween(0, Window.unboundedFollowing)),
-        "_w": F.sum(weight * F.col("mask")).over(path.rowsBetween(Window.unboundedPreceding, 0)),
+        "_g": F.sum(own(F.col("reward") * m)).over(path.rowsBetween(0, Window.unboundedFollowing)),
+        "_w": F.sum(own(weight * m)).over(path.rowsBetween(Window.unboundedPreceding, 0)),
         "_len": F.sum("mask").over(Window.partitionBy("uid", "traj")),
     })
-    sizes = t.groupBy(*by, "traj").agg(F.max("_len").alias("_len"))
+    counted = t.where(inside) if compact else t
+    sizes = counted.groupBy(*by, "traj").agg(F.max("_len").alias("_len"))
     ranked = sizes.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_len"))))
     top = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.max(F.when(F.col("_k") == 1, F.col("_len"))).alias("_first"), F.max(F.when(F.col("_k") == 2, F.col("_len"))).alias("_second"))
-    m = F.col("mask")
-    base = t.groupBy(*by, "at").agg((F.sum(F.col("_g") * F.col("_w") * m) / (F.sum(F.col("_w") * m) + 1e-8)).alias("_b"))
-    joined = t.join(base, [*by, "at"]).join(top, by)
+    base = counted.groupBy(*by, "at").agg((F.sum(F.col("_g") * F.col("_w") * m) / (F.sum(F.col("_w") * m) + 1e-8)).alias("_b"))
+    how = "left" if compact else "inner"
+    joined = t.join(base, [*by, "at"], how).join(top, by, how)
     tail = (F.col("_len") == F.col("_first")) & (F.col("_first") > F.col("_second")) & (F.col("at") >= F.col("_second"))
-    b = F.when((F.col("_n") < 2) | tail, 0.0).otherwise(F.col("_b"))
-    out = joined.withColumns({"returns": F.col("_g"), "baseline": b, "advantage": (F.col("_g") - b) * m})
+    b = own(F.when((F.col("_n") < 2) | tail, 0.0).otherwise(F.col("_b")))
+    out = joined.withColumns({"returns": F.col("_g"), "baseline": b, "advantage": own((F.col("_g") - b) * m)})
     return out.drop("_g", "_w", "_len", "_n", "_first", "_second", "_b", *([] if "at" in tokens.columns else ["at"]))
 
 
+@register("tir_optimal_token_baseline")
+def turns_token_baseline(tokens: DataFrame, by: list[str], ratio: str | None = None) -> DataFrame:
+    """The token baseline of trajectories of several turns: positions count masked tokens."""
+    return token_baseline(tokens, by, True, ratio)
+
+
 def final_session_advantage(rows: DataFrame, score: str = "score") -> DataFrame:
     """Sessions of several trajectories: the last one is scored against its prompt's other
     sessions, and all of the session's rows take its advantage."""

@@ -175,7 +175,15 @@ def optimal_token_baseline(spark, sf):
 
 @query(_otb_sql("row_number() OVER (PARTITION BY traj ORDER BY pos) - 1", " WHERE mask > 0"))
 def multi_turn_token_baseline(spark, sf):
-    return A.token_baseline(tokens(spark, sf), ["uid"], compact=True).select("traj", "pos", (F.round("advantage", 5) + F.lit(0.0)).alias("advantage"))
+    found = A.token_baseline(tokens(spark, sf), ["uid"], compact=True).where("mask > 0")
+    return found.select("traj", "pos", (F.round("advantage", 5) + F.lit(0.0)).alias("advantage"))
+
+
+@query(f"""{_T} SELECT t.traj, t.pos, coalesce(a.advantage, 0.0) AS advantage
+FROM tok t LEFT JOIN ({_otb_sql("row_number() OVER (PARTITION BY traj ORDER BY pos) - 1", " WHERE mask > 0")}) a ON t.traj = a.traj AND t.pos = a.pos""")
+def multi_turn_token_baseline_whole(spark, sf):
+    found = A.estimator("tir_optimal_token_baseline")(tokens(spark, sf), ["uid"])
+    return found.select("traj", "pos", (F.round("advantage", 5) + F.lit(0.0)).alias("advantage"))
 
 
 @query(f"""{_S}, s AS (SELECT *, traj % 4 AS session_id FROM traj), f AS (SELECT uid, session_id, arg_max(score, traj) AS score FROM s GROUP BY ALL),

@@ -1,5 +1,7 @@
 """Rules that no table shows: errors, registries, balancing, streams, files."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,19 @@ def test_crop_report_counts_every_part(spark, sf_dir, tmp_path):
     assert {r["severity"]: r["n"] for r in whole(spark, str(tmp_path)).collect()} == {"negligible": 2, "small": 0, "noticeable": 0, "large": 0, "severe": 1}
 
 
+def test_turns_token_baseline_gives_all_positions(spark):
+    """Masked places, and a trajectory that is all masked, stay with 0 and change no other's values."""
+    nan = float("nan")
+    rows = [("u", 1, 0, 1, 1.0, -0.5, 0.4), ("u", 1, 1, 0, nan, nan, nan), ("u", 1, 2, 1, 2.0, -0.2, 0.6), ("u", 2, 0, 0, 9.0, nan, 0.1), ("u", 2, 1, 1, 4.0, -0.3, 0.5), ("u", 3, 0, 0, 5.0, -0.1, 0.9)]
+    df = spark.createDataFrame(rows, "uid string, traj int, pos int, mask int, reward double, old_lp double, sum_pi_squared double")
+    out = {(r["traj"], r["pos"]): r for r in A.estimator("tir_optimal_token_baseline")(df, ["uid"]).collect()}
+    assert len(out) == len(rows)
+    w1, w2 = (1 - 2 * math.exp(lp) + s for lp, s in ((-0.5, 0.4), (-0.3, 0.5)))
+    b = (3.0 * w1 + 4.0 * w2) / (w1 + w2 + 1e-8)
+    want = {(1, 0): 3.0 - b, (1, 1): 0.0, (1, 2): 2.0, (2, 0): 0.0, (2, 1): 4.0 - b, (3, 0): 0.0}
+    assert all(abs(out[k]["advantage"] - v) < 1e-9 for k, v in want.items()) and out[1, 1]["returns"] == 2.0 and out[3, 0]["returns"] == 0.0
+
+
 def test_masked_garbage_changes_nothing(spark):
     mask = [0, 0, 1, 1, 1, 0, 0, 1, 1, 0, 0]
     rows = [("u", t, k, m, 0.1 * k if m else 0.0, 0.2 * k if m else junk) for t, junk in ((1, 5.0), (2, -3.0)) for k, m in enumerate(mask)]

@@ -72,7 +72,33 @@ def pack(docs: DataFrame, text_col: str, order_col: str | None, survey: Callable
         if held:
             yield out()
 
-    return durable(docs.mapInArrow(run, "block long, n long, data binary, survey binary"))
+    return durable(docs.mapInArrow(kernel.lean(run), "block long, n long, data binary, survey binary"))
+
+
+#: Notes that are added up at once.
+FAN_IN = 32
+
+
+def fold(packed: DataFrame, add: Callable[[list[bytes]], bytes]) -> bytes | None:
+    """The surveys of all blocks added up by ``add`` in a tree: each task adds its own, then
+    one task those of at most ``FAN_IN`` others, until one note is left for the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                held.append(batch.column(0)[k].as_py())
+                if len(held) == FAN_IN:
+                    held = [add(held)]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([add(held)], pa.binary())], names=["survey"])
+
+    notes, left = packed.select("survey").mapInArrow(kernel.lean(run), "survey binary"), packed.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN_IN)
+        notes = notes.repartition(left).mapInArrow(kernel.lean(run), "survey binary")
+    found = notes.collect()  # one row
+    return found[0]["survey"] if found else None
 
 
 def each_block(packed: DataFrame, run: Callable[[int, pa.Table], Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -85,15 +111,17 @@ def each_block(packed: DataFrame, run: Callable[[int, pa.Table], Iterator[tuple[
                 rows = from_bytes(batch.column(1)[k].as_py())
                 for part, payload in run(block, rows):
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "payload"])
-                pa.default_memory_pool().release_unused()
+                del rows
+                kernel.give_back()
 
-    return packed.select("block", "data").mapInArrow(go, "part long, block long, payload binary")
+    return packed.select("block", "data").mapInArrow(kernel.lean(go), "part long, block long, payload binary")
 
 
 def resolve(asked: DataFrame, run: Callable[[int, list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """(part, block, payload): what ``run(part, [(block, payload)])`` yields as (block, answer)."""
 
     def go(table: pa.Table) -> pa.Table:
+        kernel.give_back()
         part = table.column("part")[0].as_py()
         rows = sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True), key=lambda x: x[0])
         answers = list(run(part, rows))
@@ -108,7 +136,8 @@ def meet(packed: DataFrame, answers: DataFrame, run: Callable[[pa.Table, dict[in
     def go(left: pa.Table, right: pa.Table) -> pa.Table:
         told = dict(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True))
         out = run(from_bytes(left.column("data")[0].as_py()), told)
-        pa.default_memory_pool().release_unused()
+        del told
+        kernel.give_back()
         return out
 
     return packed.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(go, schema)

@@ -7,7 +7,10 @@ batch.  Nothing is decoded unless a caller needs a Python string.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,40 @@ SLICE_BYTES = 1 << 20
 _U = np.uint64
 
 
+@cache
+def _allocator():
+    """The C library's allocator, told to map large arrays one by one, so that each goes back
+    when it is freed; Arrow allocates from it as well.  None where there is none to tell."""
+    libc = ctypes.CDLL(None)
+    if not (hasattr(libc, "mallopt") and hasattr(libc, "malloc_trim")):
+        return None
+    libc.mallopt(-3, 4 << 20)  # the size from which an array is mapped on its own; a set value stays
+    libc.mallopt(-8, 2)  # arenas
+    pa.set_memory_pool(pa.system_memory_pool())
+    return libc
+
+
+def give_back() -> None:
+    """Hand this process's freed memory back to the system."""
+    if (libc := _allocator()) is not None:
+        libc.malloc_trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run(batches)`` of ``mapInArrow``, whose reused worker keeps no memory afterwards."""
+
+    @wraps(run)
+    def go(batches):
+        _allocator()
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            give_back()
+
+    return go
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (shift-multiply rounds), element by element."""
     with np.errstate(over="ignore"):
@@ -116,20 +153,58 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return np.concatenate(hashes), np.concatenate(counts)
 
 
+#: Words that are hashed at once by ``rolling``; also the longest run.
+_SPAN = 1 << 15
+
+
+@cache
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(powers of an odd number, powers of its inverse) modulo 2**64."""
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(2 * _SPAN, b, _U)
+        steps[0] = 1
+        both.append(np.multiply.accumulate(steps))
+    return both[0], both[1]
+
+
+def rolling(hashes: np.ndarray, width: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
+    """A 64-bit hash of each run of ``width`` consecutive hashes: their polynomial in an odd
+    ``base`` modulo 2**64.  Runs that differ anywhere collide with a chance of 2**-64, as the
+    hashes themselves are spread evenly; its cost doesn't depend on ``width``."""
+    n = len(hashes) - width + 1
+    if width > _SPAN:
+        raise ValueError(f"runs of more than {_SPAN} words")
+    out = np.empty(max(n, 0), _U)
+    up, down = _powers(base)
+    with np.errstate(over="ignore"):
+        for i in range(0, n, _SPAN):
+            j = min(n, i + _SPAN)
+            part = hashes[i : j + width - 1]
+            sums = np.cumsum(part * up[: len(part)], dtype=_U)
+            span = sums[width - 1 :].copy()
+            span[1:] -= sums[: j - i - 1]
+            out[i:j] = span * down[: j - i]
+    return out
+
+
+def run_rows(counts: np.ndarray, width: int) -> np.ndarray:
+    """How many runs of ``width`` words each row has."""
+    return np.maximum(counts - width + 1, 0)
+
+
+def run_starts(counts: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first word of each run of ``width`` words inside a row."""
+    runs = run_rows(counts, width)
+    first = np.cumsum(runs) - runs
+    return np.arange(int(runs.sum())) + np.repeat(np.cumsum(counts) - counts - first, runs)
+
+
 def windows(hashes: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, place of its first word) of every run of ``width`` words inside a row."""
-    total = len(hashes)
-    if total < width:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, _U), none, none
-    row = np.repeat(np.arange(len(counts)), counts)
-    ok = row[: total - width + 1] == row[width - 1 :]
-    at = np.flatnonzero(ok)
-    out = np.full(total - width + 1, 0x243F6A8885A308D3, dtype=_U)
-    with np.errstate(over="ignore"):
-        for k in range(width):
-            out = mix64(out * _U(0x9E3779B97F4A7C15) + hashes[k : total - width + 1 + k])
-    return out[at], row[at], at
+    at = run_starts(counts, width)
+    row = np.repeat(np.arange(len(counts)), run_rows(counts, width))
+    return (mix64(rolling(hashes, width)[at]) if len(at) else np.zeros(0, _U)), row, at
 
 
 def first_of(codes: np.ndarray, n: int) -> np.ndarray:

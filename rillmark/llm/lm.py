@@ -229,7 +229,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_col: str = "do
     count as often as they stand.  Other columns are ignored."""
     docs = docs.select(id_col, text_col)
     packed = blocks.pack(docs, text_col, None, _survey(text_col, id_col, held_out))
-    noted = durable(packed.select("survey").mapInArrow(_spell, "word long, n long"))
+    noted = durable(packed.select("survey").mapInArrow(kernel.lean(_spell), "word long, n long"))
     tokens = noted.where(F.col("word").isNull()).agg(F.sum("n")).first()[0] or 0
     hot = noted.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SHARE >= tokens)
     hot_words = np.array([r["word"] for r in hot.collect()], np.int64).view(_U)  # at most HOT_SHARE rows
@@ -246,7 +246,7 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_col: str = "do
             ])
 
     answers = durable(blocks.resolve(blocks.each_block(packed, ask), _count))
-    notes = answers.where("block = -1").select("payload").mapInArrow(_sum_notes, "word long, n array<long>").groupBy("word").agg(
+    notes = answers.where("block = -1").select("payload").mapInArrow(kernel.lean(_sum_notes), "word long, n array<long>").groupBy("word").agg(
         *(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4))
     )
     found = {r["word"]: [r[f"n{k}"] for k in range(4)] for r in notes.collect()}  # one row, and one of each hot word

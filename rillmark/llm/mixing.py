@@ -101,7 +101,7 @@ def with_word_counts(docs: DataFrame, text_col: str, size_col: str, columns: lis
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), f"`{size_col}` long"])
-    return bounded_batches(docs).select(*columns, F.col(text_col).alias("_text")).mapInArrow(count, schema)
+    return bounded_batches(docs).select(*columns, F.col(text_col).alias("_text")).mapInArrow(kernel.lean(count), schema)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 7, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:

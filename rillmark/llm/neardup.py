@@ -100,7 +100,7 @@ def digests(docs: DataFrame, width: int, half: int, rows: int, id_col: str, text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), *lists], names=["doc_id", "text_hash", "n_shingles", "cls", "first", "second"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, cls long, first array<long>, second array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(kernel.lean(run), f"doc_id {kind}, text_hash long, n_shingles long, cls long, first array<long>, second array<long>")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([some.column(0).filter(mask), some.column(1).filter(mask)], names=["a", "b"])
 
     one, two = (texts.select(F.col("cls").alias(c), F.col("packed").alias(f"_{c}")) for c in "ab")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a long, b long")
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(kernel.lean(run), "a long, b long")
 
 
 def _zip(data: bytes) -> bytes:
@@ -168,8 +168,8 @@ def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: in
     held = digest.join(members, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     shingles = held.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-shingles // PART_SHINGLES))
-    texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(squeeze, f"doc_id {kind}, packed binary")
-    found = texts.join(held.select("cls", "doc_id"), "doc_id").select("cls", "packed").mapInArrow(unsqueeze, "cls long, text string")
+    texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(kernel.lean(squeeze), f"doc_id {kind}, packed binary")
+    found = texts.join(held.select("cls", "doc_id"), "doc_id").select("cls", "packed").mapInArrow(kernel.lean(unsqueeze), "cls long, text string")
     packed = blocks.pack(found, "text", None, most=blocks.BLOCK_BYTES // 2)
 
     def by_part(rows: pa.Table):
@@ -244,6 +244,7 @@ def across_components(around: DataFrame, label: DataFrame, texts: DataFrame, wid
     right = full.withColumn("j", chunk("_a")).withColumn("i", every("_r")).select(*(F.col(c).alias(f"y_{c}") for c in columns))
 
     def tile(x: pa.Table, y: pa.Table) -> pa.Table:
+        kernel.give_back()
         x, y = x.select(columns), y.rename_columns([c.removeprefix("y_") for c in y.column_names]).select(columns)
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if x.num_rows and y.num_rows:

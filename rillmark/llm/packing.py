@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import kernel, tokens
 from .common import bounded_batches, durable, number_within
 
 
@@ -107,6 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tokens.dictionary(tokenizer)
+        held.forget()
         end = np.array([end_id], np.uint32)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -124,9 +125,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        held.forget()
 
     kind = dict(docs.dtypes)[id_col]
-    return bounded_batches(docs).select(id_col, text_col).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(kernel.lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,4 +152,4 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
 
     numbered = number_within(cut, ["length"], ["doc_id", "piece", "ids_crc32", "start"], "_rank").select(*cut.columns, "_rank")
     kind = dict(cut.dtypes)["doc_id"]
-    return numbered.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return numbered.mapInArrow(kernel.lean(place), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

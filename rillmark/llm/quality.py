@@ -193,7 +193,7 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(kernel.lean(run), schema)
 
 
 def is_held_out(doc_id, held_out: tuple[int, int] = (5, 0)) -> bool:

@@ -26,6 +26,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tokens.dictionary(tokenizer)
+        held.forget()
         for batch in batches:
             _, offsets = kernel.buffers(batch.column(1))
             n = held.counts(batch.column(1))
@@ -33,6 +34,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
+        held.forget()
 
     kind = dict(docs.dtypes)[id_col]
-    return bounded_batches(docs).select(id_col, text_col).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return bounded_batches(docs).select(id_col, text_col).mapInArrow(kernel.lean(count), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

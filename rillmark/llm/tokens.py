@@ -68,9 +68,10 @@ class PreTokenDictionary:
             self._class[c] = _UNSEEN
         self._ask(np.flatnonzero(self._class[:128] == _UNSEEN))
         self._engine = _rank_engine(json.loads(self.tokenizer.to_str()))
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop what was remembered; the tokenizer itself stays."""
         self.keys = np.zeros(0, np.uint64)
         self.sizes = np.zeros(0, np.int64)
         self.begins = np.zeros(0, np.int64)
@@ -145,7 +146,7 @@ class PreTokenDictionary:
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
             if len(self.keys) + int((~known).sum()) > CACHE_ENTRIES:
-                self._forget()
+                self.forget()
                 known[:] = False
             new = np.flatnonzero(~known)
             raw = data.tobytes()

@@ -1,16 +1,17 @@
 """Substring deduplication (operator 7): prefix-partitioned suffix trees over words.
 
 Every run of ``width`` words is the beginning of a suffix.  Suffixes are split by
-prefixes of variable length: those whose first word (by bucket) begins few enough runs
-form a group, those of frequent first words are split by their first two words, then
-three, and runs still too frequent by the whole run.  Counts over all blocks decide, and
-groups are gathered into parts that fit memory.  A part holds the subtrees of its
-prefixes cut at depth ``width``: its suffixes in order, those alike down to that depth
-under one node.  A node with leaves in two documents is a repeat (a longer maximal repeat
-is a chain of such nodes), and every leaf but those of the smallest document is told so.
-Suffixes travel as 64-bit fingerprints of their run, once for each block with the
-block's smallest document, never as text; two of n different runs share a fingerprint
-with a chance of about n*n/2**65.
+prefixes of variable length: a first word that begins few enough runs is a prefix of its
+own, more frequent ones are split by the first two words, then three, and what is still
+too frequent by the whole run.  Frequencies are counted over all blocks in hashed tables,
+whose size follows the size of the texts (an overcount only splits further), so a group
+never has more than a bounded share of a part's memory, and parts are dealt the groups by
+hash.  A part holds the subtrees of its prefixes cut at depth ``width``: its suffixes in
+order, those alike down to that depth under one node.  A node with leaves in two documents
+is a repeat (a longer maximal repeat is a chain of such nodes), and every leaf but those of
+the smallest document is told so.  Suffixes travel as 80-bit fingerprints of their run,
+once for each block with the block's smallest document, never as text; two of n different
+runs share a fingerprint with a chance of about n*n/2**81.
 """
 
 from __future__ import annotations
@@ -26,75 +27,94 @@ from pyspark.sql import functions as F
 
 from . import blocks, kernel
 
-#: Suffixes of a part; it sorts them in some 50 bytes each.
-PART_SUFFIXES = 1 << 20
-BUCKETS = 1024
+#: Suffixes of a part; it sorts them in some 60 bytes each.
+PART_SUFFIXES = 1 << 18
+#: A prefix that begins more runs than this is made longer.
+GROUP_SUFFIXES = PART_SUFFIXES // 8
+#: Least and most buckets of the table of prefixes of one length.
+BUCKET_BITS = 10, 20
 _DEPTHS = 3
 _LAST = np.iinfo(np.int64).max
+_U = np.uint64
 
 
 class _Suffixes:
-    """The runs of a block's rows: fingerprints, rows, places and prefix buckets."""
+    """The runs of a block's rows, in order: 80-bit fingerprints, and what ``prefixes`` makes
+    of their prefixes.  Worked out a slice of the text at a time."""
 
-    def __init__(self, column: pa.ChunkedArray, width: int):
+    def __init__(self, column: pa.ChunkedArray, width: int, prefixes):
         self.data, self.offsets = kernel.buffers(column)
-        hashes, self.counts = kernel.word_hashes(self.data, self.offsets, lower=False)
-        self.prints, self.row, self.at = kernel.windows(hashes, self.counts, width)
-        prefix, self.buckets = np.zeros(len(self.at), np.uint64), []
-        for d in range(min(_DEPTHS, width)):
-            prefix = kernel.combine([prefix, hashes[self.at + d]])
-            self.buckets.append((prefix % np.uint64(BUCKETS)).astype(np.int64))
-
-    def groups(self, light: np.ndarray) -> np.ndarray:
-        """The prefix group of each run: depth and bucket of its shortest light prefix."""
-        out = (len(self.buckets) * BUCKETS + (self.prints % np.uint64(BUCKETS))).astype(np.int64)
-        for d in range(len(self.buckets) - 1, -1, -1):
-            out = np.where(light[d, self.buckets[d]], d * BUCKETS + self.buckets[d], out)
-        return out
-
-
-def _survey(text_col: str, width: int):
+        low, high, made, counts = [np.zeros(0, _U)], [np.zeros(0, np.uint16)], [], [np.zeros(0, np.int64)]
+        for i, j in kernel.slices(self.offsets):
+            hashes, n = kernel.word_hashes(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], lower=False)
+            at = kernel.run_starts(n, width)
+            counts.append(n)
+            if not len(at):
+                continue
+            low.append(kernel.mix64(kernel.rolling(hashes, width)[at]))
+            with np.errstate(over="ignore"):
+                high.append((kernel.rolling(kernel.mix64(hashes + _U(0x632BE59BD9B4E019)), width, 0x9FB21C651E98DF25)[at] >> _U(48)).astype(np.uint16))
+            made.append(prefixes([kernel.mix64(kernel.rolling(hashes, d + 1)[at]) for d in range(min(_DEPTHS, width))], low[-1]))
+        self.low, self.high, self.counts, self.made = np.concatenate(low), np.concatenate(high), np.concatenate(counts), made
+        self.runs = kernel.run_rows(self.counts, width)
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.runs), dtype=np.int32), self.runs)
+
+
+def _tables(bits: int, depths: int):
+    """For ``_Suffixes``: how many runs each bucket of prefixes begins, by prefix length; and runs."""
+
+    def count(prefixes: list[np.ndarray], _: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount((p >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) for p in prefixes])
+
+    return count
+
+
+def _add(notes: list[bytes]) -> bytes:
+    return blocks.squeeze(np.sum([np.frombuffer(blocks.unsqueeze(x), "<i8") for x in notes], axis=0).astype("<i8").tobytes())
+
+
+def _survey(text_col: str, width: int, bits: int):
     def run(rows: pa.Table) -> bytes:
-        s = _Suffixes(rows.column(text_col), width)
-        counts = [np.bincount(b, minlength=BUCKETS) for b in s.buckets]
-        # which run of heavier prefixes goes where is settled by bucket of each depth, so the whole table of pairs isn't needed
-        return np.concatenate([*counts, np.bincount((s.prints % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)]).astype("<i8").tobytes()
+        depths = min(_DEPTHS, width)
+        s = _Suffixes(rows.column(text_col), width, _tables(bits, depths))
+        return blocks.squeeze(np.sum(s.made, axis=0, dtype="<i8").tobytes() if s.made else bytes(depths * 8 << bits))
 
     return run
 
 
-def _part_plan(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(light[depth, bucket], part of each group): groups dealt to parts, largest first."""
-    depths = len(counts) - 1
-    bound = max(most // 4, int(counts[0].sum()) // BUCKETS * 2)
-    light = counts[:depths] <= bound
-    weight = counts.astype(float)
-    left = 1.0  # the share of runs that no shorter prefix has taken
-    for d in range(depths):
-        total = max(1.0, float(counts[d].sum()))
-        weight[d] = np.where(light[d], counts[d] * left, 0)
-        left *= float(counts[d][~light[d]].sum()) / total
-    weight[depths] = counts[depths] * left
-    weight = weight.reshape(-1)
-    parts = max(1, -(-int(weight.sum()) // most))
-    load, part = np.zeros(parts), np.zeros(len(weight), np.int64)
-    for g in np.argsort(-weight, kind="stable"):
-        p = int(np.argmin(load)) if weight[g] else int(g) % parts
-        part[g] = p
-        load[p] += weight[g]
-    return light, part
-
-
-def _by_part(prints: np.ndarray, part: np.ndarray):
-    """Indices of distinct fingerprints by part, in ascending order within each: the first
-    of each fingerprint, which is that of the smallest row."""
-    order = np.argsort(prints, kind="stable")
-    ordered = prints[order]
-    first = order[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(order) else order
-    owner = part[first]
-    first = first[np.argsort(owner, kind="stable")]
-    cuts = np.flatnonzero(np.diff(part[first])) + 1
-    return [x for x in np.split(first, cuts) if len(x)]
+def _owners(heavy: np.ndarray, bits: int, parts: int):
+    """For ``_Suffixes``: the part of each run, by the hash of its shortest light prefix."""
+
+    def own(prefixes: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
+        chosen = whole
+        for d in range(len(prefixes) - 1, -1, -1):
+            chosen = np.where(heavy[d][(prefixes[d] >> _U(64 - bits)).astype(np.int64)], chosen, prefixes[d])
+        # the high bits chose the bucket, so that the part needs others
+        return (((kernel.mix64(chosen) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int32)
+
+    return own
+
+
+def _nodes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, head): leaves in an order that has those of one node together, the first of
+    them as they came first, and where nodes begin in it."""
+    order = np.argsort(low, kind="stable")
+    same, other = np.diff(low[order]) == 0, np.diff(high[order].astype(np.int32)) != 0
+    if (same & other).any():  # two different runs share 64 bits: sort by all 80
+        order = np.lexsort((high, low))
+        same, other = np.diff(low[order]) == 0, np.diff(high[order].astype(np.int32)) != 0
+    return order, np.concatenate((np.ones(min(len(low), 1), bool), ~same | other))
+
+
+def _asked(s: _Suffixes, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(order, head, [(part, its nodes' first leaves, ascending)])."""
+    order, head = _nodes(s.low, s.high)
+    first = np.sort(order[head])
+    first = first[np.argsort(owner[first], kind="stable")]
+    cuts = np.flatnonzero(np.diff(owner[first])) + 1
+    return order, head, [(int(owner[x[0]]), x) for x in np.split(first, cuts) if len(x)]
 
 
 def _ids(rows: pa.Table, id_col: str) -> np.ndarray:
@@ -103,19 +123,20 @@ def _ids(rows: pa.Table, id_col: str) -> np.ndarray:
 
 def _repeats(_: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """The subtrees of one part: tell each block which of its nodes began in a smaller document."""
-    prints, least, sizes = [], [], []
+    low, high, least, sizes = [], [], [], []
     for _block, payload in asked:
-        keys, places, ids = blocks.split_parts(payload)
-        prints.append(blocks.unpack_sorted(keys))
-        least.append(np.cumsum(blocks.unwidths(blocks.unsqueeze(ids)) + 0)[blocks.unwidths(places)] if ids else np.zeros(0, np.int64))
-        sizes.append(len(prints[-1]))
-    key, doc = np.concatenate(prints), np.concatenate(least)
-    order = np.argsort(key, kind="stable")
-    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
-    node = np.cumsum(head) - 1
+        keys, more, places, ids = blocks.split_parts(payload)
+        low.append(np.frombuffer(keys, "<u8"))
+        high.append(np.frombuffer(more, "<u2"))
+        with np.errstate(over="ignore"):
+            documents = np.cumsum(np.frombuffer(blocks.unsqueeze(ids), "<i8"))
+        least.append(documents[np.cumsum(blocks.unwidths(blocks.unsqueeze(places)))])
+        sizes.append(len(low[-1]))
+    doc = np.concatenate(least)
+    order, head = _nodes(np.concatenate(low), np.concatenate(high))
     smallest = np.minimum.reduceat(doc[order], np.flatnonzero(head))
-    later = np.empty(len(key), dtype=bool)
-    later[order] = smallest[node] < doc[order]
+    later = np.empty(len(doc), dtype=bool)
+    later[order] = smallest[np.cumsum(head) - 1] < doc[order]
     for (block, _payload), bits in zip(asked, np.split(later, np.cumsum(sizes)[:-1]), strict=True):
         if bits.any():
             yield block, blocks.squeeze(np.packbits(bits).tobytes())
@@ -135,56 +156,57 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     else:
         docs = docs.select(id_col, text_col)
     kinds = docs.schema
-    packed = blocks.pack(docs, text_col, id_col, _survey(text_col, width))
-    folded = packed.select((F.col("block") % 16).alias("part"), "block", F.col("survey").alias("payload"))
-    depths = min(_DEPTHS, width)
-
-    def add(_: int, noted: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
-        yield 0, np.sum([np.frombuffer(x, "<i8") for _, x in noted], axis=0).astype("<i8").tobytes()
-
-    sums = [np.frombuffer(r["payload"], "<i8") for r in blocks.resolve(folded, add).select("payload").collect()]  # at most 16 rows of fixed size
-    counts = np.sum(sums, axis=0).reshape(depths + 1, BUCKETS) if sums else np.zeros((depths + 1, BUCKETS), np.int64)
-    light, part = _part_plan(counts, PART_SUFFIXES)
-
-    def ask(block: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
-        s, ids = _Suffixes(rows.column(text_col), width), _ids(rows, id_col)
-        owner = part[s.groups(light)]
-        gaps = blocks.squeeze(blocks.widths(np.diff(ids, prepend=0))) if len(ids) and ids[0] >= 0 else blocks.squeeze(b"\x08" + np.diff(ids, prepend=0).astype("<u8").tobytes())
-        for at in _by_part(s.prints, owner):
-            yield int(owner[at[0]]), blocks.join_parts([blocks.pack_sorted(s.prints[at]), blocks.widths(s.row[at]), gaps])
+    text_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    least, most = BUCKET_BITS
+    bits = min(max(least, (4 * text_bytes // (5 * GROUP_SUFFIXES)).bit_length()), most)  # some four buckets for each group of runs
+    packed = blocks.pack(docs, text_col, id_col, _survey(text_col, width, bits))
+    note = blocks.fold(packed, _add)
+    counts = np.frombuffer(blocks.unsqueeze(note), "<i8").reshape(-1, 1 << bits) if note else np.zeros((min(_DEPTHS, width), 1 << bits), np.int64)
+    own = _owners(counts > GROUP_SUFFIXES, bits, max(1, -(-int(counts[0].sum()) // PART_SUFFIXES)))
+
+    def leaves(rows: pa.Table) -> tuple[_Suffixes, np.ndarray, np.ndarray]:
+        s = _Suffixes(rows.column(text_col), width, own)
+        owner = np.concatenate(s.made) if s.made else np.zeros(0, np.int32)
+        return s, owner, _ids(rows, id_col)
+
+    def ask(_: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
+        s, owner, ids = leaves(rows)
+        row = s.rows()
+        for part, at in _asked(s, owner)[2]:
+            mine, place = np.unique(row[at], return_inverse=True)
+            with np.errstate(over="ignore"):
+                gaps = np.diff(ids[mine], prepend=0).astype("<i8").tobytes()
+            yield part, blocks.join_parts([s.low[at].astype("<u8").tobytes(), s.high[at].astype("<u2").tobytes(), blocks.squeeze(blocks.widths(np.diff(place, prepend=0))), blocks.squeeze(gaps)])
 
     def cut(rows: pa.Table, told: dict[int, bytes]) -> pa.Table:
-        s, ids = _Suffixes(rows.column(text_col), width), _ids(rows, id_col)
-        owner = part[s.groups(light)]
-        gone = np.zeros(len(s.prints), dtype=bool)
+        s, owner, ids = leaves(rows)
+        order, head, asked = _asked(s, owner)
+        begins = np.flatnonzero(head)
+        node = np.empty(len(order), np.int32)
+        node[order] = np.cumsum(head) - 1
+        del owner, head
+        everywhere = np.zeros(len(begins), dtype=bool)
+        for part, at in asked:
+            if (bits := told.get(part)) is not None:
+                everywhere[node[at[np.unpackbits(np.frombuffer(blocks.unsqueeze(bits), np.uint8), count=len(at)).astype(bool)]]] = True
         # inside the block a run is gone where a smaller document has it
-        order = np.argsort(s.prints, kind="stable")
-        ordered = s.prints[order]
-        head = np.concatenate(([True], ordered[1:] != ordered[:-1])) if len(order) else np.zeros(0, bool)
-        node = np.cumsum(head) - 1
-        doc = ids[s.row]
-        gone[order] = doc[order] > doc[order[head]][node] if len(order) else gone
-        everywhere = np.zeros(int(head.sum()), dtype=bool)
-        node_of = np.empty(len(order), np.int64)
-        node_of[order] = node
-        for at in _by_part(s.prints, owner):
-            if (bits := told.get(int(owner[at[0]]))) is not None:
-                later = np.unpackbits(np.frombuffer(blocks.unsqueeze(bits), np.uint8), count=len(at)).astype(bool)
-                everywhere[node_of[at[later]]] = True
-        if len(order):
-            gone |= everywhere[node_of]
+        row = s.rows()
+        smallest = ids[row[order[begins]]]
+        gone = everywhere[node] | (ids[row] > smallest[node])
+        del order, begins, node, row, asked
+        starts = kernel.run_starts(s.counts, width)[gone]
         total = int(s.counts.sum())
         edge = np.zeros(total + 1, np.int64)
-        np.add.at(edge, s.at[gone], 1)
-        np.add.at(edge, s.at[gone] + width, -1)
+        edge[starts] += 1
+        edge[starts + width] -= 1
         covered = np.cumsum(edge[:-1]) > 0
         ends = np.cumsum(s.counts)
         removed = np.add.reduceat(np.append(covered, False).astype(np.int64), np.minimum(ends - s.counts, total)) if len(ends) else ends
         removed = np.where(s.counts > 0, removed, 0)
-        raw = s.data.tobytes()
+        del edge, starts, gone
 
         def kept(k: int) -> bytes:
-            words = raw[s.offsets[k] : s.offsets[k + 1]].split()
+            words = s.data[s.offsets[k] : s.offsets[k + 1]].tobytes().split()
             if removed[k]:
                 words = [w for w, c in zip(words, covered[ends[k] - s.counts[k] : ends[k]].tolist(), strict=True) if not c]
             return b" ".join(words)

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from rillmark.llm import queries, substring
@@ -36,6 +37,7 @@ def test_against_brute_force(spark, sf_dir, monkeypatch, small):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     if small:  # many blocks and parts
         monkeypatch.setattr(substring, "PART_SUFFIXES", 2000)
+        monkeypatch.setattr(substring, "GROUP_SUFFIXES", 20)
         pack = substring.blocks.pack
         monkeypatch.setattr(substring.blocks, "pack", lambda *a: pack(*a, most=30_000))
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
@@ -52,3 +54,23 @@ def test_odd_documents(odd_docs, no_docs):
     assert texts[1].startswith("The cat") and texts[2] == "" and texts[3] == "and more words follow here" and texts[6] == "   \n\t " and texts[4] is None
     assert texts[10] == "prefix words"
     assert substring.remove_repeats(no_docs, digest=True).collect() == []
+
+
+def test_runs_that_share_64_bits_stay_apart():
+    low, high = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint16)
+    order, head = substring._nodes(low, high)
+    node = np.empty(5, int)
+    node[order] = np.cumsum(head) - 1
+    assert node[0] == node[2] != node[1] == node[4] and len(set(node)) == 3
+
+
+def test_rolling_hash_names_runs():
+    from rillmark.llm import kernel
+
+    words = kernel.mix64(np.arange(200_000, dtype=np.uint64))
+    words[70_000:70_100] = words[1000:1100]
+    prints, row, at = kernel.windows(words, np.array([100_000, 3, 99_997]), 13)
+    assert len(prints) == 100_000 - 12 + 99_997 - 12 and (np.diff(row) >= 0).all()
+    where = {int(a): int(p) for a, p in zip(at, prints, strict=True)}
+    assert where[1000] == where[70_000] and where[1087] == where[70_087] and where[1088] != where[70_088]
+    assert len(set(prints.tolist())) == len(prints) - 88

@@ -60,16 +60,21 @@ def shuffle_width(spark: SparkSession) -> int:
 def number_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 without a gap, in no task holding a whole key.
 
-    Rows are dealt by key and a salt of their order columns, numbered there, and moved on
-    by the counts of the smaller salts of their key.  ``df`` must give the same rows when
-    read twice; rows alike in every order column may swap numbers."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(shuffle_width(df.sparkSession))).cast("int"))
+    Rows are dealt by key and a salt of where they lie and of their order columns (so that
+    rows alike in all columns part as well), numbered there, and moved on by the counts of
+    the smaller salts of their key.  ``df`` must be durable, as it is read twice."""
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *order), F.lit(shuffle_width(df.sparkSession))).cast("int"))
     inside = salted.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order)).cast("long") - 1)
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     moved = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return inside.join(moved, [*keys, "_salt"]).withColumn(name, F.col(name) + F.col("_before")).drop("_salt", "_before")
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one, so that columns added beside it clash with none."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

@@ -160,9 +160,10 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     least, most = BUCKET_BITS
     bits = min(max(least, (4 * text_bytes // (5 * GROUP_SUFFIXES)).bit_length()), most)  # some four buckets for each group of runs
     packed = blocks.pack(docs, text_col, id_col, _survey(text_col, width, bits))
-    note = blocks.fold(packed, _add)
+    note, n_blocks = blocks.fold(packed, _add)
     counts = np.frombuffer(blocks.unsqueeze(note), "<i8").reshape(-1, 1 << bits) if note else np.zeros((min(_DEPTHS, width), 1 << bits), np.int64)
-    own = _owners(counts > GROUP_SUFFIXES, bits, max(1, -(-int(counts[0].sum()) // PART_SUFFIXES)))
+    parts = max(1, -(-int(counts[0].sum()) // PART_SUFFIXES))
+    own = _owners(counts > GROUP_SUFFIXES, bits, parts)
 
     def leaves(rows: pa.Table) -> tuple[_Suffixes, np.ndarray, np.ndarray]:
         s = _Suffixes(rows.column(text_col), width, own)
@@ -223,7 +224,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
         out = rows.set_column(rows.column_names.index(text_col), text_col, pc.replace_with_mask(old, pa.array(mask), new))
         return out.append_column(count_cols[0], n_words).append_column(count_cols[1], n_removed)
 
-    answers = blocks.resolve(blocks.each_block(packed, ask), _repeats)
+    answers = blocks.exchange(packed, ask, _repeats, parts, n_blocks)
     if digest:
         schema = f"doc_id {dict(docs.dtypes)[id_col]}, n_words long, n_removed long, kept_sha256 string"
     else:

@@ -32,14 +32,16 @@ def as_rows(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, sf_dir, monkeypatch, small):
+@pytest.mark.parametrize(("small", "hops"), [(False, 1), (True, 1), (True, 2)])
+def test_against_brute_force(spark, sf_dir, monkeypatch, small, hops):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     if small:  # many blocks and parts
         monkeypatch.setattr(substring, "PART_SUFFIXES", 2000)
         monkeypatch.setattr(substring, "GROUP_SUFFIXES", 20)
         pack = substring.blocks.pack
         monkeypatch.setattr(substring.blocks, "pack", lambda *a: pack(*a, most=30_000))
+    if hops == 2:
+        monkeypatch.setattr(substring.blocks, "DIRECT_MESSAGES", 0)
     want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert any(r[2] for r in want)
     assert as_rows(queries.op7_substring_dedup(spark, sf_dir)) == want

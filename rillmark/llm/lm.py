@@ -16,14 +16,17 @@ The model grows with the corpus and is held by no single process.  Each block of
 asks for the counts of its words and pairs, and builds the part of the automaton that its
 own texts can walk.  Words and pairs go to parts by the hash of the word (of the first
 word of a pair), so that a part also knows t(h); the pairs of very frequent words are
-spread by both words, and their few t(h) are added up on the driver.
+spread by both words, and their t(h), of at most 16384 words, are added up on the driver.
+Followers travel as 48 bits of their hash under the whole hash of the first word: of n
+different followers of one word, n*n/2**49 pairs are taken for each other on average (0.2
+at ten million), each a count too high.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from math import log10
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,10 @@ from .common import durable
 
 END = np.uint64(0x9AE16A3B2F90404F)
 #: Pairs of a part.
-PART_PAIRS = 1 << 20
-#: A word with this share of all tokens has its pairs spread; so at most as many words are.
-HOT_SHARE = 1024
+PART_PAIRS = 1 << 18
+#: A word that begins more pairs than a quarter of a part has its pairs spread, if it has this
+#: share of all tokens; so at most as many words are.
+HOT_SHARE = 1 << 14
 _U = np.uint64
 _LOW48 = _U((1 << 48) - 1)
 
@@ -117,7 +121,7 @@ def _survey(text_col: str, id_col: str, held_out: tuple[int, int]):
         s = _Stream(rows, text_col, _trains(rows, id_col, held_out))
         n = np.bincount(s.codes, minlength=len(s.words))
         top = np.flatnonzero(n * HOT_SHARE >= len(s.tokens))
-        return np.concatenate(([len(s.tokens)], s.words[top], n[top].astype(_U))).astype("<u8").tobytes()
+        return np.concatenate((np.array([len(s.tokens)], _U), s.words[top], n[top].astype(_U))).tobytes()
 
     return run
 
@@ -133,7 +137,10 @@ class _Routes:
     def is_hot(self, words: np.ndarray) -> np.ndarray:
         if not len(self.hot):
             return np.zeros(len(words), bool)
-        return self.hot[np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)] == words
+        return self.hot[self.places(words)] == words
+
+    def places(self, words: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.hot, words), len(self.hot) - 1)
 
 
 def _layout(s: _Stream, routes: _Routes):
@@ -153,10 +160,16 @@ def _layout(s: _Stream, routes: _Routes):
     spread_part = np.sort(spread_part)
     ids = np.arange(routes.parts + 1)
     w, p, h = np.searchsorted(word_part, ids), np.searchsorted(word_part[head[plain]], ids), np.searchsorted(spread_part, ids)
-    for part in range(routes.parts):
+    for part in np.flatnonzero((np.diff(w) > 0) | (np.diff(h) > 0)).tolist():
         words, of_plain, of_hot = slice(w[part], w[part + 1]), plain[p[part] : p[part + 1]], spread[h[part] : h[part + 1]]
-        if w[part] < w[part + 1] or len(of_hot):
-            yield part, words, of_plain, of_hot, head, tail, count
+        yield part, words, of_plain, of_hot, head, tail, count
+
+
+def _hot_heads(routes: _Routes, words: np.ndarray, head: np.ndarray) -> tuple[bytes, bytes]:
+    """The frequent words that head a part's pairs, as places in their list, and how many pairs each."""
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(head), 1), bool), head[1:] != head[:-1])))
+    runs = np.diff(np.append(first, len(head)))
+    return (routes.places(words[head[first]]) if len(first) else first).astype("<u2").tobytes(), blocks.widths(runs)
 
 
 def _low48(words: np.ndarray) -> bytes:
@@ -184,13 +197,14 @@ def _told(local: np.ndarray, news: bytes) -> np.ndarray:
     return out
 
 
-def _count(part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+def _count(hot: np.ndarray, part: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """Totals of a part's words and pairs, to each block that asked; to block -1 what the
     whole model needs: tokens, words, pairs seen once and twice, followers of hot words."""
     got = []
     for _, payload in asked:
-        keys, n, runs, tails, pn, hot_heads, hot_tails, hn = blocks.split_parts(payload)
-        got.append((blocks.unpack_sorted(keys), blocks.unwidths(n), blocks.unwidths(runs), blocks.narrow(tails, 6), blocks.unwidths(pn), blocks.narrow(hot_heads, 8), blocks.narrow(hot_tails, 6), blocks.unwidths(hn)))
+        keys, n, runs, tails, pn, hot_heads, hot_runs, hot_tails, hn = blocks.split_parts(payload)
+        heads = np.repeat(hot[np.frombuffer(hot_heads, "<u2")], blocks.unwidths(hot_runs))
+        got.append((blocks.unpack_sorted(keys), blocks.unwidths(n), blocks.unwidths(runs), blocks.narrow(tails, 6), blocks.unwidths(pn), heads, blocks.narrow(hot_tails, 6), blocks.unwidths(hn)))
     join = lambda k: np.concatenate([g[k] for g in got])
     words, n = join(0), join(1)
     order, head, total = _totals(words, n)
@@ -230,10 +244,11 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_col: str = "do
     docs = docs.select(id_col, text_col)
     packed = blocks.pack(docs, text_col, None, _survey(text_col, id_col, held_out))
     noted = durable(packed.select("survey").mapInArrow(kernel.lean(_spell), "word long, n long"))
-    tokens = noted.where(F.col("word").isNull()).agg(F.sum("n")).first()[0] or 0
-    hot = noted.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SHARE >= tokens)
-    hot_words = np.array([r["word"] for r in hot.collect()], np.int64).view(_U)  # at most HOT_SHARE rows
-    routes = _Routes(hot_words, max(1, -(-tokens // PART_PAIRS)))
+    of_all = noted.where(F.col("word").isNull()).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("blocks")).first()
+    tokens, parts = of_all["tokens"] or 0, max(1, -(-(of_all["tokens"] or 0) // PART_PAIRS))
+    hot = noted.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") * HOT_SHARE > tokens) & (F.col("n") * 4 > PART_PAIRS))
+    hot_words = np.array([r["word"] for r in hot.collect()], np.int64).view(_U)  # fewer than HOT_SHARE rows
+    routes = _Routes(hot_words, parts)
 
     def ask(block: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
         s = _Stream(rows, text_col, _trains(rows, id_col, held_out))
@@ -242,10 +257,10 @@ def score(docs: DataFrame, held_out: tuple[int, int] = (7, 2), id_col: str = "do
             runs = np.bincount(head[plain] - words.start, minlength=words.stop - words.start)
             yield part, blocks.join_parts([
                 blocks.pack_sorted(s.words[words]), blocks.widths(n[words]), blocks.widths(runs), _low48(s.words[tail[plain]]), blocks.widths(count[plain]),
-                s.words[head[spread]].astype("<u8").tobytes(), _low48(s.words[tail[spread]]), blocks.widths(count[spread]),
+                *_hot_heads(routes, s.words, head[spread]), _low48(s.words[tail[spread]]), blocks.widths(count[spread]),
             ])
 
-    answers = durable(blocks.resolve(blocks.each_block(packed, ask), _count))
+    answers = durable(blocks.exchange(packed, ask, partial(_count, routes.hot), parts, of_all["blocks"]))
     notes = answers.where("block = -1").select("payload").mapInArrow(kernel.lean(_sum_notes), "word long, n array<long>").groupBy("word").agg(
         *(F.sum(F.col("n")[k]).alias(f"n{k}") for k in range(4))
     )

@@ -48,12 +48,14 @@ def same(df, want):
             assert a[:4] == b[:4] and isclose(a[4], b[4], rel_tol=1e-9) and isclose(a[5], b[5], rel_tol=1e-9), (i, a, b)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_against_brute_force(spark, sf_dir, monkeypatch, small):
+@pytest.mark.parametrize(("small", "hops"), [(False, 1), (True, 1), (True, 2)])
+def test_against_brute_force(spark, sf_dir, monkeypatch, small, hops):
     if small:
         monkeypatch.setattr(lm, "PART_PAIRS", 5000)
         pack = lm.blocks.pack
         monkeypatch.setattr(lm.blocks, "pack", lambda *a: pack(*a, most=50_000))
+    if hops == 2:
+        monkeypatch.setattr(lm.blocks, "DIRECT_MESSAGES", 0)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = brute(docs)
     same(queries.op2_lm_scoring(spark, sf_dir), want)

@@ -1,7 +1,7 @@
 """MinHash near-duplicates (operator 4) with tensored banding.
 
-A document is the set of its word shingles.  Documents with equal sets form a class, and
-one set of each class goes on.  Two collections of ``half`` short keys are made, each key
+A document is the set of its word shingles.  Documents with equal sets (by 128 bits of hash)
+form a class, and one set of each class goes on.  Two collections of ``half`` short keys are made, each key
 of ``rows`` minhashes; a table is a pair of keys, one from either collection, so that
 half * half tables cost 2 * half * rows minhashes.  Two sets of similarity s share a table
 with probability (1 - (1 - s**rows)**half)**2, 0.9999 at 0.8 with the defaults.  A key of
@@ -28,12 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks, kernel
-from .common import bounded_batches, durable
+from .common import bounded_batches, durable, whole_row
 
 _U = np.uint64
 HALF, ROWS = 14, 3
 #: Shingles of a part, while those that candidates share are counted.
-PART_SHINGLES = 1 << 20
+PART_SHINGLES = 1 << 18
+#: Bits of the hash that names a class; sets that share it are told apart by a second one.
+CLASS_BITS = 64
+#: Into how many a centre's members are dealt.
+SALTS = 16
 #: Sets that meet as many others at once.
 TILE_ROWS = 128
 
@@ -78,29 +82,38 @@ def minhashes(row: np.ndarray, prints: np.ndarray, n: int) -> tuple[np.ndarray,
     return row[head], out
 
 
+def _set_hashes(row: np.ndarray, prints: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each row's set, for the rows that have one."""
+    head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    with np.errstate(over="ignore"):
+        sums = [np.add.reduceat(kernel.mix64(prints + _U(c)), head) for c in (0, 0x9E3779B97F4A7C15)]
+        return kernel.mix64(sums[0] + size.astype(_U)), kernel.mix64(sums[1] ^ size.astype(_U))
+
+
 def digests(docs: DataFrame, width: int, half: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, cls, first, second) of every row: ``cls`` names its set
-    (null if empty), ``first`` and ``second`` are the keys of the two collections."""
+    """(doc_id, text_hash, n_shingles, cls, check, first, second) of every row: ``cls`` and
+    ``check`` are two hashes of its set (null if empty), ``first`` and ``second`` the keys of
+    the two collections."""
+    named = _U((1 << CLASS_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, size = batch.num_rows, np.zeros(batch.num_rows, np.int64)
-            cls, keys = np.zeros(n, _U), np.zeros((n, 2 * half), _U)
+            cls, check, keys = np.zeros(n, _U), np.zeros(n, _U), np.zeros((n, 2 * half), _U)
             for i, j, row, prints in shingle_sets(batch.column(1), width):
                 size[i:j] = np.bincount(row, minlength=j - i)
                 at, mins = minhashes(row, prints, 2 * half * rows)
-                head = np.searchsorted(row, at)
-                with np.errstate(over="ignore"):
-                    if len(at):
-                        cls[i + at] = kernel.mix64(np.add.reduceat(kernel.mix64(prints), head) + size[i + at].astype(_U))
+                if len(at):
+                    one, two = _set_hashes(row, prints, size[i:j][at])
+                    cls[i + at], check[i + at] = one & named, two
                 for k in range(2 * half):
                     keys[i + at, k] = kernel.combine([mins[:, k * rows + r] for r in range(rows)] + [np.full(len(at), k, _U)])
             flat = keys.view(np.int64)
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(x).reshape(-1)), half).cast(pa.list_(pa.int64())) for x in (flat[:, :half], flat[:, half:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), pa.array(cls.view(np.int64), mask=size == 0), *lists], names=["doc_id", "text_hash", "n_shingles", "cls", "first", "second"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(size), *(pa.array(x.view(np.int64), mask=size == 0) for x in (cls, check)), *lists], names=["doc_id", "text_hash", "n_shingles", "cls", "check", "first", "second"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(kernel.lean(run), f"doc_id {kind}, text_hash long, n_shingles long, cls long, first array<long>, second array<long>")
+    return docs.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(kernel.lean(run), f"doc_id {kind}, text_hash long, n_shingles long, cls long, check long, first array<long>, second array<long>")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
@@ -148,7 +161,7 @@ def _sets_of(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(row), np.concatenate(prints)
 
 
-def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+def candidates(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(cls, n, shared, packed): the members that may have links, with their compressed
     text, the size of their set and how much of it other members have."""
 
@@ -162,14 +175,14 @@ def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: in
         for batch in batches:
             for k in range(0, batch.num_rows, 256):  # little text at once
                 part = batch.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([zlib.decompress(x).decode() for x in part.column(1).to_pylist()], pa.string())], names=["cls", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([zlib.decompress(x).decode() for x in part.column(2).to_pylist()], pa.string())], names=["cls", "check", "text"])
 
     kind = dict(docs.dtypes)[id_col]
-    held = digest.join(members, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    held = sets.join(members, "cls").select("cls", "check", F.col("least").alias("doc_id"), "n")
     shingles = held.agg(F.sum("n")).first()[0] or 0
     parts = max(1, -(-shingles // PART_SHINGLES))
     texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(kernel.lean(squeeze), f"doc_id {kind}, packed binary")
-    found = texts.join(held.select("cls", "doc_id"), "doc_id").select("cls", "packed").mapInArrow(kernel.lean(unsqueeze), "cls long, text string")
+    found = texts.join(held.drop("n"), "doc_id").select("cls", "check", "packed").mapInArrow(kernel.lean(unsqueeze), "cls long, check long, text string")
     packed = blocks.pack(found, "text", None, most=blocks.BLOCK_BYTES // 2)
 
     def by_part(rows: pa.Table):
@@ -180,10 +193,9 @@ def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: in
 
     def ask(block: int, rows: pa.Table) -> Iterator[tuple[int, bytes]]:
         _, _, keys, count, cuts = by_part(rows)
-        for part in range(parts):
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
             own = slice(cuts[part], cuts[part + 1])
-            if own.start < own.stop:
-                yield part, blocks.join_parts([blocks.pack_sorted(keys[own]), np.packbits(count[own] > 1).tobytes()])
+            yield part, blocks.join_parts([blocks.pack_sorted(keys[own]), np.packbits(count[own] > 1).tobytes()])
 
     def meet(rows: pa.Table, told: dict[int, bytes]) -> pa.Table:
         row, prints, keys, _, cuts = by_part(rows)
@@ -193,18 +205,18 @@ def candidates(docs: DataFrame, digest: DataFrame, members: DataFrame, width: in
         many = len(rows)
         size = np.bincount(row, minlength=many)
         some = np.bincount(row, shared[np.searchsorted(keys, prints)], many).astype(np.int64) if len(row) else size
-        cls = np.zeros(many, _U)
-        head = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            cls[row[head]] = kernel.mix64(np.add.reduceat(kernel.mix64(prints), head) + size[row[head]].astype(_U)) if len(head) else 0
+        check = np.zeros(many, _U)
+        if len(row):
+            at = np.flatnonzero(size)
+            check[at] = _set_hashes(row, prints, size[at])[1]
         # ids may repeat with other texts: only the text that has the set counts
-        keep = np.flatnonzero((cls.view(np.int64) == rows.column("cls").to_numpy()) & (100 * some >= percent * size))
+        keep = np.flatnonzero((check.view(np.int64) == rows.column("check").to_numpy()) & (100 * some >= percent * size))
         data, offsets = kernel.buffers(rows.column("text"))
         raw = data.tobytes()
         texts = pa.array([_zip(raw[offsets[k] : offsets[k + 1]]) for k in keep.tolist()], pa.binary())
         return pa.table({"cls": rows.column("cls").take(pa.array(keep)), "n": pa.array(size[keep]), "shared": pa.array(some[keep]), "packed": texts})
 
-    answers = blocks.resolve(blocks.each_block(packed, ask), _seen_twice)
+    answers = blocks.exchange(packed, ask, _seen_twice, parts, packed.rdd.getNumPartitions() + 16 * shingles // blocks.BLOCK_BYTES)
     rows = blocks.meet(packed, answers, meet, "cls long, n long, shared long, packed binary")
     return rows.dropDuplicates(["cls"])
 
@@ -228,43 +240,49 @@ def _seen_twice(_: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, b
 
 
 def across_components(around: DataFrame, label: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components among the members ``around`` a centre.
+    """Links (a, b) between different components among the members ``around`` a centre
+    (centre, own, cls, n, shared; ``own`` is the centre's component).
 
     Members of the centre's component needn't meet each other.  The rest meet all, a tile
-    of few by few at once, and only links come out."""
-    marked = around.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    own = label.select(F.col("cls").alias("centre"), F.col("label").alias("_own"))
-    marked = marked.join(own, "centre", "left").withColumn("rest", F.col("label") != F.coalesce("_own", "centre"))
+    of few by few at once.  A tile first sees sizes only, and what the exact bounds leave of
+    it meets again with its texts; only links come out."""
+    marked = around.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).withColumn("rest", F.col("label") != F.col("own"))
     counts = marked.groupBy("centre").agg(F.ceil(F.count_if("rest") / TILE_ROWS).alias("_r"), F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_a")).where("_r > 0")
-    full = marked.join(counts, "centre").join(texts.select("cls", "packed"), "cls").select("centre", "cls", "n", "shared", "label", "rest", "packed", "_r", "_a")
-    chunk = lambda n: F.pmod(F.xxhash64("cls"), F.col(n))
+    dealt = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    full = marked.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(dealt, ["centre", "_salt"])
+    chunk = lambda n: F.pmod(F.xxhash64("cls", F.lit(1)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    columns = ["centre", "i", "j", "cls", "n", "shared", "label", "packed"]
+    keys = ["centre", "i", "j"]
+    columns = [*keys, "cls", "n", "shared", "label"]
     left = full.where("rest").withColumn("i", chunk("_r")).withColumn("j", every("_a")).select(*columns)
     right = full.withColumn("j", chunk("_a")).withColumn("i", every("_r")).select(*(F.col(c).alias(f"y_{c}") for c in columns))
 
-    def tile(x: pa.Table, y: pa.Table) -> pa.Table:
+    def may(t: pa.Table, m: int) -> np.ndarray:
+        """Which of the first m rows may be linked with which of the others."""
+        n, shared, group = (t.column(c).to_numpy() for c in ("n", "shared", "label"))
+        return (group[:m, None] != group[None, m:]) & ((100 + percent) * np.minimum(shared[:m, None], shared[None, m:]) >= percent * (n[:m, None] + n[None, m:]))
+
+    def look(x: pa.Table, y: pa.Table) -> pa.Table:
+        t = pa.concat_tables([x.select(columns), y.rename_columns([c.removeprefix("y_") for c in y.column_names]).select(columns)])
+        t = t.append_column("side", pa.array(np.repeat(np.array([0, 1], np.int32), [x.num_rows, y.num_rows])))
+        allowed = may(t, x.num_rows)
+        return t.take(pa.array(np.flatnonzero(np.concatenate((allowed.any(axis=1), allowed.any(axis=0))))))
+
+    def compare(t: pa.Table) -> pa.Table:
         kernel.give_back()
-        x, y = x.select(columns), y.rename_columns([c.removeprefix("y_") for c in y.column_names]).select(columns)
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if x.num_rows and y.num_rows:
-            cls, n, shared, group = (np.concatenate((x.column(c).to_numpy(), y.column(c).to_numpy())) for c in ("cls", "n", "shared", "label"))
-            m = x.num_rows
-            may = (group[:m, None] != group[None, m:]) & ((100 + percent) * np.minimum(shared[:m, None], shared[None, m:]) >= percent * (n[:m, None] + n[None, m:]))
-            if may.any():
-                needed = np.flatnonzero(np.concatenate((may.any(axis=1), may.any(axis=0))))
-                packed = [*x.column("packed").to_pylist(), *y.column("packed").to_pylist()]
-                row, prints = _sets_of(pa.table({"text": pa.array([zlib.decompress(packed[k]).decode() for k in needed], pa.large_string())}), width)
-                both = _intersections(row, prints, len(needed))
-                at = np.full(len(cls), -1)
-                at[needed] = np.arange(len(needed))
-                p, q = np.nonzero(may)
-                hit = (100 + percent) * both[at[p], at[q + m]] >= percent * (n[p] + n[q + m])
-                a, b = cls[p[hit]], cls[q[hit] + m]
+        t = t.sort_by("side")
+        m = int((t.column("side").to_numpy() == 0).sum())
+        allowed, cls, n = may(t, m), t.column("cls").to_numpy(), t.column("n").to_numpy()
+        row, prints = _sets_of(pa.table({"text": pa.array([zlib.decompress(x).decode() for x in t.column("packed").to_pylist()], pa.large_string())}), width)
+        both = _intersections(row, prints, len(cls))
+        p, q = np.nonzero(allowed)
+        hit = (100 + percent) * both[p, q + m] >= percent * (n[p] + n[q + m])
+        a, b = cls[p[hit]], cls[q[hit] + m]
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    keys = ["centre", "i", "j"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*(f"y_{k}" for k in keys))).applyInArrow(tile, "a long, b long").distinct()
+    shape = ", ".join(f"{c} long" for c in columns)
+    left_open = left.groupBy(*keys).cogroup(right.groupBy(*(f"y_{k}" for k in keys))).applyInArrow(look, f"{shape}, side int")
+    return left_open.join(texts.select("cls", "packed"), "cls").groupBy(*keys).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _intersections(row: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
@@ -300,6 +318,13 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("cls"), F.col("v").alias("label"))
 
 
+def _classes(digest: DataFrame) -> DataFrame:
+    """One row of each class: its smallest id, size and keys, and the range of its second hash."""
+    return digest.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.min("check").alias("check"), F.max("check").alias("_most"), F.first("first").alias("first"), F.first("second").alias("second")
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: int = HALF, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, text_hash) of every row.
 
@@ -309,9 +334,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     are kept; rows alike in id and text share all results."""
     docs = bounded_batches(docs.select(id_col, text_col))
     digest = durable(digests(docs, width, half, rows, id_col, text_col))
-    sets = durable(digest.where("cls IS NOT NULL AND doc_id IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("first").alias("first"), F.first("second").alias("second")))
+    sets = durable(_classes(digest))
+    mixed = sets.where("check <> _most").select("cls")
+    if not mixed.isEmpty():  # different sets share a name: they get longer ones
+        told = mixed.withColumn("_mixed", F.lit(True))
+        digest = durable(digest.join(told, "cls", "left").withColumn("cls", F.when(F.col("_mixed"), F.xxhash64("cls", "check")).otherwise(F.col("cls"))).drop("_mixed"))
+        sets = durable(_classes(digest))
     table = durable(buckets(sets))
-    texts = durable(candidates(docs, digest.where("doc_id IS NOT NULL"), table.select("cls").distinct(), width, percent, id_col, text_col))
+    texts = durable(candidates(docs, sets, table.select("cls").distinct(), width, percent, id_col, text_col))
     sizes = texts.select("cls", "n", "shared")
     table = table.join(sizes, "cls")
     centres = table.groupBy("bucket").agg(F.max(F.struct((F.col("shared") / F.col("n")).alias("share"), "n", "cls", "shared")).alias("c"))
@@ -320,7 +350,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     tried = durable(table.join(centres, "bucket").where((F.col("cls") != F.col("c.cls")) & may).select(one("cls").alias("a"), two("cls").alias("b")).distinct())
     links = durable(confirmed(tried, texts, width, percent))
     label = components(links)
-    around = table.join(centres, "bucket").select(F.col("c.cls").alias("centre"), "cls", "n", "shared").distinct()
+    own = label.select(F.col("cls").alias("centre"), F.col("label").alias("own"))
+    named = centres.select("bucket", F.col("c.cls").alias("centre")).join(own, "centre", "left").withColumn("own", F.coalesce("own", "centre"))
+    around = table.join(named, "bucket").select("centre", "own", "cls", "n", "shared").distinct()
     more = durable(across_components(around, label, texts, width, percent))
     if not more.isEmpty():
         label = components(links.unionByName(more))
@@ -335,9 +367,10 @@ def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the document with the smallest id,
     of rows alike in id and text one.  Rows with a null id all stay."""
     found = near_duplicates(docs, **options)
+    keys = ["_id", "_hash"]
     stays = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    keyed = docs.withColumns({"_id": F.col(id_col), "_hash": F.xxhash64(text_col)})
+    keyed = docs.where(F.col(id_col).isNotNull()).select(whole_row(docs).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"))
     # the join leaves rows dealt and sorted by its keys, so numbering them moves nothing
-    numbered = keyed.join(stays, ["_id", "_hash"]).withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id", "_hash")))
-    return numbered.where("_k = 1").select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    numbered = keyed.join(stays, keys).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return numbered.where("_k = 1").select("_row.*").unionByName(docs.where(F.col(id_col).isNull()))

@@ -5,13 +5,12 @@ word n-gram that repeats one word, hashed to a fixed number of columns.  Trainin
 log-count ratio and fits a linear hinge-loss model by dual coordinate descent; a sigmoid
 over the margins, fitted on folds the model had not seen, makes a probability.
 
-The model is fitted on a bounded sample of labelled rows (``sample``, smallest hashes of
-ids first); every row is scored on its whole text.
+The model is fitted on a bounded sample of labelled rows (``sample`` and ``sample_features``,
+smallest hashes of ids first); every row is scored on its whole text.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -137,12 +136,9 @@ def sigmoid(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-6), float(b)
 
 
-def fit(texts: pa.Array, label: np.ndarray, cost: float = 1.0, passes: int = 20, folds: int = 3, seed: int = 11) -> Model:
-    """Fit on texts labelled 0 and 1.  With one class only, every score is that class's
-    share with one example of either added."""
-    rows = [np.zeros(0, np.int64)] * len(label)
-    for i, j, row, feature in indicators(texts):
-        rows[i:j] = np.split(feature, np.cumsum(np.bincount(row, minlength=j - i))[:-1])
+def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 1.0, passes: int = 20, folds: int = 3, seed: int = 11) -> Model:
+    """Fit on the features of texts labelled 0 and 1.  With one class only, every score is
+    that class's share with one example of either added."""
     pos = int((label == 1).sum())
     if pos in (0, len(label)):
         return Model(np.zeros(COLUMNS), 0.0, 1.0, float(np.log((pos + 1) / (len(label) - pos + 1))))
@@ -167,16 +163,51 @@ def fit(texts: pa.Array, label: np.ndarray, cost: float = 1.0, passes: int = 20,
     return Model(*whole, *sigmoid(margin, label))
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``sample`` labelled rows whose crc32(id as text) mod held_out[0] isn't
-    held_out[1].  Rows with a null id, text or label don't train; an id with several texts
-    or labels trains with each."""
+def _to_bytes(feature: np.ndarray) -> bytes:
+    """Distinct features as a list, or as a map of all columns where that is shorter."""
+    if 32 * len(feature) < COLUMNS:
+        return b"l" + feature.astype("<u4").tobytes()
+    held = np.zeros(COLUMNS, bool)
+    held[feature] = True
+    return b"m" + np.packbits(held).tobytes()
+
+
+def _from_bytes(data: bytes) -> np.ndarray:
+    if data[:1] == b"l":
+        return np.frombuffer(data, "<u4", offset=1).astype(np.int64)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=1)))
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), sample: int = 4000, sample_features: int = 1 << 25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> Model:
+    """Fit on at most ``sample`` labelled rows, and as many of these as have ``sample_features``
+    features together, whose crc32(id as text) mod held_out[0] isn't held_out[1].  Rows with
+    a null id, text or label don't train; an id with several texts or labels trains with each.
+
+    Executors make the features, of whole texts; a row's are at most 32 KB, so the driver
+    gets at most ``sample`` times as much."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_label")).where("_id IS NOT NULL AND _label IN (0, 1)").distinct()
     known = known.where(F.pmod(F.crc32(F.col("_id").cast("string").cast("binary")), F.lit(held_out[0])) != held_out[1])
     chosen = known.orderBy(F.xxhash64("_id"), "_id", "_label").limit(sample)
+    order = [F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")]
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where("_text IS NOT NULL").join(F.broadcast(chosen), "_id")
-    got = rows.orderBy(F.xxhash64("_id"), "_id", "_label", "_text").limit(sample).toArrow()
-    return fit(got.column("_text").combine_chunks() if got.num_rows else pa.array([], pa.string()), got.column("_label").to_numpy().astype(np.int64))
+    rows = rows.select(F.struct(*order).alias("_order"), F.col("_label").cast("int").alias("_label"), "_text")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = []
+            for i, j, row, feature in indicators(batch.column(2)):
+                out += map(_to_bytes, np.split(feature, np.cumsum(np.bincount(row, minlength=j - i))[:-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["_order", "_label", "_features"])
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("_features", T.BinaryType())])
+    got = bounded_batches(rows).mapInArrow(kernel.lean(features), schema).orderBy("_order").limit(sample).select("_label", "_features").collect()
+    texts = [_from_bytes(r["_features"]) for r in got]
+    texts = texts[: int(np.searchsorted(np.cumsum([len(t) for t in texts]), sample_features, side="right"))] if texts else texts
+    return fit(texts, np.array([r["_label"] for r in got[: len(texts)]], np.int64))
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -195,6 +226,3 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: st
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(kernel.lean(run), schema)
 
-
-def is_held_out(doc_id, held_out: tuple[int, int] = (5, 0)) -> bool:
-    return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % held_out[0] == held_out[1]

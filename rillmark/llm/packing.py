@@ -106,8 +106,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     only the first piece of a text longer than the capacity may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tokens.dictionary(tokenizer)
-        held.forget()
+        held = tokens.PreTokenDictionary(tokenizer)  # for this task only: workers are used again for other things
         end = np.array([end_id], np.uint32)
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -125,7 +124,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
-        held.forget()
 
     kind = dict(docs.dtypes)[id_col]
     return bounded_batches(docs).select(id_col, text_col).mapInArrow(kernel.lean(cut), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

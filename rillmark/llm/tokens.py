@@ -1,7 +1,7 @@
 """Byte-level BPE token ids and counts through a dictionary of pre-tokens.
 
 A text is cut into pre-tokens by one vectorised pass over its bytes; each distinct
-pre-token is given to the tokenizer once per worker (a bounded cache holds what it
+pre-token is given to the tokenizer once per task (a bounded cache holds what it
 said), and what it said is joined back to the occurrences.  The cut follows the
 pattern of byte-level BPE: contractions, then runs of letters, numbers or other
 characters with at most one space before, then white space.  Which class a
@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from . import kernel
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
+#: Distinct pre-tokens that a task remembers; beyond it the memory starts anew.
 CACHE_ENTRIES = 1 << 19
 _LETTER, _NUMBER, _WHITE, _OTHER, _UNSEEN = 1, 2, 3, 4, 0
 
@@ -68,10 +68,9 @@ class PreTokenDictionary:
             self._class[c] = _UNSEEN
         self._ask(np.flatnonzero(self._class[:128] == _UNSEEN))
         self._engine = _rank_engine(json.loads(self.tokenizer.to_str()))
-        self.forget()
+        self._forget()
 
-    def forget(self) -> None:
-        """Drop what was remembered; the tokenizer itself stays."""
+    def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.sizes = np.zeros(0, np.int64)
         self.begins = np.zeros(0, np.int64)
@@ -146,7 +145,7 @@ class PreTokenDictionary:
         known = self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
         if not known.all():
             if len(self.keys) + int((~known).sum()) > CACHE_ENTRIES:
-                self.forget()
+                self._forget()
                 known[:] = False
             new = np.flatnonzero(~known)
             raw = data.tobytes()
@@ -168,38 +167,30 @@ class PreTokenDictionary:
 
     def _cut_rows(self, data: np.ndarray, offsets: np.ndarray):
         """(row of each pre-token, its code, cache place of each code) of some rows."""
+        row, codes, distinct, begins, lengths = self.distinct(data, offsets)
+        return row, codes, self.lookup(data, begins, lengths, distinct)
+
+    def distinct(self, data: np.ndarray, offsets: np.ndarray):
+        """(row of each pre-token, its code; hash, place and length of the pre-token of each code)."""
         import pandas as pd
 
         starts = self.starts(data, offsets)
         lengths = np.diff(np.append(starts, len(data)))
-        keys = kernel.hash_spans(data, lengths)
-        codes, distinct = pd.factorize(keys)
+        codes, distinct = pd.factorize(kernel.hash_spans(data, lengths))
         first = kernel.first_of(codes, len(distinct))
-        places = self.lookup(data, starts[first], lengths[first], distinct)
         row = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-        return row, codes, places
+        return row, codes, distinct, starts[first], lengths[first]
 
-    def counts(self, column: pa.Array) -> np.ndarray:
-        """Tokens of each text.  Frequencies of (text, pre-token) meet the pieces of each
-        distinct pre-token, which are counted once; no ids are written out."""
-        data, offsets = kernel.buffers(column)
-        total = np.zeros(len(offsets) - 1, np.int64)
-        for i, j in kernel.slices(offsets):
-            row, codes, places = self._cut_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if len(row):
-                width = len(places)
-                pair, frequency = np.unique(row * width + codes, return_counts=True)
-                pieces = self.sizes[places][pair % width]
-                total[i:j] = np.bincount(pair // width, frequency * pieces, j - i).astype(np.int64)
-        for i in self._special_rows(data, offsets):
-            text = data[offsets[i] : offsets[i + 1]].tobytes().decode()
-            total[i] = len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return total
+    def pieces(self, texts: list[bytes]) -> np.ndarray:
+        """Into how many pieces each of these pre-tokens is cut."""
+        if self._engine is not None:
+            return np.fromiter((len(self._engine(x.decode())) for x in texts), np.int64, len(texts))
+        return np.fromiter((len(e.ids) for e in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)), np.int64, len(texts))
 
     def id_rows(self, column: pa.Array):
         """Yield (row, ids as uint32) of each text, in order."""
         data, offsets = kernel.buffers(column)
-        special = set(self._special_rows(data, offsets))
+        special = set(self.special_rows(data, offsets))
         for i, j in kernel.slices(offsets):
             row, codes, places = self._cut_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             sizes = self.sizes[places][codes]
@@ -214,7 +205,7 @@ class PreTokenDictionary:
                 else:
                     yield k, flat[cuts[k - i] : cuts[k - i + 1]]
 
-    def _special_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    def special_rows(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
         raw, rows = data.tobytes(), set()
         for s in (x.encode() for x in self.specials if x):
             at = raw.find(s)
@@ -226,11 +217,3 @@ class PreTokenDictionary:
         return sorted(rows)
 
 
-_HELD: dict[str, PreTokenDictionary] = {}
-
-
-def dictionary(path: str) -> PreTokenDictionary:
-    """This process's dictionary for a tokenizer file."""
-    if path not in _HELD:
-        _HELD[path] = PreTokenDictionary(path)
-    return _HELD[path]

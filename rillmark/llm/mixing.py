@@ -20,32 +20,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import bounded_batches, durable
+from .common import bounded_batches, durable, whole_row
 
 #: Documents that fly together, on average.
 CHUNK_ROWS = 4096
+#: Up to so many sources their targets are sent to all tasks.
+BROADCAST_SOURCES = 10_000
 _EDGE = 1e-9
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...], most: float) -> dict[str | None, float]:
-    """Words to take of each source: weights repeat over the sources by code point (null
-    last) and share the total; no target exceeds ``most`` times its source, and what is
-    above is shared again by weight."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: most * n for s, n in order}
-    left, free, out = float(sum(n for _, n in order)), [s for s, _ in order], {}
-    while free:
-        share = left / sum(weight[s] for s in free)
-        over = [s for s in free if share * weight[s] > cap[s]]
-        if not over:
-            out |= {s: share * weight[s] for s in free}
-            break
-        for s in over:
-            out[s] = cap[s]
-            left -= cap[s]
-        free = [s for s in free if s not in set(over)]
-    return out
+def targets(sources: DataFrame, weights: tuple[int, ...], most: float) -> DataFrame:
+    """``target`` words to take of each source (source, size, ...): weights repeat over the
+    sources by code point (null last) and share the total; no target exceeds ``most`` times
+    its source, and what is above is shared again by weight.
+
+    A share x of each unit of weight is wanted of which ``least(most * size, x * weight)`` add
+    up to the total.  With sources in order of most * size / weight, those before some place
+    are full, and x is what the first that isn't and the rest agree on: the largest that fits.  One row a source
+    is sorted; rows of documents aren't touched."""
+    place = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")).cast("double")
+    full = sources.withColumn("_weight", weight).withColumn("_full", most * F.col("size"))
+    tighter = Window.orderBy(F.col("_full") / F.col("_weight"), F.col("source").isNull(), "source")
+    before = tighter.rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.sum("size").over(every) - F.coalesce(F.sum("_full").over(before), F.lit(0.0))
+    share = left / (F.sum("_weight").over(every) - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
+    tried = full.withColumn("_share", share)
+    agreed = tried.where(F.col("_share") <= F.col("_full") / F.col("_weight")).agg(F.max("_share").alias("_unit"))
+    # without words in any source nothing is agreed on, and nothing is wanted
+    return full.crossJoin(F.broadcast(agreed)).withColumn("target", F.least("_full", F.coalesce("_unit", F.lit(0.0)) * F.col("_weight"))).drop("_weight", "_full", "_unit")  # one row
 
 
 def fly(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -108,28 +112,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     """(doc_id, source, text_hash, size, source_size, target, copies, taken) of every row.
 
     ``copies`` is how often the mix takes the document (0 to ``most``) and ``taken`` its
-    words.  The driver holds one row per source.  Draws come from hashes of source and
-    chunk, so that reruns agree.  Null texts have size 0, a null source is a source of
-    its own, repeated rows are taken one by one, an empty table gives no rows."""
-    spark = docs.sparkSession
-    sized = durable(with_word_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), "text", "size", ["doc_id", "source", "text_hash"]))
-    totals = [(r["source"], r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()]
-    goal = targets([(s, n) for s, n, _ in totals], weights, most)
-    plan = []
-    for s, n, rows in totals:
-        rate = goal[s] / n if n else 0.0
-        whole = math.floor(rate + _EDGE)
-        plan.append((s, n, goal[s], whole, max(0.0, rate - whole), max(1, -(-rows // CHUNK_ROWS))))
-    planned = spark.createDataFrame(plan, "_source string, source_size long, target double, _whole int, _p double, _chunks long")
+    words.  Draws come from hashes of source and chunk, so that reruns agree.  Null texts
+    have size 0, a null source is a source of its own, repeated rows are taken one by one,
+    an empty table gives no rows."""
+    counted = with_word_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), "text", "size", ["doc_id", "source", "text_hash"])
+    # rows alike in everything are counted here and numbered, so that they part by number
+    sized = durable(counted.groupBy("doc_id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("_alike")))
+    totals = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("_alike")).alias("size"), F.sum("_alike").alias("_n"))
+    rate = F.coalesce(F.try_divide("target", F.col("size").cast("double")), F.lit(0.0))
+    whole = F.floor(rate + _EDGE)
+    plan = durable(targets(totals, weights, most)).select(
+        F.col("source").alias("_source"), F.col("size").alias("source_size"), F.col("target").cast("double").alias("target"), whole.cast("int").alias("_whole"),
+        F.greatest(rate - whole, F.lit(0.0)).alias("_p"), F.greatest(F.ceil(F.col("_n") / CHUNK_ROWS), F.lit(1)).cast("long").alias("_chunks"),
+    )
+    about = plan.agg(F.count(F.lit(1)).alias("n"), F.max("_chunks").alias("most")).first()
+    planned = F.broadcast(plan) if about["n"] <= BROADCAST_SOURCES else plan
     state = sized.join(planned, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    state = state.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size"), F.col("_chunks")))
-    columns = state.columns
-    schema = state.schema
-    chunks = max((c for *_, c in plan), default=1)
+    state = state.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_alike")))).drop("_alike")
+    state = state.withColumn("_chunk", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "text_hash", "_copy"), F.col("_chunks")))
+    columns, schema = state.columns, state.schema
+    chunks = about["most"] or 1
 
     def settle(last: bool):
         def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("text_hash", "ascending")])
+            table = table.sort_by([("doc_id", "ascending"), ("size", "ascending"), ("text_hash", "ascending"), ("_copy", "ascending")])
             p, size = table.column("_p").to_numpy(), table.column("size").to_numpy()
             stamp = [seed, int(table.column("_chunk")[0].as_py()), *(table.column("source")[0].as_py() or "\0").encode()]
             p = fly(p, size, np.random.default_rng(stamp))
@@ -159,9 +165,9 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     """The rows of the mix: each row of ``docs`` as often as the mix takes it."""
     mixed = mix(docs, id_col=id_col, text_col=text_col, **options)
     # rows alike in id and text share what they are taken
-    share = mixed.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source")).agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("string"), F.lit("null")), "_hash": F.xxhash64(text_col)})
-    source = options.get("source_col", "source")
-    joined = keyed.join(share.where("_copies > 0"), ["_id", "_hash"]).where(F.col(source).eqNullSafe(F.col("_source")))
-    numbered = joined.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_hash", "_source").orderBy("_id", "_hash", "_source")))
-    return numbered.where("_k = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))  # noqa: E731  a null's own
+    keys = ["_id", "_hash", "_source"]
+    share = mixed.groupBy(name("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), name("source").alias("_source")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    keyed = docs.select(whole_row(docs).alias("_row"), name(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), name(options.get("source_col", "source")).alias("_source"))
+    numbered = keyed.join(share, keys).withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return numbered.where("_k = 1").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

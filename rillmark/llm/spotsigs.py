@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, text_or_empty
+from .common import durable, text_or_empty
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -93,27 +94,88 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return scored.where(F.col("likeness") >= threshold)
 
 
-def with_next(docs: DataFrame, id_col: str, derive: Callable[[DataFrame], DataFrame], columns: list[str], prefix: str) -> DataFrame:
-    """``derive(docs)``, and ``columns`` of the next row by descending ``id_col`` (nulls last,
-    ties by the columns; after the last the first) with ``prefix``.
-
-    Rows are dealt by ranges of the id, each range finds its rows' successors in itself,
-    and its last row gets the first row of the range below."""
-    parts = min(1024, 2 * shuffle_width(docs.sparkSession))
-    cuts = docs.agg(F.percentile_approx(id_col, [k / parts for k in range(1, parts)], 10_000).alias("c")).first()["c"]
-    cuts = sorted(set(cuts or []))
-    bucket = F.when(F.col(id_col).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(id_col))) if cuts else 0).cast("int")
-    inside = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(id_col), *(F.desc(c) for c in columns))
-    dealt = docs.withColumn("_bucket", bucket)
+#: Bytes of text that one range of ids holds, and the most ranges there are.
+RANGE_BYTES, MOST_RANGES = 1 << 20, 1 << 14
+
+
+def _array(values: list[int]) -> Column:
+    return F.from_json(F.lit(str([int(v) for v in values])), "array<bigint>")  # one literal once folded
+
+
+def _smaller(sorted_values: list[int], x: Column) -> Column:
+    """How many of the values are smaller, by halving."""
+    values, mid = _array(sorted_values), lambda a: F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(sorted_values)).alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        less = F.get(values, mid(a)) < x
+        open_ = a["lo"] < a["hi"]
+        return F.struct(F.when(open_ & less, mid(a) + 1).otherwise(a["lo"]).alias("lo"), F.when(open_ & ~less, mid(a)).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(sorted_values).bit_length())), start, step)["lo"]
+
+
+def _ranges(light: DataFrame) -> tuple[list[int], list[int], int]:
+    """(upper ends of ranges of ids, into how many by hash each is split, and the null ids), so
+    that a range, or a share of a single frequent id, holds about ``RANGE_BYTES``."""
+    total = light.agg(F.sum("bytes")).first()[0] or 0
+    share = max(RANGE_BYTES, -(-total // MOST_RANGES))
+    fine = max(1, 4 * -(-total // share))
+    found = light.agg(F.percentile_approx("id", [k / fine for k in range(1, fine + 1)], max(10_000, 10 * fine))).first()[0] if fine > 1 else None
+    found = [int(v) for v in found or []]
+    often = [v for v, after in zip(found, found[1:], strict=False) if v == after]
+    cuts = sorted({*found, *(v - 1 for v in often)})
+    sums = light.groupBy(F.when(F.col("id").isNotNull(), _smaller(cuts, F.col("id"))).alias("k")).agg(F.sum("bytes").alias("bytes"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    ends, splits, held, of_null = [], [], 0, 1
+    for r in sorted(sums.collect(), key=lambda r: (r["k"] is None, r["k"])):  # a row for each of the cuts
+        many = -(-r["bytes"] // share)
+        if r["k"] is None:
+            of_null = many
+        elif r["lo"] == r["hi"] and many > 2:
+            ends += [r["lo"] - 1, r["lo"]]
+            splits += [1, many]
+            held = 0
+        else:
+            held += r["bytes"]
+            if held >= share:
+                ends.append(r["hi"])
+                splits.append(1)
+                held = 0
+    return ends, [*splits, 1], of_null
+
+
+def with_next(docs: DataFrame, id_col: str, text_col: str, derive: Callable[[DataFrame], DataFrame], columns: list[str], prefix: str) -> DataFrame:
+    """``derive(docs)``, and ``columns`` of the next row by descending ``id_col`` (a whole number;
+    nulls last, ties by the text's hash and the columns; after the last the first) with
+    ``prefix``.
+
+    Rows are dealt by ranges of ids of about equal bytes (a frequent id, or null, by ranges of
+    its texts' hashes as well), each range finds its rows' successors in itself, and its last
+    row gets the first row of the range below.  Rows alike in id and text are one range."""
+    h = F.shiftrightunsigned(F.xxhash64(text_col), 1)
+    light = durable(docs.select(F.col(id_col).cast("bigint").alias("id"), h.alias("h"), (F.octet_length(text_col) + 64).cast("bigint").alias("bytes")))
+    ends, splits, of_null = _ranges(light)
+    first = [0, *accumulate(splits)]
+
+    def bucket(i: Column, h: Column) -> Column:
+        part = lambda n: F.least(F.floor(h / F.lit(2.0**63) * n), n - 1)
+        k = _smaller(ends, i)
+        here = F.get(_array(first), k) + part(F.get(_array(splits), k))
+        return F.when(i.isNull(), part(F.lit(of_null)) - of_null).otherwise(here).cast("bigint")
+
+    inside = Window.partitionBy("_bucket").orderBy(F.desc_nulls_last(id_col), F.desc("_h"), *(F.desc(c) for c in columns))
+    dealt = docs.withColumn("_h", h).withColumn("_bucket", bucket(F.col(id_col), F.col("_h")))
     rows = derive(dealt).withColumn("_next", F.lead(F.struct(*columns)).over(inside))
-    # the first row of each range: at most ``parts`` + 1 rows
-    top = dealt.groupBy("_bucket").agg(F.max(id_col).alias("_top"))
-    firsts = dealt.join(F.broadcast(top), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_top"))).repartition(F.col("_bucket"))
-    firsts = derive(firsts).withColumn("_k", F.row_number().over(inside)).where("_k = 1").select("_bucket", F.struct(*columns).alias("_first"))
-    down = Window.orderBy(F.desc("_bucket"))
-    below = firsts.select("_bucket", F.coalesce(F.lead("_first").over(down), F.first("_first").over(down)).alias("_below"))
+    top = light.groupBy(bucket(F.col("id"), F.col("h")).alias("_bucket")).agg(F.max(F.struct("id", "h")).alias("_top"))
+    order = sorted((r["_bucket"] for r in top.select("_bucket").collect()), reverse=True)  # a number for each range
+    above = docs.sparkSession.createDataFrame(list(zip(order[1:] + order[:1], order, strict=True)), "_bucket bigint, _above bigint")
+    # the first row of each range, without gathering rows alike
+    mine = dealt.join(F.broadcast(top), "_bucket").where(F.col(id_col).eqNullSafe(F.col("_top.id")) & (F.col("_h") == F.col("_top.h")))
+    plain = [c for c in docs.columns if c != id_col]
+    firsts = mine.groupBy("_bucket").agg(F.max(F.struct(*plain)).alias("_first")).select("_bucket", F.lit(None).cast(dict(docs.dtypes)[id_col]).alias(id_col), "_first.*")
+    below = derive(firsts).select("_bucket", F.struct(*columns).alias("_first")).join(above, "_bucket").select(F.col("_above").alias("_bucket"), F.col("_first").alias("_below"))
     found = rows.join(below, "_bucket").withColumn("_next", F.coalesce("_next", "_below"))
-    return found.drop("_bucket", "_below").select("*", *(F.col(f"_next.{c}").alias(prefix + c) for c in columns)).drop("_next")
+    return found.drop("_bucket", "_h", "_below").select("*", *(F.col(f"_next.{c}").alias(prefix + c) for c in columns)).drop("_next")
 
 
 def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +186,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts are empty; null ids come last; rows alike in id and text may swap places;
     an empty table gives no rows; other columns are ignored."""
     own = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    both = with_next(own, "doc_id", lambda df: df.withColumn("signs", signatures(F.col("text"))), ["text", "signs"], "next_")
+    both = with_next(own, "doc_id", "text", lambda df: df.withColumn("signs", signatures(F.col("text"))), ["text", "signs"], "next_")
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))

@@ -33,20 +33,27 @@ def test_ids_are_the_librarys(library):
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
     held = tokens.PreTokenDictionary(BPE)
     assert [x.tolist() for _, x in held.id_rows(pa.array(texts))] == want
-    assert held.counts(pa.array(texts)).tolist() == [len(x) for x in want]
     tokens.CACHE_ENTRIES, kept = 50, tokens.CACHE_ENTRIES
     try:
-        assert held.counts(pa.array(texts)).tolist() == [len(x) for x in want]
+        assert [x.tolist() for _, x in held.id_rows(pa.array(texts))] == want
     finally:
         tokens.CACHE_ENTRIES = kept
 
 
-def test_token_counts(spark, sf_dir, docs, library, odd_docs, no_docs):
+def test_token_counts(spark, sf_dir, docs, library, odd_docs, no_docs, monkeypatch):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op8_token_counts(spark, sf_dir).collect()}
     for i, t, _ in docs:
         n = len(library.encode(t, add_special_tokens=False).ids)
         assert got[i] == (len(t.encode()), n, n > 1024)
+    monkeypatch.setattr(token_counts, "PART_PRETOKENS", 1000)
+    pack = token_counts.blocks.pack
+    monkeypatch.setattr(token_counts.blocks, "pack", lambda *a, **b: pack(*a, **b, most=40_000))
+    for hops in (1, 2):  # many blocks and parts
+        if hops == 2:
+            monkeypatch.setattr(token_counts.blocks, "DIRECT_MESSAGES", 0)
+        assert {r["doc_id"]: tuple(r)[1:] for r in queries.op8_token_counts(spark, sf_dir).collect()} == got
     odd = token_counts.token_counts(odd_docs, BPE).collect()
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in odd) == Counter((r["doc_id"], len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd_docs.collect())
     assert len(odd) == odd_docs.count() and {r["doc_id"]: r["n_tokens"] for r in odd}[4] == 0
     assert token_counts.token_counts(no_docs, BPE).collect() == []
 
@@ -132,9 +139,25 @@ def test_sharding(spark, sf_dir, docs, odd_docs, no_docs):
 def test_best_fit_holds_capacity():
     sizes = np.random.default_rng(3).integers(1, 1000, 500).tolist()
     load = Counter()
-    for s, n in zip(sharding.best_fit(sizes, 8), sizes, strict=True):
-        load[s] += n
+    plan = sharding.best_fit(dict(Counter(sizes)), 8)
+    for size, _rank, n, s in plan:
+        load[s] += size * n
     assert max(load.values()) <= 1.001 * sum(sizes) / 8 + 1
+    capacity = max(load.values())
+    rooms, want = [capacity] * 8, Counter()
+    for size in sorted(sizes, reverse=True):  # best fit decreasing, item by item, under the same capacity
+        k = min((k for k in range(8) if rooms[k] >= size), key=lambda k: (rooms[k], k))
+        rooms[k] -= size
+        want[k, size] += 1
+    got = Counter()
+    for size, _rank, n, s in plan:
+        got[s, size] += n
+    by_shard = lambda c: sorted(sorted((size, n) for (s, size), n in c.items() if s == k) for k in range(8))
+    assert by_shard(got) == by_shard(want)
+    ranks = defaultdict(list)
+    for size, rank, n, _ in plan:
+        ranks[size] += range(rank, rank + n)
+    assert all(sorted(r) == list(range(Counter(sizes)[size])) for size, r in ranks.items())
 
 
 def test_mixing(spark, sf_dir, docs, odd_docs, no_docs):
@@ -165,8 +188,25 @@ def test_chunks_land_together(spark, monkeypatch):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 50
 
 
-def test_targets_are_shared_again():
-    goal = mixing.targets([("b", 10), ("a", 1000), (None, 990)], (1, 2, 3), 3.0)
+def test_targets_are_shared_again(spark):
+    of = lambda rows: {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, size long"), (1, 2, 3), 3.0).collect()}
+    goal = of([("b", 10), ("a", 1000), (None, 990)])
+    assert of([]) == {} and of([("a", 0), ("b", 0)]) == {"a": 0, "b": 0}
+    sizes = np.random.default_rng(8).integers(0, 400, 200).tolist()
+    sizes[50] = 90_000
+    names = [f"s{k:03}" for k in range(200)]
+    shares = of(list(zip(names, sizes, strict=True)))
+    want, left, free = {}, float(sum(sizes)), set(range(200))
+    while True:  # share again until none is above
+        unit = left / sum(1 + k % 3 for k in free)
+        over = [k for k in free if unit * (1 + k % 3) > 3 * sizes[k]]
+        if not over:
+            break
+        want |= {k: 3.0 * sizes[k] for k in over}
+        left -= sum(3.0 * sizes[k] for k in over)
+        free -= set(over)
+    want |= {k: unit * (1 + k % 3) for k in free}
+    assert all(abs(shares[n] - want[k]) < 1e-6 for k, n in enumerate(names))
     assert goal["b"] == 30 and abs(goal["a"] + goal[None] - 1970) < 1e-9 and abs(goal[None] / goal["a"] - 3) < 1e-9
 
 
@@ -201,20 +241,43 @@ def test_nearest(spark, sf_dir):
 
 
 def test_nearest_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (50, [1.0, 0.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (1, [1.0, 0.1])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (50, [1.0, 0.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (1, [1.0, 0.1]), (100, [3.0, 2.0, 1.0]), (50, [0.0, 1.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
+    # rows that share an id are rows of their own; other dimensions meet among themselves
+    want = [(0, 1, 50), (0, 2, 1), (0, 3, 1), (0, 4, 50), (50, 1, 0), (50, 1, 1), (50, 2, 1), (50, 2, 1), (50, 3, 0), (50, 3, 1), (50, 4, 50), (50, 4, 50), (100, 1, 7)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == want
     assert ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").where("false")).collect() == []
 
 
 def test_probe_retrieves_the_whole_ball():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((500, 16))
-    codes = ann.fit(x)
-    index, words = ann.MultiIndex(codes, x), codes.of(x)
-    apart = np.bitwise_count(words[:40, None] ^ words[None]).sum(axis=2)
-    found = index.probe(words[:40], 1)
-    assert (found >= (apart <= codes.radius)).all()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = ann.learn(x)
+    codes.reach = 2
+    words = codes.of(x)
+    index = ann.MultiIndex(codes, words)
+    apart = np.bitwise_count(words[:40, None] ^ words[None])
+    found = index.probe(words[:40])
+    assert (found == (apart.min(axis=2) <= 2)).all() and (found >= (apart.sum(axis=2) <= codes.radius)).all() and not found.all()
+    codes.limit = 60
+    query, row, held = index.candidates(words[:40], 7)
+    assert (held >= found.sum(axis=1)).all() and (np.bincount(query, minlength=40) >= 7).all()
+
+
+def test_blocks_of_the_index_find_what_one_finds(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((700, 8))
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 8000)
+    got = ann.nearest(table, every=5).collect()
+    hit = 0
+    for q in range(0, 700, 5):
+        cos = unit @ unit[q]
+        cos[q] = -9
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(np.argsort(-cos)[:5].tolist()))
+    assert len(got) == 700 and hit / 700 >= 0.9
 
 
 def test_quality(spark, odd_docs, no_docs):

@@ -9,9 +9,11 @@ never has more than a bounded share of a part's memory, and parts are dealt the
 hash.  A part holds the subtrees of its prefixes cut at depth ``width``: its suffixes in
 order, those alike down to that depth under one node.  A node with leaves in two documents
 is a repeat (a longer maximal repeat is a chain of such nodes), and every leaf but those of
-the smallest document is told so.  Suffixes travel as 80-bit fingerprints of their run,
-once for each block with the block's smallest document, never as text; two of n different
-runs share a fingerprint with a chance of about n*n/2**81.
+the smallest document is told so.  Suffixes travel as 64-bit fingerprints of their run,
+once for each block with the block's smallest document, never as text.  A part is chosen
+by other hashes than the fingerprint, so two different runs are only taken for each other
+if they share both: among n runs in parts of 2**17 that is expected n/2**48 times, 0.06 at
+100 TB of text.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from . import blocks, kernel
 
 #: Suffixes of a part; it sorts them in some 60 bytes each.
-PART_SUFFIXES = 1 << 18
+PART_SUFFIXES = 1 << 17
 #: A prefix that begins more runs than this is made longer.
 GROUP_SUFFIXES = PART_SUFFIXES // 8
 #: Least and most buckets of the table of prefixes of one length.
@@ -39,23 +41,23 @@ _U = np.uint64
 
 
 class _Suffixes:
-    """The runs of a block's rows, in order: 80-bit fingerprints, and what ``prefixes`` makes
-    of their prefixes.  Worked out a slice of the text at a time."""
+    """The runs of a block's rows, in order: fingerprints, and what ``prefixes`` makes of their
+    prefixes and another hash of the whole.  Worked out a slice of the text at a time."""
 
     def __init__(self, column: pa.ChunkedArray, width: int, prefixes):
         self.data, self.offsets = kernel.buffers(column)
-        low, high, made, counts = [np.zeros(0, _U)], [np.zeros(0, np.uint16)], [], [np.zeros(0, np.int64)]
+        prints, made, counts = [np.zeros(0, _U)], [], [np.zeros(0, np.int64)]
         for i, j in kernel.slices(self.offsets):
             hashes, n = kernel.word_hashes(self.data[self.offsets[i] : self.offsets[j]], self.offsets[i : j + 1] - self.offsets[i], lower=False)
             at = kernel.run_starts(n, width)
             counts.append(n)
             if not len(at):
                 continue
-            low.append(kernel.mix64(kernel.rolling(hashes, width)[at]))
+            prints.append(kernel.mix64(kernel.rolling(hashes, width)[at]))
             with np.errstate(over="ignore"):
-                high.append((kernel.rolling(kernel.mix64(hashes + _U(0x632BE59BD9B4E019)), width, 0x9FB21C651E98DF25)[at] >> _U(48)).astype(np.uint16))
-            made.append(prefixes([kernel.mix64(kernel.rolling(hashes, d + 1)[at]) for d in range(min(_DEPTHS, width))], low[-1]))
-        self.low, self.high, self.counts, self.made = np.concatenate(low), np.concatenate(high), np.concatenate(counts), made
+                other = kernel.mix64(hashes + _U(0x632BE59BD9B4E019))
+            made.append(prefixes([kernel.mix64(kernel.rolling(other, d + 1)[at]) for d in (*range(min(_DEPTHS, width)), width - 1)]))
+        self.prints, self.counts, self.made = np.concatenate(prints), np.concatenate(counts), made
         self.runs = kernel.run_rows(self.counts, width)
 
     def rows(self) -> np.ndarray:
@@ -63,10 +65,10 @@ class _Suffixes:
 
 
 def _tables(bits: int, depths: int):
-    """For ``_Suffixes``: how many runs each bucket of prefixes begins, by prefix length; and runs."""
+    """For ``_Suffixes``: how many runs each bucket of prefixes begins, by prefix length."""
 
-    def count(prefixes: list[np.ndarray], _: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount((p >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) for p in prefixes])
+    def count(prefixes: list[np.ndarray]) -> np.ndarray:
+        return np.stack([np.bincount((p >> _U(64 - bits)).astype(np.int64), minlength=1 << bits) for p in prefixes[:depths]])
 
     return count
 
@@ -87,9 +89,9 @@ def _survey(text_col: str, width: int, bits: int):
 def _owners(heavy: np.ndarray, bits: int, parts: int):
     """For ``_Suffixes``: the part of each run, by the hash of its shortest light prefix."""
 
-    def own(prefixes: list[np.ndarray], whole: np.ndarray) -> np.ndarray:
-        chosen = whole
-        for d in range(len(prefixes) - 1, -1, -1):
+    def own(prefixes: list[np.ndarray]) -> np.ndarray:
+        chosen = prefixes[-1]  # the whole run
+        for d in range(len(prefixes) - 2, -1, -1):
             chosen = np.where(heavy[d][(prefixes[d] >> _U(64 - bits)).astype(np.int64)], chosen, prefixes[d])
         # the high bits chose the bucket, so that the part needs others
         return (((kernel.mix64(chosen) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int32)
@@ -97,20 +99,22 @@ def _owners(heavy: np.ndarray, bits: int, parts: int):
     return own
 
 
-def _nodes(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nodes(prints: np.ndarray, owner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(order, head): leaves in an order that has those of one node together, the first of
-    them as they came first, and where nodes begin in it."""
-    order = np.argsort(low, kind="stable")
-    same, other = np.diff(low[order]) == 0, np.diff(high[order].astype(np.int32)) != 0
-    if (same & other).any():  # two different runs share 64 bits: sort by all 80
-        order = np.lexsort((high, low))
-        same, other = np.diff(low[order]) == 0, np.diff(high[order].astype(np.int32)) != 0
-    return order, np.concatenate((np.ones(min(len(low), 1), bool), ~same | other))
+    them as they came first, and where nodes begin in it.  Leaves of different parts are
+    different whatever their fingerprints."""
+    order = np.argsort(prints, kind="stable")
+    same = np.diff(prints[order]) == 0
+    if owner is not None and (other := same & (np.diff(owner[order]) != 0)).any():
+        order = np.lexsort((owner, prints))
+        same, other = np.diff(prints[order]) == 0, np.diff(owner[order]) != 0
+        same &= ~other
+    return order, np.concatenate((np.ones(min(len(prints), 1), bool), ~same))
 
 
 def _asked(s: _Suffixes, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
     """(order, head, [(part, its nodes' first leaves, ascending)])."""
-    order, head = _nodes(s.low, s.high)
+    order, head = _nodes(s.prints, owner)
     first = np.sort(order[head])
     first = first[np.argsort(owner[first], kind="stable")]
     cuts = np.flatnonzero(np.diff(owner[first])) + 1
@@ -123,17 +127,16 @@ def _ids(rows: pa.Table, id_col: str) -> np.ndarray:
 
 def _repeats(_: int, asked: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
     """The subtrees of one part: tell each block which of its nodes began in a smaller document."""
-    low, high, least, sizes = [], [], [], []
+    prints, least, sizes = [], [], []
     for _block, payload in asked:
-        keys, more, places, ids = blocks.split_parts(payload)
-        low.append(np.frombuffer(keys, "<u8"))
-        high.append(np.frombuffer(more, "<u2"))
+        keys, places, ids = blocks.split_parts(payload)
+        prints.append(np.frombuffer(keys, "<u8"))
         with np.errstate(over="ignore"):
             documents = np.cumsum(np.frombuffer(blocks.unsqueeze(ids), "<i8"))
         least.append(documents[np.cumsum(blocks.unwidths(blocks.unsqueeze(places)))])
-        sizes.append(len(low[-1]))
+        sizes.append(len(prints[-1]))
     doc = np.concatenate(least)
-    order, head = _nodes(np.concatenate(low), np.concatenate(high))
+    order, head = _nodes(np.concatenate(prints))
     smallest = np.minimum.reduceat(doc[order], np.flatnonzero(head))
     later = np.empty(len(doc), dtype=bool)
     later[order] = smallest[np.cumsum(head) - 1] < doc[order]
@@ -177,7 +180,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
             mine, place = np.unique(row[at], return_inverse=True)
             with np.errstate(over="ignore"):
                 gaps = np.diff(ids[mine], prepend=0).astype("<i8").tobytes()
-            yield part, blocks.join_parts([s.low[at].astype("<u8").tobytes(), s.high[at].astype("<u2").tobytes(), blocks.squeeze(blocks.widths(np.diff(place, prepend=0))), blocks.squeeze(gaps)])
+            yield part, blocks.join_parts([s.prints[at].astype("<u8").tobytes(), blocks.squeeze(blocks.widths(np.diff(place, prepend=0))), blocks.squeeze(gaps)])
 
     def cut(rows: pa.Table, told: dict[int, bytes]) -> pa.Table:
         s, owner, ids = leaves(rows)

@@ -58,9 +58,9 @@ def test_odd_documents(odd_docs, no_docs):
     assert substring.remove_repeats(no_docs, digest=True).collect() == []
 
 
-def test_runs_that_share_64_bits_stay_apart():
-    low, high = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.uint16)
-    order, head = substring._nodes(low, high)
+def test_runs_of_different_parts_stay_apart():
+    prints, owner = np.array([5, 5, 5, 9, 5], np.uint64), np.array([1, 2, 1, 1, 2], np.int32)
+    order, head = substring._nodes(prints, owner)
     node = np.empty(5, int)
     node[order] = np.cumsum(head) - 1
     assert node[0] == node[2] != node[1] == node[4] and len(set(node)) == 3

@@ -30,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows of ``df``, kept in the shared folder so that a lost executor loses none.
 

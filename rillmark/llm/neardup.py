@@ -38,6 +38,8 @@ PART_SHINGLES = 1 << 18
 CLASS_BITS = 64
 #: Into how many a centre's members are dealt.
 SALTS = 16
+#: Classes with this share of all ends of links are joined by broadcast; at most as many are.
+HOT_CLASSES = 512
 #: Sets that meet as many others at once.
 TILE_ROWS = 128
 
@@ -301,16 +303,25 @@ def _intersections(row: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
     return both.astype(np.int64)
 
 
+def _told_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``edges`` with what ``least`` (u, m, n) says of their u.  Classes that have a share of
+    1 / HOT_CLASSES of all ends of edges are told by broadcast, the others by a join."""
+    hot = F.col("n") * HOT_CLASSES >= ends
+    few = F.broadcast(least.where(hot).drop("n"))  # at most HOT_CLASSES rows
+    return edges.join(few, "u").unionByName(edges.join(few, "u", "left_anti").join(least.where(~hot).drop("n"), "u"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cls, label): the smallest class reachable over links (a, b), by alternating stars:
     large ones tie larger neighbours to the smallest, small ones the smaller."""
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        ends, n = 2 * edges.count(), F.count(F.lit(1)).alias("n")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), n)
+        large = _told_least(both.where("v > u"), least, ends).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), n)
+        small = _told_least(large, least, ends).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = durable(small)
         # done when the edges are stars: every class leads to one, and none that is led to leads on
         ends = edges.select(F.col("u").alias("w"), F.lit(1).alias("_out"), F.lit(0).alias("_in")).unionByName(edges.select(F.col("v").alias("w"), F.lit(0).alias("_out"), F.lit(1).alias("_in")))

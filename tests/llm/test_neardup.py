@@ -99,3 +99,16 @@ def test_tiles_find_links_across_components(spark, monkeypatch):
         rows.append((2 + g, " ".join(cut + [f"tail{g}"])))
     got = as_rows(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).drop("text_hash"))
     assert got == brute(rows, 4) and len({r[2] for r in got}) > 1
+
+
+def test_classes_that_share_a_name_are_told_apart(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(neardup, "CLASS_BITS", 4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert as_rows(neardup.near_duplicates(docs, width=4).drop("text_hash")) == brute(rows, 4)
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 9, 9, 9, 9), (2, "a b c d e f", 8, 8, 8, 8), (1, "a b c d e f", 9, 9, 9, 9), (None, "a b c d e f", 7, 7, 7, 7)]
+    kept = neardup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash long, _k int, _row int"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3]], key=str)

@@ -1,10 +1,11 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rillmark.llm import packing
+from rillmark.llm import packing, quality
 from rillmark.llm.common import tokenizer_path
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -31,6 +32,38 @@ def test_stages_return_documents(kept):
     assert n["input"] > n["quality"] > n["near_dedup"] == n["substring_dedup"]
 
 
+def test_stages_against_brute_force(spark, kept):
+    """What the first three stages keep, by the model on each text, union of all similar
+    pairs, and all runs of fifty words."""
+    docs = {r["doc_id"]: r["text"] for r in kept["input"].collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality.train(kept["input"], labels)
+    good = {i for i, s in zip(docs, model.scores(pa.array(list(docs.values()))), strict=True) if s >= 0.3}
+    assert {r["doc_id"] for r in kept["quality"].collect()} == good
+    words = {i: WORDS.findall("".join(c.lower() if c.isascii() else c for c in docs[i])) for i in good}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in words.items()}
+    least = {i: i for i in good}
+
+    def root(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a in sorted(good):
+        for b in sorted(good):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                least[y] = x
+    stays = {i for i in good if root(i) == i}
+    assert {r["doc_id"] for r in kept["near_dedup"].collect()} == stays
+    first, texts = {}, {}
+    for i in sorted(stays):
+        w = WORDS.findall(docs[i])
+        gone = {k + j for k in range(len(w) - 49) if first.setdefault(tuple(w[k : k + 50]), i) < i for j in range(50)}
+        texts[i] = " ".join(x for k, x in enumerate(w) if k not in gone) if gone else docs[i]
+    assert {r["doc_id"]: r["text"] for r in kept["substring_dedup"].collect()} == texts
+
+
 def test_no_near_copies_stay(kept):
     def sets(df):
         out = {}

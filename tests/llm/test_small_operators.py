@@ -178,6 +178,19 @@ def test_mixing(spark, sf_dir, docs, odd_docs, no_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(no_docs).collect() == []
 
 
+def test_mixing_alike_rows_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_ROWS", 16)
+    docs = spark.createDataFrame([(None, "a", "w w w w", 1, 2)] * 300 + [(k, "b", "w " * 6, 3, 4) for k in range(100)], "doc_id long, source string, text string, _id int, _copies int")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 400 and {r["size"] for r in rows} == {4, 6}
+    for s in "ab":
+        own = [r for r in rows if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 6
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns and taken.count() == sum(r["copies"] for r in rows)
+    assert {tuple(r)[3:] for r in taken.collect()} == {(1, 2), (3, 4)}
+
+
 def test_chunks_land_together(spark, monkeypatch):
     monkeypatch.setattr(mixing, "CHUNK_ROWS", 16)
     docs = spark.createDataFrame([(k, "a", "w " * (1 + k * 7 % 50)) for k in range(400)] + [(k, "b", "w " * 30) for k in range(400, 500)], "doc_id long, source string, text string")
@@ -294,6 +307,32 @@ def test_quality(spark, odd_docs, no_docs):
     assert quality.classify(no_docs, quality.train(no_docs, labels)).collect() == []
 
 
+def test_hinge_loss_model_is_the_least():
+    """Against projected gradient steps on the same dual problem."""
+    rng = np.random.default_rng(7)
+    label = rng.integers(0, 2, 40)
+    rows = [np.unique(np.append(rng.integers(0, 60, 12), 70 + y)) if rng.random() < 0.7 else np.unique(rng.integers(0, 60, 12)) for y in label]
+    scale = np.zeros(quality.COLUMNS)
+    scale[:100] = rng.normal(0, 1, 100)
+    w, bias = quality.dual_coordinate_descent(rows, scale, label, 1.0, 5000, 0)
+    x = np.zeros((40, 101))
+    for k, r in enumerate(rows):
+        x[k, r], x[k, 100] = scale[r] / np.sqrt(len(r)), 1
+    y = np.where(label == 1, 1.0, -1.0)
+    upper = np.where(label == 1, 40 / (2 * (label == 1).sum()), 40 / (2 * (label == 0).sum()))
+    gram = (y[:, None] * x) @ (y[:, None] * x).T
+    alpha, step = np.zeros(40), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(100_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, upper)
+    want = (alpha * y) @ x
+    assert np.abs(w[:100] - want[:100]).max() < 0.02 and abs(bias - want[100]) < 0.02
+
+
+def test_features_travel_whole():
+    for feature in (np.array([], np.int64), np.array([0, 5, quality.COLUMNS - 1]), np.arange(0, quality.COLUMNS, 3)):
+        assert quality._from_bytes(quality._to_bytes(feature)).tolist() == feature.tolist() and len(quality._to_bytes(feature)) <= 1 + quality.COLUMNS // 8
+
+
 def test_hinge_loss_model_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.append(rng.integers(10, 200, 20), y)) for y in (0, 1) * 50]
@@ -325,6 +364,53 @@ def test_fingerprints(spark, sf_dir, docs, odd_docs, no_docs):
     assert one["near_next"] == 1.0
 
 
+def extracted(text):
+    """(anchor and content word, second content word) chains of a text, read word by word."""
+    words = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    anchors, out, k = set(spotsigs.ANCHORS), [], 0
+    while k < len(words):
+        j = k
+        while j < len(words) and words[j] in anchors:
+            j += 1
+        if j == k:
+            out.append(words[k])
+        elif j < len(words):
+            out.append(f"{words[k]}^{words[j]}")
+        else:
+            out += words[k:]
+        k = j + 1
+    if out and "^" not in out[0]:
+        out[0] = "^" + out[0]
+    return {(t, (out[k + 1] if k + 1 < len(out) else t).split("^")[-1]) for k, t in enumerate(out) if "^" in t}
+
+
+def test_signatures_against_a_reading_word_by_word(spark, docs):
+    chains = {t: extracted(t) for _, t, _ in docs}
+    flat = sorted({c for s in chains.values() for c in s})
+    names = {(r[0], r[1]): r[2] for r in spark.createDataFrame(flat, "a string, b string").selectExpr("a", "b", "hash(a, b)").collect()}
+    rows = spotsigs.fingerprints(spark.createDataFrame([(t,) for t in chains], "text string").selectExpr("0 AS doc_id", "text"), text_col="text")
+    got = Counter(tuple(r["signatures"]) for r in rows.collect())
+    assert got == Counter(tuple(sorted({names[c] for c in s})) for s in chains.values())
+
+
+def test_fingerprints_of_frequent_ids(spark, monkeypatch):
+    """Null ids, one id on a third of all rows, and rows alike, over many ranges."""
+    import hashlib
+
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 300)
+    rows = [(k, f"the cat {k} sat on a mat {k * 7}") for k in range(60)] + [(None, f"la casa {k} es de mi {k}") for k in range(30)] + [(33, f"der hund {k} ist im haus {k}") for k in range(40)] + [(61, "the same dog of mine")] * 5
+    got = spotsigs.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hashed = spark.createDataFrame([(t,) for _, t in rows], "text string").distinct().selectExpr("text", "shiftrightunsigned(xxhash64(text), 1)").collect()
+    h = {r[0]: r[1] for r in hashed}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -h[r[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
+
+
 def test_similar_pairs(spark, sf_dir):
     prints = spotsigs.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")).cache()
     sets = {r["fingerprint"]: set(r["signatures"]) for r in prints.collect() if r["signatures"]}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm import mixing, neardup, packing, quality, substring
-from rillmark.llm.common import shared_folder, tokenizer_path
+from rillmark.llm.common import delete, shared_folder, tokenizer_path
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that a smaller id has."""
-    cut = substring.remove_repeats(docs, width=50, count_cols=("_n_words", "_n_removed"))
+    spare = "_" * (1 + max(map(len, docs.columns)))  # names that no column has
+    cut = substring.remove_repeats(docs, width=50, count_cols=(f"{spare}words", f"{spare}removed"))
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(f"{spare}removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cut.drop(f"{spare}words", f"{spare}removed").select(*(f"`{c}`" for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,13 +63,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows.  What each stage but the last kept lies as Parquet in a folder of
-    its own below the shared one, so that no stage runs twice; its owner may delete it."""
+    """The last stage's rows.  What each stage but the last kept is written as Parquet in a
+    folder of its own below the shared one, so that no stage runs twice, and deleted once the
+    next stage's lies beside it.  What the last stage reads stays: its owner may delete it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
+    folder, done = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}", None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
             docs.write.parquet(f"{folder}/{name}")
             docs = spark.read.parquet(f"{folder}/{name}")
+            if done:
+                delete(spark, done)
+            done = f"{folder}/{name}"
     return docs

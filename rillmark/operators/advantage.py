@@ -2,14 +2,17 @@
 
 Outcome estimators work on trajectories: the score of one is the plain sum of its token
 rewards, and what they give is one number per trajectory, broadcast over its masked
-tokens.  Estimators that recur over a trajectory fold an array; those that relate equal
-positions of a group work on token rows.
+tokens.  Estimators that recur over a trajectory walk gathered arrays; those that relate
+equal positions of a group work on token rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,39 +139,47 @@ def gdpo(scores: DataFrame, tokens: DataFrame, by: list[str], keys: dict[str, fl
     return whitened_outcome(tokens, total.withColumn("advantage", weighted))
 
 
-def _token_arrays(tokens: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per trajectory: its tokens from last to first as structs."""
-    rows = F.reverse(F.array_sort(F.collect_list(F.struct("pos", *columns))))
-    return tokens.groupBy("uid", "traj").agg(rows.alias("_tokens"))
+def _scan(tokens: DataFrame, columns: list[str], out: dict[str, str], walk: Callable[[dict[str, np.ndarray], list, int], dict[str, np.ndarray]]) -> DataFrame:
+    """(uid, traj, pos, ...): recurrences from the last token to the first.
 
+    Trajectories are gathered as arrays; ``walk(columns, steps)`` gets the tokens of many of
+    them end to end, and for each distance from the end the trajectories that have such a
+    token and where it lies.  So the work follows the tokens, in vectors over trajectories."""
+    gathered = tokens.groupBy("uid", "traj").agg(F.array_sort(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), *columns))).alias("_tokens"))
 
-def _scan(tokens: DataFrame, columns: list[str], state: str, out: dict[str, str], step: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-    """Fold tokens from last to first; ``step`` says the new state fields and the emitted ones."""
-    emit = ", ".join(f"{c}: {t}" for c, t in out.items())
-    fields = [x.split()[0] for x in state.split(", ")]
-    zero = F.struct(*(F.lit(0.0).alias(f) for f in fields), F.array().cast(f"array<struct<pos: int, {emit}>>").alias("_out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat = lists.flatten()
+            size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends, by = np.cumsum(size), np.argsort(-size, kind="stable")
+            left = np.searchsorted(-size[by], -np.arange(int(size.max(initial=0))), side="left")  # how many are longer
+            steps = [(by[: left[k]], ends[by[: left[k]]] - 1 - k) for k in range(len(left))]
+            held = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in columns}
+            made = walk(held, steps, len(size))
+            owner = pa.array(np.repeat(np.arange(len(size)), size))
+            values = [flat.field("pos"), *(pa.array(made[c], {"int": pa.int32(), "double": pa.float64()}[t], safe=False) for c, t in out.items())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *values], names=["uid", "traj", "pos", *out])
 
-    def merge(acc: Column, t: Column) -> Column:
-        new = step(acc, t)
-        row = F.struct(t["pos"].cast("int").alias("pos"), *(new[c].cast(k).alias(c) for c, k in out.items()))
-        return F.struct(*(new[f].cast("double").alias(f) for f in fields), F.concat(acc["_out"], F.array(row)).alias("_out"))
-
-    folded = _token_arrays(tokens, columns).select("uid", "traj", F.aggregate("_tokens", zero, merge)["_out"].alias("_out"))
-    return folded.select("uid", "traj", F.inline("_out"))
+    kinds = dict(gathered.dtypes)
+    return gathered.mapInArrow(run, f"uid {kinds['uid']}, traj {kinds['traj']}, pos int, " + ", ".join(f"{c} {t}" for c, t in out.items()))
 
 
 def gae_raw(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
     """(uid, traj, pos, mask, raw_advantage, returns): generalised advantages before
     whitening.  Positions outside the mask pass the later value and sum through."""
 
-    def step(acc: Column, t: Column) -> dict[str, Column]:
-        delta = t["reward"] + gamma * acc["next_value"] - t["value"]
-        last = delta + gamma * lam * acc["last"]
-        on = t["mask"] > 0
-        kept = F.when(on, last).otherwise(acc["last"])
-        return {"next_value": F.when(on, t["value"]).otherwise(acc["next_value"]), "last": kept, "mask": t["mask"], "raw_advantage": kept, "returns": kept + t["value"]}
+    def walk(t: dict[str, np.ndarray], steps: list, n: int) -> dict[str, np.ndarray]:
+        following, last, kept = np.zeros(n), np.zeros(n), np.empty(len(t["mask"]))
+        for who, at in steps:
+            on = t["mask"][at] > 0
+            new = t["reward"][at] + gamma * following[who] - t["value"][at] + gamma * lam * last[who]
+            last[who] = np.where(on, new, last[who])
+            following[who] = np.where(on, t["value"][at], following[who])
+            kept[at] = last[who]
+        return {"mask": t["mask"], "raw_advantage": kept, "returns": kept + t["value"]}
 
-    return _scan(tokens, ["reward", "value", "mask"], "next_value double, last double", {"mask": "int", "raw_advantage": "double", "returns": "double"}, step)
+    return _scan(tokens, ["reward", "value", "mask"], {"mask": "int", "raw_advantage": "double", "returns": "double"}, walk)
 
 
 @register("gae")
@@ -180,11 +191,14 @@ def gae(tokens: DataFrame, gamma: float = 1.0, lam: float = 1.0) -> DataFrame:
 def discounted_returns(tokens: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(uid, traj, pos, mask, returns): discounted sums from the end, restarted where the mask is 0."""
 
-    def step(acc: Column, t: Column) -> dict[str, Column]:
-        running = t["reward"] + gamma * acc["running"]
-        return {"running": running * t["mask"], "mask": t["mask"], "returns": running}
+    def walk(t: dict[str, np.ndarray], steps: list, n: int) -> dict[str, np.ndarray]:
+        running, out = np.zeros(n), np.empty(len(t["mask"]))
+        for who, at in steps:
+            out[at] = t["reward"][at] + gamma * running[who]
+            running[who] = out[at] * t["mask"][at]
+        return {"mask": t["mask"], "returns": out}
 
-    return _scan(tokens, ["reward", "mask"], "running double", {"mask": "int", "returns": "double"}, step)
+    return _scan(tokens, ["reward", "mask"], {"mask": "int", "returns": "double"}, walk)
 
 
 @register("reinforce_plus_plus")
@@ -268,15 +282,15 @@ def current_kl(tokens: DataFrame, kl: Column) -> DataFrame:
 
 def adaptive_beta(steps: DataFrame, beta: float, target: float, horizon: float, step: str = "step", kl: str = "kl", n: str = "n") -> DataFrame:
     """The coefficient after each step of an adaptive controller (one row per step)."""
-    rows = steps.agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col(kl).alias("k"), F.col(n).cast("double").alias("n")))).alias("r"))
-    zero = F.struct(F.lit(float(beta)).alias("beta"), F.array().cast("array<struct<step: bigint, beta: double>>").alias("out"))
+    rows = steps.agg(F.array_sort(F.collect_list(F.struct(F.col(step).cast("bigint").alias("s"), F.col(kl).cast("double").alias("k"), F.col(n).cast("double").alias("n")))).alias("r"))
 
-    def merge(acc: Column, x: Column) -> Column:
-        error = F.greatest(F.least(x["k"] / target - 1, F.lit(0.2)), F.lit(-0.2))
-        new = acc["beta"] * (1 + error * x["n"] / horizon)
-        return F.struct(new.alias("beta"), F.concat(acc["out"], F.array(F.struct(x["s"].cast("bigint").alias("step"), new.alias("beta")))).alias("out"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = batch.column(0).flatten()
+            k, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("k", "n"))
+            yield pa.RecordBatch.from_arrays([flat.field("s"), pa.array(beta * np.cumprod(1 + np.clip(k / target - 1, -0.2, 0.2) * n / horizon))], names=["step", "beta"])
 
-    return rows.select(F.inline(F.aggregate("r", zero, merge)["out"]))
+    return rows.mapInArrow(run, "step bigint, beta double")
 
 
 def resample_weights(rows: DataFrame, score: str, mode: str = "pow", power: float = 2.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +52,19 @@ def at_last_valid(reward: Column, mask: Column) -> Column:
     return F.transform(mask, lambda _, i: F.when(i == n - 1, reward).otherwise(F.lit(0.0)))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where it stands inside a lambda
+    (which would work out an expression of the row again for every element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lse(x: Column) -> Column:
-    """log(sum(exp(x))), safe for large values."""
-    top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    """log(sum(exp(x))), safe for large values; two passes."""
+
+    def of(p: Column) -> Column:
+        return p["top"] + F.log(F.aggregate(p["x"], F.lit(0.0), lambda a, v: a + F.exp(v - p["top"])))
+
+    return let(F.struct(x.alias("x"), F.array_max(x).alias("top")), of)
 
 
 def log_prob(logits: Column, label: Column) -> Column:
@@ -61,12 +72,17 @@ def log_prob(logits: Column, label: Column) -> Column:
 
 
 def entropy(logits: Column) -> Column:
-    total = lse(logits)
-    return total - F.aggregate(logits, F.lit(0.0), lambda a, v: a + F.exp(v - total) * v)
+    def of(p: Column) -> Column:
+        return p["total"] - F.aggregate(p["x"], F.lit(0.0), lambda a, v: a + F.exp(v - p["total"]) * v)
+
+    return let(F.struct(logits.alias("x"), lse(logits).alias("total")), of)
 
 
 def sum_pi_squared(logits: Column) -> Column:
-    return F.exp(lse(F.transform(logits, lambda v: v * 2)) - 2 * lse(logits))
+    def of(p: Column) -> Column:
+        return F.aggregate(p["x"], F.lit(0.0), lambda a, v: a + F.exp(2 * (v - p["total"])))
+
+    return let(F.struct(logits.alias("x"), lse(logits).alias("total")), of)
 
 
 def clip(x: Column, low: float, high: float) -> Column:

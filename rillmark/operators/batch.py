@@ -23,19 +23,69 @@ def _field(rows: str, name: str) -> Column:
 
 
 def with_ranges(df: DataFrame, first: str) -> DataFrame:
-    """``_range`` numbers ranges of ``first`` of about equally many rows, in its order; nulls are -1."""
+    """``_range`` numbers ranges of ``first`` of about equally many rows, in its order; nulls are -1.
+    A text counts by its first six bytes."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.agg(F.percentile_approx(F.col(first).cast("double"), [k / width for k in range(1, width)], 1000)).first()[0] or [])) if width > 1 and dict(df.dtypes)[first] in ("int", "bigint", "double", "float") else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(first).cast("double"))) if cuts else F.lit(0)
+    if dict(df.dtypes)[first] == "string":
+        start = F.rpad(F.hex(F.substring(F.col(first).cast("binary"), 1, 6)), 12, "0")
+        place = F.conv(start, 16, 10).cast("double")
+    else:
+        place = F.col(first).cast("double")
+    cuts = sorted(set(df.agg(F.percentile_approx(place, [k / width for k in range(1, width)], 1000)).first()[0] or [])) if width > 1 else []
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < place)) if cuts else F.lit(0)
     return df.withColumn("_range", F.coalesce(bucket, F.lit(-1)))
 
 
+#: Rows whose keys the driver may hold while it looks for a place in their order.
+FEW = 100_000
+
+
+def hash_key(seed: str, *columns: Column) -> Column:
+    """The first 60 bits of an md5, which order as its hexadecimal text does."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *(c.cast("string") for c in columns))), 1, 15), 16, 10).cast("bigint")
+
+
+def among_first(df: DataFrame, keys: list[Column], n: int) -> Column:
+    """A condition that holds for the first ``n`` rows of ``df`` in the order of numeric ``keys``
+    (a total order).
+
+    The n-th row's keys are looked for instead of sorting: percentiles of a key and counts
+    between them narrow the rows in question until the driver can hold their keys, and
+    the condition compares with what it finds.  No rows are gathered or moved."""
+    if n <= 0:
+        return F.lit(False)
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*(k.alias(name) for k, name in zip(keys, names, strict=True)))
+    at, size = 0, rows.count()
+    if n >= size:
+        return F.lit(True)
+    while size > FEW and at < len(names):
+        key = F.col(names[at])
+        cuts = sorted(set(rows.agg(F.percentile_approx(key, [k / 256 for k in range(257)], 10_000)).first()[0]))
+        if len(cuts) == 1:
+            at += 1
+            continue
+        # even places lie between cuts, odd ones on them
+        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < key)) * 2 + F.array_contains(F.array(*map(F.lit, cuts)), key).cast("int")
+        counts = sorted((r[0], r[1]) for r in rows.groupBy(place.alias("p")).count().collect())  # a row for each place
+        for p, size in counts:
+            if n <= size:
+                break
+            n -= size
+        k = p // 2
+        rows = rows.where(key == F.lit(cuts[k])) if p % 2 else rows.where((key > F.lit(cuts[k - 1])) & (key < F.lit(cuts[k])) if 0 < k < len(cuts) else key < F.lit(cuts[0]) if not k else key > F.lit(cuts[-1]))
+    last = sorted(tuple(r) for r in rows.collect())[n - 1]
+    out = F.lit(True)
+    for key, value in reversed(list(zip(keys, last, strict=True))):
+        out = (key < F.lit(value)) | ((key == F.lit(value)) & out)
+    return out
+
+
 def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFrame:
     """Number rows from 0 in the order of ``order`` (which must be total).
 
-    Range-partitions by the first order column, numbers inside each range, and moves each
-    range on by the counts before it, so no task holds all rows.  That column must be
-    numeric for it; by another one all rows are one range."""
+    Range-partitions by the first order column (a number or a text), numbers inside each
+    range, and moves each range on by the counts before it, so no task holds all rows."""
     dealt = with_ranges(df, order[0])
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -43,6 +93,22 @@ def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFram
     return inside.join(F.broadcast(before), "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("bigint")).drop("_range", "_before")
 
 
+def from_columns(spark, columns: dict[str, list], schema: str | None = None) -> DataFrame:
+    """A batch from columns of equal length; its rows are numbered as they stand."""
+    if len({len(v) for v in columns.values()}) > 1:
+        raise BatchError(f"columns differ in length: { {k: len(v) for k, v in columns.items()} }")
+    rows = [(k, *r) for k, r in enumerate(zip(*columns.values(), strict=True))]
+    return spark.createDataFrame(rows, f"{IDX} bigint, {schema}" if schema else [IDX, *columns])
+
+
+def to_columns(df: DataFrame, most: int = 100_000) -> dict[str, list]:
+    """The columns of a small batch, in row order; more rows than ``most`` are an error."""
+    rows = df.orderBy(IDX).limit(most + 1).collect()
+    if len(rows) > most:
+        raise BatchError(f"more than {most} rows")
+    return {c: [r[c] for r in rows] for c in df.columns if c != IDX}
+
+
 def require_columns(df: DataFrame, names: list[str]) -> None:
     missing = [c for c in names if c not in df.columns]
     if missing:
@@ -145,10 +211,6 @@ def take_rows(df: DataFrame, positions: list[int] | DataFrame, idx: str = IDX) -
     return positions.join(df, idx)
 
 
-def mask_rows(df: DataFrame, keep: Column) -> DataFrame:
-    return df.where(keep)
-
-
 def reorder(df: DataFrame, permutation: DataFrame, idx: str = IDX) -> DataFrame:
     return take_rows(df, permutation, idx).drop(idx).withColumnRenamed("new_idx", idx)
 
@@ -270,10 +332,16 @@ def mini_batches(df: DataFrame, size: int, epochs: int, seed: str, rows: int, id
     """(epoch, batch, ...): each epoch shuffled by its own seed and cut into equal batches."""
     if rows % size:
         raise BatchError(f"{rows} rows don't divide into batches of {size}")
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("epoch").cast("string"), F.col(idx).cast("string")))
-    place = F.row_number().over(Window.partitionBy("epoch").orderBy(key, idx)) - 1
-    return each.withColumn("batch", F.floor(place / F.lit(size)).cast("int"))
+    # ranges of the hash are about equal; each is numbered in itself and moved on by those before it
+    dealt = each.withColumn("_key", key).withColumn("_range", F.floor(F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") * (width / 2**32)))
+    before = Window.partitionBy("epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    moved = dealt.groupBy("epoch", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("epoch", "_range").orderBy("_key", idx)) - 1)
+    numbered = inside.join(moved, ["epoch", "_range"]).withColumn("batch", F.floor((F.col("_place") + F.col("_before")) / F.lit(size)).cast("int"))
+    return numbered.drop("_key", "_range", "_place", "_before")
 
 
 def subsample(df: DataFrame, most: int, seed: str | None = None, idx: str = IDX) -> DataFrame:
@@ -282,6 +350,15 @@ def subsample(df: DataFrame, most: int, seed: str | None = None, idx: str = IDX)
     return df.orderBy(*order).limit(most)
 
 
+def sampler(df: DataFrame, seed: str | None = None, start: int = 0, idx: str = IDX) -> DataFrame:
+    """(place, ...): rows in the order in which they are drawn, in turn or shuffled by a seed,
+    from a place on (to go on after a restart)."""
+    if seed is None:
+        return df.withColumn("place", F.col(idx)).where(F.col("place") >= start)
+    placed = with_row_index(df.withColumn("_order", seeded_order(df, seed, idx)), ["_order", idx], "place").drop("_order")
+    return placed.where(F.col("place") >= start)
+
+
 def stride(df: DataFrame, rank: int, k: int, idx: str = IDX) -> DataFrame:
     return df.where(F.col(idx) % k == rank)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import among_first, hash_key
+
 
 class KeyError_(ValueError):
     """A key check failed; the message has a few of the keys."""
@@ -105,6 +107,27 @@ def merge_shards(shards: list[DataFrame], key: list[str], expected: int | None =
     return out
 
 
+def merge_faults(base: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
+    """(fault, n): how many keys stand against overwriting rows of ``base`` by ``fresh``."""
+    faults = {"repeated in base": duplicate_keys(base, keys), "repeated in overrides": duplicate_keys(fresh, keys), "unknown": fresh.join(base, keys, "left_anti").select(*keys).distinct()}
+    out = None
+    for name, rows in faults.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("fault"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def manifest_results(manifest: DataFrame, results: DataFrame, key: str, value: str) -> DataFrame:
+    """Every entry of a manifest with its newest result (by ``order``), or missing."""
+    newest = results.groupBy(key).agg(F.max_by(value, "order").alias(value))
+    return manifest.join(newest, key, "left").withColumn("state", F.when(F.col(value).isNull(), "missing").otherwise("done"))
+
+
+def inconsistent(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Keys whose rows disagree in any of the fields, and on how many values."""
+    return df.groupBy(key).agg(F.count_distinct(F.struct(*fields)).alias("values")).where("values > 1")
+
+
 def task_status(tasks: DataFrame, generated: DataFrame, judged: DataFrame, key: str) -> DataFrame:
     """Every task with what was generated and judged of it."""
     g, j = generated.select(key, F.lit(1).alias("_g")).distinct(), judged.select(key, F.lit(1).alias("_j")).distinct()
@@ -114,7 +137,6 @@ def task_status(tasks: DataFrame, generated: DataFrame, judged: DataFrame, key:
 
 def seeded_holdout(groups: DataFrame, key: str, seed: str, share: float) -> DataFrame:
     """Adds ``split``: floor(n * share) groups, one at least, in a seeded order validate."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
     n = groups.count()
-    held = groups.orderBy(order, key).limit(max(1, int(n * share))).select(key, F.lit("validation").alias("split"))
-    return groups.join(held, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    held = among_first(groups, [hash_key(seed, F.col(key))], max(1, int(n * share)))
+    return groups.withColumn("split", F.when(held, "validation").otherwise("train"))

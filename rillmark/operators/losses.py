@@ -6,12 +6,15 @@ straight-through and stop-gradient variants have the values of their plain forms
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .batch import among_first, hash_key
 from .masked import inside
 from .offpolicy import clamp
+from .registry import DISTILLATION
 
 def _path():
     return Window.partitionBy("traj")
@@ -144,12 +147,11 @@ def covariance(tokens: DataFrame, lp: Column) -> DataFrame:
     return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (F.col("advantage") - F.col("_a")) * (lp - F.col("_l"))).drop("_a", "_l")  # one row
 
 
-def ranked_share(tokens: DataFrame, eligible: Column, order: list, share: float, out: str, counted: Column | None = None) -> DataFrame:
-    """Marks (``out``) the first max(1, floor(share * counted tokens)) eligible rows in order.
-    Only the eligible rows are sorted, and only as many as needed are kept."""
+def ranked_share(tokens: DataFrame, eligible: Column, order: list[Column], share: float, out: str, counted: Column | None = None) -> DataFrame:
+    """Marks (``out``) the first max(1, floor(share * counted tokens)) eligible rows in the order
+    of numeric columns, by comparing with the last of them."""
     n = tokens.agg(F.greatest(F.floor(F.count_if(counted if counted is not None else eligible) * share), F.lit(1))).first()[0] or 1
-    chosen = tokens.where(eligible).orderBy(*order).limit(int(n)).select("traj", "pos", F.lit(True).alias(out))
-    return tokens.join(chosen, ["traj", "pos"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return tokens.withColumn(out, F.coalesce(eligible & among_first(tokens.where(eligible), order, int(n)), F.lit(False)))
 
 
 def clip_cov(tokens: DataFrame, lp: Column, old: Column, low: float = 1.0, high: float = 5.0, share: float = 2e-4, seed: str = "cov") -> DataFrame:
@@ -159,7 +161,7 @@ def clip_cov(tokens: DataFrame, lp: Column, old: Column, low: float = 1.0, high:
     r = ratio(lp, old)
     with_cov = covariance(tokens, lp)
     free = (m > 0) & (F.col("cov") > low) & (F.col("cov") < high) & ~is_clipped(lp, old, adv)
-    order = [F.md5(F.concat_ws(":", F.lit(seed), F.col("traj").cast("string"), F.col("pos").cast("string"))), F.col("traj"), F.col("pos")]
+    order = [hash_key(seed, F.col("traj"), F.col("pos")), F.col("traj"), F.col("pos")]
     marked = ranked_share(with_cov, free, order, share, "dropped", m > 0)
     return marked.withColumn("loss", F.when(F.col("dropped"), 0.0).otherwise(F.greatest(-adv * r, -adv * clip(r, 0.8, 1.2))))
 
@@ -167,7 +169,7 @@ def clip_cov(tokens: DataFrame, lp: Column, old: Column, low: float = 1.0, high:
 def kl_cov(tokens: DataFrame, lp: Column, old: Column, share: float = 2e-4, coef: float = 1.0) -> DataFrame:
     """Adds ``loss``: plain, plus the log-probability's move on the tokens of largest covariance."""
     adv, d = F.col("advantage"), lp - old
-    marked = ranked_share(covariance(tokens, lp), F.col("mask") > 0, [F.desc("cov"), F.col("traj"), F.col("pos")], share, "held")
+    marked = ranked_share(covariance(tokens, lp), F.col("mask") > 0, [-F.col("cov"), F.col("traj"), F.col("pos")], share, "held")
     plain = -adv * F.exp(d)
     return marked.withColumn("loss", F.when(F.col("held"), plain + coef * F.abs(d)).otherwise(plain))
 
@@ -187,3 +189,42 @@ def aggregate(tokens: DataFrame, value: Column, mode: str, horizon: float | None
     if mode == "seq-mean-token-mean":
         return seq.agg(F.avg(F.col("s") / (F.col("n") + 1e-8)).alias("loss"))
     raise ValueError(f"unknown aggregation {mode!r}")
+
+
+def entropy_loss(tokens: DataFrame, entropy: Column, mode: str = "token-mean", horizon: float | None = None) -> DataFrame:
+    return aggregate(tokens, entropy, mode, horizon)
+
+
+def forward_topk(student: Column, teacher: Column, k: int) -> Column:
+    """struct<loss, student_mass, teacher_mass, overlap> of two arrays of logits: the divergence
+    from the teacher over its k likeliest ids (not below 0), the probability that either
+    gives them, and how many of them are among the student's k."""
+    from .arrays import let, lse
+
+    def top(x: Column) -> Column:
+        return F.transform(F.slice(F.array_sort(F.transform(x, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))), 1, k), lambda r: r["i"])
+
+    def of(p: Column) -> Column:
+        pairs = F.transform(p["ids"], lambda i: F.struct((F.get(p["s"], i) - p["s_lse"]).alias("s"), (F.get(p["t"], i) - p["t_lse"]).alias("t")))
+        add = lambda f: F.aggregate(pairs, F.lit(0.0), lambda a, x: a + f(x))
+        return F.struct(
+            F.greatest(add(lambda x: F.exp(x["t"]) * (x["t"] - x["s"])), F.lit(0.0)).alias("loss"), add(lambda x: F.exp(x["s"])).alias("student_mass"), add(lambda x: F.exp(x["t"])).alias("teacher_mass"),
+            F.size(F.array_intersect(p["ids"], p["own"])).alias("overlap"),
+        )
+
+    return let(F.struct(student.alias("s"), teacher.alias("t"), lse(student).alias("s_lse"), lse(teacher).alias("t_lse"), top(teacher).alias("ids"), top(student).alias("own")), of)
+
+
+for _name in ("kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3"):
+    DISTILLATION.register(_name)(partial(kl_penalty, kind=_name))
+DISTILLATION.register("forward_kl_topk")(forward_topk)
+
+
+def distillation(tokens: DataFrame, loss: Column, mode: str, most: float | None = None, policy_gradient: tuple[Column, Column] | None = None) -> DataFrame:
+    """One row (loss, low, high): a token loss, capped at ``most``, aggregated; with
+    (log-probability, old one) its negative is the advantage of a clipped policy loss.
+    ``low`` and ``high`` are its range inside the mask."""
+    capped = F.least(loss, F.lit(most)) if most is not None else loss
+    value = capped if policy_gradient is None else dual_clip(*policy_gradient, -capped)
+    inner = F.when(F.col("mask") > 0, capped)
+    return aggregate(tokens, value, mode).crossJoin(F.broadcast(tokens.agg(F.min(inner).alias("low"), F.max(inner).alias("high"))))  # one row each

@@ -68,6 +68,12 @@ def dense_labels(df: DataFrame, group: str, out: str = "label") -> DataFrame:
     return df.join(named, "_key").drop("_key")
 
 
+def mean_across_ranks(df: DataFrame, value: str, mask: str, rank: str) -> DataFrame:
+    """One row: the masked mean over all ranks, from each rank's sums."""
+    each = df.groupBy(rank).agg(masked_sum(F.col(value), F.col(mask)).alias("s"), F.sum(mask).alias("n"))
+    return each.agg((F.sum("s") / F.sum("n")).alias("mean"))
+
+
 def spread_stats(df: DataFrame, value: str) -> DataFrame:
     """(mean, max, min, std) of a column, the deviation Bessel-corrected."""
     return df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +25,31 @@ def best_of_k(sorted_values: Column, k: int, worst: bool = False) -> Column:
     return F.aggregate(weighted, F.lit(0.0), lambda a, v: a + v)
 
 
+def best_of_k_std(sorted_values: Column, k: int, worst: bool = False) -> Column:
+    """The deviation of the best (worst) of k draws with replacement, in closed form."""
+    from .arrays import let
+
+    n = F.size(sorted_values).cast("double")
+    weight = (lambda i: F.pow(1 - i / n, F.lit(k)) - F.pow(1 - (i + 1) / n, F.lit(k))) if worst else (lambda i: F.pow((i + 1) / n, F.lit(k)) - F.pow(i / n, F.lit(k)))
+    mean = F.aggregate(F.transform(sorted_values, lambda v, i: v * weight(i)), F.lit(0.0), lambda a, v: a + v)
+    spread = lambda p: F.aggregate(F.transform(p["x"], lambda v, i: F.pow(v - p["m"], F.lit(2)) * weight(i)), F.lit(0.0), lambda a, v: a + v)
+    return F.sqrt(let(F.struct(sorted_values.alias("x"), mean.alias("m")), spread))
+
+
+def bootstrap(samples: DataFrame, by: list[str], value: str, order: str, k: int, reducers: dict[str, Callable[[np.ndarray], float]], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(by, reducer, mean, std) of any functions of k values drawn with replacement, so many
+    times; the draws are those of a seeded generator, so that reruns agree."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        held = rows.sort_values(order)[value].to_numpy(dtype=float)
+        drawn = held[np.random.RandomState(seed).choice(len(held), size=(draws, k), replace=True)]
+        found = {name: np.array([f(x) for x in drawn], dtype=float) for name, f in reducers.items()}
+        return pd.DataFrame([(*(rows[c].iloc[0] for c in by), name, x.mean(), x.std()) for name, x in found.items()], columns=[*by, "reducer", "mean", "std"])
+
+    kinds = dict(samples.dtypes)
+    return samples.select(*by, value, order).groupBy(*by).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "reducer string, mean double, std double"]))
+
+
 def validation(samples: DataFrame, source: str, uid: str, value: str, ks: list[int]) -> DataFrame:
     """(source, metric, value): mean and population deviation over a prompt's responses,
     expected best and worst of k, each averaged over prompts."""
@@ -161,6 +190,36 @@ def gate(summary: DataFrame, limits: dict[str, tuple[float | None, float | None]
         raise ValueError(f"outside limits: {bad}")
 
 
+def response_info(rows: DataFrame, mask: str, attention: str) -> DataFrame:
+    """Adds prompt and response lengths, from the masks of a response and of the whole."""
+    ones = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.withColumn("response_length", ones(mask)).withColumn("prompt_length", ones(attention) - F.col("response_length"))
+
+
+def layout_measures(mode: Column, ok: Column, strict: Column, area: Column, padding: Column) -> dict[str, Column]:
+    """Measures of layouts: how many of each mode (invalid where there is none), shares of crops
+    that succeeded and were strict, mean area of crops and mean padding."""
+    crop = mode == "crop"
+    return {
+        "n_crop": F.count_if(crop), "n_pad": F.count_if(mode == "pad"), "n_invalid": F.count_if(mode.isNull()), "crop_rate": F.try_divide(F.count_if(crop & ok), F.count_if(crop)),
+        "strict_rate": F.try_divide(F.count_if(crop & strict), F.count_if(crop)), "crop_area": F.avg(F.when(crop, area)), "padding": F.avg(F.when(mode == "pad", padding)),
+    }
+
+
+def attempt_measures(attempts: Column, valid: Column, tokens: Column, seconds: Column, area: Column) -> dict[str, Column]:
+    """Measures of actions with retries: valid at first and at last, attempts, tokens and seconds
+    spent, mean area of valid boxes."""
+    return {
+        "first_rate": F.avg((valid & (attempts == 1)).cast("double")), "valid_rate": F.avg(valid.cast("double")), "attempts": F.sum(attempts), "tokens": F.sum(tokens), "seconds": F.sum(seconds),
+        "area": F.avg(F.when(valid, area)),
+    }
+
+
+def label_line(text: Column) -> Column:
+    """What a line 'Label: ...' says."""
+    return F.regexp_extract(text, r"(?m)^Label:\s*(.*)$", 1)
+
+
 def differing_tokens(tokens: DataFrame, a: str, b: str) -> DataFrame:
     """(traj, n): tokens inside the mask at which two columns differ."""
     return tokens.groupBy("traj").agg(F.count_if((F.col("mask") > 0) & ~F.col(a).eqNullSafe(F.col(b))).alias("n"))
@@ -203,10 +262,12 @@ def top_overlap(student: Column, teacher: Column, k: int) -> Column:
 
 def top_mass(logits: Column, k: int) -> Column:
     """The probability of the k most likely ids."""
-    from .arrays import lse
+    from .arrays import let, lse
+
+    def of(p: Column) -> Column:
+        return F.aggregate(p["x"], F.lit(0.0), lambda a, v: a + F.exp(v - p["total"]))
 
-    total = lse(logits)
-    return F.aggregate(F.slice(F.sort_array(logits, asc=False), 1, k), F.lit(0.0), lambda a, v: a + F.exp(v - total))
+    return let(F.struct(F.slice(F.sort_array(logits, asc=False), 1, k).alias("x"), lse(logits).alias("total")), of)
 
 
 def variance_proxies(tokens: DataFrame, gradient_norm: float | None = None) -> DataFrame:

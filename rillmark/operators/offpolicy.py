@@ -37,6 +37,15 @@ def parse_band(text: float | str) -> Band:
     return Band(numbers[0] if len(numbers) == 2 else None, numbers[-1])
 
 
+def band_bounds(text: Column) -> Column:
+    """struct<low, high> of thresholds in a column; null where they aren't positive and ascending."""
+    parts = F.split(text, "_")
+    number = lambda k: F.get(parts, k).try_cast("double")
+    low, high = F.when(F.size(parts) == 2, number(F.lit(0))), number(F.size(parts) - 1)
+    ok = (F.size(parts) <= 2) & (high > 0) & F.when(F.size(parts) == 2, (low > 0) & (low <= high)).otherwise(True)
+    return F.when(F.coalesce(ok, F.lit(False)), F.struct(low.alias("low"), high.alias("high")))
+
+
 def clamp(x: Column, bound: float = BOUND) -> Column:
     return F.greatest(F.least(x, F.lit(bound)), F.lit(-bound))
 

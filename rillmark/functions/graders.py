@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .equality import competition_score, same_value
+
 # Replacements, in order, and what is removed from a final answer.
 REPLACED = [
     ("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"),
@@ -20,6 +22,11 @@ REMOVED = [
     "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}",
     "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots",
 ]
+# Replacements in a LaTeX answer, in order, before and after units are cut.
+MATH_REPLACED = [
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+]
+MATH_POINTS = [("\\%", ""), (" .", " 0."), ("{.", "{0.")]
 PUNCTUATION = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 
 
@@ -136,16 +143,9 @@ def relative_relevance(candidate: Column, original: Column, scale: float = 1.0)
     return 1 / (1 + F.exp(-scale * (candidate - original)))
 
 
-def boxed_in(text: str | None) -> str | None:
-    """What the last \\boxed or \\fbox holds, braces matched; None without one."""
-    if text is None:
-        return None
-    at = text.rfind("\\boxed")
-    if at >= 0 and text.startswith("\\boxed ", at):
-        return text[at + 7 :].split("$")[0]
-    if at < 0:
-        at = text.rfind("\\fbox")
-    start = text.find("{", at) if at >= 0 else -1
+def braced_after(text: str, at: int) -> str | None:
+    """What the first matched braces from a place on hold."""
+    start = text.find("{", at)
     depth = 0
     for k in range(start, len(text)) if start >= 0 else ():
         depth += (text[k] == "{") - (text[k] == "}")
@@ -154,6 +154,25 @@ def boxed_in(text: str | None) -> str | None:
     return None
 
 
+def boxed_in(text: str | None) -> str | None:
+    """What the last \\boxed holds.  One with a space behind it goes before all others and holds
+    what follows up to a dollar sign; a box of another kind doesn't count."""
+    if text is None:
+        return None
+    _, spaced, tail = text.rpartition("\\boxed ")
+    if spaced:
+        return tail.split("$")[0]
+    at = text.rfind("\\boxed")
+    return braced_after(text, at) if at >= 0 and text.startswith("\\boxed{", at) else None
+
+
+def strict_box(text: str | None) -> str | None:
+    """What the last \\boxed{ of the last 100 characters holds."""
+    end = (text or "")[-100:]
+    at = end.rfind("\\boxed{")
+    return braced_after(end, at) if at >= 0 else None
+
+
 def _braced(text: str, command: str, arguments: int) -> str:
     """Brace the single-character arguments of a command."""
     head, *rest = text.split(command)
@@ -169,10 +188,10 @@ def _braced(text: str, command: str, arguments: int) -> str:
 
 def math_form(text: str) -> str:
     """A LaTeX answer in a canonical form, for comparison as text."""
-    for old, new in (("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")):
+    for old, new in MATH_REPLACED:
         text = text.replace(old, new)
     text = text.split("\\text{ ")[0] if text.count("\\text{ ") == 1 else text
-    for old, new in (("\\%", ""), (" .", " 0."), ("{.", "{0.")):
+    for old, new in MATH_POINTS:
         text = text.replace(old, new)
     if text.startswith("."):
         text = "0" + text
@@ -193,19 +212,9 @@ def same_math(a: str | None, b: str | None) -> bool:
     return math_form(a) == math_form(b)
 
 
-def near_number(a: str, b: str, rel: float = 1e-4) -> bool:
-    """Equal up to case and spaces, or numbers alike (also as percentages)."""
-    a, b = ("".join(x.lower().split()) for x in (a, b))
-    if a == b:
-        return True
-    try:
-        x, y = (float(v.replace(",", "").rstrip("%")) for v in (a, b))
-    except ValueError:
-        inner = [v[1:-1].split(",") if len(v) > 1 and v[0] in "([{" and v[-1] in ")]}" else None for v in (a, b)]
-        if None in inner or len(inner[0]) != len(inner[1]) or len(inner[0]) < 2 or (a[0], a[-1]) != (b[0], b[-1]):
-            return False
-        return all(near_number(p, q, rel) for p, q in zip(*inner, strict=True))
-    return any(abs(x - t) <= rel * max(abs(x), abs(t)) for t in (y / 100, y, y * 100))
+def boxed_match(text: str | None, truth: str | None) -> float:
+    answer = boxed_in(text)
+    return float(answer is not None and same_math(answer, truth))
 
 
 def _column(f: Callable, kind: str):
@@ -221,32 +230,70 @@ def _column(f: Callable, kind: str):
 
 boxed_answer = _column(boxed_in, "string")
 math_normal = _column(lambda s: None if s is None else math_form(s), "string")
-boxed_score = _column(lambda s, t: float((x := boxed_in(s)) is not None and same_math(x, t)), "double")
-strict_box_score = _column(lambda s, t: 1.0 if s is not None and boxed_in(s[-100:]) == t else -1.0, "double")
-numeric_score = _column(lambda s, t: float(s is not None and t is not None and near_number(s, t)), "double")
+boxed_score = _column(lambda s, t: boxed_match(s, t), "double")
+strict_box_score = _column(lambda s, t: 1.0 if t is not None and strict_box(s) == t else -1.0, "double")
+numeric_score = _column(lambda s, t: float(s is not None and t is not None and same_value(s, t)), "double")
 
 
 def geometry_score(text: Column, truth: Column, form: float = 0.1) -> Column:
     return (1 - form) * boxed_score(text, truth) + form * think_format(text)
 
 
-# Names of data sources.  Which grader a source's answers go to; the first match counts.
-GRADERS: list[tuple[str, str]] = [
-    ("^openai/gsm8k$", "number"), ("^(lighteval/MATH|DigitalLearningGmbH/MATH-lighteval|HuggingFaceH4/MATH-500)$", "boxed"), ("^(math_dapo|math|math_dapo_reasoning|aime.*)$", "stated"),
-    ("^(numina_.*)$", "boxed"), ("^hiyouga/geometry3k$", "geometry"), ("^searchR1_.*", "exact"),
-]
-
-
-def dispatch(source: Column, text: Column, truth: Column) -> Column:
-    """The score by the source's grader; an unknown source is an error when a row has it."""
-    build = {
-        "number": lambda: number_score(text, truth), "boxed": lambda: boxed_score(text, truth), "stated": lambda: stated_score(text, truth)["score"],
-        "geometry": lambda: geometry_score(text, truth), "exact": lambda: exact_match(text, F.array(truth)),
-    }
-    out = None
-    for pattern, kind in GRADERS:
-        out = F.when(source.rlike(pattern), build[kind]()) if out is None else out.when(source.rlike(pattern), build[kind]())
-    return out.otherwise(F.raise_error(F.concat(F.lit("no grader for "), source)))
+# Names of data sources, by the grader that their answers go to.
+GRADERS: dict[str, list[str]] = {
+    "number": ["openai/gsm8k"],
+    "boxed": ["lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500"],
+    "stated": ["math_dapo", "math", "math_dapo_reasoning"],
+    "competition": ["numina_aops_forum", "numina_synthetic_math", "numina_amc_aime", "numina_synthetic_amc", "numina_cn_k12", "numina_olympiads"],
+    "code": ["codecontests", "apps", "codeforces", "taco"],
+    "geometry": ["hiyouga/geometry3k"],
+    "exact": ["searchR1_nq", "searchR1_triviaqa", "searchR1_popqa", "searchR1_hotpotqa", "searchR1_2wikimultihopqa", "searchR1_musique", "searchR1_bamboogle"],
+}
+
+
+def grader_of(source: Column) -> Column:
+    """The name of a source's grader; null if it has none."""
+    out = F.when(source.startswith("aime"), "stated")
+    for kind, names in GRADERS.items():
+        out = out.when(source.isin(*names), kind)
+    return out
+
+
+_by_braces = _column(lambda kind, s, t: None if kind is None else float({"boxed": boxed_match, "geometry": boxed_match, "competition": lambda a, b: competition_score(a, b)[0]}[kind](s, t)), "double")
+
+
+def dispatch(source: Column, text: Column, truth: Column, passed: Column | None = None) -> Column:
+    """The score by the source's grader; an unknown source is an error when a row has it.
+    Answers that are programs aren't run here: ``passed`` says which of their tests were
+    passed elsewhere.  Braces are matched for the rows of the graders that need it only."""
+    kind = grader_of(source)
+    braces = _by_braces(F.when(kind.isin("boxed", "geometry", "competition"), kind), text, truth)
+    code = pass_fraction(passed) if passed is not None else F.raise_error(F.lit("programs are run elsewhere: tell what they passed"))
+    return (
+        F.when(kind == "number", number_score(text, truth)).when(kind.isin("boxed", "competition"), braces).when(kind == "stated", stated_score(text, truth)["score"])
+        .when(kind == "geometry", 0.9 * braces + 0.1 * think_format(text)).when(kind == "exact", exact_match(text, F.array(truth))).when(kind == "code", code.cast("double"))
+        .otherwise(F.raise_error(F.concat(F.lit("no grader for "), source)).cast("double"))
+    )
+
+
+def pass_fraction(passed: Column) -> Column:
+    """The share of tests passed, of the first ten; 0 without any."""
+    some = F.slice(passed, 1, 10)
+    return F.coalesce(F.try_divide(F.size(F.filter(some, lambda x: x)).cast("double"), F.size(some).cast("double")), F.lit(0.0))
+
+
+def call_format_reward(text: Column, truth: Column, most: float = 1.0, least: float = 0.0) -> Column:
+    """Whether an answer has the parts in the order that its truth has: thoughts, then tool
+    calls, a response, both or neither, each once."""
+    calls, says = truth.contains("<tool_call>"), truth.contains("<response>")
+    once = lambda tag: (F.regexp_count(text, F.lit(f"<{tag}>")) == 1) & (F.regexp_count(text, F.lit(f"</{tag}>")) == 1)
+    thought, call, response = r"(?s)^<think>.*?</think>", r"\n<tool_call>\n.*?\n</tool_call>", r"\n<response>.*?</response>"
+    end = r"\n?$(?![\s\S])"
+    ok = (
+        F.when(calls & says, text.rlike(thought + call + response + end) & once("tool_call") & once("response"))
+        .when(calls, text.rlike(thought + call + end) & once("tool_call")).when(says, text.rlike(thought + response + end) & once("response")).otherwise(text.rlike(thought + end))
+    )
+    return F.when(ok, most).otherwise(least)
 
 
 def call_match(wanted: list[dict], given: list[dict], low: float = -3.0, high: float = 3.0) -> float:

@@ -5,18 +5,18 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def prompt_row(df: DataFrame, source: str, ability: str, question: Column, truth: Column, split: str, index: Column, instruction: str = "", system: str | None = None) -> DataFrame:
-    """Rows of the prompt schema."""
+def prompt_row(df: DataFrame, source: str, ability: str, question: Column, truth: Column, split: str, index: Column, instruction: str = "", system: str | None = None, extra: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of the prompt schema; ``extra`` adds to what is told beside the prompt."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     user = F.concat_ws(" ", question, F.lit(instruction)) if instruction else question
     messages = F.array(*([message("system", F.lit(system))] if system else []), message("user", user))
     return df.select(
         F.lit(source).alias("data_source"), messages.alias("prompt"), F.lit(ability).alias("ability"), F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"),
-        F.struct(index.cast("bigint").alias("index"), F.lit(split).alias("split")).alias("extra_info"),
+        F.struct(index.cast("bigint").alias("index"), F.lit(split).alias("split"), *(c.alias(n) for n, c in (extra or {}).items())).alias("extra_info"),
     )
 
 
@@ -121,3 +121,138 @@ def inscribed(width: Column, height: Column, ratio: Column) -> Column:
 def severity(share: Column) -> Column:
     """A name for the share that a crop must still lose."""
     return F.when(share <= 0.005, "negligible").when(share <= 0.02, "small").when(share <= 0.05, "noticeable").when(share <= 0.10, "large").otherwise("severe")
+
+
+def drop_overlong(df: DataFrame, length: Column, most: int) -> DataFrame:
+    """Prompts of at most so many tokens."""
+    return df.where(length <= most)
+
+
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose label isn't empty."""
+    return df.where(F.length(label) > 0)
+
+
+def word_problem_rows(df: DataFrame, source: str, question: str, answer: str, split: str, index: Column, instruction: str) -> DataFrame:
+    """Prompt rows of word problems whose worked answer ends in '#### n': the truth is n without
+    commas, and question and answer are kept beside it."""
+    truth = F.replace(F.regexp_extract(answer, r"#### (-?[0-9.,]+)", 1), F.lit(","))
+    return prompt_row(df, source, "math", F.col(question), truth, split, index, instruction, extra={"answer": F.col(answer), "question": F.col(question)})
+
+
+def boxed_rows(df: DataFrame, source: str, question: str, solution: str, split: str, index: Column, instruction: str) -> DataFrame:
+    """Prompt rows of problems whose solution boxes its answer."""
+    from .graders import boxed_answer
+
+    return prompt_row(df, source, "math", F.col(question), boxed_answer(F.col(solution)), split, index, instruction)
+
+
+def both_responses(df: DataFrame, prompt: str = "prompt", chosen: str = "chosen", rejected: str = "rejected", idx: str = "row_idx") -> DataFrame:
+    """(row_idx, prompt, response): either answer of a pair as a row of its own, chosen first."""
+    rows = df.select(idx, prompt, F.posexplode(F.array(chosen, rejected)).alias("_side", "response"))
+    return rows.select((F.col(idx) * 2 + F.col("_side")).cast("bigint").alias(idx), F.col(prompt).alias("prompt"), "response")
+
+
+def reward_model_split(df: DataFrame, rows: int, idx: str = "row_idx") -> DataFrame:
+    """The first 75 % of rows train, the last 25 % test, each rounded to whole rows."""
+    train, test = round(rows * 0.75), round(rows * 0.25)
+    return df.withColumn("split", F.explode(F.filter(F.array(F.when(F.col(idx) < train, "train"), F.when(F.col(idx) >= rows - test, "test")), lambda s: s.isNotNull())))
+
+
+def choice_row(text: Column, endings: Column, label: Column) -> Column:
+    """struct<query, choices, gold> of a question with several endings, cleaned."""
+    return F.struct(clean_completion(text).alias("query"), F.transform(endings, clean_completion).alias("choices"), label.cast("int").alias("gold"))
+
+
+def search_rows(df: DataFrame, question: str, truth: Column | None, golden: Column, source: str, split: str, index: Column, system: str, prefix: str) -> DataFrame:
+    """Prompt rows for answers found by search: the truth, or the golden answers where there is
+    none, is told to the search tool as well."""
+    tagged = F.concat(F.lit("searchR1_"), F.col(source))
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    target = golden if truth is None else F.coalesce(truth, golden)
+    create = F.struct(target.alias("ground_truth"), F.col(question).alias("question"), tagged.alias("data_source"))
+    tools = F.struct(F.struct(create.alias("create_kwargs")).alias("search"))
+    extra = F.struct(index.cast("bigint").alias("index"), F.lit(True).alias("need_tools_kwargs"), F.col(question).alias("question"), F.lit(split).alias("split"), tools.alias("tools_kwargs"))
+    return df.select(tagged.alias("data_source"), F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(prefix.rstrip("\n")), F.col(question)))).alias("prompt"), extra.alias("extra_info"))
+
+
+def with_tool(df: DataFrame, tool: str, truth: Column, extra: str = "extra_info") -> DataFrame:
+    """Rows told that they need a tool, and what it is created with."""
+    kwargs = F.struct(F.struct(F.struct(truth.alias("ground_truth")).alias("create_kwargs")).alias(tool))
+    return df.withColumn(extra, F.col(extra).withField("need_tools_kwargs", F.lit(True)).withField("tools_kwargs", kwargs))
+
+
+def conversations(spark: SparkSession, turns: list[list[tuple[str, str]]]) -> DataFrame:
+    """(index, messages): given conversations as rows."""
+    return spark.createDataFrame([(k, [{"role": r, "content": c} for r, c in t]) for k, t in enumerate(turns)], "index bigint, messages array<struct<role: string, content: string>>")
+
+
+def source_index(df: DataFrame, trace: str, asset: str, seed: str, shares: dict[str, float]) -> DataFrame:
+    """Each row's own id, its asset's id, and the split of the asset; ids of rows must differ."""
+    from ..operators.joins import duplicate_keys, require_none
+
+    require_none(duplicate_keys(df, [trace]), "trace ids repeat")
+    return df.withColumns({"sample_id": stable_id(F.lit("sample"), F.col(trace).cast("string")), "asset_id": stable_id(F.lit("asset"), F.col(asset).cast("string")), "split": group_split(F.col(asset).cast("string"), seed, shares, native=True)})
+
+
+def index_report(index: DataFrame) -> DataFrame:
+    """(split, rows, groups) of a source index."""
+    return index.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("asset_id").alias("groups"))
+
+
+def detail_target(box: Column, width: Column, height: Column, ratio: Column, cropped: Column, filled: Column, colour: Column, reason: Column) -> Column:
+    """The target of a detail row: the box as shares of the image to six places where it is
+    cropped, the colour where it is filled, and the reason as description.  A row is an error
+    whose box isn't the whole image though it isn't cropped, or has no reason."""
+    share = F.transform(box, lambda v, k: F.round(v / F.when(k % 2 == 0, width).otherwise(height), 6))
+    whole = box == F.array(F.lit(0).cast("bigint"), F.lit(0).cast("bigint"), width.cast("bigint"), height.cast("bigint"))
+    bad = F.when(~cropped & ~whole, "an uncropped row must keep the whole image").when(F.coalesce(F.trim(reason), F.lit("")) == "", "no reason")
+    out = F.struct(
+        ratio.cast("double").alias("target_ratio"), cropped.alias("is_cropped"), filled.alias("is_filled"), F.when(cropped, share).alias("crop_box"), F.when(filled, colour).alias("fill_color"), F.trim(reason).alias("description")
+    )
+    return F.when(bad.isNotNull(), F.raise_error(bad)).otherwise(out)
+
+
+def media_descriptors(images: Column, least: int, most: int) -> Column:
+    """Paths of images with the bounds of their pixels; other than one path is an error."""
+    made = F.transform(images, lambda p: F.struct(p.alias("image"), F.lit(least).alias("min_pixels"), F.lit(most).alias("max_pixels")))
+    return F.when((F.size(images) == 1) & (F.get(images, F.lit(0)) != ""), made).otherwise(F.raise_error(F.lit("a row must have exactly one image path")))
+
+
+def messages_digest(df: DataFrame, messages: str, order: str) -> DataFrame:
+    """One row: a hash of all rows' messages in their order, from the hashes of the rows (which
+    are small; a rewrite that only changes media leaves it as it is)."""
+    each = df.select(F.col(order).alias("o"), F.sha2(F.to_json(messages), 256).alias("h"))
+    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+
+
+def without_description(content: Column, field: str = "description") -> Column:
+    """struct<content, description>: an object's text without one field, the others as they
+    stand in their order, and that field."""
+    keys = F.filter(F.json_object_keys(content), lambda k: k != field)
+    every = F.from_json(content, "map<string,string>")
+    raw = F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('":'), _raw_value(content, k, F.element_at(every, k))))
+    return F.struct(F.concat(F.lit("{"), F.array_join(raw, ","), F.lit("}")).alias("content"), F.get_json_object(content, f"$.{field}").alias("description"))
+
+
+def _raw_value(content: Column, key: Column, value: Column) -> Column:
+    """A field's JSON text; strings get their quotes back."""
+    quoted = F.to_json(F.struct(value.alias("v")))
+    is_text = F.instr(F.regexp_replace(content, r"\s*:\s*", ":"), F.concat(F.lit('"'), key, F.lit('":"'))) > 0
+    return F.when(value.isNull(), "null").when(is_text, F.substring(quoted, F.lit(6), F.length(quoted) - 6)).otherwise(value)
+
+
+def detail_faults(df: DataFrame, messages: str = "messages") -> DataFrame:
+    """(fault, n): how many rows break each rule of detail rows: a user's turn with one image and
+    an assistant's with a valid target whose ratio and flags are the row's own."""
+    from .parsers import crop_fill
+
+    m = F.col(messages)
+    roles = F.transform(m, lambda x: x["role"])
+    target = crop_fill(F.get(m, F.lit(1))["content"], described=True)
+    rules = {
+        "roles": roles == F.array(F.lit("user"), F.lit("assistant")), "image": F.regexp_count(F.get(m, F.lit(0))["content"], F.lit("<image>")) == 1, "target": target.isNotNull(),
+        "ratio": target["ratio"] == F.col("target_ratio"), "flags": (target["is_cropped"] == F.col("is_cropped")) & (target["is_filled"] == F.col("is_filled")),
+    }
+    counts = df.agg(*(F.count_if(~F.coalesce(ok, F.lit(False))).alias(n) for n, ok in rules.items()))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(n).alias("fault"), F.col(n).alias("n")) for n in rules))))

@@ -17,26 +17,33 @@ def workload(n: int) -> int:
     return 24576 * n + n * n
 
 
+class _Partial:
+    """Parts of some items as (sum, items, indices), largest first.  Of two, the one with the
+    wider spread is merged first; of equal ones that whose largest part is larger."""
+
+    def __init__(self, parts: list[list[int]], sizes: list[int]):
+        self.parts = sorted(((sum(sizes[i] for i in p), len(p), p) for p in parts), reverse=True)
+        self.rank = (self.parts[0][0] - self.parts[-1][0], self.parts[0])
+
+    def __lt__(self, other: _Partial) -> bool:
+        return self.rank > other.rank
+
+
 def differencing(sizes: list[int], k: int, equal: bool = False) -> list[list[int]]:
     """k partitions of indices by largest differencing: the two partial solutions with the
     widest spread are merged, the largest part of one with the smallest of the other.
+    Parts come in falling order of their sums.
     ``equal`` starts from k-tuples, so that parts have equal counts."""
     if equal and len(sizes) % k:
         raise ValueError("equal parts need a multiple of k")
     order = sorted(range(len(sizes)), key=lambda i: (sizes[i], i))
     starts = [[[i] for i in order[s : s + k]] for s in range(0, len(order), k)] if equal else [[[i], *([] for _ in range(k - 1))] for i in order]
-    heap = []
-
-    def push(parts: list[list[int]]) -> None:
-        ranked = sorted(((sum(sizes[i] for i in p), len(p), p) for p in parts), reverse=True)
-        heapq.heappush(heap, (ranked[-1][0] - ranked[0][0], [(-s, -n, p) for s, n, p in ranked][0], len(heap), ranked))
-
-    for s in starts:
-        push(s)
+    heap: list[_Partial] = [_Partial(s, sizes) for s in starts]
+    heapq.heapify(heap)
     while len(heap) > 1:
-        a, b = heapq.heappop(heap)[-1], heapq.heappop(heap)[-1]
-        push([x[2] + y[2] for x, y in zip(a, reversed(b), strict=True)])
-    return sorted((sorted(p) for _, _, p in heap[0][-1]), key=lambda p: p[:1]) if heap else [[] for _ in range(k)]
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        heapq.heappush(heap, _Partial([x[2] + y[2] for x, y in zip(a.parts, reversed(b.parts), strict=True)], sizes))
+    return [sorted(p) for _, _, p in heap[0].parts] if heap else [[] for _ in range(k)]
 
 
 def greedy(sizes: list[int], k: int, equal: bool = False) -> list[list[int]]:
@@ -73,10 +80,29 @@ def micro_batches(sizes: list[int], most: int, least: int = 1, multiple: int = 1
     k = max(min(len(sizes), -(-sum(sizes) // most)), least)
     k = min(-(-k // multiple) * multiple, len(sizes))
     parts = differencing([workload(n) for n in sizes], k)
-    parts.sort(key=lambda p: -sum(workload(sizes[i]) for i in p))
+    parts.sort(key=lambda p: (sum(workload(sizes[i]) for i in p), p[0] if p else 0), reverse=True)
     return parts[::2][::-1] + parts[1::2]
 
 
+def ranks(sizes: list[int], k: int, mini_batch: int | None = None, uids: list | None = None) -> list[list[int]]:
+    """Equal parts of a batch for k ranks by workload.  Inside a part light sequences stand at
+    both ends.  With ``mini_batch`` each mini-batch is balanced on its own; with ``uids`` runs
+    of one id stay together, as they stand."""
+    if uids is not None:
+        return by_groups(sizes, uids, k)
+    load = [workload(n) for n in sizes]
+    parts: list[list[int]] = [[] for _ in range(k)]
+    step = mini_batch or len(sizes)
+    for start in range(0, len(sizes) // step * step if step else 0, step):
+        for p, found in zip(parts, differencing(load[start : start + step], k, equal=True), strict=True):
+            p += [start + i for i in found]
+    out = []
+    for p in parts:
+        p.sort(key=lambda i: (load[i], i))
+        out.append(p[::2] + p[1::2][::-1])
+    return out
+
+
 def restore(parts: list[list[int]]) -> list[int]:
     """Where each original index went in the concatenated parts."""
     flat = [i for p in parts for i in p]

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _FORMATS = {".parquet": "parquet", ".json": "json", ".jsonl": "json"}
 
@@ -91,3 +95,57 @@ def fan_out(df: DataFrame, sinks: list) -> None:
 def responses_by_row(generated: DataFrame, row: str, response: str, order: str) -> DataFrame:
     """Gather a row's responses into an array, in order."""
     return generated.groupBy(row).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, response))), lambda x: x[response]).alias("responses"))
+
+
+def cached(spark: SparkSession, source: str, folder: str) -> str:
+    """A local copy of a remote file or folder, named by the md5 of where it came from; one of the
+    same size that is there already is used again.  Any scheme that Hadoop knows will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    there = path(source)
+    here = path(f"{folder}/{hashlib.md5(source.encode()).hexdigest()}/{there.getName()}")
+    a, b = there.getFileSystem(conf), here.getFileSystem(conf)
+    size = a.getContentSummary(there).getLength()
+    if not (b.exists(here) and b.getContentSummary(here).getLength() == size):
+        b.delete(here, True)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(a, there, b, here, False, conf)
+        if b.getContentSummary(here).getLength() != size:
+            raise OSError(f"{source}: the copy has another size")
+    return here.toString()
+
+
+def snapshot(df: DataFrame, path: str) -> DataFrame:
+    """Keep a batch on disk and read it again."""
+    write_table(df, path, "overwrite")
+    return df.sparkSession.read.parquet(path)
+
+
+def to_wire(df: DataFrame, by: str) -> DataFrame:
+    """(by, n, data): the rows of each key as one Arrow stream."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as out:
+            out.write_table(rows)
+        return pa.table({by: rows.column(by).slice(0, 1), "n": pa.array([rows.num_rows], pa.int64()), "data": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    return df.groupBy(by).applyInArrow(run, f"{by} {dict(df.dtypes)[by]}, n bigint, data binary")
+
+
+def from_wire(wire: DataFrame, schema: T.StructType) -> DataFrame:
+    """The rows of Arrow streams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                yield from pa.ipc.open_stream(data.as_buffer())
+
+    return wire.select("data").mapInArrow(run, schema)
+
+
+def replay(spark: SparkSession, path: str, step: int) -> DataFrame:
+    """The rollout that was dumped at a step, in place of generating one; none is an error."""
+    rows = spark.read.json(path).where(F.col("step").cast("bigint") == step).drop("step")
+    if rows.isEmpty():
+        raise ValueError(f"nothing was dumped at step {step}")
+    return rows

@@ -69,6 +69,52 @@ def must_pause(in_flight: int, queued: int, batch: int, threshold: int, sync_ste
     return in_flight + queued >= batch * (threshold + 1) * sync_step
 
 
+def sampling_state(prompts: DataFrame, step: int, threshold: int, need: int, strategy: str, by: str = "partition_id", birth: str = "birth", status: str = "status") -> DataFrame:
+    """(partition, ready, blocked, go): whether each partition may be sampled.
+
+    ``drop`` leaves out finished prompts that are older than the threshold.  ``wait`` has
+    sampling wait while any prompt in flight has reached it, so that none is dropped."""
+    if strategy not in ("drop", "wait"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    span = F.lit(step) - F.col(birth) + 1
+    fresh = span <= threshold if strategy == "drop" else F.lit(True)
+    late = F.col(status).isin("pending", "running") & (span >= threshold) if strategy == "wait" else F.lit(False)
+    state = prompts.groupBy(by).agg(F.count_if((F.col(status) == "finished") & fresh).alias("ready"), F.coalesce(F.bool_or(late), F.lit(False)).alias("blocked"))
+    return state.withColumn("go", ~F.col("blocked") & (F.col("ready") >= need))
+
+
+def fan_out(prompts: DataFrame, sessions: int, uid: str = "uid") -> DataFrame:
+    """Each prompt as so many sessions, which begin as pending; ``traj_key`` names them."""
+    each = prompts.withColumn("session_id", F.explode(F.sequence(F.lit(0), F.lit(sessions - 1))))
+    return each.withColumns({"traj_key": F.concat_ws("_", F.col(uid).cast("string"), F.col("session_id").cast("string")), "status": F.lit("pending")})
+
+
+def group_status(sessions: DataFrame, uid: str = "uid", status: str = "status") -> DataFrame:
+    """(uid, status) of prompts by their sessions': running until all have ended, then failed if
+    any has, else finished; pending if none has begun."""
+    some = lambda *names: F.bool_or(F.col(status).isin(*names))
+    out = F.when(~some("running", "finished", "failure"), "pending").when(some("pending", "running"), "running").when(some("failure"), "failure").otherwise("finished")
+    return sessions.groupBy(uid).agg(out.alias("status"))
+
+
+def trigger_steps(rows: DataFrame, batch: int, sync: int, idx: str = "row_idx") -> DataFrame:
+    """(step, trigger): a training batch as so many equal sub-batches, each sampled by itself
+    before the weights are synchronised."""
+    if batch % sync:
+        raise ValueError(f"a batch of {batch} doesn't divide into {sync}")
+    return rows.withColumns({"step": F.floor(F.col(idx) / batch).cast("int"), "trigger": F.floor(F.col(idx) % batch / (batch // sync)).cast("int")})
+
+
+def refill(source: DataFrame, rows: int, start: int, n: int, batch: int, step: int, idx: str = "row_idx") -> DataFrame:
+    """The next n prompts of a source that begins anew when it ends, with fresh ids and pending
+    from this step on; n must be whole batches."""
+    if n % batch:
+        raise ValueError(f"{n} prompts aren't whole batches of {batch}")
+    asked = source.sparkSession.range(n).select((F.col("id") + start).alias("_at")).withColumns({idx: F.col("_at") % rows, "epoch": F.floor(F.col("_at") / rows).cast("int")})
+    uid = F.sha2(F.concat_ws(":", F.lit(step).cast("string"), F.col("_at").cast("string")), 256)
+    return asked.join(source, idx).withColumns({"uid": uid, "status": F.lit("pending"), "birth": F.lit(step)}).drop("_at")
+
+
 def reissue(prompts: DataFrame, trajectories: DataFrame, step: int, uid: str = "uid", status: str = "status", birth: str = "birth") -> tuple[DataFrame, DataFrame]:
     """After a restart: unfinished prompts are born anew and their trajectories deleted."""
     open_ = F.col(status).isin("pending", "running")

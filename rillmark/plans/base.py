@@ -47,14 +47,14 @@ def s8(x: str) -> str:
     return f"(round({x}, 8) + 0.0)"
 
 
-TOKENS_SQL = """tok AS (
+TOKENS_SQL = """tok AS MATERIALIZED (
   SELECT o_custkey AS uid, l_orderkey AS traj,
     CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS INT) AS pos,
     CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS mask, l_quantity / 50 AS reward, l_extendedprice / 1e5 AS value,
     -l_discount AS old_lp, -(l_discount + l_tax) / 1.5 AS rollout_lp, -l_tax AS ref_lp, -(l_discount * 0.7 + l_tax * 0.4) AS lp,
     l_quantity / 50 - 0.5 AS advantage, 0.3 + l_tax AS sum_pi_squared, o_orderpriority AS prio
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-TRAJ_SQL = """traj AS (SELECT uid, traj, prio, sum(reward) AS score, sum(mask) AS length FROM tok GROUP BY ALL)"""
+TRAJ_SQL = """traj AS MATERIALIZED (SELECT uid, traj, prio, sum(reward) AS score, sum(mask) AS length FROM tok GROUP BY ALL)"""
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +79,17 @@ def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.advantage import trajectories as of
 
     return of(tokens(spark, sf_dir), keep=("prio",))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for a query that writes and reads again: under ``spark.checkpoint.dir``, or
+    on this machine where the session names none and runs here."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="scratch-")
+    return f"{root}/{name}-{uuid.uuid4()}"

@@ -72,8 +72,8 @@ def grpo_tokens(spark, sf):
 
 
 def _whiten_sql(source: str, value: str) -> str:
-    return f"""mu AS (SELECT sum(CASE WHEN mask > 0 THEN {value} ELSE 0 END) / (sum(mask) + 1e-8) AS m, CAST(sum(mask) AS DOUBLE) AS n FROM {source}),
-    va AS (SELECT any_value(m) AS m, sum(CASE WHEN mask > 0 THEN ({value} - m) * ({value} - m) ELSE 0 END) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS v FROM {source}, mu)"""
+    return f"""mu AS MATERIALIZED (SELECT sum(CASE WHEN mask > 0 THEN {value} ELSE 0 END) / (sum(mask) + 1e-8) AS m, CAST(sum(mask) AS DOUBLE) AS n FROM {source}),
+    va AS MATERIALIZED (SELECT any_value(m) AS m, sum(CASE WHEN mask > 0 THEN ({value} - m) * ({value} - m) ELSE 0 END) / (any_value(n) + 1e-8) * any_value(n) / (any_value(n) - 1) AS v FROM {source}, mu)"""
 
 
 @query(f"{_T}, {_whiten_sql('tok', 'value')} SELECT traj, pos, {s6('(value - m) / sqrt(v + 1e-8)')} AS whitened FROM tok, va")
@@ -97,14 +97,14 @@ def distributed_stats(spark, sf):
     return M.spread_stats(tokens(spark, sf), "reward").select(*(r6(c).alias(c) for c in ("mean", "max", "min", "std")))
 
 
-@query(f"{_STATS}, ti AS (SELECT tok.traj, tok.pos, tok.mask, (score - m) * mask AS a FROM tok JOIN g USING (traj)), {_whiten_sql('ti', 'a')} SELECT traj, pos, {s6('(a - m) / sqrt(v + 1e-8) * mask')} AS advantage FROM ti, va")
+@query(f"{_STATS}, ti AS MATERIALIZED (SELECT tok.traj, tok.pos, tok.mask, (score - m) * mask AS a FROM tok JOIN g USING (traj)), {_whiten_sql('ti', 'a')} SELECT traj, pos, {s6('(a - m) / sqrt(v + 1e-8) * mask')} AS advantage FROM ti, va")
 def reinforce_pp_baseline(spark, sf):
     return A.reinforce_pp_baseline(tokens(spark, sf), _BY).select("traj", "pos", r6("advantage").alias("advantage"))
 
 
 @query(f"""{_T}, sc AS (SELECT uid, traj, sum(reward) AS a, sum(value) AS b FROM tok GROUP BY ALL),
 n AS (SELECT traj, CASE WHEN count(*) OVER w = 1 THEN a / (1 + 1e-6) ELSE (a - avg(a) OVER w) / (stddev_samp(a) OVER w + 1e-6) END AS na, CASE WHEN count(*) OVER w = 1 THEN b / (1 + 1e-6) ELSE (b - avg(b) OVER w) / (stddev_samp(b) OVER w + 1e-6) END AS nb FROM sc WINDOW w AS (PARTITION BY uid)),
-ti AS (SELECT tok.traj, tok.pos, tok.mask, (na + 0.5 * nb) * mask AS x FROM tok JOIN n USING (traj)), {_whiten_sql('ti', 'x')}
+ti AS MATERIALIZED (SELECT tok.traj, tok.pos, tok.mask, (na + 0.5 * nb) * mask AS x FROM tok JOIN n USING (traj)), {_whiten_sql('ti', 'x')}
 SELECT traj, pos, round((x - m) / sqrt(v + 1e-8) * mask, 5) + 0.0 AS advantage FROM ti, va""")
 def gdpo(spark, sf):
     t = tokens(spark, sf)
@@ -219,18 +219,10 @@ def preference_weights(spark, sf):
     return A.resample_weights(trajectories(spark, sf), "score").select("traj", r6("weight").alias("weight"))
 
 
-@query(f"""{_S}, t AS (SELECT * FROM traj WHERE traj < 200), sp AS (SELECT traj, sum(score * score + 1e-8) OVER (ORDER BY traj) AS hi, sum(score * score + 1e-8) OVER () AS total, score * score + 1e-8 AS w FROM t),
-d AS (SELECT range AS draw, CAST(('0x' || substr(md5('7:' || range), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM range(100))
-SELECT draw, traj FROM d JOIN sp ON u * total >= hi - w AND u * total < hi""")
-def preference_resample(spark, sf):
-    weighted = A.resample_weights(trajectories(spark, sf).where("traj < 200"), "score")
-    return A.resample(weighted, 100, "7", "traj").select("draw", "traj")
-
-
 @query(f"""{_S}, sp AS (SELECT traj, sum(score * score + 1e-8) OVER (ORDER BY traj) AS hi, sum(score * score + 1e-8) OVER () AS total, score * score + 1e-8 AS w FROM traj),
 d AS (SELECT range AS draw, CAST(('0x' || substr(md5('7:' || range), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM range(100))
 SELECT draw, traj FROM d JOIN sp ON u * total >= hi - w AND u * total < hi""")
-def preference_resample_whole(spark, sf):
+def preference_resample(spark, sf):
     weighted = A.resample_weights(trajectories(spark, sf), "score")
     return A.resample(weighted, 100, "7", "traj").select("draw", "traj")
 

@@ -249,9 +249,9 @@ def first_wins_dedup(spark, sf):
     return J.first_wins(d, ["h", "lang"], ["doc_id"]).select("doc_id", "duplicates")
 
 
-@query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING count(DISTINCT props) = 1) AND event_type = 'signup'")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linestatus) = 1)")
 def conflict_rejection(spark, sf):
-    return J.without_conflicts(table(spark, sf, "events").where("event_type = 'signup'"), "user_id", "props").select("event_id")
+    return J.without_conflicts(table(spark, sf, "lineitem"), "l_orderkey", "l_linestatus").select("l_orderkey", "l_linenumber")
 
 
 @query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey")
@@ -305,19 +305,31 @@ def duplicate_keys(spark, sf):
     return J.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query()
+def _cover(parts):
+    """(batch, rows, total, parts, spread_ok): what the parts of a batch cover, and whether their
+    sums differ by no more than its largest row."""
+    sums = parts.groupBy("batch", "part").agg(F.count_distinct("row_idx").alias("rows"), F.sum("n_chars").alias("total"), F.max("n_chars").alias("top"))
+    return sums.groupBy("batch").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("parts"), (F.max("total") - F.min("total") <= F.max("top")).alias("spread_ok"))
+
+
+_BATCHES = f"SELECT row_idx // 50 AS batch, row_idx % 50 AS i, row_idx, n_chars FROM ({_DOCS})"
+
+
+@query(f"SELECT batch, count(*) AS rows, sum(n_chars) AS total, 4 AS parts, true AS spread_ok FROM ({_BATCHES}) GROUP BY batch")
 def karmarkar_karp(spark, sf):
     d = docs(spark, sf).withColumn("batch", F.floor(F.col("row_idx") / 50))
-    return P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.differencing(s, 4))
+    return _cover(P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.differencing(s, 4)))
 
 
-@query()
+@query(f"SELECT batch, count(*) AS rows, sum(n_chars) AS total, greatest(least(count(*), CAST(ceil(sum(n_chars) / 40000.0) AS BIGINT)), 1) AS parts FROM ({_BATCHES}) GROUP BY batch")
 def dynamic_micro_batches(spark, sf):
     d = docs(spark, sf).withColumn("batch", F.floor(F.col("row_idx") / 50))
-    return P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.micro_batches(s, 40_000))
+    return _cover(P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.micro_batches(s, 40_000))).drop("spread_ok")
 
 
-@query()
+@query(f"""WITH RECURSIVE d AS MATERIALIZED ({_BATCHES}), g(batch, i, sums) AS (SELECT DISTINCT batch, 0::BIGINT, [0, 0, 0, 0]::BIGINT[] FROM d
+UNION ALL SELECT g.batch, g.i + 1, list_transform(g.sums, lambda s, k: CASE WHEN k = list_position(g.sums, list_min(g.sums)) THEN s + d.n_chars ELSE s END) FROM g JOIN d ON d.batch = g.batch AND d.i = g.i)
+SELECT batch, sums FROM g WHERE i = (SELECT count(*) FROM d x WHERE x.batch = g.batch)""")
 def greedy_partition(spark, sf):
     g = B.collate(docs(spark, sf).withColumn("batch", F.floor(F.col("row_idx") / 50)), "batch", ["n_chars"])
     return g.select("batch", P.greedy_sums(F.col("n_chars"), 4).alias("sums"))

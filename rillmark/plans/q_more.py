@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import graders as G
@@ -62,16 +63,9 @@ def judgment_stability(spark, sf):
     return M.stability(J.both_orders(j, "task", "o", "p"))
 
 
-@query("""WITH c AS (SELECT CASE WHEN p_size / 400.0 <= 0.005 THEN 'negligible' WHEN p_size / 400.0 <= 0.02 THEN 'small' WHEN p_size / 400.0 <= 0.05 THEN 'noticeable' WHEN p_size / 400.0 <= 0.10 THEN 'large' ELSE 'severe' END AS severity FROM part WHERE p_size < 30)
-SELECT severity, coalesce(n, 0) AS n FROM (SELECT unnest(['negligible', 'small', 'noticeable', 'large', 'severe']) AS severity) LEFT JOIN (SELECT severity, count(*) AS n FROM c GROUP BY 1) USING (severity)""")
-def crop_ratio_report(spark, sf):
-    c = table(spark, sf, "part").where("p_size < 30").groupBy(Q.severity(F.col("p_size") / 400.0).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
-    return M.zero_filled(c, "severity", ["negligible", "small", "noticeable", "large", "severe"])
-
-
 @query("""WITH c AS (SELECT CASE WHEN p_size / 400.0 <= 0.005 THEN 'negligible' WHEN p_size / 400.0 <= 0.02 THEN 'small' WHEN p_size / 400.0 <= 0.05 THEN 'noticeable' WHEN p_size / 400.0 <= 0.10 THEN 'large' ELSE 'severe' END AS severity FROM part)
 SELECT severity, coalesce(n, 0) AS n FROM (SELECT unnest(['negligible', 'small', 'noticeable', 'large', 'severe']) AS severity) LEFT JOIN (SELECT severity, count(*) AS n FROM c GROUP BY 1) USING (severity)""")
-def crop_ratio_report_whole(spark, sf):
+def crop_ratio_report(spark, sf):
     c = table(spark, sf, "part").groupBy(Q.severity(F.col("p_size") / 400.0).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
     return M.zero_filled(c, "severity", ["negligible", "small", "noticeable", "large", "severe"])
 
@@ -116,36 +110,56 @@ def result_merge(spark, sf):
     return J.merge_shards([x, y], ["k"])
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0 END AS score FROM part")
+@query("""WITH t AS (SELECT p_partkey, 'so \\boxed{' || p_size || '} ' || repeat('x', CAST(p_retailprice AS INT) % 120) AS text, CAST(p_size % 30 AS VARCHAR) AS truth FROM part)
+SELECT p_partkey, CASE WHEN regexp_extract(right(text, 100), '\\\\boxed\\{([^}]*)\\}', 1) = truth THEN 1.0::DOUBLE ELSE -1.0 END AS score FROM t""")
 def grade_strict_box(spark, sf):
-    text = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.lit("}"))
-    truth = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("no")
-    return table(spark, sf, "part").select("p_partkey", G.strict_box_score(text, truth).alias("score"))
+    text = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.lit("} "), F.repeat(F.lit("x"), F.round("p_retailprice").cast("int") % 120))
+    return table(spark, sf, "part").select("p_partkey", G.strict_box_score(text, (F.col("p_size") % 30).cast("string")).alias("score"))
 
 
-@query("SELECT row_idx, n_chars FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, n_chars FROM documents)")
+@query("""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, n_chars FROM documents), b AS (SELECT row_idx // 50 AS batch, row_idx, n_chars FROM d)
+SELECT batch, count(*) AS rows, 5 AS parts, 0 AS first, count(*) - 1 AS last, sum((row_idx % 50 + 1) * n_chars)::BIGINT AS restored FROM b GROUP BY batch""")
 def balanced_and_restored(spark, sf):
+    """Rows in the order of balanced parts, and put back where they came from."""
     d = B.with_row_index(table(spark, sf, "documents").select("doc_id", "n_chars"), ["doc_id"]).withColumn("batch", F.floor(F.col("row_idx") / 50))
-    return P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.differencing(s, 5)).select("row_idx", "n_chars")
-
-
-@query()
+    moved = P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.differencing(s, 5))
+    before = Window.partitionBy("batch").orderBy("part", "place")
+    lists = moved.withColumn("at", F.row_number().over(before) - 1).groupBy("batch").agg(
+        F.count_distinct("part").alias("parts"), F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.collect_list(F.struct("at", (F.col("row_idx") % 50).alias("i"), "n_chars"))).alias("_moved")
+    )
+    back = F.udf(lambda order: P.restore([list(order)]), "array<int>")(F.transform("_moved", lambda x: x["i"]))
+    again = F.transform(back, lambda at: F.get(F.col("_moved"), at)["n_chars"])
+    weighed = F.aggregate(F.transform(again, lambda n, k: n * (k + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return lists.select("batch", F.size("_moved").cast("bigint").alias("rows"), "parts", "first", "last", weighed.alias("restored"))
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx, CAST(round(o_totalprice) AS BIGINT) AS size FROM orders), b AS (SELECT row_idx // 64 AS batch, row_idx, size, count(*) OVER (PARTITION BY row_idx // 64) AS n FROM o)
+SELECT batch, count(*) AS rows, sum(size)::BIGINT AS total, CASE WHEN any_value(n) = 64 THEN 4 ELSE 1 END AS parts, CASE WHEN any_value(n) = 64 THEN 16 ELSE any_value(n) END AS most, CASE WHEN any_value(n) = 64 THEN 1 END AS owners FROM b GROUP BY batch""")
 def group_balanced_partitions(spark, sf):
-    o = B.with_row_index(table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("bigint").alias("size")), ["o_orderkey"])
+    o = B.with_row_index(table(spark, sf, "orders").select("o_orderkey", F.round("o_totalprice").cast("bigint").alias("size")), ["o_orderkey"])
     o = o.withColumn("batch", F.floor(F.col("row_idx") / 64))
-    return P.partition(o.select("batch", "row_idx", "size"), "batch", "row_idx", "size", lambda s: P.by_groups(s, [i // 4 for i in range(len(s))], 4) if len(s) == 64 else [list(range(len(s)))])
+    parts = P.partition(o.select("batch", "row_idx", "size"), "batch", "row_idx", "size", lambda s: P.by_groups(s, [i // 4 for i in range(len(s))], 4) if len(s) == 64 else [list(range(len(s)))])
+    # a run of four rows lies in one part
+    runs = parts.groupBy("batch", F.floor(F.col("row_idx") / 4).alias("run")).agg(F.count_distinct("part").alias("owners")).groupBy("batch").agg(F.max("owners").alias("owners"))
+    sums = parts.groupBy("batch", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).groupBy("batch").agg(F.sum("n").alias("rows"), F.sum("s").alias("total"), F.count(F.lit(1)).alias("parts"), F.max("n").alias("most"))
+    return sums.join(runs, "batch").withColumn("owners", F.when(F.col("parts") == 4, F.col("owners")))
 
 
 @query(f"""{_T}, s AS (SELECT traj, sum(advantage * mask) / (sum(mask) + 1e-8) AS a, sum((1 - 2 * exp(old_lp) + sum_pi_squared) * mask) AS w FROM tok GROUP BY traj)
-SELECT {s6('0.25')} AS signal, {s6('avg(a * a * greatest(w, 0))')} AS power, {s6('greatest((avg(a * a * greatest(w, 0)) - 0.25) / (count(*) - 1), 0)')} AS noise, {s6('avg(a * a)')} AS expected_a_squared, {s6('avg(w)')} AS expected_w FROM s""")
+SELECT {s6('avg(a * a * greatest(w, 0))')} AS power, {s6('greatest((avg(a * a * greatest(w, 0)) - 0.25) / (count(*) - 1), 0)')} AS noise, {s6('avg(a * a)')} AS expected_a_squared, {s6('avg(w)')} AS expected_w FROM s""")
 def variance_proxies(spark, sf):
-    m = M.variance_proxies(tokens(spark, sf), 0.5)
+    m = M.variance_proxies(tokens(spark, sf), 0.5).drop("signal")
     return m.select(*(r6(c).alias(c) for c in m.columns))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 3.0::DOUBLE WHEN user_id % 3 = 1 THEN round(-3 + 6 * (1 + 1) / 3.0, 6)::DOUBLE ELSE -3.0 END AS score FROM events")
+@query(f"""WITH e AS (SELECT event_id, event_type <> 'view' AS named, user_id % 5 AS u, event_id % 4 AS v, event_id % 6 = 0 AS extra FROM events),
+p AS (SELECT *, CASE WHEN named AND u = v AND NOT extra THEN 3.0 WHEN NOT named THEN -3.0 ELSE -3 + 6 * (1 + CASE WHEN extra THEN 0.5 ELSE 1 END + CASE WHEN u = v THEN 1 ELSE 0 END) / 3.0 END AS score FROM e)
+SELECT event_id, {s6('score')} AS score FROM p""")
 def tool_call_score(spark, sf):
-    call = lambda v: F.concat(F.lit('<tool_call>\n{"name": "'), "event_type", F.lit('", "parameters": {"u": '), v, F.lit("}}\n</tool_call>"))
-    k = F.col("user_id") % 3
-    text = F.when(k == 0, call(F.lit("1"))).when(k == 1, call(F.lit("2"))).otherwise("none")
-    return table(spark, sf, "events").select("event_id", r6(G.tool_call_score(text, call(F.lit("1")))).alias("score"))
+    def call(name, v, more):
+        return F.concat(F.lit('<tool_call>\n{"name": "'), name, F.lit('", "parameters": {"u": '), v.cast("string"), more, F.lit("}}\n</tool_call>"))
+
+    given = F.when(F.col("event_type") == "view", "other").otherwise(F.col("event_type"))
+    extra = F.when(F.col("event_id") % 6 == 0, ', "w": 1').otherwise("")
+    text, truth = call(given, F.col("event_id") % 4, extra), call(F.col("event_type"), F.col("user_id") % 5, F.lit(""))
+    return table(spark, sf, "events").select("event_id", r6(G.tool_call_score(text, truth)).alias("score"))

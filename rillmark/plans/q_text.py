@@ -49,32 +49,44 @@ def plain_answer_text(spark, sf):
     return table(spark, sf, "part").select("p_partkey", G.plain_text(F.concat(F.lit("The "), "p_name", F.lit(", a "), "p_type", F.lit("!"))).alias("text"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 1.0::DOUBLE ELSE 0.2 END AS exact, 1.0::DOUBLE AS contained FROM nation")
+@query("""WITH a AS (SELECT a.n_nationkey, lower(a.n_name) || CASE WHEN a.n_nationkey % 2 = 1 THEN ' land' ELSE '' END AS said, lower(b.n_name) AS golden FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey - a.n_nationkey % 3)
+SELECT n_nationkey, CASE WHEN said = golden THEN 1.0::DOUBLE ELSE 0.2 END AS exact, CASE WHEN contains(said, golden) THEN 1.0::DOUBLE ELSE 0.0 END AS contained FROM a""")
 def grade_qa_match(spark, sf):
+    n = table(spark, sf, "nation")
+    other = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("golden"))
+    both = n.join(other, F.col("k") == F.col("n_nationkey") - F.col("n_nationkey") % 3)
     text = F.concat(F.lit("<answer>x</answer> <answer> The "), "n_name", F.when(F.col("n_nationkey") % 2 == 1, " land").otherwise(""), F.lit("!</answer>"))
-    golden = F.array(F.lit("nowhere"), F.lower("n_name"))
-    return table(spark, sf, "nation").select("n_nationkey", G.exact_match(text, golden, wrong=0.2).alias("exact"), G.exact_match(text, golden, contained=True).alias("contained"))
+    golden = F.array(F.lit("nowhere"), F.lower("golden"))
+    return both.select("n_nationkey", G.exact_match(text, golden, wrong=0.2).alias("exact"), G.exact_match(text, golden, contained=True).alias("contained"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS format, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.9 END AS score FROM part")
+@query(f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0 END AS format, {s6('0.9 * CASE WHEN p_size % 20 = p_size THEN 1 ELSE 0 END + 0.1 * CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END')} AS score FROM part")
 def grade_geometry(spark, sf):
     think = F.when(F.col("p_size") % 2 == 0, "<think>so\n</think> ").otherwise("")
     text = F.concat(think, F.lit("\\boxed{\\frac{"), F.col("p_size").cast("string"), F.lit("}{7}} ok"))
-    truth = F.concat(F.lit("\\dfrac{"), F.col("p_size").cast("string"), F.lit("} {7}"))
+    truth = F.concat(F.lit("\\dfrac{"), (F.col("p_size") % 20).cast("string"), F.lit("} {7}"))
     return table(spark, sf, "part").select("p_partkey", G.think_format(text).alias("format"), r6(G.geometry_score(text, truth)).alias("score"))
 
 
-@query("SELECT p_partkey, concat('\\frac{', CAST(p_size AS VARCHAR), '}{3}') AS answer, 1.0::DOUBLE AS score, CASE WHEN p_size < 10 THEN '\\frac{' || p_size || '}{3}' ELSE '\\frac{' || p_size || '}{3}' END AS normal FROM part")
+@query("""WITH a AS (SELECT p_partkey, p_size, CASE p_size % 4 WHEN 0 THEN '\\frac{' || p_size || '}{3}' WHEN 2 THEN CAST(p_size AS VARCHAR) END AS answer FROM part)
+SELECT p_partkey, answer, CASE WHEN answer = '\\frac{' || (p_size % 24) || '}{3}' THEN 1.0::DOUBLE ELSE 0.0 END AS score, CASE WHEN p_size = 5 THEN '\\frac{1}{2}' ELSE '0.' || p_size END AS normal FROM a""")
 def grade_boxed(spark, sf):
-    n = F.col("p_size").cast("string")
-    text = F.concat(F.lit("thus \\fbox{1} and \\boxed{\\frac{"), n, F.lit("}{3}}."))
-    return table(spark, sf, "part").select("p_partkey", G.boxed_answer(text).alias("answer"), G.boxed_score(text, F.concat(n, F.lit("/3"))).alias("score"), G.math_normal(F.concat(F.lit("x="), n, F.lit("/3"))).alias("normal"))
+    """Boxes with braces, of another kind, with a space behind them (which go first), unclosed."""
+    n, k = F.col("p_size").cast("string"), F.col("p_size") % 4
+    braced = F.concat(F.lit("\\boxed{\\frac{"), n, F.lit("}{3}}"))
+    text = F.when(k == 0, F.concat(F.lit("thus \\fbox{1} and "), braced, F.lit("."))).when(k == 1, F.concat(F.lit("\\fbox{"), n, F.lit("}"))).when(k == 2, F.concat(F.lit("\\boxed "), n, F.lit("$ or "), braced)).otherwise(F.concat(F.lit("\\boxed{"), n))
+    truth = F.concat((F.col("p_size") % 24).cast("string"), F.lit("/3"))
+    return table(spark, sf, "part").select("p_partkey", G.boxed_answer(text).alias("answer"), G.boxed_score(text, truth).alias("score"), G.math_normal(F.concat(F.lit("x=0."), n)).alias("normal"))
 
 
-@query("SELECT p_partkey, 1.0::DOUBLE AS percent, CASE WHEN p_size = 3 THEN 1.0::DOUBLE ELSE 0.0 END AS three FROM part")
+@query("""WITH a AS (SELECT p_partkey, p_size AS x, (p_size % 7) / 100.0 AS y, (p_size % 11 = p_size) AS pair FROM part)
+SELECT p_partkey, CASE WHEN len(list_filter([y / 100, y, y * 100], lambda t: abs(t - x) <= 1e-4 * greatest(abs(t), x))) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS percent, CASE WHEN pair THEN 1.0::DOUBLE ELSE 0.0 END AS pair FROM a""")
 def grade_numeric(spark, sf):
     n = F.col("p_size").cast("string")
-    return table(spark, sf, "part").select("p_partkey", G.numeric_score(F.concat(n, F.lit("%")), (F.col("p_size") / 100).cast("string")).alias("percent"), G.numeric_score(n, F.lit("3.00")).alias("three"))
+    pair = lambda x, y: F.concat(F.lit("("), x, F.lit(", "), y, F.lit(")"))
+    percent = G.numeric_score(F.concat(n, F.lit("%")), ((F.col("p_size") % 7) / 100).cast("string"))
+    two = G.numeric_score(pair(n, F.lit("2\\pi")), pair((F.col("p_size") % 11).cast("double").cast("string"), F.lit("6.2832")))
+    return table(spark, sf, "part").select("p_partkey", percent.alias("percent"), two.alias("pair"))
 
 
 @query("""WITH a AS (SELECT o_custkey, list(o_orderpriority) AS x, list(o_orderpriority) FILTER (WHERE o_orderstatus = 'F') AS y FROM orders GROUP BY 1),
@@ -99,13 +111,17 @@ def crop_reward(spark, sf):
     return table(spark, sf, "part").select("p_partkey", r6(area).alias("area"), r6(reward).alias("reward"), r6(G.relative_relevance(x, F.lit(0.5), 4.0)).alias("relative"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 1.0::DOUBLE WHEN n_nationkey % 3 = 1 THEN -1.0 ELSE 1.0 END AS score FROM nation")
+@query(f"""WITH p AS (SELECT p_partkey, p_size % 7 AS k, p_size, CAST(round(p_retailprice) AS INT) % 3 = 0 AS hit FROM part)
+SELECT p_partkey, {s6("CASE k WHEN 1 THEN CASE WHEN hit THEN 1 ELSE -1 END WHEN 5 THEN CASE WHEN hit THEN 1 ELSE 0.1 END WHEN 6 THEN (p_size % 4) / 4.0 ELSE CASE WHEN hit THEN 1 ELSE 0 END END")} AS score FROM p""")
 def grade_dispatch(spark, sf):
-    k = F.col("n_nationkey") % 3
-    source = F.when(k == 0, "openai/gsm8k").when(k == 1, "aime2024").otherwise("searchR1_nq")
-    text = F.when(k == 0, F.concat(F.lit("#### "), F.col("n_nationkey").cast("string"))).when(k == 1, "Answer: none").otherwise(F.concat(F.lit("<answer>"), "n_name", F.lit("</answer>")))
-    truth = F.when(k == 2, F.col("n_name")).otherwise(F.col("n_nationkey").cast("string"))
-    return table(spark, sf, "nation").select("n_nationkey", G.dispatch(source, text, truth).alias("score"))
+    """Every kind of grader, on answers of which a third are right."""
+    k, n = F.col("p_size") % 7, F.col("p_size").cast("string")
+    truth = F.when(F.round("p_retailprice").cast("int") % 3 == 0, n).otherwise(F.concat(n, F.lit("7")))
+    source = F.element_at(F.array(*map(F.lit, ("openai/gsm8k", "aime2024", "searchR1_nq", "lighteval/MATH", "numina_olympiads", "hiyouga/geometry3k", "apps"))), k + 1)
+    around = F.element_at(F.array(*map(F.lit, ("so #### ", "Answer: ", "<answer>", "\\boxed{", "We see the answer is ", "<think>a</think> \\boxed{", ""))), k + 1)
+    ending = F.element_at(F.array(*map(F.lit, ("", "", "</answer>", "}", ".0 cm", "}", ""))), k + 1)
+    passed = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: i < F.col("p_size") % 4)
+    return table(spark, sf, "part").select("p_partkey", r6(G.dispatch(source, F.concat(around, n, ending), truth, passed)).alias("score"))
 
 
 _CALL = """concat('go <tool_call>{"name": "', event_type, '", "arguments": {"u": ', CAST(user_id AS {}), '}}</tool_call><tool_call>broken</tool_call> end')"""
@@ -142,10 +158,14 @@ def crop_action_parse(spark, sf):
     return table(spark, sf, "part").select("p_partkey", x["cx"].alias("cx"), x["strict"].alias("strict"))
 
 
-@query("SELECT r_regionkey, unnest([1, 2, 3, 4]) AS at, unnest(['text', 'image', 'text', 'video']) AS type, unnest([r_name || ' ', NULL, ' and ', NULL]) AS text FROM region")
+@query("""WITH d AS (SELECT doc_id, 'by ' || source || ' ' AS s, ['image', 'video', 'audio'][doc_id % 3 + 1] AS tag, doc_id % 4 AS n FROM documents),
+p AS (SELECT doc_id, s, tag, n, unnest(range(0, 2 * n + 1)) AS k FROM d)
+SELECT doc_id, k + 1 AS at, CASE WHEN k % 2 = 0 THEN 'text' ELSE tag END AS type, CASE WHEN k % 2 = 0 THEN CASE WHEN k = 0 THEN s ELSE ' ' || (k // 2 - 1) END END AS text FROM p""")
 def media_parts(spark, sf):
-    t = table(spark, sf, "region").select("r_regionkey", F.posexplode(P.media_parts(F.concat("r_name", F.lit(" <image> and <video>")))).alias("at", "p"))
-    return t.select("r_regionkey", (F.col("at") + 1).alias("at"), "p.type", "p.text")
+    tag = F.element_at(F.array(*map(F.lit, ("<image>", "<video>", "<audio>"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    rest = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), F.lit(1), (F.col("doc_id") % 4).cast("int")), lambda i: F.concat(tag, F.lit(" "), i.cast("string"))), "")
+    t = table(spark, sf, "documents").select("doc_id", F.posexplode(P.media_parts(F.concat(F.lit("by "), "source", F.lit(" "), rest))).alias("at", "p"))
+    return t.select("doc_id", (F.col("at") + 1).alias("at"), "p.type", "p.text")
 
 
 @query("SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END)::BIGINT AS learned, sum(n)::BIGINT AS tokens FROM (SELECT conv_id, role, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) AS n FROM conversations) GROUP BY conv_id")

@@ -5,7 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rillmark.functions import equality as E
 from rillmark.functions import graders as G
+from rillmark.functions import prompts as Q
 from rillmark.operators import advantage as A
 from rillmark.operators import arrays as R
 from rillmark.operators import balance as P
@@ -14,6 +16,7 @@ from rillmark.operators import joins as J
 from rillmark.operators import losses as L
 from rillmark.operators import metrics as M
 from rillmark.operators import offpolicy as O
+from rillmark.operators import registry as X
 from rillmark.plans import catalog
 from rillmark.sources import files
 from rillmark.streaming import queues as S
@@ -57,12 +60,12 @@ def test_resample_over_ranges(spark, sf_dir):
     assert len(got) == 200 and dict(got) == want
     ties = A.resample(spark.createDataFrame([(1, 1.0), (1, 1.0), (2, 1.0)], "k int, weight double"), 50, "s", "k")
     assert sorted(r["draw"] for r in ties.collect()) == list(range(50))
-    drawn = [r["traj"] for r in catalog.queries()["preference_resample_whole"](spark, sf_dir).collect()]
+    drawn = [r["traj"] for r in catalog.queries()["preference_resample"](spark, sf_dir).collect()]
     assert len(drawn) == 100 and max(drawn) >= 200
 
 
 def test_crop_report_counts_every_part(spark, sf_dir, tmp_path):
-    whole = catalog.queries()["crop_ratio_report_whole"]
+    whole = catalog.queries()["crop_ratio_report"]
     parts = spark.read.parquet(f"{sf_dir}/part.parquet")
     assert sum(r["n"] for r in whole(spark, sf_dir).collect()) == parts.count()
     spark.createDataFrame([(1,), (2,), (41,)], "p_size int").write.parquet(f"{tmp_path}/part.parquet")
@@ -148,7 +151,25 @@ def test_balancing():
 def test_math_forms():
     assert G.math_form("x = \\dfrac12") == "\\frac{1}{2}" and G.math_form("0.5") == "\\frac{1}{2}" and G.math_form("\\sqrt3 + 1") == "\\sqrt{3}+1"
     assert G.boxed_in("a \\boxed{1} b \\boxed{x^{2}} c") == "x^{2}" and G.boxed_in("\\boxed{1") is None and G.boxed_in("none") is None
-    assert G.near_number("50%", "0.5") and G.near_number("[1, 2]", "[1,2.0]") and not G.near_number("(1, 2]", "[1,2]")
+    assert G.boxed_in("\\fbox{1}") is None and G.boxed_in("\\boxed 5$ and \\boxed{3}") == "5" and G.strict_box("\\boxed 5 \\boxed{x^{2}}") == "x^{2}"
+
+
+@pytest.mark.parametrize(
+    ("given", "truth", "same"),
+    [
+        ("50%", "0.5", True), ("[1, 2]", "[1,2.0]", True), ("(1, 2]", "[1,2]", False), ("\\frac{1}{2}", "0.5", True), ("Interval(1, 2)", "[1,2]", True), ("Point(1, 2)", "(1,2)", True),
+        ("\\sqrt{16}", "4", True), ("2^{10}", "1024", True), ("[[1,2],[3,4]]", "\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", True), ("x+1", "1+x", False), ("1, 2, 3", "1,2,3.0", True),
+        ("$5", "5", True), ("101_2", "101", True), ("", "1", False), ("__import__('os')", "1", False), ("9**9**9**9", "1", False), ("1/0", "1", False),
+    ],
+)
+def test_same_value(given, truth, same):
+    assert E.same_value(given, truth) is same
+
+
+def test_competition_answers():
+    assert E.competition_score("We get x = 5 cm", "5") == (True, True, "5 cm") and E.competition_score("the area is 2\\pi", "6.28")[0]
+    assert E.competition_score("Answer: 2/4", "1/2") == (True, False, "2/4") and not E.same_answer("2/4", "1/2") and E.same_answer("7 3/4", "7.75")
+    assert E.answer_in("no digits here") == (False, "no digits here") and not E.same_answer("3.5", "4") and E.same_answer("1,000 cm", "1000")
 
 
 def test_gate_and_unknown_mode(spark):
@@ -204,3 +225,116 @@ def test_every_query_without_sql_runs(spark, sf_dir):
 def test_decisions():
     assert S.refill_credits(3, 1, 90, 100) == 7 and S.refill_credits(30, 1, 95, 100) == 5
     assert S.must_pause(10, 6, 8, 1, 1) and not S.must_pause(10, 5, 8, 1, 1)
+
+
+def test_first_rows_without_sorting(spark, monkeypatch):
+    """The first n by several keys, found by narrowing: ties, one value only, more than there are."""
+    import random
+
+    monkeypatch.setattr(B, "FEW", 5)
+    rng = random.Random(3)
+    rows = [(rng.choice([0.5, 1.0, rng.random()]), rng.randrange(4), k) for k in range(900)] + [(0.5, 9, 1000 + k) for k in range(50)]
+    df = spark.createDataFrame(rows, "a double, b int, c int").cache()
+    for n in (0, 1, 7, 200, 500, 949, 950, 2000):
+        got = df.where(B.among_first(df, [F.col("a"), F.col("b"), F.col("c")], n)).collect()
+        assert sorted(map(tuple, got)) == sorted(rows)[:n], n
+    down = df.where(B.among_first(df, [-F.col("a"), F.col("c")], 40)).collect()
+    assert sorted(map(tuple, down)) == sorted(sorted(rows, key=lambda r: (-r[0], r[2]))[:40])
+
+
+def test_rows_are_numbered_by_text(spark):
+    rows = [(f"{chr(97 + k * 7 % 26)}{k:03}é",) for k in range(400)] + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    got = {r["t"]: r["row_idx"] for r in B.with_row_index(df, ["t"]).collect()}
+    want = sorted(got, key=lambda t: (t is not None, (t or "").encode()))
+    assert [got[t] for t in want] == list(range(402))
+
+
+def test_differencing_as_defined():
+    """Against merging lists of states, the widest and then the largest first."""
+    import random
+
+    def defined(sizes, k, equal):
+        order = sorted((n, i) for i, n in enumerate(sizes))
+        groups = [order[s : s + k] for s in range(0, len(order), k)] if equal else [[x] for x in order]
+        states = [sorted([(n, 1, [(i, n)]) for n, i in g] + [(0, 0, [])] * (k - len(g)), reverse=True) for g in groups]
+        while len(states) > 1:
+            states.sort(key=lambda s: (s[0][0] - s[-1][0], s[0]), reverse=True)
+            a, b = states.pop(0), states.pop(0)
+            states.append(sorted(((x[0] + y[0], x[1] + y[1], x[2] + y[2]) for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+        return [sorted(i for i, _ in p) for _, _, p in states[0]]
+
+    rng = random.Random(1)
+    for n, k in ((24, 4), (12, 3), (40, 8)):
+        for top in (3, 50):  # many equal sizes, and few
+            sizes = [rng.randint(1, top) for _ in range(n)]
+            assert P.differencing(sizes, k) == defined(sizes, k, False) and P.differencing(sizes, k, True) == defined(sizes, k, True)
+    parts = P.ranks([5, 1, 4, 2, 3, 6, 8, 7], 2)
+    assert sorted(i for p in parts for i in p) == list(range(8)) and all(len(p) == 4 for p in parts)
+    by_mini = P.ranks([5, 1, 4, 2, 3, 6, 8, 7], 2, mini_batch=4)
+    assert all(sum(i < 4 for i in p) == 2 for p in by_mini)
+
+
+def test_registries_and_custom_functions(spark, tmp_path):
+    r = X.Registry("thing")
+    assert r.register("a", "b")(len) is len and r.get("b") is len
+    with pytest.raises(ValueError):
+        r.register("a")(max)
+    with pytest.raises(ValueError):
+        r.get("A")
+    (tmp_path / "judge.py").write_text("def judge(source, text, truth, weight=1.0):\n    return weight * (text == truth)\n")
+    score = X.reward_function(str(tmp_path / "judge.py"), "judge", weight=2.0)
+    rows = spark.createDataFrame([("s", "a", "a"), ("s", "a", "b")], "s string, t string, g string")
+    assert [x[0] for x in rows.select(score(F.col("s"), F.col("t"), F.col("g"))).collect()] == [2.0, 0.0]
+    with pytest.raises(ValueError):
+        X.load(str(tmp_path / "judge.py"), "absent")
+    with pytest.raises(TypeError):
+        X.dataset(dict)
+    with pytest.raises(TypeError):
+        X.tool(lambda x: x)
+    from rillmark.plans.q_flow import unit_price
+
+    spec = X.schema(unit_price)["function"]
+    assert spec["parameters"]["required"] == ["total", "count"] and spec["parameters"]["properties"]["count"] == {"type": "integer", "description": "how many there are"}
+
+
+def test_bootstrap_draws(spark):
+    import numpy as np
+
+    values = [3.0, 1.0, 4.0, 1.5, 9.0]
+    rows = spark.createDataFrame([("u", k, v) for k, v in enumerate(values)], "u string, k int, v double")
+    got = {r["reducer"]: r for r in M.bootstrap(rows, ["u"], "v", "k", 3, {"max": np.max}).collect()}["max"]
+    np.random.seed(42)
+    drawn = np.array(values)[np.random.choice(5, size=(1000, 3), replace=True)].max(axis=1)
+    assert (got["mean"], got["std"]) == (drawn.mean(), drawn.std())
+    closed = rows.groupBy().agg(F.array_sort(F.collect_list("v")).alias("v")).select(M.best_of_k(F.col("v"), 3), M.best_of_k_std(F.col("v"), 3)).first()
+    assert abs(closed[0] - drawn.mean()) < 0.3 and abs(closed[1] - drawn.std()) < 0.3
+
+
+def test_group_split_by_hash(spark):
+    import hashlib
+
+    keys = [f"k{k}" for k in range(200)]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame([(k,) for k in keys], "k string").select("k", Q.group_split(F.col("k"), "7", {"a": 0.5, "b": 0.5}).alias("s")).collect()}
+    unit = {k: int.from_bytes(hashlib.blake2b(f"7\0{k}".encode(), digest_size=8).digest(), "big") / 2**64 for k in keys}
+    assert got == {k: "a" if u < 0.5 else "b" for k, u in unit.items()} and len(set(got.values())) == 2
+
+
+def test_conflicts_of_both_kinds(spark, sf_dir):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kept = catalog.queries()["conflict_rejection"](spark, sf_dir).count()
+    assert 0 < kept < lines.count()
+
+
+def test_more_errors(spark, tmp_path):
+    rows = spark.range(10).withColumnRenamed("id", "row_idx")
+    for wrong in (lambda: S.refill(rows, 10, 0, 9, 8, 1), lambda: S.trigger_steps(rows, 10, 3), lambda: S.sampling_state(rows, 1, 1, 1, "both"), lambda: B.from_columns(spark, {"a": [1], "b": []}), lambda: B.to_columns(rows, 3)):
+        with pytest.raises(ValueError):
+            wrong()
+    with pytest.raises(Exception, match="run elsewhere"):
+        spark.range(1).select(G.dispatch(F.lit("apps"), F.lit("y"), F.lit("z"))).collect()
+    with pytest.raises(Exception, match="exactly one"):
+        spark.range(1).select(Q.media_descriptors(F.array(F.lit("a"), F.lit("b")), 1, 2)).collect()
+    rows.withColumn("step", F.lit(1)).write.json(f"{tmp_path}/dump")
+    with pytest.raises(ValueError, match="nothing"):
+        files.replay(spark, f"{tmp_path}/dump", 2)

@@ -368,7 +368,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, half: in
     if not more.isEmpty():
         label = components(links.unionByName(more))
     classes = sets.select("cls", "least").join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = classes.join(classes.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("cls", "component_id")
+    least = classes.groupBy(F.col("label").alias("u")).agg(F.min("least").alias("m"), F.count(F.lit(1)).alias("n"))
+    named = _told_least(classes.select(F.col("label").alias("u"), "cls"), least, sets.count()).select("cls", F.col("m").alias("component_id"))
     out = digest.select("doc_id", "text_hash", "n_shingles", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -107,6 +107,7 @@ def test_batch_checks(spark):
     assert B.union_meta({"a": float("nan")}, {"a": float("nan"), "b": 1})["b"] == 1
     with pytest.raises(KeyError):
         B.pivot_records([{"a": 1}, {"b": 2}])
+    assert B.prefixed({"a": 1, "p/b": 2}, "p/") == {"p/a": 1, "p/b": 2} and B.appended({"a": [1]}, {"a": 2, "b": [3, 4]}) == {"a": [1, 2], "b": [3, 4]}
     assert B.pad_minimal(df.withColumn("mask", F.array(F.lit(1))), 4, 2, "mask").where("is_padding").count() == 2
     assert B.same_rows(df, df) and B.required_multiple(4, 6) == 12
     assert B.unpad(B.pad_to_multiple(df, 5, 2), 5, 3).count() == 2

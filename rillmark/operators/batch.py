@@ -51,17 +51,32 @@ def among_first(df: DataFrame, keys: list[Column], n: int) -> Column:
 
     The n-th row's keys are looked for instead of sorting: percentiles of a key and counts
     between them narrow the rows in question until the driver can hold their keys, and
-    the condition compares with what it finds.  No rows are gathered or moved."""
+    the condition compares with what it finds.  Keys are kept meanwhile, no rows are
+    gathered or moved."""
     if n <= 0:
         return F.lit(False)
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = df.select(*(k.alias(name) for k, name in zip(keys, names, strict=True)))
+    held = rows = df.select(*(k.alias(name) for k, name in zip(keys, names, strict=True))).persist()
+    try:
+        last = _nth(rows, names, n)
+    finally:
+        held.unpersist()
+    if last is None:
+        return F.lit(True)
+    out = F.lit(True)
+    for key, value in reversed(list(zip(keys, last, strict=True))):
+        out = (key < F.lit(value)) | ((key == F.lit(value)) & out)
+    return out
+
+
+def _nth(rows: DataFrame, names: list[str], n: int) -> tuple | None:
+    """The n-th row in the order of its columns; none if there are no more than n."""
     at, size = 0, rows.count()
     if n >= size:
-        return F.lit(True)
+        return None
     while size > FEW and at < len(names):
         key = F.col(names[at])
-        cuts = sorted(set(rows.agg(F.percentile_approx(key, [k / 256 for k in range(257)], 10_000)).first()[0]))
+        cuts = sorted(set(rows.agg(F.percentile_approx(key, [k / 64 for k in range(65)], 10_000)).first()[0]))
         if len(cuts) == 1:
             at += 1
             continue
@@ -74,11 +89,7 @@ def among_first(df: DataFrame, keys: list[Column], n: int) -> Column:
             n -= size
         k = p // 2
         rows = rows.where(key == F.lit(cuts[k])) if p % 2 else rows.where((key > F.lit(cuts[k - 1])) & (key < F.lit(cuts[k])) if 0 < k < len(cuts) else key < F.lit(cuts[0]) if not k else key > F.lit(cuts[-1]))
-    last = sorted(tuple(r) for r in rows.collect())[n - 1]
-    out = F.lit(True)
-    for key, value in reversed(list(zip(keys, last, strict=True))):
-        out = (key < F.lit(value)) | ((key == F.lit(value)) & out)
-    return out
+    return sorted(tuple(r) for r in rows.collect())[n - 1]
 
 
 def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFrame:

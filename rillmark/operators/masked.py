@@ -32,12 +32,12 @@ def whitening(df: DataFrame, value: str, mask: str) -> DataFrame:
     """One row (_mean, _var) of the batch: masked mean and its Bessel-corrected variance; an
     error if the mask covers fewer than two tokens."""
     x, m = F.col(value), F.col(mask)
-    sums = df.agg(masked_sum(x, m).alias("_s"), F.sum(m).cast("double").alias("_n"))
-    centred = df.crossJoin(F.broadcast(sums.select((F.col("_s") / (F.col("_n") + MEAN_EPS)).alias("_mean"), "_n")))  # one row
-    spread = centred.groupBy("_mean", "_n").agg(masked_sum((x - F.col("_mean")) ** 2, m).alias("_ss"))
-    n = F.col("_n")
-    variance = F.when(n < 2, F.raise_error(F.lit("variance over fewer than two tokens"))).otherwise(F.col("_ss") / (n + MEAN_EPS) * n / (n - 1))
-    return spread.select("_mean", variance.alias("_var"))
+    on = F.when(m > 0, x)
+    sums = df.agg(masked_sum(x, m).alias("_s"), F.sum(m).cast("double").alias("_n"), F.count(on).alias("_c"), F.avg(on).alias("_a"), F.var_pop(on).alias("_v"))
+    n, mean = F.col("_n"), F.col("_s") / (F.col("_n") + MEAN_EPS)
+    squares = F.col("_c") * (F.col("_v") + (F.col("_a") - mean) ** 2)  # around the mean that has the small term
+    variance = F.when(n < 2, F.raise_error(F.lit("variance over fewer than two tokens"))).otherwise(squares / (n + MEAN_EPS) * n / (n - 1))
+    return sums.select(mean.alias("_mean"), variance.alias("_var"))
 
 
 def whiten(df: DataFrame, value: str, mask: str, out: str, keep_mean: bool = False) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Common words are anchors.  The first of a run of anchors and the chain of two content
 words after the run form a signature, so that signatures sit in running prose and not in
-lists or navigation; the start of a text is an anchor as well (the only one of a text without common words, whose
-fingerprint is thus its first two words).  A fingerprint is the set
-of a text's signatures, written as their sorted 32-bit hashes in hexadecimal.
+lists or navigation.  The start and the end of a text are anchors as well: its first two
+and its last two words are a signature (the only ones of a text without common words).  A
+fingerprint is the set of a text's signatures, written as their sorted 32-bit hashes in
+hexadecimal.
 
 ``similar_pairs`` (not part of op10, whose query compares two fixed pairs of each document
 by a plain Jaccard) finds near texts without comparing all pairs: sets are partitioned by length (two
@@ -46,14 +47,15 @@ def signatures(text: Column, anchors: list[str] = ANCHORS) -> Column:
 
     Words stand between single spaces; a run of anchors becomes a mark on the content word
     after it; each marked word (and the first of the text) with the word that follows it
-    is a signature.  One expression reads the text a fixed number of times."""
+    is a signature, and so are the last two words where neither is marked.  One expression
+    reads the text a fixed number of times."""
     word = _any_of(anchors)
     plain = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")
     # possessive, so that the matcher loops over long runs and doesn't recurse
     marked = F.regexp_replace(plain, f" ({word})(?: {word}(?= ))*+ (?=[^ ])", " $1^")
     # a text that starts with no anchor starts with an empty one
     marked = F.regexp_replace(marked, r"^ (?=[^ ^]+ )", " ^")
-    pairs = F.regexp_extract_all(marked, F.lit(r"(?<= )(?=([^ ^]*\^[^ ]+(?: [^ ]+)?))"), F.lit(1))
+    pairs = F.regexp_extract_all(marked, F.lit(r"(?<= )(?=([^ ^]*+\^[^ ]++(?: [^ ]+)?|[^ ^]++ [^ ^]++(?= $)))"), F.lit(1))
     chain = F.transform(pairs, lambda s: F.hash(F.substring_index(s, " ", 1), F.substring_index(F.substring_index(s, " ", -1), "^", -1)))
     return F.array_sort(F.array_distinct(chain))
 

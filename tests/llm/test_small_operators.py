@@ -381,7 +381,17 @@ def extracted(text):
         k = j + 1
     if out and "^" not in out[0]:
         out[0] = "^" + out[0]
-    return {(t, (out[k + 1] if k + 1 < len(out) else t).split("^")[-1]) for k, t in enumerate(out) if "^" in t}
+    last = {tuple(out[-2:])} if len(out) > 1 and "^" not in out[-2] + out[-1] else set()
+    return last | {(t, (out[k + 1] if k + 1 < len(out) else t).split("^")[-1]) for k, t in enumerate(out) if "^" in t}
+
+
+def test_the_end_of_a_text_is_signed(spark):
+    """A list's last half shows in its fingerprint; texts of one word or none have no more than that."""
+    texts = ["alpha beta gamma delta", "alpha beta gamma omega", "alpha", " , ", "alpha beta of gamma", "alpha beta gamma of"]
+    rows = spotsigs.fingerprints(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    got = [set(r["signatures"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+    assert [len(s) for s in got] == [2, 2, 1, 0, 2, 2]
+    assert len(got[0] & got[1]) == 1 and len(got[0] & got[5]) == 1
 
 
 def test_signatures_against_a_reading_word_by_word(spark, docs):

@@ -128,10 +128,10 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, words of each row): maximal runs of non-white bytes inside a row."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words of each row): maximal runs of bytes not ``outside`` inside a row."""
     n = len(data)
-    inside = ~SPACE[data]
+    inside = ~outside[data]
     cut = np.zeros(n + 1, dtype=bool)
     cut[offsets] = True
     before = np.concatenate(([False], inside[:-1])) if n else inside

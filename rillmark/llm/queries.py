@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm, mixing, neardup, packing, quality, sharding, spotsigs, substring, token_counts
+from . import ann, clusters, divergence, language, lm, mixing, neardup, packing, quality, sharding, spotsigs, substring, token_counts
 from .common import table, tokenizer_path
 
 
@@ -54,6 +54,20 @@ def op10_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, held_out=(4, 2))
+    return language.identify(docs.select("doc_id", "text"), model).select("doc_id", language.in_fold("doc_id", (4, 2)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
@@ -79,8 +93,43 @@ g AS (SELECT DISTINCT doc_id, i + j AS i FROM k JOIN m USING (h), range(13) r(j)
 t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
 a AS (SELECT t.doc_id, count(*) AS n_words, count(g.i) AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY t.i) AS kept FROM t LEFT JOIN g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN a USING (doc_id)""",
+    "op12_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+m AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS MATERIALIZED (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM m JOIN v USING (lang)),
+q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM (SELECT lang, term, sum(n) AS n FROM m GROUP BY ALL) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
 }
 
+_NEAREST = "SELECT r, min({{'s': CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'k': k}}) AS m FROM v, c{i} GROUP BY r"
+_ROUND = f"""
+a{{i}} AS MATERIALIZED ({_NEAREST}),
+n{{i}} AS (SELECT m.k AS k, j, CAST(sum(x[j]) AS BIGINT) AS s, count(*) AS n FROM a{{i}} JOIN v USING (r), range(1, 65) t(j) GROUP BY ALL),
+m{{i}} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM n{{i}} GROUP BY k),
+c{{j}} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM c{{i}} o LEFT JOIN m{{i}} m ON m.k = o.k),"""
+
+ORACLE_SQL["op11_centroid_clustering"] = (
+    """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(256 * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(CAST(e AS DOUBLE))))),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS INT) AS k, x AS c FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40),"""
+    + "".join(_ROUND.format(i=i, j=i + 1) for i in range(5))
+    + f"""
+a5 AS MATERIALIZED ({_NEAREST.format(i=5)}),
+w AS (SELECT m.k AS k, sum(m.s) AS s FROM a5 GROUP BY ALL)
+SELECT vec_id, m.k AS cluster, m.s AS distance, CAST(w.s AS BIGINT) AS cluster_inertia, CAST(sum(m.s) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (r) JOIN w ON w.k = m.k JOIN c5 ON c5.k = m.k"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose rows it can express; the others are tested against brute force."""

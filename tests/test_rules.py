@@ -159,7 +159,7 @@ def test_math_forms():
     ("given", "truth", "same"),
     [
         ("50%", "0.5", True), ("[1, 2]", "[1,2.0]", True), ("(1, 2]", "[1,2]", False), ("\\frac{1}{2}", "0.5", True), ("Interval(1, 2)", "[1,2]", True), ("Point(1, 2)", "(1,2)", True),
-        ("\\sqrt{16}", "4", True), ("2^{10}", "1024", True), ("[[1,2],[3,4]]", "\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", True), ("x+1", "1+x", False), ("1, 2, 3", "1,2,3.0", True),
+        ("\\sqrt{16}", "4", True), ("2^{10}", "1024", True), ("[[1,2],[3,4]]", "\\begin{pmatrix}1&2\\\\3&4\\end{pmatrix}", True), ("x+1", "1+x", True), ("1, 2, 3", "1,2,3.0", True),
         ("$5", "5", True), ("101_2", "101", True), ("", "1", False), ("__import__('os')", "1", False), ("9**9**9**9", "1", False), ("1/0", "1", False),
     ],
 )
@@ -169,8 +169,38 @@ def test_same_value(given, truth, same):
 
 def test_competition_answers():
     assert E.competition_score("We get x = 5 cm", "5") == (True, True, "5 cm") and E.competition_score("the area is 2\\pi", "6.28")[0]
-    assert E.competition_score("Answer: 2/4", "1/2") == (True, False, "2/4") and not E.same_answer("2/4", "1/2") and E.same_answer("7 3/4", "7.75")
-    assert E.answer_in("no digits here") == (False, "no digits here") and not E.same_answer("3.5", "4") and E.same_answer("1,000 cm", "1000")
+    assert E.competition_score("Answer: 2/4", "1/2") == (True, False, "2/4") and not E.same_exactly("2/4", "1/2") and E.same_exactly("7 3/4", "7.75")
+    assert E.stated("no digits here") == "no digits here" and not E.same_exactly("3.5", "4") and E.same_exactly("1,000 cm", "1000")
+    assert E.stated("Answer is 3. So the ANSWER: we get x = \\boxed{7}. Really") == "7" and E.stated("12 is the answer") == "12"
+    assert E.competition_score(None, "1") == (False, False, "None") and not E.competition_score("nan_1", "inf_1")[0]
+
+
+EQUAL = [
+    ("(x+1)^2", "x^2+2x+1"), ("\\frac{x}{x y}", "1/y"), ("x/(x y)", "\\frac1y"), ("a^2-b^2", "(a-b)(a+b)"), ("\\frac{x^2-1}{x-1}", "x+1"), ("\\sqrt{12}", "2\\sqrt3"), ("\\frac{1}{\\sqrt{2}}", "\\frac{\\sqrt{2}}{2}"),
+    ("\\sqrt{2}\\sqrt{3}", "\\sqrt{6}"), ("\\sqrt[3]{16}", "2\\sqrt[3]{2}"), ("\\frac{1}{1+\\sqrt2}", "\\sqrt2-1"), ("8^{2/3}", "4"), ("2^{x+1}", "2\\cdot 2^x"), ("\\sin(x+1)", "\\sin(1+x)"), ("\\sqrt{4x}", "2\\sqrt{x}"),
+    ("2^{100}", "1267650600228229401496703205376"), ("5!", "120"), ("x_1+x_2", "x_{2}+x_{1}"), ("\\pi r^2", "r^2\\pi"), ("(x+1, 2]", "(1+x, 4/2]"), ("\\{1, x+x\\}", "\\{1,2x\\}"), ("y=2x+1", "y=1+2x"),
+    ("\\begin{pmatrix}1&x+1\\\\2&3\\end{pmatrix}", "\\begin{pmatrix} 1 & 1+x \\\\ 2 & 3\\end{pmatrix}"), ("[[1,x],[3,4]]", "\\begin{bmatrix}1&x\\\\3&4\\end{bmatrix}"), ("Matrix([[1, 2]])", "[[1,2]]"),
+    ("Interval.Ropen(0, x)", "[0,x)"), ("(-\\infty, 3)", "(-\\infty,3.0)"), ("[5]", "5"), ("1,2", "(1,2)"), ("((1,2),(3,4))", "((1,2.0),(3,4))"), ("1e3", "1000"), ("1,000,000", "1000000"), ("0.33333", "1/3"), ("\\left(1,2\\right)", "(1,2)"),
+    ("|-3|", "3"), ("\\sqrt{x}^2", "x"), ("-\\frac{3}{4}", "\\frac{-3}{4}"), ("\\text{Even}", "\\text{ even}"), ("90^\\circ", "90"), ("1/(1/x)", "x"), ("\\sqrt{\\frac{x}{y}}", "\\sqrt{xy}/y"),
+]
+UNEQUAL = [
+    ("x+1", "x+2"), ("\\sqrt{x^2}", "x"), ("x y", "x+y"), ("(1,2)", "[1,2]"), ("(1,2)", "(2,1)"), ("(1,2)", "(1,2,3)"), ("[0,1)", "[0,1]"), ("\\begin{pmatrix}1&2\\end{pmatrix}", "\\begin{pmatrix}1\\\\2\\end{pmatrix}"),
+    ("x", "y"), ("2x", "x^2"), ("0.3", "1/3"), ("(x+1)^{9999}", "x"), ("9^{9^{9}}", "1"), ("(" * 5000 + "1", "1"), ("1/0", "1/0+1"), ("nan_1", "inf_1"), ("inf", "1"), ("nan", "1"), ("even", "odd"), ("x=1", "x=2"), ("\\sin x", "\\cos x"),
+    ("\\frac{", "1"), ("\\sqrt[0]{2}", "1"), ("1_", "1"), ("x" * 2000, "y"), ("^", "1"), ("\\", "1"), ("2 3", "6"), ("600!", "1"), ("1e999", "1"), ("(a+b+c+d+e+f+g)^{12}", "1"),
+]
+
+
+@pytest.mark.parametrize(("same", "cases"), [(True, EQUAL), (False, UNEQUAL)])
+def test_values(same, cases):
+    for given, truth in cases:
+        assert E.same_value(given, truth) is same, (given, truth)
+        assert E.same_value(truth, given) is same, (truth, given)
+        E.competition_score(given, truth)
+
+
+@pytest.mark.parametrize(("given", "truth", "same"), [("x+1", "1+x", True), ("4/8", "1/2", False), ("0.5", "1/2", True), ("0.33333", "1/3", False), ("5.0", "5", True), ("\\sqrt{25}", "5", False), ("3 million dollars", "3000000 dollars", True), ("3 million", "3000000", False), ("12 meters", "12", True), ("parameter", "para", False), ("1 and 2", "1, 2", True), ("(1,2)", "1,2", False)])
+def test_exact_values(given, truth, same):
+    assert E.same_exactly(given, truth) is same
 
 
 def test_gate_and_unknown_mode(spark):

@@ -333,10 +333,16 @@ def _calls(text: str) -> list[dict]:
     return [c | {"name": c["name"]} for c in calls]
 
 
-def _call_score(text: str, truth: str) -> float:
+def _call_score(text: str | None, truth: str | None) -> float | None:
+    """Null where the truth is null or has no readable calls; a null text has no calls."""
+    if truth is None:
+        return None
     if "<tool_call>" not in truth:
         return 0.0
-    wanted = _calls(truth)
+    try:
+        wanted = _calls(truth)
+    except (ValueError, KeyError, TypeError, IndexError):
+        return None
     try:
         if "</tool_call>" not in text:
             return -3.0

@@ -41,9 +41,16 @@ def json_value(text: Column) -> Column:
     return F.when(is_json(text), text).otherwise(F.substring(quoted, F.lit(6), F.length(quoted) - 6))
 
 
+def _last_of_each(entries: Column) -> Column:
+    """A map of array<struct<k, v>>: a name given again keeps its place and takes the last value."""
+    named = F.filter(entries, lambda e: e["k"].isNotNull())
+    names = F.array_distinct(F.transform(named, lambda e: e["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(named, lambda e: e["k"] == k), -1)["v"]))
+
+
 def _pairs(body: Column, key: str, value: str) -> Column:
     both = F.arrays_zip(_lit_all(body, key).alias("k"), _lit_all(body, value).alias("v"))
-    return F.map_from_entries(F.filter(F.transform(both, lambda x: F.struct(x["k"], F.regexp_replace(x["v"], r"^\s+|\s+$", ""))), lambda x: x["k"].isNotNull()))
+    return _last_of_each(F.transform(both, lambda x: F.struct(x["k"].alias("k"), F.regexp_replace(x["v"], r"^\s+|\s+$", "").alias("v"))))
 
 
 def _element_calls(block: str, name: str, key: str, value: str):
@@ -78,13 +85,14 @@ def brace_calls(text: Column) -> Column:
 
     def value(quoted: Column, bare: Column, whole: Column) -> Column:
         word, plain = F.lower(F.trim(bare)), F.trim(bare)
-        number = F.when(plain.rlike(r"^[+-]?\d+$"), plain.cast("bigint").cast("string")).when(plain.try_cast("double").isNotNull(), plain.try_cast("double").cast("string"))
+        digits = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^\+", ""), r"^(-?)0+(?=\d)", "$1"), "^-0$", "0")  # of any length
+        number = F.when(plain.rlike(r"^[+-]?\d+$"), digits).when(plain.try_cast("double").isNotNull(), plain.try_cast("double").cast("string"))
         typed = F.when(word.isin("true", "false", "null"), word).otherwise(F.coalesce(number, _string(plain)))
         return F.when(whole.rlike(r'(?s)^\w+:<\|"\|>'), _string(quoted)).otherwise(typed)
 
     def arguments(body: Column) -> Column:
         parts = F.arrays_zip(*(_lit_all(body, pair, k).alias(n) for k, n in ((1, "k"), (2, "q"), (3, "b"), (0, "w"))))
-        return F.map_from_entries(F.transform(parts, lambda p: F.struct(p["k"], value(p["q"], p["b"], p["w"]))))
+        return _last_of_each(F.transform(parts, lambda p: F.struct(p["k"].alias("k"), value(p["q"], p["b"], p["w"]).alias("v"))))
 
     return F.transform(both, lambda x: F.struct(x["n"].alias("name"), arguments(x["a"]).alias("arguments")))
 
@@ -112,7 +120,7 @@ def marked_invocations(text: Column) -> Column:
 
     def arguments(body: Column) -> Column:
         parts = F.arrays_zip(*(_lit_all(body, parameter, k).alias(n) for k, n in ((1, "k"), (2, "s"), (3, "v"))))
-        return F.map_from_entries(F.transform(parts, lambda p: F.struct(p["k"], F.when(p["s"] == "true", _string(p["v"])).otherwise(json_value(p["v"])))))
+        return _last_of_each(F.transform(parts, lambda p: F.struct(p["k"].alias("k"), F.when(p["s"] == "true", _string(p["v"])).otherwise(json_value(p["v"])).alias("v"))))
 
     return F.transform(both, lambda x: F.struct(x["n"].alias("name"), arguments(x["b"]).alias("arguments")))
 
@@ -139,7 +147,7 @@ def crop_action(text: Column) -> Column:
     0..1000 (area from 1), or null; a missing end tag is forgiven but not strict."""
     body = F.regexp_extract(text, r"(?s)<crop>\s*(\{.*?\})", 1)
     keys = F.array_sort(F.json_object_keys(F.when(body != "", body)))
-    number = lambda k: F.when(F.get_json_object(body, f"$.{k}").rlike("^-?[0-9]+$"), F.get_json_object(body, f"$.{k}").cast("int"))
+    number = lambda k: F.when(F.get_json_object(body, f"$.{k}").rlike("^-?[0-9]+$"), F.get_json_object(body, f"$.{k}").try_cast("int"))
     cx, cy, area = (number(k) for k in ("cx", "cy", "area"))
     ok = (keys == F.array(*map(F.lit, ("area", "cx", "cy")))) & cx.between(0, 1000) & cy.between(0, 1000) & area.between(1, 1000)
     return F.when(F.coalesce(ok, F.lit(False)), F.struct(cx.alias("cx"), cy.alias("cy"), area.alias("area"), text.rlike(r"(?s)<crop>\s*\{.*?\}\s*</crop>").alias("strict")))
@@ -171,7 +179,7 @@ def _int(json: Column, key: str) -> Column:
     """A whole number that is written as one."""
     raw = F.get_json_object(json, f"$.{key}")
     kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant"))
-    return F.when((kind == "BIGINT") & raw.rlike("^-?[0-9]+$"), raw.cast("bigint"))
+    return F.when((kind == "BIGINT") & raw.rlike("^-?[0-9]+$"), raw.try_cast("bigint"))
 
 
 def percent_action(text: Column) -> Column:

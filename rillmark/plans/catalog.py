@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_advantage, q_batch, q_flow, q_metrics, q_more, q_offpolicy, q_rewards, q_text  # noqa: F401  (they register)
+from . import q_advantage, q_batch, q_flow, q_metrics, q_more, q_offpolicy, q_rewards, q_stream, q_text  # noqa: F401  (they register)
 from .base import ORACLES, QUERIES, Query
 
 

@@ -101,6 +101,18 @@ def kv_optional_fields(spark, sf):
     return found
 
 
+@query("""WITH t AS (SELECT d.doc_id, d.lang, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE d.n_chars END AS n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'fr')
+SELECT doc_id, lang, n_chars, quality FROM t JOIN (SELECT doc_id FROM documents WHERE n_chars % 3 = 0) USING (doc_id)""")
+def keyed_table(spark, sf):
+    """Rows put in a table on disk, fields put for some, others cleared, and every third got."""
+    d = table(spark, sf, "documents")
+    held = kv.KeyedTable(spark, scratch(spark, "keyed"), d.select("doc_id", "lang", "n_chars").schema, "doc_id", parts=16, buckets=4)
+    held.put(d.select("doc_id", "lang", "n_chars"))
+    held.put(table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("bigint").alias("n_chars"), "quality"))
+    held.clear(d.where("lang = 'fr'").select("doc_id"))
+    return held.get(d.where("n_chars % 3 = 0").select("doc_id"), ["lang", "n_chars", "quality"], ("absent",))
+
+
 @query("SELECT text AS prompt, 'yes' AS chosen, 'no' AS rejected FROM benchmark")
 def preference_files(spark, sf):
     path = scratch(spark, "pairs") + ".parquet"
@@ -108,22 +120,6 @@ def preference_files(spark, sf):
     return files.read_preferences(spark, [path], "q", "a", "b")
 
 
-@query("SELECT event_type AS partition_id, least(count(*), 8) AS size, greatest(count(*) - 8, 0) AS dropped FROM events GROUP BY 1")
-def queue_stream(spark, sf):
-    """Events through a bounded queue as a stream, until there are no more."""
-    path, found = scratch(spark, "stream"), []
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    held = S.stream_queue(events.select(F.col("event_type").alias("partition_id"), F.col("event_id").alias("seq")), 8)
-
-    def keep(batch, k):
-        batch.write.parquet(f"{path}/{k}")
-        found.append(f"{path}/{k}")
-
-    held.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{path}-state").foreachBatch(keep).start().awaitTermination()
-    rows = spark.read.parquet(*found)
-    return rows.groupBy("partition_id").agg(F.max_by("size", "dropped").alias("size"), F.max("dropped").alias("dropped"))
-
-
 # ---- batches and ranks
 
 

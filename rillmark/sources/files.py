@@ -62,8 +62,10 @@ def read_dump(spark: SparkSession, path: str, mask: tuple[str, ...] = (), mask_w
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """One line per step: {"step": s, "data": {name: value}}."""
-    rows = df.groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("data"))
+    """One line per step: {"step": s, "data": {name: value}}.  Of a name given twice in a step the
+    largest value counts; a null name has no place in a line."""
+    single = df.where("name IS NOT NULL").groupBy("step", "name").agg(F.max("value").alias("value"))
+    rows = single.groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("data"))
     rows.write.mode("append").json(path)
 
 

@@ -139,6 +139,12 @@ def tumbling(events: DataFrame, ts: str, width: str, by: list[str], watermark: s
     return events.groupBy(F.window(ts, width).alias("w"), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), *by, "n", "total")
 
 
+def once(events: DataFrame, keys: list[str], ts: str, watermark: str) -> DataFrame:
+    """The first row of each key; a key is forgotten when the watermark has passed its row, from when on
+    rows as old are too late themselves."""
+    return events.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+
+
 def sliding(events: DataFrame, ts: str, width: str, slide: str, by: list[str]) -> DataFrame:
     return events.groupBy(F.window(ts, width, slide).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), *by, "n")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rillmark.functions import equality as E
 from rillmark.functions import graders as G
+from rillmark.functions import parsers as T
 from rillmark.functions import prompts as Q
 from rillmark.operators import advantage as A
 from rillmark.operators import arrays as R
@@ -369,3 +370,46 @@ def test_more_errors(spark, tmp_path):
     rows.withColumn("step", F.lit(1)).write.json(f"{tmp_path}/dump")
     with pytest.raises(ValueError, match="nothing"):
         files.replay(spark, f"{tmp_path}/dump", 2)
+
+
+def _one(spark, column, **values):
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return row.select(column.alias("x")).first()["x"]
+
+
+def test_texts_that_repeat_names_or_hold_large_numbers(spark):
+    """A name given again takes the last value in its first place; numbers have any length."""
+    big = "1" + "0" * 40
+    cases = [
+        (T.function_calls, "<tool_call><function=f><parameter=a>1</parameter><parameter=b>2</parameter><parameter=a>3</parameter></function></tool_call>"),
+        (T.keyed_calls, "<tool_call>f<arg_key>a</arg_key><arg_value>1</arg_value><arg_key>b</arg_key><arg_value>2</arg_value><arg_key>a</arg_key><arg_value>3</arg_value></tool_call>"),
+        (T.seed_calls, "<seed:tool_call><function=f><parameter=a>1</parameter><parameter=b>2</parameter><parameter=a>3</parameter></function></seed:tool_call>"),
+        (T.invoke_calls, '<invoke name="f"><parameter name="a">1</parameter><parameter name="b">2</parameter><parameter name="a">3</parameter></invoke>'),
+        (T.brace_calls, "<|tool_call>call:f{a:1, b:2, a:3}<tool_call|>"),
+        (T.marked_invocations, f'<{T._MARK}tool_calls><{T._MARK}invoke name="f">' + "".join(f'<{T._MARK}parameter name="{k}" string="false">{v}</{T._MARK}parameter>' for k, v in (("a", 1), ("b", 2), ("a", 3))) + f"</{T._MARK}invoke></{T._MARK}tool_calls>"),
+    ]
+    for dialect, text in cases:
+        (call,) = _one(spark, dialect(F.col("t")), t=text)
+        assert call["name"] == "f" and list(call["arguments"].items()) == [("a", "3"), ("b", "2")]
+    (call,) = _one(spark, T.brace_calls(F.col("t")), t=f"<|tool_call>call:f{{a:{big}, b:-007, c:+5, d:-0, e:1e3, f:x}}<tool_call|>")
+    assert call["arguments"] == {"a": big, "b": "-7", "c": "5", "d": "0", "e": "1000.0", "f": '"x"'}
+    assert _one(spark, T.crop_action(F.col("t")), t=f'<crop>{{"cx": {big}, "cy": 1, "area": 5}}</crop>') is None
+    assert _one(spark, T.percent_action(F.col("t")), t=f'{{"cx_pct": {big}, "cy_pct": 1, "area_pct": 5}}') is None
+
+
+def test_truths_that_cannot_be_read(spark):
+    good = '<tool_call>{"name": "f", "parameters": {"a": 1}}</tool_call>'
+    score = lambda t, u: _one(spark, G.tool_call_score(F.col("t"), F.col("u")), t=t, u=u)
+    assert score(good, good) == 3.0 and score(good, None) is None and score(good, "<tool_call>{</tool_call>") is None and score(good, '<tool_call>{"name": "f"}</tool_call>') is None
+    assert score(None, good) == -3.0 and score("<tool_call>{</tool_call>", good) == -3.0 and score(good, "no calls") == 0.0
+    for pair in (("nan_1", "1"), ("inf_1", "1"), ("1e999", "1"), ("_", "_1")):
+        assert _one(spark, G.numeric_score(F.col("t"), F.col("u")), t=pair[0], u=pair[1]) == 0.0
+    kind = next(iter(G.GRADERS["competition"]))
+    assert _one(spark, G.dispatch(F.lit(kind), F.col("t"), F.col("u"), F.array(F.lit(True))), t="Answer: nan_1", u="2") == 0.0
+
+
+def test_metrics_given_twice(spark, tmp_path):
+    rows = [(1, "a", 1.0), (1, "a", 3.0), (1, "b", None), (2, "a", float("nan")), (2, "a", 5.0), (2, None, 1.0)]
+    files.write_metrics(spark.createDataFrame(rows, "step long, name string, value double"), f"{tmp_path}/m")
+    got = {r["step"]: r["data"] for r in spark.read.schema("step long, data map<string, string>").json(f"{tmp_path}/m").collect()}
+    assert got[1]["a"] == "3.0" and got[2]["a"] == "NaN" and set(got) == {1, 2}

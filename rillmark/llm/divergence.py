@@ -34,7 +34,7 @@ from .common import bounded_batches, durable, text_or_empty
 #: Text bytes whose terms are encoded at once.
 READ = 1 << 21
 #: Terms of a chunk, and sources of a tile.
-CHUNK, TILE = 4096, 256
+CHUNK, TILE = 1024, 256
 #: Bytes of the table of groups up to which it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_BYTES = 8 << 20
 #: Shares are in units of 1 / SHARE.
@@ -129,29 +129,35 @@ def groups_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
     return own.withColumns({"lang_size": F.sum("size").over(lang), "tile": tile, "tiles": F.ceil(F.count(F.lit(1)).over(lang) / TILE).cast("int")})
 
 
-def in_chunks(kept: DataFrame) -> DataFrame:
-    """``kept`` with a chunk: ranges of a language's terms in UTF-8 order, ``CHUNK`` to each."""
+def in_order(kept: DataFrame) -> DataFrame:
+    """``kept`` dealt in ranges of (lang, term), with the number of the range and the place of the term
+    among those of its language in the range."""
     from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, held, last = (TaskContext.get().partitionId() << 32) - 1, 0, None
+        number, seen, last = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            lang = batch.column(0).dictionary_encode()
-            code, first = lang.indices.to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
-            other = np.concatenate(([batch.column(0)[0].as_py() != last], code[1:] != code[:-1]))
-            out = np.empty(len(code), np.int64)
-            cuts = np.flatnonzero(other)
-            for s, e in zip([0, *cuts[cuts > 0]], [*cuts[cuts > 0], len(code)], strict=True):
-                if other[s]:
-                    held, chunk = 0, chunk + 1
-                ordinal = held + np.cumsum(first[s:e]) - 1
-                out[s:e] = chunk + ordinal // CHUNK
-                held, chunk = int(ordinal[-1]) % CHUNK + 1, int(out[e - 1])
-            last = batch.column(0)[-1].as_py()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "chunk"])
+            code, first = batch.column(0).dictionary_encode().indices.to_numpy(), batch.column(5).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(code[1:] != code[:-1]) + 1
+            place = np.empty(len(code), np.int64)
+            for s, e in zip([0, *cuts], [*cuts, len(code)], strict=True):
+                lang = batch.column(0)[int(s)].as_py()
+                seen, last = (seen if lang == last else 0), lang
+                place[s:e] = seen + np.cumsum(first[s:e]) - 1
+                seen = int(place[e - 1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(code), number, np.int32)), pa.array(place)], names=[*batch.schema.names, "range", "place"])
 
     ordered = kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return bounded_batches(ordered).mapInArrow(kernel.lean(run), "lang string, source string, term string, n long, total long, first boolean, chunk long")
+    return bounded_batches(ordered).mapInArrow(kernel.lean(run), "lang string, source string, term string, n long, total long, first boolean, range int, place long")
+
+
+def in_chunks(ordered: DataFrame) -> DataFrame:
+    """A chunk for each row of ``in_order``, which must be durable: ``CHUNK`` terms of a language in
+    UTF-8 order, however they were dealt."""
+    before = Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ordered.where("first").groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.select("lang", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return ordered.join(ranges, ["lang", "range"]).withColumn("chunk", F.floor((F.col("place") + F.col("before")) / CHUNK)).drop("range", "place", "before")
 
 
 def shares(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -218,7 +224,7 @@ def audit(docs: DataFrame, least: int = 30, most: int = 50, text_col: str = "tex
     """(lang, source, part, item, value, rank): ``pair`` rows compare a source with each other one
     of its language, ``term`` rows are its ``most`` most over-used terms."""
     docs = docs.select(*(text_or_empty(F.col(f"`{c}`")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    kept = durable(in_chunks(durable(kept_terms(counts(docs), least))))
+    kept = in_chunks(durable(in_order(kept_terms(counts(docs), least))))
     groups = durable(groups_of(docs, kept))
     held = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0
     near = F.broadcast(groups) if held <= BROADCAST_BYTES else groups

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .batch import BatchError, concat, pad_to_multiple
 from .registry import DISPATCH
@@ -56,6 +59,20 @@ def compute(rows: DataFrame, name: str, ranks: int, work: Callable[[DataFrame],
     return m.gather(work(m.scatter(rows, ranks)), list(range(ranks)) if collect is None else collect)
 
 
+def on_ranks(rows: DataFrame, ranks: int, work: Callable[[int, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, idx: str = "row_idx") -> DataFrame:
+    """What ``work(rank, batches)`` makes of each rank's rows, in their order: a rank is a partition, so
+    one task holds its rows and no others, and the partitions of the result are the ranks'.
+
+    ``rows`` have a ``rank``, as ``scatter`` gives it; a rank outside 0..ranks-1 is an error."""
+    known = F.when(F.col("rank").between(0, ranks - 1), F.col("rank")).otherwise(F.raise_error(F.lit("a rank that isn't there")).cast("int"))
+    dealt = rows.withColumn("rank", known.cast("int")).repartitionById(ranks, F.col("rank")).sortWithinPartitions("rank", idx)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(TaskContext.get().partitionId(), batches)
+
+    return dealt.mapInArrow(run, schema)
+
+
 def all_gather(parts: list[DataFrame], idx: str = "row_idx") -> DataFrame:
     """All ranks' rows, one rank after the other, renumbered."""
     if not parts:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,8 @@ def best_of_k_std(sorted_values: Column, k: int, worst: bool = False) -> Column:
 
 def bootstrap(samples: DataFrame, by: list[str], value: str, order: str, k: int, reducers: dict[str, Callable[[np.ndarray], float]], draws: int = 1000, seed: int = 42) -> DataFrame:
     """(by, reducer, mean, std) of any functions of k values drawn with replacement, so many
-    times; the draws are those of a seeded generator, so that reruns agree."""
+    times; the draws are those of a seeded generator, so that reruns agree.  For groups of a few
+    values, a prompt's responses: one is held by a task.  ``resampled`` takes groups of any size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         held = rows.sort_values(order)[value].to_numpy(dtype=float)
@@ -50,6 +52,109 @@ def bootstrap(samples: DataFrame, by: list[str], value: str, order: str, k: int,
     return samples.select(*by, value, order).groupBy(*by).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "reducer string, mean double, std double"]))
 
 
+def resampled(samples: DataFrame, by: list[str], value: str, order: list[str], k: int, reducers: dict[str, Callable[[Column], Column]], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(by, reducer, mean, std) of any functions of k values drawn with replacement, so many times.
+
+    A reducer takes the array of the values of a draw.  The place that value j of draw i of a group takes
+    is a hash of (seed, group, i, j), so any engine can repeat it, and values come by a join
+    on (group, place): no task holds a group.  ``order`` is a total order within a group, and its
+    first column a number or a text."""
+    from .batch import hash_key, with_row_index
+
+    keyed = samples.select(F.struct(*by).alias("_by"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(value).alias("_value"))
+    keyed = keyed.withColumn("_name", F.concat_ws("\0", *(F.coalesce(F.col(f"_by.{c}").cast("string"), F.lit("")) for c in by)))
+    # numbered over all rows by the group first, and from each group's first row on
+    numbered = with_row_index(keyed, ["_name", *(f"_o{i}" for i in range(len(order)))], "_at")
+    groups = numbered.groupBy("_by", "_name").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    each = groups.select("_by", "_first", "_n", "_name", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_draw")).select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_j"))
+    place = F.shiftright(F.shiftright(hash_key(str(seed), F.col("_name"), F.col("_draw"), F.col("_j")), 28) * F.col("_n"), 32)
+    drawn = each.select("_by", "_draw", "_j", (F.col("_first") + place).alias("_at")).join(numbered.select("_at", "_value"), "_at")
+    held = drawn.groupBy("_by", "_draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_value"))), lambda x: x["_value"]).alias("_values"))  # k of them
+    found = held.select("_by", F.explode(F.array(*(F.struct(F.lit(n).alias("reducer"), f(F.col("_values")).cast("double").alias("x")) for n, f in reducers.items()))).alias("m"))
+    out = found.groupBy("_by", "m.reducer").agg(F.avg("m.x").alias("mean"), F.stddev_pop("m.x").alias("std"))
+    return out.select("_by.*", "reducer", "mean", "std")
+
+
+def vote_chances(counts: np.ndarray, k: int) -> np.ndarray:
+    """For votes that ``counts`` of the samples cast, the chance of each to win among k draws with
+    replacement: to be cast most often and, of those cast as often, to be seen first.
+
+    Given how often each is cast, all orders are equally likely, so of t + 1 votes that tie each is
+    first with a chance of 1 / (t + 1), the integral of y^t over [0, 1].  Cast counts are those of
+    independent Poisson variables given their sum: for a winning count c, a programme over votes
+    multiplies polynomials whose coefficients are the chances to be cast less than c times, and y times
+    that of exactly c, at the nodes of a quadrature that is exact for the ties possible.  Votes
+    cast by as many samples share their work."""
+    n = counts.sum()
+    sizes, of, times = np.unique(counts, return_inverse=True, return_counts=True)
+    log = np.cumsum(np.log(np.maximum(np.arange(k + 1), 1)))  # of factorials
+    chance = lambda mean: np.exp(np.arange(k + 1) * np.log(mean) - mean - log)
+    each = np.array([chance(k * s / n) for s in sizes])
+    out = np.zeros(len(sizes))
+    for c in range(1, k + 1):
+        width = k - c + 1
+        node, weight = np.polynomial.legendre.leggauss(k // c // 2 + 1)
+        y, weight = (node + 1) / 2, weight / 2
+
+        def times_(a: np.ndarray, b: np.ndarray, width: int = width) -> np.ndarray:
+            full = np.zeros_like(a)
+            for j in range(width):
+                full[:, j:] += a[:, : width - j] * b[:, j : j + 1]
+            return full
+
+        one = np.zeros((len(y), width))
+        one[:, 0] = 1
+
+        def power(base: np.ndarray, by: int, one: np.ndarray = one, times_: Callable = times_) -> np.ndarray:
+            out = one
+            while by:
+                out = times_(out, base) if by & 1 else out
+                base, by = times_(base, base), by >> 1
+            return out
+
+        factor = []
+        for p in each:
+            f = np.zeros((len(y), width))
+            f[:, : min(c, width)] = p[: min(c, width)]
+            if c < width:
+                f[:, c] = y * p[c]
+            factor.append(f)
+        whole = [power(f, t) for f, t in zip(factor, times, strict=True)]
+        before, after = [one], [one]
+        for f in whole[:-1]:
+            before.append(times_(before[-1], f))
+        for f in whole[:0:-1]:
+            after.append(times_(after[-1], f))
+        for i, f in enumerate(factor):
+            rest = times_(times_(before[i], after[len(sizes) - 1 - i]), power(f, int(times[i]) - 1))
+            out[i] += each[i][c] * (weight @ rest[:, width - 1])
+    return (out / chance(k)[k])[of]
+
+
+def majority_of(samples: DataFrame, group: list[str], vote: str, value: str, ks: list[int]) -> DataFrame:
+    """(group, k, mean, std) of the value of the majority vote of k of a group's samples, drawn with
+    replacement: the value of the first one drawn that cast it.  Exact, by ``vote_chances``; rows without
+    a value are left out, a null is a vote.  An array of a group's votes is held at a time."""
+    votes = samples.where(F.col(value).isNotNull()).groupBy(*group, vote).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("var"))
+    held = votes.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("n", "mean", "var"))).alias("votes"))
+
+    @F.pandas_udf("array<struct<k int, mean double, std double>>")
+    def expected(votes: pd.Series) -> pd.Series:
+        out = []
+        chances = cache(lambda counts, k: vote_chances(np.array(counts), k))  # of a batch; many groups are cast alike
+        for row in votes:
+            n, mean, var = (np.array([v[c] for v in row], float) for c in ("n", "mean", "var"))
+            told = []
+            for k in ks:
+                p = chances(tuple(n), k)
+                m = float(p @ mean)
+                told.append({"k": k, "mean": m, "std": float(np.sqrt(p @ (var + (mean - m) ** 2)))})
+            out.append(told)
+        return pd.Series(out)
+
+    return held.select(*group, F.inline(expected("votes")))
+
+
 def validation(samples: DataFrame, source: str, uid: str, value: str, ks: list[int]) -> DataFrame:
     """(source, metric, value): mean and population deviation over a prompt's responses,
     expected best and worst of k, each averaged over prompts."""

@@ -12,7 +12,7 @@ from .base import TOKENS_SQL, TRAJ_SQL, query, r6, r8, s6, s8, table, tokens, tr
 _T = f"WITH {TOKENS_SQL}"
 _S = f"{_T}, {TRAJ_SQL}"
 _BY = ["uid", "prio"]
-_STATS = f"""{_S}, g AS (SELECT *, count(*) OVER w AS n, CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(score) OVER w END AS m,
+_STATS = f"""{_S}, g AS MATERIALIZED (SELECT *, count(*) OVER w AS n, CASE WHEN count(*) OVER w = 1 THEN 0 ELSE avg(score) OVER w END AS m,
   CASE WHEN count(*) OVER w = 1 THEN 1 ELSE stddev_samp(score) OVER w END AS sd FROM traj WINDOW w AS (PARTITION BY uid, prio))"""
 
 

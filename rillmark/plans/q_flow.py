@@ -153,6 +153,26 @@ def dispatch_to_all(spark, sf):
     return D.compute(n, "one_to_all", 3, lambda rows: rows.withColumn("made", F.col("n_nationkey") * (F.col("rank") + 1)), [0, 2])
 
 
+@query(f"""WITH d AS ({_NUMBERED}), p AS (SELECT row_idx AS place, doc_id, n FROM d UNION ALL SELECT n + k, doc_id, n FROM d JOIN range(7) t(k) ON row_idx = k % n WHERE k < (7 - n % 7) % 7), r AS (SELECT *, CAST(place // CAST(ceil(n / 7.0) AS BIGINT) AS INT) AS rank FROM p)
+SELECT rank, count(*) AS n, min(doc_id) AS least, CAST(sum(doc_id * (pos + 1)) AS BIGINT) AS folded FROM (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY place) - 1 AS pos FROM r) GROUP BY rank""")
+def dispatch_partitions(spark, sf):
+    """Seven ranks as partitions; each folds its rows in their order."""
+    import numpy as np
+    import pyarrow as pa
+
+    def work(rank, batches):
+        n, least, folded = 0, [], 0
+        for b in batches:
+            ids = b.column(b.schema.get_field_index("doc_id")).to_numpy()
+            folded += int((ids * (np.arange(len(ids)) + n + 1)).sum())
+            least += [int(ids.min())] if len(ids) else []
+            n += len(ids)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([rank], pa.int32()), pa.array([n]), pa.array([min(least)]), pa.array([folded])], names=["rank", "n", "least", "folded"])
+
+    return D.on_ranks(D.chunks(numbered(spark, sf), 7), 7, work, "rank int, n long, least long, folded long")
+
+
 @query("SELECT s_suppkey, CAST(s_suppkey % 3 AS INT) AS rank FROM supplier")
 def dispatch_custom(spark, sf):
     """A mode that a user adds."""
@@ -242,13 +262,26 @@ def bootstrap_expected(spark, sf):
     return v.select("o_custkey", r6(M.best_of_k(F.col("v"), 3)).alias("best"), r6(M.best_of_k_std(F.col("v"), 3)).alias("best_std"), r6(M.best_of_k_std(F.col("v"), 3, worst=True)).alias("worst_std"))
 
 
-@query()
+@query(f"""WITH o AS (SELECT o_orderpriority AS g, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
+d AS (SELECT g, n, i, j, ((CAST(('0x' || substr(md5('42:' || g || ':' || i || ':' || j), 1, 8)) AS BIGINT)) * n) >> 32 AS place FROM (SELECT DISTINCT g, n FROM o), range(200) a(i), range(4) b(j)),
+x AS (SELECT g, i, list(v ORDER BY j) AS l FROM d JOIN o USING (g, place, n) GROUP BY g, i),
+r AS (SELECT g, 'max' AS reducer, list_max(l) AS x FROM x UNION ALL SELECT g, 'median', list_median(l) FROM x UNION ALL SELECT g, 'first', l[1] FROM x)
+SELECT g AS o_orderpriority, reducer, {s6('avg(x) / 1000')} AS mean, {s6('stddev_pop(x) / 1000')} AS std FROM r GROUP BY ALL""")
 def bootstrap_reducers(spark, sf):
-    """Any functions over seeded draws; no SQL has the generator."""
-    import numpy as np
-
-    o = table(spark, sf, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
-    return M.bootstrap(o, ["o_orderpriority"], "o_totalprice", "o_orderkey", 4, {"max": np.max, "median": np.median}, draws=200)
+    """Any functions over draws that a hash names."""
+    middle = lambda a: (F.get(F.array_sort(a), F.lit(1)) + F.get(F.array_sort(a), F.lit(2))) / 2
+    found = M.resampled(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"], 4, {"max": F.array_max, "median": middle, "first": lambda a: F.get(a, F.lit(0))}, draws=200)
+    return found.select("o_orderpriority", "reducer", r6(F.col("mean") / 1000).alias("mean"), r6(F.col("std") / 1000).alias("std"))
+
+
+@query(f"""WITH s AS (SELECT o_custkey AS g, o_orderpriority AS vote, o_totalprice / 1357 AS v FROM orders), u AS (SELECT g, vote, count(*) AS c, avg(v) AS m, var_pop(v) AS w FROM s GROUP BY ALL), q AS (SELECT *, c / sum(c) OVER (PARTITION BY g) AS p FROM u),
+t AS (SELECT *, sum(p * p) OVER (PARTITION BY g) - p * p AS rest FROM q), chance AS (SELECT g, m, w, 2 AS k, p FROM t UNION ALL SELECT g, m, w, 3, p * p * (1 - p) + p * (1 - rest) FROM t), e AS (SELECT *, sum(p * m) OVER (PARTITION BY g, k) AS mean FROM chance)
+SELECT g AS o_custkey, CAST(k AS INT) AS k, {s6('any_value(mean)')} AS mean, {s6('sqrt(sum(p * (w + (m - mean) * (m - mean))))')} AS std FROM e GROUP BY g, k""")
+def majority_of_draws(spark, sf):
+    """The majority vote among two and three of a customer's orders."""
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", (F.col("o_totalprice") / 1357).alias("v"))
+    found = M.majority_of(o, ["o_custkey"], "o_orderpriority", "v", [2, 3])
+    return found.select("o_custkey", "k", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
 @query("SELECT name, CASE WHEN name LIKE '%timing%' THEN 'sum' WHEN name LIKE '%mean%' THEN 'avg' WHEN name LIKE '%max%' THEN 'max' WHEN name LIKE '%min%' THEN 'min' WHEN name LIKE '%sum%' THEN 'sum' ELSE 'avg' END AS rule FROM (SELECT DISTINCT p || '/' || o_orderpriority || '/' || s AS name FROM orders, (SELECT unnest(['timing', 'loss', 'reward_mean']) AS p), (SELECT unnest(['max', 'min', 'sum', 'x']) AS s))")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import chat as H
 from ..functions import graders as G
 from ..functions import parsers as P
 from ..functions import prompts as Q
@@ -175,6 +176,31 @@ def sft_loss_mask(spark, sf):
     return t.select("conv_id", F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a + x["mask"]).alias("learned"), F.size("t").cast("bigint").alias("tokens"))
 
 
+def byte_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+_TURN = "'<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)"
+
+
+@query(f"""SELECT conv_id, coalesce(string_agg(text || '<|im_end|>' || chr(10), '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS learned,
+CASE WHEN arg_min(role, turn) = 'system' THEN '' ELSE '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) END || string_agg({_TURN}, '' ORDER BY turn) AS whole FROM conversations GROUP BY conv_id""")
+def token_loss_mask(spark, sf):
+    """Conversations as tokens: what the learned ones and all of them say."""
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("m"))
+    told = H.loss_mask(c, "m", byte_tokenizer(), 1 << 20, pad="none")
+    return H.learned_text(told, byte_tokenizer()).select("conv_id", "learned", "whole")
+
+
+@query()
+def token_prompt_filter(spark, sf):
+    """Benchmark prompts of at most 96 tokens with their template."""
+    b = table(spark, sf, "benchmark").select("item_id", F.array(F.struct(F.lit("user").alias("role"), "text")).alias("m"))
+    return H.within_tokens(b, "m", byte_tokenizer(), 96).select("item_id")
+
+
 @query("SELECT item_id AS index, 'user' AS role, text || ' Think.' AS content, 'bench' AS data_source, CAST(length(text) AS VARCHAR) AS ground_truth FROM benchmark")
 def prompt_rows(spark, sf):
     b = table(spark, sf, "benchmark")

@@ -67,10 +67,14 @@ def group_split(key: Column, seed: str, shares: dict[str, float], native: bool =
 
 
 def capped_split(df: DataFrame, split: str, order: str, caps: dict[str, int]) -> DataFrame:
-    """The first rows of each split up to its cap."""
-    place = F.row_number().over(Window.partitionBy(split).orderBy(order))
-    cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))
-    return df.withColumn("_k", place).where(F.col("_k") <= F.coalesce(cap[F.col(split)], F.lit(2**31 - 1))).drop("_k")
+    """The first rows of each split up to its cap, in the order of a number that no two rows of it share;
+    of each split with a cap the last row's is looked for, and no split is sorted or gathered."""
+    from ..operators.batch import among_first
+
+    keep = F.lit(True)
+    for name, cap in caps.items():
+        keep = F.when(F.col(split) == name, among_first(df.where(F.col(split) == name), [F.col(order)], cap)).otherwise(keep)
+    return df.where(F.coalesce(keep, F.lit(False)))
 
 
 def preference_rows(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
@@ -219,11 +223,24 @@ def media_descriptors(images: Column, least: int, most: int) -> Column:
     return F.when((F.size(images) == 1) & (F.get(images, F.lit(0)) != ""), made).otherwise(F.raise_error(F.lit("a row must have exactly one image path")))
 
 
+#: Hashes that are hashed together.
+DIGEST_RUN = 64
+
+
 def messages_digest(df: DataFrame, messages: str, order: str) -> DataFrame:
-    """One row: a hash of all rows' messages in their order, from the hashes of the rows (which
-    are small; a rewrite that only changes media leaves it as it is)."""
+    """One row: a hash of all rows' messages in their order (a rewrite that only changes media leaves it
+    as it is).  The rows' hashes are hashed in runs of ``DIGEST_RUN``, those again, and so on, three
+    times and until one is left, so no row holds more than a run; without rows it is that of nothing."""
+    from ..operators.batch import with_row_index
+
+    n = df.count()
     each = df.select(F.col(order).alias("o"), F.sha2(F.to_json(messages), 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    each, level = with_row_index(each, ["o"], "i").select("i", "h"), 0
+    while level < 3 or n > 1:
+        run = each.groupBy(F.floor(F.col("i") / DIGEST_RUN).alias("i"))
+        each = run.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("i").alias("p"), "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+        n, level = -(-n // DIGEST_RUN), level + 1
+    return each.groupBy().agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def without_description(content: Column, field: str = "description") -> Column:

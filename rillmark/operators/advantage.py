@@ -310,9 +310,9 @@ def resample(rows: DataFrame, n: int, seed: str, key: str, weight: str = "weight
 
     Weights are summed inside ranges of the key, then over ranges.  A draw finds its range,
     then the last row there that begins at or before its point: every draw has one row, and
-    no task holds all rows.  (A key that isn't a number is one range.)  Rows without weight
+    no task holds all rows.  Rows without weight
     are never drawn."""
-    dealt = with_ranges(rows.where(F.col(weight) > 0), key)
+    dealt = with_ranges(rows.where(F.col(weight) > 0), [key])
     ordered = Window.orderBy("_range")
     sums = dealt.groupBy("_range").agg(F.sum(weight).alias("_sum"))  # a row per range
     sums = sums.withColumns({"_before": F.coalesce(F.sum("_sum").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_total": F.sum("_sum").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})

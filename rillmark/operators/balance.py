@@ -9,7 +9,7 @@ import heapq
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,6 +103,11 @@ def ranks(sizes: list[int], k: int, mini_batch: int | None = None, uids: list |
     return out
 
 
+def restored(order: Column) -> Column:
+    """``restore`` of one part, as an array."""
+    return F.transform(F.array_sort(F.transform(order, lambda i, at: F.struct(i.alias("i"), at.alias("at")))), lambda x: x["at"])
+
+
 def restore(parts: list[list[int]]) -> list[int]:
     """Where each original index went in the concatenated parts."""
     flat = [i for p in parts for i in p]

@@ -22,18 +22,36 @@ def _field(rows: str, name: str) -> Column:
     return F.transform(rows, lambda x: x[name])
 
 
-def with_ranges(df: DataFrame, first: str) -> DataFrame:
-    """``_range`` numbers ranges of ``first`` of about equally many rows, in its order; nulls are -1.
-    A text counts by its first six bytes."""
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if dict(df.dtypes)[first] == "string":
-        start = F.rpad(F.hex(F.substring(F.col(first).cast("binary"), 1, 6)), 12, "0")
-        place = F.conv(start, 16, 10).cast("double")
-    else:
-        place = F.col(first).cast("double")
-    cuts = sorted(set(df.agg(F.percentile_approx(place, [k / width for k in range(1, width)], 1000)).first()[0] or [])) if width > 1 else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < place)) if cuts else F.lit(0)
-    return df.withColumn("_range", F.coalesce(bucket, F.lit(-1)))
+#: Ranges at most, and keys looked at for each of their bounds.
+MOST_RANGES, PER_RANGE = 1024, 32
+
+
+def with_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """``_range`` numbers ranges of the order of ``order``, of about equally many rows: one a shuffle
+    partition.
+
+    Bounds are whole keys, so texts that begin alike and constant first columns part as well; only rows
+    alike in all of ``order`` stay together.  They are taken from the keys with the smallest
+    hashes, so every evaluation finds the same ones."""
+    width = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_RANGES)
+    key = F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)))
+    cuts: list[Column] = []
+    if width > 1:
+        names = [f"_{i}" for i in range(len(order))]
+        sample = df.select(key.alias("k")).select("k.*").orderBy(F.xxhash64(*names), *names).limit(PER_RANGE * width)
+        seen = sample.distinct().orderBy(*names).collect()  # at most PER_RANGE * width keys
+        kinds = dict(sample.dtypes)
+        bounds = [seen[len(seen) * k // width] for k in range(1, width)] if len(seen) >= width else seen[1:]
+        cuts = [F.struct(*(F.lit(r[n]).cast(kinds[n]).alias(n) for n in names)) for r in bounds]
+
+    def place(low: int, high: int) -> Column:
+        """How many of cuts[low:high] are at most the key, by halving."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(key < cuts[middle], place(low, middle)).otherwise(place(middle + 1, high))
+
+    return df.withColumn("_range", place(0, len(cuts)))
 
 
 #: Rows whose keys the driver may hold while it looks for a place in their order.
@@ -95,9 +113,9 @@ def _nth(rows: DataFrame, names: list[str], n: int) -> tuple | None:
 def with_row_index(df: DataFrame, order: list[str], name: str = IDX) -> DataFrame:
     """Number rows from 0 in the order of ``order`` (which must be total).
 
-    Range-partitions by the first order column (a number or a text), numbers inside each
-    range, and moves each range on by the counts before it, so no task holds all rows."""
-    dealt = with_ranges(df, order[0])
+    Deals ranges of the order columns, numbers inside each range, and moves each range on by the
+    counts before it, so no task holds all rows."""
+    dealt = with_ranges(df, order)
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1)
@@ -321,6 +339,12 @@ def required_multiple(*sizes: int) -> int:
     return math.lcm(*sizes)
 
 
+def multiple_with(size: Column, fixed: int) -> Column:
+    """The least common multiple of a column of positive numbers and a fixed one."""
+    common = F.array_max(F.filter(F.array(*(F.lit(d).cast("bigint") for d in range(1, fixed + 1) if fixed % d == 0)), lambda d: size % d == 0))
+    return (size * F.lit(fixed) / common).cast("bigint")
+
+
 def pad_minimal(df: DataFrame, multiple: int, rows: int, mask: str, idx: str = IDX) -> DataFrame:
     """Append rows of one masked token, marked ``is_padding``, up to the multiple."""
     base = df.withColumn("is_padding", F.lit(False))
@@ -356,9 +380,9 @@ def mini_batches(df: DataFrame, size: int, epochs: int, seed: str, rows: int, id
 
 
 def subsample(df: DataFrame, most: int, seed: str | None = None, idx: str = IDX) -> DataFrame:
-    """The first rows, or with a seed a sample without replacement; top-n without a full sort."""
-    order = [F.col(idx)] if seed is None else [seeded_order(df, seed, idx), F.col(idx)]
-    return df.orderBy(*order).limit(most)
+    """The first rows, or with a seed a sample without replacement; no rows are sorted or gathered."""
+    order = [F.col(idx)] if seed is None else [hash_key(seed, F.col(idx)), F.col(idx)]
+    return df.where(among_first(df, order, most))
 
 
 def sampler(df: DataFrame, seed: str | None = None, start: int = 0, idx: str = IDX) -> DataFrame:

@@ -63,8 +63,9 @@ def dense_labels(df: DataFrame, group: str, out: str = "label") -> DataFrame:
     if dict(df.dtypes)[group] in ("double", "float"):
         key = F.when(F.abs(key - F.round(key)) <= 1e-6, F.round(key)).otherwise(key)
     df = df.withColumn("_key", key)
-    distinct = df.select("_key").distinct()
-    named = distinct.withColumn(out, F.row_number().over(Window.orderBy("_key")) - 1)
+    from .batch import with_row_index
+
+    named = with_row_index(df.select("_key").distinct(), ["_key"], out).withColumn(out, F.col(out).cast("int"))
     return df.join(named, "_key").drop("_key")
 
 

@@ -268,17 +268,55 @@ def staleness(rows: DataFrame, lo: str, hi: str, step: str) -> DataFrame:
     return rows.agg(F.avg(span).alias("span_mean"), F.max(span).alias("span_max"), F.avg(lag).alias("staleness_mean"), F.max(lag).alias("staleness_max"), F.max(worst).alias("staleness_worst"))
 
 
+def percentiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(by, n, percentiles): exact percentiles of each group, between two values as far as the share says.
+
+    Equal values are counted first, and what is left is dealt in ranges of (by, value) whose counts
+    give every value its ranks; a group of any size meets in no task.  Nulls don't count."""
+    from .batch import with_ranges
+
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = with_ranges(counted, [*by, value])
+    sums = dealt.groupBy("_range").agg(F.sum("_c").alias("_sum"))  # a row per range
+    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
+    inside = Window.partitionBy("_range").orderBy(*by, value).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.join(F.broadcast(before), "_range").withColumn("_at", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    key = F.struct(*by, F.lit(0).alias("_")).alias("_by")
+    placed = placed.select(key, F.col(value).cast("double").alias("_v"), "_at", "_c")
+    groups = placed.groupBy(F.col("_by").alias("_g")).agg(F.min("_at").alias("_first"), F.sum("_c").alias("n"))
+    rank = [(F.col("n") - 1) * float(p) for p in shares]
+    held = placed.join(groups, F.col("_by").eqNullSafe(F.col("_g"))).select("_by", "_v", "_c", "n", (F.col("_at") - F.col("_first")).alias("_at"))
+    has = lambda r: (F.col("_at") <= r) & (r < F.col("_at") + F.col("_c"))
+    ends = [F.max(F.when(has(f(r)), F.col("_v"))) for r in rank for f in (F.floor, F.ceil)]
+    some = held.groupBy("_by", "n").agg(F.array(*ends).alias("_e"))
+    told = F.array(*(F.col("_e")[2 * i] + (F.col("_e")[2 * i + 1] - F.col("_e")[2 * i]) * (r - F.floor(r)) for i, r in enumerate(rank)))
+    return some.select(*(F.col(f"_by.{c}").alias(c) for c in by), "n", told.alias("percentiles"))
+
+
 def latency(rows: DataFrame, value: str) -> DataFrame:
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return rows.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), p.alias("_p")).select("mean", "max", "min", *(F.col("_p")[k].alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
+    p = percentiles(rows, [], value, [0.5, 0.95, 0.99])
+    plain = rows.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"))
+    both = plain.join(p, F.lit(True), "left")  # one row each
+    return both.select("mean", "max", "min", *(F.col("percentiles")[k].alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
 
 
-def summarise(rows: DataFrame, by: list[str], measures: dict[str, Column], cube: bool = False) -> DataFrame:
+def summarise(rows: DataFrame, by: list[str], measures: dict[str, Column], cube: bool = False, exact: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """Measures over everything and by one column, or by the cube of several; ``level`` names
-    the columns that a row is about."""
+    the columns that a row is about.  ``exact`` names percentiles: a column and a share."""
     level = F.concat_ws("+", *(F.when(F.grouping(c) == 0, F.lit(c)) for c in by))
     grouped = rows.cube(*by) if cube else rows.rollup(*by)
-    return grouped.agg(*(m.alias(n) for n, m in measures.items()), level.alias("level"))
+    out = grouped.agg(*(m.alias(n) for n, m in measures.items()), level.alias("level"))
+    levels = [[c for i, c in enumerate(by) if k >> i & 1] for k in range(1 << len(by))] if cube else [by[:k] for k in range(len(by) + 1)]
+    for name, (value, share) in (exact or {}).items():
+        each = [percentiles(rows, some, value, [share]).select(F.lit("+".join(some)).alias("_level"), *((F.col(c) if c in some else F.lit(None)).alias(f"_{c}") for c in by), F.col("percentiles")[0].alias(name)) for some in levels]
+        told = each[0]
+        for more in each[1:]:
+            told = told.unionByName(more)
+        same = F.col("level") == F.col("_level")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(told, same, "left").drop("_level", *(f"_{c}" for c in by))
+    return out
 
 
 def pattern_by(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:

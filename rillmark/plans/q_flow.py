@@ -137,8 +137,7 @@ def rows_sampler(spark, sf):
 @query("SELECT k, lcm(k, 6)::BIGINT AS multiple, CAST(ceil(k / 4.0) AS BIGINT) AS ceiled, CAST(ceil(k / 4.0) * 4 AS BIGINT) AS rounded FROM (SELECT n_nationkey + 1 AS k FROM nation)")
 def whole_multiples(spark, sf):
     k = table(spark, sf, "nation").select((F.col("n_nationkey") + 1).alias("k"))
-    multiple = F.udf(lambda x: B.required_multiple(x, 6), "bigint")
-    return k.select("k", multiple("k").alias("multiple"), D.ceildiv(F.col("k"), F.lit(4)).alias("ceiled"), D.roundup(F.col("k"), F.lit(4)).alias("rounded"))
+    return k.select("k", B.multiple_with(F.col("k"), 6).alias("multiple"), D.ceildiv(F.col("k"), F.lit(4)).alias("ceiled"), D.roundup(F.col("k"), F.lit(4)).alias("rounded"))
 
 
 @query(f"SELECT row_idx, CAST(row_idx // ((n + 6) // 7) AS INT) AS rank FROM ({_NUMBERED}) WHERE row_idx // ((n + 6) // 7) IN (0, 2, 6)")
@@ -266,12 +265,12 @@ def bootstrap_expected(spark, sf):
 d AS (SELECT g, n, i, j, ((CAST(('0x' || substr(md5('42:' || g || ':' || i || ':' || j), 1, 8)) AS BIGINT)) * n) >> 32 AS place FROM (SELECT DISTINCT g, n FROM o), range(200) a(i), range(4) b(j)),
 x AS (SELECT g, i, list(v ORDER BY j) AS l FROM d JOIN o USING (g, place, n) GROUP BY g, i),
 r AS (SELECT g, 'max' AS reducer, list_max(l) AS x FROM x UNION ALL SELECT g, 'median', list_median(l) FROM x UNION ALL SELECT g, 'first', l[1] FROM x)
-SELECT g AS o_orderpriority, reducer, {s6('avg(x) / 1000')} AS mean, {s6('stddev_pop(x) / 1000')} AS std FROM r GROUP BY ALL""")
+SELECT g AS o_orderpriority, reducer, {s6('avg(x) / 1357')} AS mean, {s6('stddev_pop(x) / 1357')} AS std FROM r GROUP BY ALL""")
 def bootstrap_reducers(spark, sf):
     """Any functions over draws that a hash names."""
     middle = lambda a: (F.get(F.array_sort(a), F.lit(1)) + F.get(F.array_sort(a), F.lit(2))) / 2
     found = M.resampled(table(spark, sf, "orders"), ["o_orderpriority"], "o_totalprice", ["o_orderkey"], 4, {"max": F.array_max, "median": middle, "first": lambda a: F.get(a, F.lit(0))}, draws=200)
-    return found.select("o_orderpriority", "reducer", r6(F.col("mean") / 1000).alias("mean"), r6(F.col("std") / 1000).alias("std"))
+    return found.select("o_orderpriority", "reducer", r6(F.col("mean") / 1357).alias("mean"), r6(F.col("std") / 1357).alias("std"))
 
 
 @query(f"""WITH s AS (SELECT o_custkey AS g, o_orderpriority AS vote, o_totalprice / 1357 AS v FROM orders), u AS (SELECT g, vote, count(*) AS c, avg(v) AS m, var_pop(v) AS w FROM s GROUP BY ALL), q AS (SELECT *, c / sum(c) OVER (PARTITION BY g) AS p FROM u),
@@ -363,8 +362,7 @@ def prompt_status(spark, sf):
 def must_pause(spark, sf):
     """By partition: whether as much is in flight and queued as may be."""
     sums = _prompts(spark, sf).groupBy("partition_id").agg(F.count_if(F.col("status") == "running").alias("a"), F.count_if(F.col("status") == "finished").alias("b"))
-    pause = F.udf(lambda a, b: S.must_pause(a, b, 64, 1, 1), "boolean")
-    return sums.select("partition_id", pause("a", "b").alias("pause"))
+    return sums.select("partition_id", S.must_pause(F.col("a"), F.col("b"), 64, 1, 1).alias("pause"))
 
 
 @query(f"WITH d AS ({_NUMBERED}) SELECT doc_id, row_idx, CAST(a // n AS INT) AS epoch, 'pending' AS status, 9 AS birth, sha256('9:' || a) AS uid FROM (SELECT range AS a FROM range(90, 330)) JOIN d ON d.row_idx = a % d.n")

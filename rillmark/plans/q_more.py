@@ -127,7 +127,7 @@ def balanced_and_restored(spark, sf):
     lists = moved.withColumn("at", F.row_number().over(before) - 1).groupBy("batch").agg(
         F.count_distinct("part").alias("parts"), F.min("at").alias("first"), F.max("at").alias("last"), F.array_sort(F.collect_list(F.struct("at", (F.col("row_idx") % 50).alias("i"), "n_chars"))).alias("_moved")
     )
-    back = F.udf(lambda order: P.restore([list(order)]), "array<int>")(F.transform("_moved", lambda x: x["i"]))
+    back = P.restored(F.transform("_moved", lambda x: x["i"]))
     again = F.transform(back, lambda at: F.get(F.col("_moved"), at)["n_chars"])
     weighed = F.aggregate(F.transform(again, lambda n, k: n * (k + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return lists.select("batch", F.size("_moved").cast("bigint").alias("rows"), "parts", "first", "last", weighed.alias("restored"))

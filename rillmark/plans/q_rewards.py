@@ -358,7 +358,9 @@ def media_descriptors(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.inline(m))
 
 
-@query("""WITH h AS (SELECT conv_id, sha256('[' || string_agg('{"role":"' || role || '","n":' || length(text) || '}', ',' ORDER BY turn) || ']') AS h FROM conversations GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY conv_id)) AS digest FROM h""")
+@query("""WITH h AS (SELECT conv_id, sha256('[' || string_agg('{"role":"' || role || '","n":' || length(text) || '}', ',' ORDER BY turn) || ']') AS h FROM conversations GROUP BY 1),
+a AS (SELECT k // 64 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM (SELECT h, row_number() OVER (ORDER BY conv_id) - 1 AS k FROM h) x GROUP BY x.k // 64), b AS (SELECT k // 64 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM a x GROUP BY x.k // 64)
+SELECT sha256(string_agg(h, '' ORDER BY k)) AS digest FROM b""")
 def messages_digest(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("m"))
     return Q.messages_digest(c.withColumn("m", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["n"].alias("n")))), "m", "conv_id")

@@ -71,9 +71,12 @@ def write_metrics(df: DataFrame, path: str) -> None:
 
 def generations_table(samples: DataFrame, step: str = "step", n: int | None = None) -> DataFrame:
     """(step, samples array<struct<input, output, score>>) of logged generations, in input order."""
+    from pyspark.sql import Window
+
     one = F.struct("input", "output", "score")
-    rows = samples.groupBy(step).agg(F.array_sort(F.collect_list(one)).alias("samples"))
-    return rows.withColumn("samples", F.slice("samples", 1, n)) if n else rows
+    if n:  # of a step only the first n meet in a task
+        samples = samples.withColumn("_place", F.row_number().over(Window.partitionBy(step).orderBy("input", "output", "score"))).where(F.col("_place") <= n)
+    return samples.groupBy(step).agg(F.array_sort(F.collect_list(one)).alias("samples"))
 
 
 def value_histogram(df: DataFrame, by: str, value: str) -> DataFrame:

@@ -11,13 +11,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.batch import among_first
+
 STATUSES = ("pending", "running", "finished", "failure")
 
 
 def bounded_queue(events: DataFrame, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped) of a queue that drops its oldest when full and isn't read meanwhile."""
-    kept = events.orderBy(*(F.desc(c) for c in order)).limit(most)
-    return kept, events.join(kept.select(*order), order, "left_anti")
+    """(kept, dropped) of a queue that drops its oldest when full and isn't read meanwhile.  ``order`` is a
+    total one of numbers or times; the oldest row kept is looked for and none are gathered."""
+    kinds = dict(events.dtypes)
+    newest = among_first(events, [-(F.unix_micros(F.col(c).cast("timestamp")) if kinds[c].startswith("timestamp") else F.col(c)) for c in order], most)
+    return events.where(newest), events.where(~newest)
 
 
 def queue_statistics(events: DataFrame, most: int) -> DataFrame:
@@ -65,7 +69,8 @@ def refill_credits(dropped: int, failed: int, in_flight: int, most: int) -> int:
     return max(0, min(2 * dropped + failed, most - in_flight))
 
 
-def must_pause(in_flight: int, queued: int, batch: int, threshold: int, sync_step: int) -> bool:
+def must_pause(in_flight: Column | int, queued: Column | int, batch: int, threshold: int, sync_step: int) -> Column | bool:
+    """Whether as much is in flight and queued as may be, of numbers or columns."""
     return in_flight + queued >= batch * (threshold + 1) * sync_step
 
 

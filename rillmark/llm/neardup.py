@@ -36,10 +36,12 @@ HALF, ROWS = 14, 3
 PART_SHINGLES = 1 << 18
 #: Bits of the hash that names a class; sets that share it are told apart by a second one.
 CLASS_BITS = 64
-#: Into how many a centre's members are dealt.
-SALTS = 16
+#: Members of a centre that are dealt together; one with more is salted by their number.
+SALT_ROWS = 1 << 16
 #: Classes with this share of all ends of links are joined by broadcast; at most as many are.
 HOT_CLASSES = 512
+#: Ids of candidates up to which they are broadcast, 16 MB of them.
+NEAR_IDS = 1 << 20
 #: Sets that meet as many others at once.
 TILE_ROWS = 128
 
@@ -181,9 +183,13 @@ def candidates(docs: DataFrame, sets: DataFrame, members: DataFrame, width: int,
 
     kind = dict(docs.dtypes)[id_col]
     held = sets.join(members, "cls").select("cls", "check", F.col("least").alias("doc_id"), "n")
-    shingles = held.agg(F.sum("n")).first()[0] or 0
+    sums = held.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    shingles = sums["n"] or 0
     parts = max(1, -(-shingles // PART_SHINGLES))
-    texts = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(kernel.lean(squeeze), f"doc_id {kind}, packed binary")
+    wanted = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
+    if sums["rows"] <= NEAR_IDS:  # texts of others needn't be shuffled; beyond, the join leaves them out
+        wanted = wanted.join(F.broadcast(held.select(F.col("doc_id").alias(id_col)).distinct()), id_col, "left_semi")
+    texts = wanted.mapInArrow(kernel.lean(squeeze), f"doc_id {kind}, packed binary")
     found = texts.join(held.drop("n"), "doc_id").select("cls", "check", "packed").mapInArrow(kernel.lean(unsqueeze), "cls long, check long, text string")
     packed = blocks.pack(found, "text", None, most=blocks.BLOCK_BYTES // 2)
 
@@ -249,9 +255,13 @@ def across_components(around: DataFrame, label: DataFrame, texts: DataFrame, wid
     of few by few at once.  A tile first sees sizes only, and what the exact bounds leave of
     it meets again with its texts; only links come out."""
     marked = around.join(label, "cls", "left").withColumn("label", F.coalesce("label", "cls")).withColumn("rest", F.col("label") != F.col("own"))
-    counts = marked.groupBy("centre").agg(F.ceil(F.count_if("rest") / TILE_ROWS).alias("_r"), F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_a")).where("_r > 0")
-    dealt = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    full = marked.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(dealt, ["centre", "_salt"])
+    many = F.count(F.lit(1))
+    counts = marked.groupBy("centre").agg(F.ceil(F.count_if("rest") / TILE_ROWS).alias("_r"), F.ceil(many / TILE_ROWS).alias("_a"), F.ceil(many / SALT_ROWS).cast("int").alias("_salts")).where("_r > 0")
+    counts = durable(counts)
+    dealt = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    large = F.broadcast(counts.where("_salts > 1").select("centre", "_salts"))  # one centre in SALT_ROWS members at most
+    salted = marked.join(large, "centre", "left").withColumn("_salt", F.pmod(F.xxhash64("cls"), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    full = salted.join(dealt, ["centre", "_salt"])
     chunk = lambda n: F.pmod(F.xxhash64("cls", F.lit(1)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     keys = ["centre", "i", "j"]

@@ -87,9 +87,13 @@ def test_components_against_union_find(spark):
         assert len(got) == len(dict(got)) and {k: dict(got).get(k, k) for k in least} == least
 
 
-def test_tiles_find_links_across_components(spark, monkeypatch):
-    """Copies around one original, of which some are alike only to each other."""
+@pytest.mark.parametrize(("salt", "near"), [(1 << 16, 1 << 20), (5, 0)])
+def test_tiles_find_links_across_components(spark, monkeypatch, salt, near):
+    """Copies around one original, of which some are alike only to each other; with centres salted, and
+    candidates' ids joined by a shuffle."""
     monkeypatch.setattr(neardup, "TILE_ROWS", 4)
+    monkeypatch.setattr(neardup, "SALT_ROWS", salt)
+    monkeypatch.setattr(neardup, "NEAR_IDS", near)
     base = [f"v{k}" for k in range(160)]
     rows = [(1, " ".join(base))]
     for g in range(24):

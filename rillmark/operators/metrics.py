@@ -433,5 +433,46 @@ def async_rule(name: Column, explicit: dict[str, str] | None = None) -> Column:
     out = F.when(F.lit(False), "")
     for key, rule in (explicit or {}).items():
         out = out.when(name == key, rule)
-    out = out.when(name.contains("timing"), "sum").when(name.contains("mean") | name.contains("avg"), "avg").when(name.contains("max"), "max").when(name.contains("min"), "min")
-    return out.when(name.contains("sum"), "sum").otherwise("avg")
+    has = lambda *words: F.lower(name).rlike("|".join(words))
+    out = out.when(has("timing_s/"), "sum").when(has("mean", "avg", "average"), "avg").when(has("max"), "max").when(has("min"), "min")
+    return out.when(has("sum", "total"), "sum").otherwise("avg")
+
+
+# Metrics of the asynchronous trainer with a rule of their own.
+ASYNC_RULES = {
+    "perf/time_per_step": "sum", "timing_s/agent_loop/tool_calls/min": "min", "timing_s/agent_loop/tool_calls/mean": "avg", "timing_s/agent_loop/tool_calls/max": "max",
+    "fully_async/count/total_generated_samples": "last", "fully_async/count/stale_samples_processed": "last", "fully_async/count/stale_trajectory_processed": "last",
+    "fully_async/count/current_param_version": "last", "fully_async/count/dropped_stale_samples": "last", "training/global_step": "last", "dynamic_resource/mq_size": "last",
+    "dynamic_resource/train_compute_time_s": "sum", "dynamic_resource/train_allocated_time_s": "sum",
+}
+
+
+def asynchronous(rows: DataFrame, devices: int, hybrid: int = 0, standalone: int = 0, rollout_use: float | None = None) -> DataFrame:
+    """(name, value): the metrics (step, name, value) of several steps as one, each by its rule, and
+    what isn't the same rule of its parts: throughput from the sums of tokens and seconds, the spread of
+    lengths from its ends, the share of a step spent waiting, and how well devices were used, those
+    that switch between both tasks (``hybrid``) by the share of time that they spent on either.
+
+    ``step`` orders a metric's values; rows without a value don't count."""
+    value = F.col("value")
+    rule = async_rule(F.col("name"), ASYNC_RULES)
+    each = rows.where(value.isNotNull()).groupBy("name").agg(*(f("value").alias(n) for n, f in (("sum", F.sum), ("avg", F.avg), ("max", F.max), ("min", F.min))), F.max_by("value", "step").alias("last"))
+    each = each.select("name", F.coalesce(*(F.when(rule == k, F.col(k)) for k in ("sum", "avg", "max", "min", "last"))).cast("double").alias("value"))
+    keys = {
+        "spread": "global_seqlen/minmax_diff", "most": "global_seqlen/max", "least": "global_seqlen/min", "speed": "perf/throughput", "tokens": "perf/total_num_tokens", "seconds": "perf/time_per_step", "gen": "timing_s/gen",
+        "step": "timing_s/step", "wait": "timing_s/wait_for_enough_samples", "busy": "dynamic_resource/train_compute_time_s", "given": "dynamic_resource/train_allocated_time_s",
+    }
+    one = each.agg(*(F.max(F.when(F.col("name") == key, value)).alias(k) for k, key in keys.items()))  # a number for each
+    c = {k: F.col(k) for k in keys}
+    use = F.when(c["given"] > 0, c["busy"] / c["given"])
+    out = {
+        keys["spread"]: F.when(c["spread"].isNotNull(), c["most"] - c["least"]), keys["speed"]: F.when(c["speed"].isNotNull(), c["tokens"] / (c["seconds"] * devices)),
+        "fully_async/trainer/idle_ratio": c["gen"] / c["step"], "dynamic_resource/train_resource_utilization": use,
+    }
+    if rollout_use is not None and hybrid + standalone > 0:
+        known = use.isNotNull() & (c["step"] > 0)
+        x = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(c["wait"], F.lit(0.0)) / c["step"]))
+        out["dynamic_resource/rollout_resource_utilization"] = F.when(known, F.lit(float(rollout_use)))
+        out["dynamic_resource/resource_utilization"] = F.when(known, ((1 - x) * hybrid * use + (x * hybrid + standalone) * rollout_use) / (hybrid + standalone))
+    made = one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in out.items()))).alias("m")).select("m.name", "m.value").where(value.isNotNull())
+    return each.join(F.broadcast(made.select("name")), "name", "left_anti").unionByName(made)

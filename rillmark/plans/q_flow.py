@@ -283,13 +283,31 @@ def majority_of_draws(spark, sf):
     return found.select("o_custkey", "k", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
-@query("SELECT name, CASE WHEN name LIKE '%timing%' THEN 'sum' WHEN name LIKE '%mean%' THEN 'avg' WHEN name LIKE '%max%' THEN 'max' WHEN name LIKE '%min%' THEN 'min' WHEN name LIKE '%sum%' THEN 'sum' ELSE 'avg' END AS rule FROM (SELECT DISTINCT p || '/' || o_orderpriority || '/' || s AS name FROM orders, (SELECT unnest(['timing', 'loss', 'reward_mean']) AS p), (SELECT unnest(['max', 'min', 'sum', 'x']) AS s))")
+@query("SELECT name, CASE WHEN name LIKE '%timing_s/%' THEN 'sum' WHEN name LIKE '%mean%' THEN 'avg' WHEN name LIKE '%max%' THEN 'max' WHEN name LIKE '%min%' THEN 'min' WHEN name LIKE '%sum%' THEN 'sum' ELSE 'avg' END AS rule FROM (SELECT DISTINCT p || '/' || o_orderpriority || '/' || s AS name FROM orders, (SELECT unnest(['timing_s', 'loss', 'reward_mean']) AS p), (SELECT unnest(['max', 'min', 'sum', 'x']) AS s))")
 def asynchronous_rules(spark, sf):
     names = table(spark, sf, "orders").select("o_orderpriority").distinct()
-    names = J.expand(J.expand(names, "p", ["timing", "loss", "reward_mean"]), "s", ["max", "min", "sum", "x"]).select(F.concat_ws("/", "p", "o_orderpriority", "s").alias("name"))
+    names = J.expand(J.expand(names, "p", ["timing_s", "loss", "reward_mean"]), "s", ["max", "min", "sum", "x"]).select(F.concat_ws("/", "p", "o_orderpriority", "s").alias("name"))
     return names.select("name", M.async_rule(F.col("name")).alias("rule"))
 
 
+_ASYNC_NAMES = ["perf/throughput", "perf/total_num_tokens", "perf/time_per_step", "timing_s/gen", "timing_s/step", "timing_s/wait_for_enough_samples", "global_seqlen/minmax_diff", "global_seqlen/max", "global_seqlen/min", "training/global_step", "dynamic_resource/train_compute_time_s", "dynamic_resource/train_allocated_time_s", "actor/loss"]
+
+
+@query(f"""WITH e AS (SELECT event_id, ({_ASYNC_NAMES})[event_id % {len(_ASYNC_NAMES)} + 1] AS name, value FROM events),
+m AS (SELECT name, CASE WHEN name IN ('perf/total_num_tokens', 'perf/time_per_step', 'dynamic_resource/train_compute_time_s', 'dynamic_resource/train_allocated_time_s') OR name LIKE 'timing_s/%' THEN sum(value) WHEN name = 'training/global_step' THEN arg_max(value, event_id) WHEN name LIKE '%minmax%' OR name LIKE '%/max' THEN max(value) WHEN name LIKE '%/min' THEN min(value) ELSE avg(value) END AS v FROM e GROUP BY name),
+o AS (SELECT max(v) FILTER (WHERE name = 'perf/total_num_tokens') AS tokens, max(v) FILTER (WHERE name = 'perf/time_per_step') AS seconds, max(v) FILTER (WHERE name = 'timing_s/gen') AS gen, max(v) FILTER (WHERE name = 'timing_s/step') AS step, max(v) FILTER (WHERE name LIKE '%wait_for%') AS wait,
+  max(v) FILTER (WHERE name = 'global_seqlen/max') - max(v) FILTER (WHERE name = 'global_seqlen/min') AS spread, max(v) FILTER (WHERE name LIKE '%compute_time_s') / max(v) FILTER (WHERE name LIKE '%allocated_time_s') AS use FROM m),
+x AS (SELECT *, least(1.0, wait / step) AS x FROM o),
+r AS (SELECT name, v FROM m WHERE name NOT IN ('perf/throughput', 'global_seqlen/minmax_diff') UNION ALL SELECT 'perf/throughput', tokens / (seconds * 8) FROM x UNION ALL SELECT 'global_seqlen/minmax_diff', spread FROM x UNION ALL SELECT 'fully_async/trainer/idle_ratio', gen / step FROM x
+  UNION ALL SELECT 'dynamic_resource/train_resource_utilization', use FROM x UNION ALL SELECT 'dynamic_resource/rollout_resource_utilization', 0.75 FROM x UNION ALL SELECT 'dynamic_resource/resource_utilization', ((1 - x) * 6 * use + (x * 6 + 2) * 0.75) / 8 FROM x)
+SELECT name, {s6('v')} AS value FROM r""")
+def asynchronous_metrics(spark, sf):
+    """Events as metrics of steps, rolled up into one set."""
+    names = F.element_at(F.array(*map(F.lit, _ASYNC_NAMES)), (F.col("event_id") % len(_ASYNC_NAMES) + 1).cast("int"))
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("step"), names.alias("name"), "value")
+    return M.asynchronous(rows, 8, hybrid=6, standalone=2, rollout_use=0.75).select("name", r6("value").alias("value"))
+
+
 # ---- roll-ups
 
 
@@ -329,6 +347,28 @@ def report_labels(spark, sf):
     return table(spark, sf, "part").select("p_partkey", M.label_line(text).alias("label"))
 
 
+def _report(spark, sf):
+    """Answers about parts as lines, of which every fourth size is only cropped."""
+    p, k = table(spark, sf, "part"), F.col("p_size") % 4
+    cropped, filled = k.isin(0, 1), k.isin(1, 2)
+    box = F.when(cropped, F.concat(F.lit("[0.0,0.25,"), (F.col("p_size") / 64).cast("string"), F.lit(",1.0]"))).otherwise("null")
+    response = F.concat(F.lit('{"target_ratio":1.5,"is_cropped":'), cropped.cast("string"), F.lit(',"is_filled":'), filled.cast("string"), F.lit(',"crop_box":'), box, F.lit(',"fill_color":'), F.when(filled, "[1,2,3]").otherwise("null"), F.lit("}"))
+    content = F.concat(F.lit("Look.\nNews headline:  "), "p_name", F.lit(" \nImage caption: "), "p_type", F.lit("\nImage caption: no"))
+    path = scratch(spark, "report")
+    p.select(response.alias("response"), F.concat(F.lit("/images/"), F.col("p_partkey").cast("string"), F.lit(".v1.jpg")).alias("image"), F.array(F.struct(content.alias("content"))).alias("messages")).write.json(path)
+    return files.read_crop_report(spark, path)
+
+
+@query("SELECT p_partkey || '.v1' AS image_id, 1.5::DOUBLE AS target_ratio, [0.0, 0.25, p_size / 64.0, 1.0]::DOUBLE[] AS crop_box, trim(p_name) AS title, trim(p_type) AS caption FROM part WHERE p_size % 4 = 0")
+def crop_report_details(spark, sf):
+    return _report(spark, sf)[0]
+
+
+@query("SELECT ['crop', 'crop_fill', 'fill', 'keep'][p_size % 4 + 1] AS operation, count(*) AS n FROM part GROUP BY 1")
+def crop_report_operations(spark, sf):
+    return _report(spark, sf)[1]
+
+
 # ---- replay
 
 

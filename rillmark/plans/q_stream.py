@@ -70,6 +70,20 @@ def queue_stream(spark, sf):
     return sizes.groupBy("partition_id").agg(F.max_by("size", "dropped").alias("size"), F.max("dropped").alias("dropped"))
 
 
+@query(f"SELECT count(*) AS produced, count(*) FILTER (WHERE event_type = 'error') AS errors, {s6('sum(value)')} AS total FROM events")
+def queue_observed(spark, sf):
+    """What went into a queue, counted by the same pass that wrote it."""
+    path = scratch(spark, "observed")
+    Q.register(spark)
+    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("event_id", "event_type", "value")
+    counted = events.observe("queue", F.count(F.lit(1)).alias("produced"), F.count_if(F.col("event_type") == "error").alias("errors"), F.sum("value").alias("total"))
+    into = counted.writeStream.format(Q.FORMAT).option("path", f"{path}/queue").option("writer", "events").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    into.awaitTermination()
+    seen = [p.observedMetrics["queue"] for p in into.recentProgress if "queue" in p.observedMetrics]  # a row for each micro-batch
+    rows = [(int(r["produced"]), int(r["errors"]), float(r["total"] or 0)) for r in seen]
+    return spark.createDataFrame(rows, "produced bigint, errors bigint, total double").agg(F.sum("produced").alias("produced"), F.sum("errors").alias("errors"), r6(F.sum("total")).alias("total"))
+
+
 _READS = [(0, 2), (2, 3), (3, 8)]
 
 

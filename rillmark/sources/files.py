@@ -87,14 +87,22 @@ def value_histogram(df: DataFrame, by: str, value: str) -> DataFrame:
     return counts.withColumn("running", F.sum("n").over(Window.partitionBy(value).orderBy(by)))
 
 
-def fan_out(df: DataFrame, sinks: list) -> None:
-    """Hand the same rows to several sinks (callables)."""
-    held = df.cache()
+def fan_out(df: DataFrame, sinks: list) -> list[int]:
+    """Hand the same rows to several sinks (callables), and tell how many each was given.
+
+    Rows are counted as they flow into a sink's own job, and computed once for all."""
+    from pyspark import StorageLevel
+    from pyspark.sql import Observation
+
+    held, counts = df.persist(StorageLevel.DISK_ONLY), []
     try:
         for sink in sinks:
-            sink(held)
+            seen = Observation()
+            sink(held.observe(seen, F.count(F.lit(1)).alias("n")))
+            counts.append(seen.get["n"])
     finally:
         held.unpersist()
+    return counts
 
 
 def responses_by_row(generated: DataFrame, row: str, response: str, order: str) -> DataFrame:
@@ -119,6 +127,25 @@ def cached(spark: SparkSession, source: str, folder: str) -> str:
     return here.toString()
 
 
+def read_crop_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(details, operations) of JSON lines (response, image, messages): of answers that only crop the
+    image, its name, ratio, box and what the prompt's lines call it; and how many answers say each
+    operation.  An answer that can't be read is an error, and so is an image and ratio given twice."""
+    from ..functions.parsers import crop_fill, operation_of
+
+    lines = spark.read.schema("response string, image string, messages array<struct<content string>>").json(path)
+    plan = crop_fill(F.col("response"))
+    plan = F.when(plan.isNotNull(), plan).otherwise(F.raise_error(F.concat(F.lit("an answer that can't be read: "), F.coalesce("response", F.lit("none")))))
+    rows = lines.withColumn("plan", plan).withColumn("operation", operation_of(F.col("plan.is_cropped"), F.col("plan.is_filled")))
+    field = lambda label: F.trim(F.regexp_extract(F.coalesce(F.get("messages", F.lit(0))["content"], F.lit("")), rf"(?m)^{label}:\s*(.*)$", 1))
+    stem = F.regexp_replace(F.substring_index("image", "/", -1), r"(?<=.)\.[^.]*$", "")
+    crops = rows.where("operation = 'crop'").select(stem.alias("image_id"), F.col("plan.ratio").alias("target_ratio"), F.col("plan.crop_box").alias("crop_box"), field("News headline").alias("title"), field("Image caption").alias("caption"))
+    once = crops.groupBy("image_id", "target_ratio").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("crop_box", "title", "caption")).alias("x"))
+    said = F.concat(F.lit("given twice: "), F.col("image_id"), F.lit(" at "), F.col("target_ratio").cast("string"))
+    details = once.select(F.when(F.col("n") == 1, F.col("image_id")).otherwise(F.raise_error(said)).alias("image_id"), "target_ratio", "x.*")
+    return details, rows.groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
+
+
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Keep a batch on disk and read it again."""
     write_table(df, path, "overwrite")

@@ -191,6 +191,12 @@ def conversations(spark: SparkSession, turns: list[list[tuple[str, str]]]) -> Da
     return spark.createDataFrame([(k, [{"role": r, "content": c} for r, c in t]) for k, t in enumerate(turns)], "index bigint, messages array<struct<role: string, content: string>>")
 
 
+def conversations_of(df: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
+    """(index, messages): the turns of each conversation as a row; one's turns are held at a time."""
+    held = df.groupBy(F.col(key).alias("index")).agg(F.array_sort(F.collect_list(F.struct(F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("content")))).alias("m"))
+    return held.select("index", F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
 def source_index(df: DataFrame, trace: str, asset: str, seed: str, shares: dict[str, float]) -> DataFrame:
     """Each row's own id, its asset's id, and the split of the asset; ids of rows must differ."""
     from ..operators.joins import duplicate_keys, require_none

@@ -424,18 +424,18 @@ class Suppliers(X.Rows):
     """Rows of a user's own data set."""
 
     def read(self, spark):
-        return spark.range(5).select(F.col("id").alias("k"), (F.col("id") * self.by).alias("v"))
+        return spark.read.parquet(self.path).select(F.col("s_suppkey").alias("k"), (F.col("s_nationkey") * self.by).alias("v"))
 
-    def __init__(self, by: int = 3):
-        self.by = by
+    def __init__(self, path: str, by: int = 3):
+        self.path, self.by = path, by
 
 
 X.dataset(Suppliers)
 
 
-@query("SELECT k, k * 4 AS v FROM range(5) t(k)")
+@query("SELECT s_suppkey AS k, s_nationkey * 4 AS v FROM supplier")
 def dataset_by_name(spark, sf):
-    return X.DATASETS.get("Suppliers")(by=4).read(spark)
+    return X.DATASETS.get("Suppliers")(f"{sf}/supplier.parquet", by=4).read(spark)
 
 
 @X.tool

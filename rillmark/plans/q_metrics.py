@@ -38,10 +38,14 @@ def majority_vote(spark, sf):
     return M.majority(table(spark, sf, "orders"), ["o_custkey"], "o_orderpriority", "o_totalprice", "o_orderkey")
 
 
-@query("SELECT name, CASE WHEN name IN ('acc/mean@4', 'acc/best@4/mean') THEN 'val-core' ELSE 'val-aux' END AS section FROM (SELECT unnest(['acc/mean@4', 'acc/best@4/mean', 'acc/std@4', 'reward/mean@4', 'acc/mean@8']) AS name)")
+@query("""WITH n AS (SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 'acc' WHEN 'O' THEN 'accuracy' ELSE 'reward' END || '/' || ['mean', 'best', 'maj', 'std'][o_custkey % 4 + 1] || '@' || (o_orderkey % 3 + 3) || CASE WHEN o_custkey % 5 = 0 THEN '/mean' ELSE '' END AS name FROM orders)
+SELECT name, CASE WHEN regexp_matches(name, '^acc/(mean|maj|best)@4(/|$)') THEN 'val-core' ELSE 'val-aux' END AS section FROM n""")
 def validation_sections(spark, sf):
-    d = spark.createDataFrame([(x,) for x in ("acc/mean@4", "acc/best@4/mean", "acc/std@4", "reward/mean@4", "acc/mean@8")], "name string")
-    return d.select("name", M.section(F.col("name"), "acc", 4).alias("section"))
+    o = table(spark, sf, "orders")
+    core = F.when(F.col("o_orderstatus") == "F", "acc").when(F.col("o_orderstatus") == "O", "accuracy").otherwise("reward")
+    kind = F.element_at(F.array(*map(F.lit, ("mean", "best", "maj", "std"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    name = F.concat(core, F.lit("/"), kind, F.lit("@"), (F.col("o_orderkey") % 3 + 3).cast("string"), F.when(F.col("o_custkey") % 5 == 0, "/mean").otherwise(""))
+    return o.select(name.alias("name")).distinct().select("name", M.section(F.col("name"), "acc", 4).alias("section"))
 
 
 @query(f"""{_T}, s AS (SELECT traj, sum(reward) AS score, sum(mask) AS n FROM tok GROUP BY traj), t AS (SELECT avg(reward) AS rm, avg(advantage) AS am, max(advantage) AS ax, avg(value) AS vm, 1 - var_samp(reward - value) / (var_samp(reward) + 1e-5) AS ev FROM tok WHERE mask > 0)

@@ -325,10 +325,10 @@ def tool_rows(spark, sf):
     return out.select("extra_info.index", F.col("extra_info.need_tools_kwargs").alias("need"), F.col("extra_info.tools_kwargs.code_interpreter.create_kwargs.ground_truth").alias("truth"))
 
 
-@query("SELECT i - 1 AS index, r AS role, c AS content FROM (VALUES (1, 'user', 'Hi'), (1, 'assistant', 'Hello'), (2, 'user', 'Add 2 and 2'), (2, 'assistant', '4'), (2, 'user', 'Thanks')) t(i, r, c)")
+@query("SELECT conv_id AS index, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS place, role, text AS content FROM conversations")
 def fixed_conversations(spark, sf):
-    c = Q.conversations(spark, [[("user", "Hi"), ("assistant", "Hello")], [("user", "Add 2 and 2"), ("assistant", "4"), ("user", "Thanks")]])
-    return c.select("index", F.inline("messages"))
+    c = Q.conversations_of(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text")
+    return c.select("index", F.posexplode("messages").alias("place", "m")).select("index", "place", "m.role", "m.content")
 
 
 @query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> ''), ' ') AS title FROM documents")

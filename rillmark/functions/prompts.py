@@ -127,6 +127,11 @@ def severity(share: Column) -> Column:
     return F.when(share <= 0.005, "negligible").when(share <= 0.02, "small").when(share <= 0.05, "noticeable").when(share <= 0.10, "large").otherwise("severe")
 
 
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """Rows that have a label: one that is null or the empty text doesn't count."""
+    return df.where(F.coalesce(F.length(F.col(label).cast("string")) > 0, F.lit(False)))
+
+
 def drop_overlong(df: DataFrame, length: Column, most: int) -> DataFrame:
     """Prompts of at most so many tokens."""
     return df.where(length <= most)

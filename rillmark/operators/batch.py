@@ -220,6 +220,16 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.dtypes == b.dtypes and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 
+def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, rows, ...): rows that ``a`` or ``b`` has more often than the other, and how many more; columns
+    meet by name and must be the same.  Nulls equal nulls, and rows are moved once."""
+    if sorted(a.dtypes) != sorted(b.dtypes):
+        raise BatchError(f"columns differ: {sorted(set(a.dtypes) ^ set(b.dtypes))}")
+    both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
+    left = both.groupBy(*a.columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return left.select(F.when(F.col("_n") > 0, "a").otherwise("b").alias("side"), F.abs("_n").alias("rows"), *a.columns)
+
+
 def column_report(df: DataFrame) -> DataFrame:
     """(column, type, non_null, distinct) of each column."""
     sums = df.agg(*(F.count(c).alias(f"n_{c}") for c in df.columns), *(F.count_distinct(c).alias(f"d_{c}") for c in df.columns))

@@ -89,6 +89,15 @@ def batch_report(spark, sf):
     return B.column_report(docs(spark, sf).select("doc_id", "lang")).select("column", "non_null", "distinct")
 
 
+@query("""WITH a AS (SELECT doc_id, lang, source FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang, source FROM documents UNION ALL SELECT doc_id, lang, source FROM documents WHERE doc_id % 25 = 1),
+d AS (SELECT doc_id, lang, source, sum(n) AS n FROM (SELECT *, 1 AS n FROM a UNION ALL SELECT *, -1 FROM b) GROUP BY ALL) SELECT CASE WHEN n > 0 THEN 'a' ELSE 'b' END AS side, CAST(abs(n) AS BIGINT) AS rows, doc_id, lang, source FROM d WHERE n <> 0""")
+def batch_differences(spark, sf):
+    """Two versions of a batch: what only one has, or more often."""
+    a = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    b = a.withColumn("lang", F.when(F.col("doc_id") % 10 == 0, "xx").otherwise(F.col("lang"))).unionByName(a.where("doc_id % 25 = 1"))
+    return B.row_differences(a, b)
+
+
 @query(f"SELECT row_idx, doc_id FROM ({_DOCS}) WHERE row_idx >= 10 AND row_idx < 100 AND (row_idx - 10) % 3 = 0")
 def rows_slice(spark, sf):
     return B.slice_rows(docs(spark, sf), 10, 100, 3).select("row_idx", "doc_id")

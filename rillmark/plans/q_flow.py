@@ -101,6 +101,18 @@ def kv_optional_fields(spark, sf):
     return found
 
 
+@query("""WITH c AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS row_idx FROM (SELECT DISTINCT conv_id FROM conversations)), s AS (SELECT * FROM c ORDER BY md5('s:' || row_idx), row_idx LIMIT 20)
+SELECT row_idx, role, text AS content FROM s JOIN conversations USING (conv_id)""")
+def sft_scan(spark, sf):
+    """Conversations written as rows, of which a sample is read."""
+    from ..functions.prompts import conversations_of
+
+    path = scratch(spark, "sft")
+    conversations_of(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text").orderBy("index").write.parquet(path)
+    read = files.read_sft(spark, [path], sample=20, seed="s")
+    return read.select("row_idx", F.inline("messages"))
+
+
 @query("""WITH t AS (SELECT d.doc_id, d.lang, CASE WHEN l.doc_id IS NOT NULL THEN l.toxic ELSE d.n_chars END AS n_chars, l.quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.lang <> 'fr')
 SELECT doc_id, lang, n_chars, quality FROM t JOIN (SELECT doc_id FROM documents WHERE n_chars % 3 = 0) USING (doc_id)""")
 def keyed_table(spark, sf):

@@ -20,7 +20,7 @@ _T = f"WITH {TOKENS_SQL}"
 @query("SELECT item_id FROM benchmark WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda t: t <> '')) <= 60")
 def overlong_prompt_filter(spark, sf):
     n = F.size(F.filter(F.split("text", r"\s+"), lambda t: t != ""))
-    return table(spark, sf, "benchmark").where(n <= 60).select("item_id")
+    return Q.drop_overlong(table(spark, sf, "benchmark"), n, 60).select("item_id")
 
 
 @query("SELECT doc_id, text AS prompt, lang AS chosen, source AS rejected FROM documents")
@@ -31,7 +31,8 @@ def preference_scan(spark, sf):
 
 @query("SELECT p_partkey FROM part WHERE length(nullif(p_type, 'PROMO')) > 0")
 def empty_label_filter(spark, sf):
-    return table(spark, sf, "part").where(F.length(F.nullif("p_type", F.lit("PROMO"))) > 0).select("p_partkey")
+    p = table(spark, sf, "part").select("p_partkey", F.nullif("p_type", F.lit("PROMO")).alias("label"))
+    return Q.labelled(p, "label").select("p_partkey")
 
 
 @query(f"{_T} SELECT traj, count(*) FILTER (WHERE mask > 0 AND old_lp IS DISTINCT FROM ref_lp) AS n FROM tok GROUP BY traj")

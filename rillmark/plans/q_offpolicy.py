@@ -112,6 +112,20 @@ def loss_clip_fraction(spark, sf):
     return tokens(spark, sf).agg(r6(F.avg(hit)).alias("clip_fraction"), r6(F.avg(F.when(m > 0, old - lp))).alias("kl"))
 
 
+@L.register("halved")
+def _halved(lp, old, adv):
+    """A user's own loss."""
+    return -adv * lp / 2
+
+
+@query(f"{_T} SELECT 'gpg' AS name, traj, pos, {s6('-lp * advantage')} AS loss FROM tok UNION ALL SELECT 'halved', traj, pos, {s6('-lp * advantage / 2')} FROM tok UNION ALL SELECT 'vanilla', traj, pos, {s6(_DUAL.replace('1.02', '1.2').replace('0.98', '0.8'))} FROM tok")
+def loss_by_name(spark, sf):
+    """Losses by their registered names, one of them a user's."""
+    lp, old, adv, _ = _cols()
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), r6(L.loss(n)(lp, old, adv)).alias("loss")) for n in ("gpg", "halved", "vanilla")))).alias("x")
+    return tokens(spark, sf).select("traj", "pos", each).select("x.name", "traj", "pos", "x.loss")
+
+
 _SEQS = f"{_T}, s AS (SELECT traj, sum(value * mask) AS s, sum(mask) AS n FROM tok GROUP BY traj HAVING sum(mask) > 0)"
 _AGG = {
     "token-mean": f"{_T} SELECT {s6('sum(value * mask) / sum(mask)')} AS loss FROM tok", "token-sum": f"{_T} SELECT {s6('sum(value * mask)')} AS loss FROM tok",

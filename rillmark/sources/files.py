@@ -146,6 +146,23 @@ def read_crop_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
     return details, rows.groupBy("operation").agg(F.count(F.lit(1)).alias("n"))
 
 
+def read_sft(spark: SparkSession, paths: list[str], messages: str = "messages", optional: tuple[str, ...] = ("tools", "enable_thinking"), sample: int | None = None, seed: str | None = None) -> DataFrame:
+    """(row_idx, messages, ...): conversations to learn from, of Parquet files in the order of their names
+    and rows, with the optional columns that are there and no others.
+
+    ``sample`` keeps so many rows: the first, or with a seed those that come first by its hash.
+    Conversations that are null stay, as rows of their own; a file without ``messages`` is an error."""
+    from ..operators.batch import IDX, BatchError, subsample, with_row_index
+
+    rows = spark.read.parquet(*paths)
+    if messages not in rows.columns:
+        raise BatchError(f"no column {messages} in {paths}")
+    kept = [F.col(messages).alias("messages"), *(F.col(c) for c in optional if c in rows.columns)]
+    placed = rows.select(*kept, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    numbered = with_row_index(placed, ["_file", "_at"], IDX).drop("_file", "_at")
+    return numbered if sample is None else subsample(numbered, sample, seed)
+
+
 def snapshot(df: DataFrame, path: str) -> DataFrame:
     """Keep a batch on disk and read it again."""
     write_table(df, path, "overwrite")

@@ -114,3 +114,19 @@ def test_reports_that_cannot_be_read(spark, tmp_path):
         report((good, "b.jpg"), (good, "/other/b.png"))[0].collect()
     with pytest.raises(Exception, match="can't be read"):
         report(("{", "b.jpg"))[1].collect()
+
+
+def test_sft_files(spark, tmp_path):
+    df = spark.range(30).select(F.array(F.struct(F.lit("user").alias("role"), F.col("id").cast("string").alias("content"))).alias("messages"), F.lit(True).alias("enable_thinking"), F.lit(1).alias("other"))
+    df.where("messages[0].content < '3'").coalesce(1).write.parquet(f"{tmp_path}/a")
+    df.where("messages[0].content >= '3'").coalesce(1).withColumn("messages", F.when(F.col("messages")[0]["content"] != "9", F.col("messages"))).write.parquet(f"{tmp_path}/b")
+    rows = files.read_sft(spark, [f"{tmp_path}/a", f"{tmp_path}/b"]).orderBy("row_idx").collect()
+    assert rows[0].asDict().keys() == {"row_idx", "messages", "enable_thinking"} and [r["row_idx"] for r in rows] == list(range(30))
+    said = [r["messages"][0]["content"] if r["messages"] else None for r in rows]
+    assert said.count(None) == 1 and said[:3] == ["0", "1", "2"] and said.index("29") < said.index("3")
+    assert [r["row_idx"] for r in files.read_sft(spark, [f"{tmp_path}/a"], sample=4).orderBy("row_idx").collect()] == [0, 1, 2, 3]
+    one, two = ({r["row_idx"] for r in files.read_sft(spark, [f"{tmp_path}/a"], sample=5, seed=s).collect()} for s in ("x", "y"))
+    assert len(one) == len(two) == 5 and one != two
+    with pytest.raises(B.BatchError, match="no column"):
+        files.read_sft(spark, [f"{tmp_path}/a"], messages="absent")
+    assert Q.labelled(spark.createDataFrame([("a",), ("",), (None,)], "x string"), "x").count() == 1

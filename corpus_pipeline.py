@@ -21,18 +21,27 @@ from rillmark.llm.common import delete, shared_folder, tokenizer_path
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score of quality is 0.3 or more."""
+    """Documents whose score of quality is 0.3 or more.
+
+    Null and empty texts score by the model's bias; repeated rows go or stay together; an empty table
+    stays empty; all columns are kept, whatever their names."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.classify(docs.select(F.struct(*docs.columns).alias("_row"), "text"), model).where("predicted = 1").select("_row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that with the smallest id.
+
+    Texts without words have no duplicates and stay, and so do all rows with a null id; of rows alike in
+    id and text one stays; an empty table stays empty; all columns are kept."""
     return neardup.keep_one_of_each(docs, width=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that a smaller id has."""
+    """Documents without the passages of 50 words or more that a smaller id has.
+
+    Null texts stay null; a null id is larger than all others; rows with one id repeat nothing of
+    each other; an empty table stays empty; all columns are kept, ``n_chars`` follows the text."""
     spare = "_" * (1 + max(map(len, docs.columns)))  # names that no column has
     cut = substring.remove_repeats(docs, width=50, count_cols=(f"{spare}words", f"{spare}removed"))
     if "n_chars" in docs.columns:
@@ -41,12 +50,18 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, none to three times.
+
+    Null texts have no words; a null source is one of its own; rows alike are taken by their number; an
+    empty table stays empty; all columns are kept."""
     return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences."""
+    """Pieces of documents in sequences.
+
+    A null or empty text is one piece, its end token; repeated rows are packed one by one; an empty table
+    gives no pieces; other columns are left out."""
     return packing.best_fit_pack(docs, tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -314,26 +314,36 @@ def duplicate_keys(spark, sf):
     return J.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-def _cover(parts):
-    """(batch, rows, total, parts, spread_ok): what the parts of a batch cover, and whether their
-    sums differ by no more than its largest row."""
-    sums = parts.groupBy("batch", "part").agg(F.count_distinct("row_idx").alias("rows"), F.sum("n_chars").alias("total"), F.max("n_chars").alias("top"))
-    return sums.groupBy("batch").agg(F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.count(F.lit(1)).alias("parts"), (F.max("total") - F.min("total") <= F.max("top")).alias("spread_ok"))
+_BATCHES = f"SELECT row_idx // 50 AS batch, row_idx % 50 AS i, row_idx, n_chars FROM ({_DOCS})"
 
 
-_BATCHES = f"SELECT row_idx // 50 AS batch, row_idx % 50 AS i, row_idx, n_chars FROM ({_DOCS})"
+def _differencing(weight: str, parts: str) -> str:
+    """Largest differencing, one merge a step: nodes in falling order of (spread, largest part)."""
+    node = lambda p: f"{{'spread': {p}[1].s - {p}[-1].s, 'top': {p}[1], 'parts': {p}}}"
+    return f"""WITH RECURSIVE d AS MATERIALIZED ({_BATCHES}), b AS (SELECT batch, {parts} AS k FROM d GROUP BY batch),
+i AS (SELECT batch, k, list_prepend({{'s': {weight}, 'n': 1::BIGINT, 'p': [i]::BIGINT[]}}, list_transform(range(1, k), lambda _: {{'s': 0::BIGINT, 'n': 0::BIGINT, 'p': []::BIGINT[]}})) AS q FROM d JOIN b USING (batch)),
+g AS (SELECT batch, k, list_sort(list({node('q')}), 'DESC') AS h FROM i GROUP BY batch, k UNION ALL
+  SELECT batch, k, list_sort(list_append(h[3:], {node('q')}), 'DESC') FROM (SELECT batch, k, h, list_sort(list_transform(range(1, k + 1), lambda j: {{'s': h[1].parts[j].s + h[2].parts[k + 1 - j].s, 'n': h[1].parts[j].n + h[2].parts[k + 1 - j].n, 'p': list_concat(h[1].parts[j].p, h[2].parts[k + 1 - j].p)}}), 'DESC') AS q FROM g WHERE len(h) > 1)),
+e AS (SELECT batch, k, unnest(h[1].parts) AS x, unnest(range(k)) AS part FROM g WHERE len(h) = 1)"""
+
+
+def _items(parts):
+    """(batch, part, items): which rows of a batch are in each of its parts that has any."""
+    return parts.groupBy("batch", F.col("part").cast("bigint").alias("part")).agg(F.array_sort(F.collect_list(F.col("row_idx") % 50)).alias("items"))
 
 
-@query(f"SELECT batch, count(*) AS rows, sum(n_chars) AS total, 4 AS parts, true AS spread_ok FROM ({_BATCHES}) GROUP BY batch")
+@query(f"{_differencing('n_chars', '4::BIGINT')} SELECT batch, part, list_sort(x.p) AS items FROM e WHERE len(x.p) > 0")
 def karmarkar_karp(spark, sf):
     d = docs(spark, sf).withColumn("batch", F.floor(F.col("row_idx") / 50))
-    return _cover(P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.differencing(s, 4)))
+    return _items(P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.differencing(s, 4)))
 
 
-@query(f"SELECT batch, count(*) AS rows, sum(n_chars) AS total, greatest(least(count(*), CAST(ceil(sum(n_chars) / 40000.0) AS BIGINT)), 1) AS parts FROM ({_BATCHES}) GROUP BY batch")
+@query(f"""{_differencing('(24576 * n_chars + n_chars * n_chars)', 'greatest(least(count(*), CAST(ceil(sum(n_chars) / 40000.0) AS BIGINT)), 1)')},
+o AS (SELECT batch, k, list_sort(x.p) AS items, row_number() OVER (PARTITION BY batch ORDER BY x.s DESC, list_min(x.p) DESC) AS r FROM e)
+SELECT batch, CAST(CASE WHEN r % 2 = 1 THEN (k + 1) // 2 - (r + 1) // 2 ELSE (k + 1) // 2 + r // 2 - 1 END AS BIGINT) AS part, items FROM o WHERE len(items) > 0""")
 def dynamic_micro_batches(spark, sf):
     d = docs(spark, sf).withColumn("batch", F.floor(F.col("row_idx") / 50))
-    return _cover(P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.micro_batches(s, 40_000))).drop("spread_ok")
+    return _items(P.partition(d.select("batch", "row_idx", "n_chars"), "batch", "row_idx", "n_chars", lambda s: P.micro_batches(s, 40_000)))
 
 
 @query(f"""WITH RECURSIVE d AS MATERIALIZED ({_BATCHES}), g(batch, i, sums) AS (SELECT DISTINCT batch, 0::BIGINT, [0, 0, 0, 0]::BIGINT[] FROM d

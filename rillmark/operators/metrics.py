@@ -300,6 +300,18 @@ def latency(rows: DataFrame, value: str) -> DataFrame:
     return both.select("mean", "max", "min", *(F.col("percentiles")[k].alias(n) for k, n in enumerate(("p50", "p95", "p99"))))
 
 
+def sample_batch(rows: DataFrame, seconds: str, calls: str, start: str, end: str) -> DataFrame:
+    """One row about the samples of a batch: their processing times, what tools took of them, how many were
+    generated under more than one version of the model (``start`` to ``end``), over how many at most, and
+    how many versions ended any.  A null time of tools is a sample that called none."""
+    span = F.abs(F.col(end) - F.col(start))
+    plain = rows.agg(
+        F.max(calls).alias("tool_max"), F.min(calls).alias("tool_min"), F.avg(calls).alias("tool_mean"), F.count_if(span > 0).alias("partial"), F.avg((span > 0).cast("double")).alias("partial_ratio"),
+        F.max(span).alias("partial_span"), F.count_distinct(end).alias("versions"),
+    )
+    return latency(rows, seconds).join(plain, F.lit(True))  # one row each
+
+
 def summarise(rows: DataFrame, by: list[str], measures: dict[str, Column], cube: bool = False, exact: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """Measures over everything and by one column, or by the cube of several; ``level`` names
     the columns that a row is about.  ``exact`` names percentiles: a column and a share."""

@@ -353,9 +353,11 @@ def attempt_summary(spark, sf):
     return m.select("ratio", *(r6(c).alias(c) for c in ("first_rate", "valid_rate")), "attempts", "tokens", (F.round("seconds", 2) + F.lit(0.0)).alias("seconds"), r6("area").alias("area"))
 
 
-@query("SELECT p_partkey, p_type AS label FROM part")
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_type WHEN 1 THEN '' ELSE p_type || ': x' END AS label FROM part")
 def report_labels(spark, sf):
-    text = F.concat(F.lit("first\nLabel: "), "p_type", F.lit("\nlast Label: no"))
+    """The first of the lines that begin with the mark; none, where it stands inside a line."""
+    shapes = [("first\nLabel: ", "\nlast Label: no\nLabel: no"), ("first Label: ", "\n Label: no\nlabel: no"), ("Label:\t", ": x")]
+    text = F.element_at(F.array(*(F.concat(F.lit(a), "p_type", F.lit(b)) for a, b in shapes)), (F.col("p_size") % 3 + 1).cast("int"))
     return table(spark, sf, "part").select("p_partkey", M.label_line(text).alias("label"))
 
 

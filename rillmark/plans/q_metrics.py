@@ -125,6 +125,16 @@ def latency_stats(spark, sf):
     return m.select(*(r6(c).alias(c) for c in m.columns))
 
 
+@query(f"""WITH e AS (SELECT value AS s, CASE WHEN event_type = 'click' THEN value / 3 END AS c, user_id % 7 AS a, user_id % 7 + CASE WHEN event_id % 4 = 0 THEN event_id % 3 ELSE 0 END AS b FROM events)
+SELECT {s6('avg(s)')} AS mean, {s6('max(s)')} AS max, {s6('min(s)')} AS min, {s6('quantile_cont(s, 0.5)')} AS p50, {s6('quantile_cont(s, 0.95)')} AS p95, {s6('quantile_cont(s, 0.99)')} AS p99, {s6('max(c)')} AS tool_max, {s6('min(c)')} AS tool_min, {s6('avg(c)')} AS tool_mean,
+count(*) FILTER (WHERE b > a) AS partial, {s6('avg(CASE WHEN b > a THEN 1.0 ELSE 0 END)')} AS partial_ratio, max(b - a) AS partial_span, count(DISTINCT b) AS versions FROM e""")
+def sample_batch_stats(spark, sf):
+    e, start = events(spark, sf), F.col("user_id") % 7
+    rows = e.select("value", F.when(F.col("event_type") == "click", F.col("value") / 3).alias("calls"), start.alias("a"), (start + F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 3).otherwise(0)).alias("b"))
+    m = M.sample_batch(rows, "value", "calls", "a", "b")
+    return m.select(*(r6(c).alias(c) for c in m.columns if c not in ("partial", "partial_span", "versions")), "partial", "partial_span", "versions")
+
+
 @query(f"SELECT CASE WHEN grouping(o_orderpriority) = 0 THEN o_orderpriority END AS o_orderpriority, count(*) AS n, {s6('avg(CASE WHEN o_orderstatus = ' + chr(39) + 'F' + chr(39) + ' THEN 1.0 ELSE 0 END)')} AS valid_rate, {s6('quantile_cont(o_totalprice, 0.5)')} AS p50 FROM orders GROUP BY GROUPING SETS ((), (o_orderpriority))")
 def summary_by_ratio(spark, sf):
     m = {"n": F.count(F.lit(1)), "valid_rate": r6(F.avg((F.col("o_orderstatus") == "F").cast("double")))}

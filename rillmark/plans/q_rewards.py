@@ -205,9 +205,11 @@ def tool_calls_marked_parameters(spark, sf):
     return _arguments(_events(spark, sf, text), P.marked_invocations(F.col("text")))
 
 
-@query("SELECT page_id, 'about ' || url AS text FROM pages")
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'about ' || url WHEN 1 THEN '<think>so ' || url ELSE '' END AS text FROM pages")
 def answer_after_thought(spark, sf):
-    return table(spark, sf, "pages").select("page_id", P.after_thought(_text("so</think>hm</think>about ", ["url"])).alias("text"))
+    """Thoughts that end twice, don't end, and with nothing behind them."""
+    text = F.element_at(F.array(_text("so</think>hm</think>about ", ["url"]), _text("<think>so ", ["url"]), _text("<think>", ["url"], "</think>")), (F.col("page_id") % 3 + 1).cast("int"))
+    return table(spark, sf, "pages").select("page_id", P.after_thought(text).alias("text"))
 
 
 @query("""SELECT event_id, event_type AS name, 'q' AS k, to_json('a, ' || user_id || '}c')::VARCHAR AS v FROM events UNION ALL SELECT event_id, event_type, 'n', CAST(user_id AS VARCHAR) FROM events

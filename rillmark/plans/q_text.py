@@ -134,15 +134,25 @@ def tool_calls_hermes(spark, sf):
     return e.select("event_id", F.inline(P.hermes_calls(F.col("text"))), P.hermes_content(F.col("text")).alias("content"))
 
 
-@query("SELECT event_id, event_type AS name, 'user' AS k, CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_id, event_type, 'kind', 'x y' FROM events")
+@query("""SELECT event_id, event_type AS name, 'user' AS k, CAST(user_id AS VARCHAR) AS v FROM events WHERE event_id % 4 < 3 UNION ALL SELECT event_id, event_type, 'kind', 'x y' FROM events WHERE event_id % 4 < 3
+UNION ALL SELECT event_id, 'again', 'user', '<b>' || event_type || '</b>' FROM events WHERE event_id % 4 = 2""")
 def tool_calls_parameters(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.concat(F.lit("<tool_call><function="), "event_type", F.lit("><parameter=user>\n"), F.col("user_id").cast("string"), F.lit("\n</parameter><parameter=kind>x y</parameter></function></tool_call>")).alias("text"))
+    """One call; one with a name given twice; two with markup in a value and one without any; one never closed."""
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    one = lambda before: F.concat(F.lit("<tool_call><function="), kind, F.lit(before + "><parameter=user>\n"), user, F.lit("\n</parameter><parameter=kind>x y</parameter></function></tool_call>"))
+    two = F.concat(one(""), F.lit("\nand <tool_call>\n<function=again>\n<parameter=user>\n<b>"), kind, F.lit("</b>\n</parameter>\n</function>\n</tool_call><tool_call><function=none></function></tool_call>"))
+    text = F.element_at(F.array(one(""), one("><parameter=user>old</parameter><parameter=kind>z</parameter"), two, F.regexp_replace(one(""), "</tool_call>$", "")), (F.col("event_id") % 4 + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", text.alias("text"))
     return e.select("event_id", F.inline(P.function_calls(F.col("text")))).select("event_id", "name", F.explode("arguments").alias("k", "v"))
 
 
-@query("SELECT event_id, event_type AS name, 'q' AS k, CAST(user_id AS VARCHAR) AS v FROM events")
+@query("""SELECT event_id, event_type AS name, 'q' AS k, CAST(user_id AS VARCHAR) AS v FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, 'more', 'q', 'last' FROM events WHERE event_id % 3 = 1 UNION ALL SELECT event_id, 'more', 'r', '1 < 2' FROM events WHERE event_id % 3 = 1""")
 def tool_calls_invoke(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.concat(F.lit('<invoke name="'), "event_type", F.lit('"><parameter name="q">'), F.col("user_id").cast("string"), F.lit("</parameter></invoke>")).alias("text"))
+    """One call; two, of which the second gives a name twice; one never closed."""
+    one = F.concat(F.lit('<invoke name="'), "event_type", F.lit('"><parameter name="q">'), F.col("user_id").cast("string"), F.lit("</parameter></invoke>"))
+    more = F.lit('<invoke name="more"><parameter name="q">first</parameter>\n<parameter name="r"> 1 < 2 </parameter><parameter name="q">last</parameter></invoke>')
+    text = F.element_at(F.array(one, F.concat(F.lit("so "), one, F.lit(" then "), more), F.replace(one, F.lit("</invoke>"), F.lit(""))), (F.col("event_id") % 3 + 1).cast("int"))
+    e = table(spark, sf, "events").select("event_id", text.alias("text"))
     return e.select("event_id", F.inline(P.invoke_calls(F.col("text")))).select("event_id", "name", F.explode("arguments").alias("k", "v"))
 
 

@@ -279,9 +279,10 @@ def repeat_each(df: DataFrame, times: Column) -> DataFrame:
     return df.withColumn("_n", times.cast("int")).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
 
 
-def chunk(df: DataFrame, k: int, rows: int, idx: str = IDX) -> DataFrame:
-    """Contiguous equal chunks (``chunk`` from 0); rows must divide."""
-    if rows % k:
+def chunk(df: DataFrame, k: int, rows: int, idx: str = IDX, rest: bool = False) -> DataFrame:
+    """Contiguous equal chunks (``chunk`` from 0); rows must divide.  With ``rest`` they needn't:
+    behind the k chunks of rows // k, what is left goes on in chunks of that size, the last shorter."""
+    if rows % k and (not rest or rows < k):
         raise BatchError(f"{rows} rows don't divide into {k} chunks")
     return df.withColumn("chunk", F.floor(F.col(idx) / F.lit(rows // k)).cast("int"))
 

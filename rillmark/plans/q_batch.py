@@ -139,7 +139,7 @@ def rows_repeat_each(spark, sf):
 @query(f"SELECT row_idx, CAST(floor(row_idx / ((SELECT count(*) FROM documents) // 4)) AS INT) AS chunk FROM ({_DOCS})")
 def rows_chunk(spark, sf):
     d = docs(spark, sf)
-    return B.chunk(d, 4, d.count()).select("row_idx", "chunk")
+    return B.chunk(d, 4, d.count(), rest=True).select("row_idx", "chunk")
 
 
 @query(f"SELECT row_idx, CAST(row_idx // 7 AS INT) AS piece FROM ({_DOCS})")

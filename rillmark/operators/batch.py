@@ -374,9 +374,10 @@ def seeded_order(df: DataFrame, seed: str, key: str = IDX) -> Column:
     return F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
 
 
-def mini_batches(df: DataFrame, size: int, epochs: int, seed: str, rows: int, idx: str = IDX) -> DataFrame:
-    """(epoch, batch, ...): each epoch shuffled by its own seed and cut into equal batches."""
-    if rows % size:
+def mini_batches(df: DataFrame, size: int, epochs: int, seed: str, rows: int, idx: str = IDX, rest: bool = False) -> DataFrame:
+    """(epoch, batch, ...): each epoch shuffled by its own seed and cut into equal batches; rows must
+    divide, or with ``rest`` the last batch of an epoch is shorter."""
+    if rows % size and not rest:
         raise BatchError(f"{rows} rows don't divide into batches of {size}")
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))

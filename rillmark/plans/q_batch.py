@@ -185,7 +185,7 @@ def rows_pad_last(spark, sf):
 @query(f"WITH k AS (SELECT e AS epoch, row_idx, row_number() OVER (PARTITION BY e ORDER BY md5('s:' || e || ':' || row_idx), row_idx) - 1 AS p FROM ({_DOCS}), (SELECT unnest([0, 1]) AS e)) SELECT CAST(epoch AS INT) AS epoch, row_idx, CAST(p // 50 AS INT) AS batch FROM k")
 def rows_mini_batches(spark, sf):
     d = docs(spark, sf)
-    return B.mini_batches(d, 50, 2, "s", d.count()).select("epoch", "row_idx", "batch")
+    return B.mini_batches(d, 50, 2, "s", d.count(), rest=True).select("epoch", "row_idx", "batch")
 
 
 @query(f"SELECT row_idx FROM ({_DOCS}) ORDER BY md5('s:' || row_idx), row_idx LIMIT 25")

@@ -35,3 +35,13 @@ def test_chunks_of_rows_that_do_not_divide(spark, tmp_path, n):
 def test_fewer_rows_than_chunks(spark):
     with pytest.raises(B.BatchError):
         B.chunk(spark.range(3).withColumnRenamed("id", "row_idx"), 4, 3, rest=True)
+
+
+@pytest.mark.parametrize("n", [3, 50, 102])
+def test_mini_batches_of_rows_that_do_not_divide(spark, tmp_path, n):
+    some_documents(tmp_path, n)
+    got, want = both(spark, tmp_path, "rows_mini_batches")
+    assert got == want and len(got) == 2 * n
+    if n % 50:
+        with pytest.raises(B.BatchError):
+            B.mini_batches(spark.range(n).withColumnRenamed("id", "row_idx"), 50, 2, "s", n)

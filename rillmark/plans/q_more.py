@@ -114,7 +114,7 @@ def result_merge(spark, sf):
 @query("""WITH t AS (SELECT p_partkey, 'so \\boxed{' || p_size || '} ' || repeat('x', CAST(p_retailprice AS INT) % 120) AS text, CAST(p_size % 30 AS VARCHAR) AS truth FROM part)
 SELECT p_partkey, CASE WHEN regexp_extract(right(text, 100), '\\\\boxed\\{([^}]*)\\}', 1) = truth THEN 1.0::DOUBLE ELSE -1.0 END AS score FROM t""")
 def grade_strict_box(spark, sf):
-    text = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.lit("} "), F.repeat(F.lit("x"), F.round("p_retailprice").cast("int") % 120))
+    text = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.lit("} "), F.repeat(F.lit("x"), F.rint("p_retailprice").cast("int") % 120))
     return table(spark, sf, "part").select("p_partkey", G.strict_box_score(text, (F.col("p_size") % 30).cast("string")).alias("score"))
 
 

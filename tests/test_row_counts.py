@@ -45,3 +45,11 @@ def test_mini_batches_of_rows_that_do_not_divide(spark, tmp_path, n):
     if n % 50:
         with pytest.raises(B.BatchError):
             B.mini_batches(spark.range(n).withColumnRenamed("id", "row_idx"), 50, 2, "s", n)
+
+
+def test_strict_box_of_prices_at_a_half(spark, tmp_path):
+    """A box just inside or outside the last 100 characters, by a price that is rounded to even."""
+    parts = "SELECT i AS p_partkey, CAST(5 AS INT) AS p_size, 960 + i + h AS p_retailprice FROM range(120) r(i), (SELECT unnest([0, 0.5]::DOUBLE[]) AS h)"
+    duckdb.sql(f"COPY ({parts}) TO '{tmp_path}/part.parquet'")
+    got, want = both(spark, tmp_path, "grade_strict_box")
+    assert got == want and len(set(r[-5:] for r in got)) == 2

@@ -387,9 +387,14 @@ def detail_faults(spark, sf):
 # ---- ragged arrays
 
 
+def _r4(x):
+    """Four decimals, and a negative number that rounds to zero stays negative, as in SQL."""
+    return F.round(F.abs(x), 4) * F.signum(x)
+
+
 def _lists(spark, sf):
     """The first numbers of each vector, as many as its label says."""
-    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", F.lit(1), F.col("label") % 5 + 1), lambda v: F.round(v.cast("double"), 4)).alias("x"))
+    return table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", F.lit(1), F.col("label") % 5 + 1), lambda v: _r4(v.cast("double"))).alias("x"))
 
 
 _LISTS = "SELECT vec_id, label, list_transform(embedding[1:label % 5 + 1], lambda v: round(v::DOUBLE, 4)) AS x FROM embeddings"

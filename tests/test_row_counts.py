@@ -60,3 +60,15 @@ def test_reward_model_split_of_halves(spark, tmp_path, n):
     some_documents(tmp_path, n)
     got, want = both(spark, tmp_path, "reward_model_split")
     assert got == want and len(got) == n + (n % 4 == 2)
+
+
+def some_vectors(folder):
+    """Numbers on either side of zero and of halves at the fifth decimal."""
+    x = "[-0.00004, 0.03125, -0.03125, -0.0, 1e-9]::FLOAT[]"
+    duckdb.sql(f"COPY (SELECT i AS vec_id, CAST(i AS INT) AS label, {x} AS embedding FROM range(10) r(i)) TO '{folder}/embeddings.parquet'")
+
+
+def test_padded_lists_keep_negative_zeros(spark, tmp_path):
+    some_vectors(tmp_path)
+    got, want = both(spark, tmp_path, "pad_right_lists")
+    assert got == want and all("[-0.0" in r for r in got)

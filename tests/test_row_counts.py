@@ -72,3 +72,9 @@ def test_padded_lists_keep_negative_zeros(spark, tmp_path):
     some_vectors(tmp_path)
     got, want = both(spark, tmp_path, "pad_right_lists")
     assert got == want and all("[-0.0" in r for r in got)
+
+
+def test_lists_without_padding_keep_negative_zeros(spark, tmp_path):
+    some_vectors(tmp_path)
+    got, want = both(spark, tmp_path, "remove_left_padding")
+    assert got == want and all("[-0.0" in r for r in got)

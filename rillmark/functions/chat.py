@@ -13,11 +13,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 TOKENS = "array<int>"
 PADS, TRUNCATIONS = ("right", "none"), ("left", "right", "error")
+#: Bytes of text, or tokens, that a task works on at once: what the tokenizer tells of a token takes
+#: over a hundred bytes, and an Arrow batch may have millions.
+AT_ONCE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -49,6 +53,22 @@ def tokenizer(path: str):
     return out
 
 
+def pieces(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in turn, as many at once as have ``AT_ONCE`` together, or one."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, before + AT_ONCE, "right")), start + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def text_sizes(messages: pa.ListArray) -> np.ndarray:
+    """Bytes of each conversation's texts, and some for each message's words around it."""
+    size = pc.fill_null(pc.binary_length(pc.struct_field(messages.flatten(), "text")), 0).to_numpy(zero_copy_only=False) + 64
+    return np.bincount(pc.list_parent_indices(messages).to_numpy(), size, len(messages)).astype(np.int64)
+
+
 def masked_tokens(conversations: list[list[dict]], path: str, template: Template) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, mask) of each conversation."""
     rendered = [template.rendered(c) for c in conversations]
@@ -92,7 +112,7 @@ def loss_mask(df: DataFrame, messages: str, path: str, length: int, pad: str = "
     at = df.columns.index(messages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, text_sizes(b.column(at)))):
             told = masked_tokens([c or [] for c in batch.column(at).to_pylist()], path, template)
             rows = [fitted(ids, mask, length, pad, truncation, pad_id) for ids, mask in told]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[k] for r in rows], pa.list_(pa.int32())) for k in range(4))], names=[*batch.schema.names, *names])
@@ -105,7 +125,7 @@ def learned_text(df: DataFrame, path: str, name: str = "learned", whole: str = "
     places = [df.columns.index(c) for c in ("input_ids", "loss_mask", "attention_mask")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, pc.fill_null(pc.list_value_length(b.column(places[0])), 0).to_numpy(zero_copy_only=False))):
             rows = list(zip(*(batch.column(k).to_pylist() for k in places), strict=True))
             of = lambda chosen: pa.array(tokenizer(path).decode_batch(chosen, skip_special_tokens=False), pa.string())
             learned = of([[i for i, m in zip(ids, mask, strict=True) if m] for ids, mask, _ in rows])

@@ -201,7 +201,7 @@ def token_loss_mask(spark, sf):
     """Conversations as tokens: what the learned ones and all of them say."""
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("m"))
     told = H.loss_mask(c, "m", byte_tokenizer(), 1 << 20, pad="none")
-    return H.learned_text(told, byte_tokenizer()).select("conv_id", "learned", "whole")
+    return H.learned_text(told.drop("m", "position_ids"), byte_tokenizer()).select("conv_id", "learned", "whole")
 
 
 @query()

@@ -3,11 +3,13 @@
 import sys
 from collections import Counter
 from itertools import product
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillmark.functions import chat as H
 from rillmark.operators import dispatch as D
@@ -148,3 +150,26 @@ def test_draws_hold_no_group_in_python(spark):
     assert "Python" not in df._jdf.queryExecution().toString() and got[None, "mean"] == (4.0, 0.0)
     for g in (0, 1):
         assert got[g, "size"] == (3.0, 0.0) and abs(got[g, "mean"][0] - (249 + g)) < 25 and 60 < got[g, "mean"][1] < 110
+
+
+def test_little_text_at_once(monkeypatch):
+    """A batch of 3 MB of text is tokenized in turns, rows in order, and so are tokens told as text."""
+    talk = lambda n: [{"role": "user", "text": "ab " * n}, {"role": "assistant", "text": None}]
+    rows = [None, [], *(talk(k * 997 % 20_000) for k in range(100)), talk(400_000), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))), pa.array(range(len(rows)))], names=["m", "id"])
+    assert H.text_sizes(batch.column(0)).tolist() == [sum(64 + len(m["text"] or "") for m in r or []) for r in rows]
+    assert H.text_sizes(batch.slice(100).column(0)).tolist() == H.text_sizes(batch.column(0)).tolist()[100:]
+    seen = []
+    encode, decode = H.masked_tokens, H.tokenizer(byte_tokenizer()).decode_batch
+    monkeypatch.setattr(H, "masked_tokens", lambda c, *o: seen.append([sum(len(m["text"] or "") for m in x) for x in c]) or encode(c, *o))
+    held = SimpleNamespace(columns=["m", "id"], schema=T.StructType(), mapInArrow=lambda run, schema: run)
+    told = pa.Table.from_batches(H.loss_mask(held, "m", byte_tokenizer(), 1 << 20, pad="none")(iter([batch])))
+    assert told.column("id").to_pylist() == list(range(len(rows))) and len(seen) > 10
+    assert all(sum(x) <= H.AT_ONCE or len(x) == 1 for x in seen)
+    texts = ["".join(t for t, _ in H.Template().rendered(r or [])) for r in rows]
+    seen.clear()
+    monkeypatch.setattr(H, "tokenizer", lambda path: SimpleNamespace(decode_batch=lambda ids, **o: seen.append([len(i) for i in ids]) or decode(ids, **o)))
+    held.columns = told.column_names
+    out = pa.Table.from_batches(H.learned_text(held, byte_tokenizer())(iter(told.combine_chunks().to_batches())))
+    assert out.column("whole").to_pylist() == texts and out.column("id").to_pylist() == list(range(len(rows)))
+    assert len(seen) > 4 and all(sum(x) <= H.AT_ONCE or len(x) == 1 for x in seen)

@@ -40,6 +40,9 @@ CLASS_BITS = 64
 SALT_ROWS = 1 << 16
 #: Classes with this share of all ends of links are joined by broadcast; at most as many are.
 HOT_CLASSES = 512
+#: Ends of links up to which all classes are told by one join: so few rows burden no task, and the driver
+#: plans two of these for each round.
+FEW_ENDS = 1 << 17
 #: Ids of candidates up to which they are broadcast, 16 MB of them.
 NEAR_IDS = 1 << 20
 #: Sets that meet as many others at once.
@@ -316,6 +319,8 @@ def _intersections(row: np.ndarray, prints: np.ndarray, n: int) -> np.ndarray:
 def _told_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """``edges`` with what ``least`` (u, m, n) says of their u.  Classes that have a share of
     1 / HOT_CLASSES of all ends of edges are told by broadcast, the others by a join."""
+    if ends <= FEW_ENDS:
+        return edges.join(least.drop("n"), "u")
     hot = F.col("n") * HOT_CLASSES >= ends
     few = F.broadcast(least.where(hot).drop("n"))  # at most HOT_CLASSES rows
     return edges.join(few, "u").unionByName(edges.join(few, "u", "left_anti").join(least.where(~hot).drop("n"), "u"))

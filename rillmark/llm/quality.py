@@ -207,7 +207,10 @@ def train(
     got = bounded_batches(rows).mapInArrow(kernel.lean(features), schema).orderBy("_order").limit(sample).select("_label", "_features").collect()
     texts = [_from_bytes(r["_features"]) for r in got]
     texts = texts[: int(np.searchsorted(np.cumsum([len(t) for t in texts]), sample_features, side="right"))] if texts else texts
-    return fit(texts, np.array([r["_label"] for r in got[: len(texts)]], np.int64))
+    model = fit(texts, np.array([r["_label"] for r in got[: len(texts)]], np.int64))
+    del got, texts
+    kernel.give_back()  # of the driver's memory
+    return model
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from rillmark.llm import neardup, queries
 
@@ -116,3 +117,19 @@ def test_one_of_each_keeps_clashing_columns(spark):
     rows = [(1, "a b c d e f", 9, 9, 9, 9), (2, "a b c d e f", 8, 8, 8, 8), (1, "a b c d e f", 9, 9, 9, 9), (None, "a b c d e f", 7, 7, 7, 7)]
     kept = neardup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _id long, _hash long, _k int, _row int"))
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[3]], key=str)
+
+
+def test_few_ends_are_told_by_one_join(spark, monkeypatch):
+    """The plan is small where links are few, and components are the same by either way."""
+    pairs = [(a, b) for a in range(1, 60) for b in (a // 2, a % 7) if a != b] + [(k, 100) for k in range(101, 140)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    edges = links.selectExpr("a AS u", "b AS v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("n"))
+    few = neardup._told_least(edges, least, len(pairs))
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
+    rows, labels = sorted(map(tuple, few.collect())), sorted(map(tuple, neardup.components(links).collect()))
+    monkeypatch.setattr(neardup, "FEW_ENDS", 0)
+    assert rows == sorted(map(tuple, neardup._told_least(edges, least, len(pairs)).collect()))
+    assert labels == sorted(map(tuple, neardup.components(links).collect()))
+    assert dict(labels) == {k: 0 for k in range(1, 60)} | {k: 100 for k in range(101, 140)}
